@@ -121,3 +121,31 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def slices(lengths: pa.Array, most: int = 8 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """(start, stop) over rows whose byte lengths are given: at most ``rows`` rows and about ``most`` bytes each."""
+    start = total = 0
+    for k, n in enumerate(lengths.to_pylist()):
+        total += n or 0
+        if total > most or k - start >= rows:
+            if k > start:
+                yield start, k
+                start, total = k, n or 0
+    if len(lengths) > start:
+        yield start, len(lengths)
+
+
+def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 8 << 20) -> DataFrame:
+    """mapInArrow over slices of about ``most`` bytes of ``text``, which ``fn`` gets as bytes (UTF-8, None if null)."""
+    import pyarrow.compute as pc
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            col = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
+            for a, b in slices(pc.binary_length(col), most):
+                out = fn(col.slice(a, b - a).to_pylist(), batch.slice(a, b - a))
+                if out is not None and out.num_rows:
+                    yield out
+
+    return df.mapInArrow(run, schema)

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, packing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_chat_format": chat.op10_chat_format}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pack": packing.op5_pack,
+    "op10_chat_format": chat.op10_chat_format,
+}
 ORACLES: dict[str, str] = {"op10_chat_format": chat.OP10_SQL}
