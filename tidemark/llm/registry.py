@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing
+from . import chat, language, lines, packing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": simhash.op3_simhash,
+    "op4_language": language.op4_language,
     "op5_pack": packing.op5_pack,
+    "op6_quality": quality.op6_quality,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
-ORACLES: dict[str, str] = {"op10_chat_format": chat.OP10_SQL}
+ORACLES: dict[str, str] = {"op9_line_dedup": lines.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
