@@ -1,5 +1,6 @@
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -13,12 +14,17 @@ from tidemark.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def ids_of(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], np.uint32)
+    return t
+
+
+def ids_of(text):
+    return np.array([*tokenizer().encode(text or "", add_special_tokens=False).ids, 2], np.uint32)
 
 
 def check(rows, want, capacity):
@@ -89,3 +95,13 @@ def test_plan_uses_all_and_fills_best(counts, capacity):
             used[k] += c * times
             left[k] -= c * times
     assert used == Counter(counts)
+
+
+@given(st.lists(st.text(st.sampled_from("aBé.,'s1 İσΣ\n\t²ªé…-<|end>")), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_encoder_equals_tokenizer(texts):
+    e = packing.encoder(PATH)
+    ids, lens = e.encode([t.encode() for t in texts])
+    want = [ids_of(t)[:-1] for t in texts]
+    assert lens.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]

@@ -16,6 +16,7 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_right
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,23 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, numbered, table
 
 CAPACITY, END_ID = 4096, 2
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_200_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Numbers(dict):
+    """Numbers new keys as they are asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Encoder:
     """Ids of texts, looked up by word.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its
-    words in turn. Words are kept with their ids; above ``kept`` words the table starts anew.
+    The tokenizer lowers case, drops white space and never joins what white space parts, so a text's ids are those
+    of its words in turn. Words are kept with their ids; above ``kept`` words the table starts anew.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -41,43 +51,57 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
         self.kept = kept
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat, self.lens, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def learn(self, new: list[bytes]) -> None:
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            ids = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lens.sum()))
-            n, base = len(part), len(self.at)
-            while base + n > len(self.lens):
-                self.lens, self.starts = np.concatenate([self.lens, np.zeros_like(self.lens)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.lens[base : base + n] = lens
-            self.starts[base : base + n] = self.used + np.cumsum(lens) - lens
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.at.update(zip(part, range(base, base + n), strict=True))
+        self.at = Numbers()
+        self.flat, self.lens, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.known = self.used = 0
+
+    def put(self, rows: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.lens[rows], self.starts[rows] = lens, self.used + np.cumsum(lens) - lens
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def learn(self) -> None:
+        """The ids of the words that have a number but none yet. Words of letters, with or without punctuation
+        after them, are encoded together: each is one or two units, and a unit's last id says that it is."""
+        new = list(islice(self.at, self.known, None))
+        while len(self.at) > len(self.lens):
+            self.lens, self.starts = np.concatenate([self.lens, np.zeros_like(self.lens)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        for k in range(0, len(new), 8192):
+            part = [w.decode("utf-8", "replace") for w in new[k : k + 8192]]
+            units = [(1 if w.isalpha() else 2 if w.rstrip(PUNCTUATION).isalpha() else 0) for w in part]
+            rows = np.arange(self.known + k, self.known + k + len(part))
+            plain = np.flatnonzero(units)
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            upto = np.cumsum(np.array(units)[plain])
+            if len(plain) and len(last) == upto[-1]:
+                self.put(rows[plain], ids, np.diff(last[upto - 1], prepend=0))
+                rest = np.flatnonzero(np.array(units) == 0)
+            else:
+                rest = np.arange(len(part))
+            own = [e.ids for e in self.tok.encode_batch_fast([part[i] for i in rest], add_special_tokens=False)]
+            self.put(rows[rest], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
+        self.known = len(self.at)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and each text's number of ids."""
-        words = [t.split() if t else [] for t in texts]
-        flat = [w for ws in words for w in ws]
-        new = set(flat).difference(self.at)
-        if len(self.at) + len(new) > self.kept and self.at:
+        words = [t.lower().split() if t else [] for t in texts]  # of bytes: A-Z and ASCII white space only
+        if self.known > self.kept:
             self.clear()
-            new = set(flat)
-        if new:
-            self.learn(list(new))
+        flat = list(chain.from_iterable(words))
         idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        lens = self.lens[idx]
+        if len(self.at) > self.known:
+            self.learn()
+        lens = self.lens[idx].astype(np.int64)
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.repeat(self.starts[idx] - (ends - lens), lens) + np.arange(total)]
