@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lines, packing, quality, simhash
+from . import chat, language, lines, packing, pii, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
     "op5_pack": packing.op5_pack,
     "op6_quality": quality.op6_quality,
+    "op7_kd_shards": sharding.op7_kd_shards,
+    "op8_pii": pii.op8_pii,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_chat_format": chat.op10_chat_format,
 }
