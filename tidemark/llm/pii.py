@@ -36,22 +36,39 @@ PATTERNS = {
 BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 ROUNDS, LEAST_SEEDS, DOUBT, SURE, LEAST_DIGITS = 3, 3, 0.5, 0.75, 6
+BLOCK = 200
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
 def placed(parts: Column, found: Column) -> Column:
-    """(start, end, value) of each match, in code points, from the parts that the text splits into at the matches."""
-    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-    return F.aggregate(
-        pairs,
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["p"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["p"]).alias("s"), (a["at"] + x["p"] + F.length(x["m"])).alias("e"), x["m"].alias("v")))).alias("out"),
-        ),
+    """(start, end, value) of each match, in code points, from the parts that the text splits into at the matches.
+
+    Lengths are summed up in blocks of ``BLOCK`` matches, so that a text of many matches costs little more than its
+    length."""
+    pairs = F.zip_with(F.slice(parts, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("n"), m.alias("m")))
+    none = F.expr(f"cast(array() as {SPAN})")
+
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(at.alias("at"), none.alias("out")),
+            lambda a, x: F.struct(
+                (a["at"] + x["p"] + x["n"]).alias("at"),
+                F.concat(a["out"], F.array(F.struct((a["at"] + x["p"]).alias("s"), (a["at"] + x["p"] + x["n"]).alias("e"), x["m"].alias("v")))).alias("out"),
+            ),
+            lambda a: a["out"],
+        )
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda b: F.slice(pairs, b * BLOCK + 1, BLOCK))
+    sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x["p"] + x["n"]))
+    starts = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
         lambda a: a["out"],
     )
+    many = F.flatten(F.zip_with(blocks, starts, within))
+    return F.when(F.size(found) == 0, none).when(F.size(found) <= BLOCK, within(pairs, F.lit(0))).otherwise(many)
 
 
 def luhn(m: Column) -> Column:
