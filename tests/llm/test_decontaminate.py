@@ -36,7 +36,7 @@ def every_pair(texts, item_texts):
     out = set()
     for d, w in words.items():
         for i, own in zip(items.ids, items.words):
-            answer = set(sorted(set(own.tolist()), key=lambda x: (df[x], x))[: dc.ANSWER_WORDS])
+            answer = dc.rarer_half(own, df)
             if any(dc.judged(w, s, own, dc.masks_of(own), answer, dc.SHARE) for s in range(0, max(1, len(w)), dc.STEP)):
                 out.add((d, i))
     return out

@@ -2,78 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_OWN_DIR: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set."""
-    said = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if said:
-        return said.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return _OWN_DIR[0]
-
-
-class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive the loss of executors.
-
-    A table that the returned plan still reads must stay; ``drop`` removes those that are no longer read.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.n = 0
-        self.paths: dict[int, str] = {}
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/{self.n}"
-        self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch_path = path  # keeps the frame and its path together
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+from ..operators.graph import components
+from ..sources.scratch import Scratch
 
+__all__ = ["Scratch", "components", "map_texts", "numbered", "slices", "table"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch] | None], schema: str, rows: int = 2000) -> DataFrame:
-    """mapInArrow over slices of at most ``rows`` rows, so that memory follows the slice and not the batch."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for k in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(k, rows))
-                if out is None:
-                    continue
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                else:
-                    yield from out
-
-    return df.mapInArrow(run, schema)
-
-
 def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], out: str, buckets: int = 256) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within ``keys``, in the order of a hash of ``tie`` and then ``tie``.
 
@@ -96,33 +40,6 @@ def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], o
     return ranked.alias("r").join(shifts.alias("s"), cond).select(*cols, (F.col("r.__r") + F.col("s.__shift")).cast("long").alias(out))
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b), longs: rows (node, root), root the smallest node of the component.
-
-    Alternating large-star and small-star steps; the edges are written to the shared folder after each round, and
-    only a count and a checksum come to the driver. Nodes without an edge have no row.
-    """
-    e = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seal = None
-    for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = scratch.save(small)
-        scratch.drop(e)
-        e = new
-        row = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seal == tuple(row):
-            break
-        seal = tuple(row)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-
-
 def slices(lengths: pa.Array, most: int = 8 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
     """(start, stop) over rows whose byte lengths are given: at most ``rows`` rows and about ``most`` bytes each."""
     start = total = 0

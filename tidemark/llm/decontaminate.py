@@ -9,7 +9,7 @@ their singular values, place passages and items in the latent space. Windows tha
 all items, in blocks, and those whose cosine reaches ``COSINE`` are candidates.
 
 A candidate is a leak if the longest common subsequence of the item and the words around the window holds
-``SHARE`` of the item's words, and half of the item's answer words (those of its ``answer``, else its rarest words)
+``SHARE`` of the item's words, and half of the item's answer words (those of its ``answer``, else the rarer half of its words)
 are among the words around the window. So reordered or replaced words may part the text from the item.
 
 Words in more than ``MAX_DF`` of the passages are left out of the space, except those of items that would keep fewer
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, table
 
-WINDOW, STEP, RANK, COSINE, SHARE, ANSWER = 32, 16, 64, 0.5, 0.6, 0.5
-MAX_DF, LEAST_TERMS, LEAST_WORDS, ANSWER_WORDS, TERMS = 0.05, 8, 5, 4, 512
+WINDOW, STEP, RANK, COSINE, SHARE, ANSWER = 32, 16, 64, 0.45, 0.6, 0.5
+MAX_DF, LEAST_TERMS, LEAST_WORDS, TERMS = 0.05, 8, 5, 512
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 KEY = "__row_key"
@@ -240,17 +240,41 @@ def judged(words: np.ndarray, window: int, item: np.ndarray, masks: dict[int, in
     return (n, seen) if seen >= ANSWER else None
 
 
+def enough(flat: np.ndarray, base: np.ndarray, ends: np.ndarray, start: np.ndarray, lengths: np.ndarray, member: np.ndarray, item: np.ndarray, share: float) -> np.ndarray:
+    """Whether the words around a window, in or out of order, hold ``share`` of the item's number of words, without
+    which no common subsequence can."""
+    out = np.zeros(len(item), bool)
+    width = np.arange(WINDOW + 2 * int(lengths.max(initial=0)))
+    for k in range(0, len(item), 2048):
+        own = slice(k, k + 2048)
+        left = base[own] + np.maximum(start[own] - lengths[own], 0)
+        right = np.minimum(base[own] + start[own] + WINDOW + lengths[own], ends[own])
+        at = left[:, None] + width
+        words = np.where(at < right[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
+        out[own] = member[item[own, None], words].sum(axis=1) >= share * lengths[own]
+    return out
+
+
 PAIRS = f"doc_id long, {KEY} long, item_id long, cosine double, common_words long, item_words long, answer_share double"
 
 
+def rarer_half(words: np.ndarray, df: np.ndarray) -> set[int]:
+    own = sorted(set(words.tolist()), key=lambda x: (df[x], x))
+    return set(own[: (len(own) + 1) // 2])
+
+
 def search(encoded: DataFrame, kind: str, items: Items, weight: np.ndarray, vectors: np.ndarray, df: np.ndarray, cosine: float, share: float) -> DataFrame:
-    rare = [a or set(sorted(set(w.tolist()), key=lambda x: (df[x], x))[:ANSWER_WORDS]) for w, a in zip(items.words, items.answers, strict=True)]
+    rare = [a or rarer_half(w, df) for w, a in zip(items.words, items.answers, strict=True)]
     placed = np.concatenate([vectors[w].sum(axis=0, keepdims=True) for w in items.words])
     shared = encoded.sparkSession.sparkContext.broadcast((items.ids, items.words, rare, weight, vectors, unit(placed)))
 
     def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, item_words, answers, weight, vectors, q = shared.value
         masks = [masks_of(w) for w in item_words]
+        lengths = np.fromiter(map(len, item_words), np.int64, len(item_words))
+        member = np.zeros((len(item_words), len(weight) + 1), bool)  # the last column is word -1
+        for k, w in enumerate(item_words):
+            member[k, w] = True
         for batch in it:
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, int], list] = {}
@@ -267,10 +291,15 @@ def search(encoded: DataFrame, kind: str, items: Items, weight: np.ndarray, vect
                 x[:-1][doc[:-1] == doc[1:]] += half[1:][doc[:-1] == doc[1:]]
                 x = unit(x)
                 start = (np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * STEP
+                base = (np.cumsum(sizes) - sizes) * STEP  # where a document's words are in ``flat``
+                ends = base + np.fromiter(map(len, words), np.int64, len(words))
                 for k in range(0, len(x), 4096):
                     c = x[k : k + 4096] @ q.T
-                    for r, i in zip(*np.nonzero(c >= cosine), strict=True):
-                        d, pair = int(doc[k + r]), (first + int(doc[k + r]), int(i))
+                    r, i = np.nonzero(c >= cosine)
+                    d = doc[k + r]
+                    ok = enough(flat, base[d], ends[d], start[k + r], lengths[i], member, i, share)
+                    for r, i, d in zip(r[ok].tolist(), i[ok].tolist(), d[ok].tolist(), strict=True):
+                        pair = (first + d, i)
                         got = judged(words[d], int(start[k + r]), item_words[i], masks[i], answers[i], share)
                         if got and (pair not in found or found[pair][1:] < [got[0], got[1]]):
                             found[pair] = [float(c[r, i]), *got]

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, lines, packing, pii, quality, sharding, simhash
+from . import chat, decontaminate, language, lines, packing, pii, quality, sharding, simhash, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_token_counts": viterbi.op2_token_counts,
     "op3_simhash": simhash.op3_simhash,
     "op4_language": language.op4_language,
     "op5_pack": packing.op5_pack,

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, map_texts, table
@@ -35,6 +35,7 @@ GOLAY = 0b110001110101  # generator polynomial of the binary Golay code
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (1, 2), (2, 0))
 FOREST_FROM = 24
+KEY = "__row_key"
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -56,13 +57,14 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp), fp the fingerprint as a signed long."""
+    """(doc_id, text) to (doc_id, __row_key, fp), fp the fingerprint as a signed long."""
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["doc_id", KEY, "fp"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", work, "doc_id long, fp long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias(KEY), "text")
+    return map_texts(keyed, "text", work, f"doc_id long, {KEY} long, fp long")
 
 
 @lru_cache(1)
@@ -187,8 +189,13 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(doc_id, text) to (doc_id, fp, component_id): the smallest doc_id reachable over links of ``bits`` bits."""
+    """(doc_id, text) to (doc_id, __row_key, fp, root, component_id): the smallest doc_id reachable over links of
+    ``bits`` bits; root stands for the component."""
     scratch = Scratch(docs.sparkSession, "simhash")
     own = scratch.save(fingerprints(docs, shingle))
     distinct = scratch.save(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -197,8 +204,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     scratch.drop(edges)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = scratch.save(rooted.join(least, "root").select("fp", "component_id"))
-    return own.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = scratch.save(rooted.join(least, "root").select("fp", "root", "component_id"))
+    return own.join(by_fp, "fp").select("doc_id", KEY, "fp", "root", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """``docs`` with one row of each component: one with the smallest doc_id."""
+    groups = near_duplicates(docs, shingle, bits)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("one"))
+    kept = first.select(F.col(f"one.{KEY}").alias(KEY)).distinct()
+    one = docs.withColumn(KEY, row_key()).join(kept, KEY, "left_semi").dropDuplicates([KEY])
+    return one.select(*[F.col(c) for c in docs.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
