@@ -106,7 +106,8 @@ def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     keyed = docs.withColumn(ROW_KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
     found = scratch.save(repeats(keyed, scratch, min_lines, min_words))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = keyed.join(found, ROW_KEY, "left").select(*[F.col(c) for c in names], "__windows")
+    # always by a shuffle: whether repeats are few enough to broadcast depends on the corpus
+    joined = keyed.join(found.hint("merge"), ROW_KEY, "left").select(*[F.col(c) for c in names], "__windows")
     at = names.index("text")
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
