@@ -213,7 +213,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     groups = near_duplicates(docs, shingle, bits)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("one"))
     kept = first.select(F.col(f"one.{KEY}").alias(KEY)).distinct()
-    one = docs.withColumn(KEY, row_key()).join(kept, KEY, "left_semi").dropDuplicates([KEY])
+    one = docs.withColumn(KEY, row_key()).join(kept.hint("merge"), KEY, "left_semi").dropDuplicates([KEY])
     return one.select(*[F.col(c) for c in docs.columns])
 
 
