@@ -73,7 +73,8 @@ def gate(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
     g = r["governance"]
     rows = with_gate_columns(rows)
     et, title, stage, sev = F.col("event_type"), F.coalesce("title", F.lit("")), F.col("action_stage"), F.col("severity")
-    base, subject = base_penalty(r), F.col("subject")
+    rows = rows.withColumn("__base", base_penalty(r))
+    base, subject = F.col("__base"), F.col("subject")
     given = subject.isNotNull() & (subject != "")
     has = lambda p: title.rlike("(?i)" + p)
     tier = F.col("role_tier")
@@ -91,14 +92,16 @@ def gate(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
         .when((stage == "routine") & (et != "management_exit"), "routine")
         .otherwise("penalty")
     )
-    p = F.when((et == "regulatory_action") & (stage == "notice_or_demand"), F.greatest(base, F.lit(float(g["notice_without_order_penalty"])))).otherwise(base)
     capped = ~et.isin(*g["severity_caps_exempt_types"])
-    for name, cap in g["severity_caps"].items():
-        p = F.when(capped & (sev == name), F.greatest(p, F.lit(float(cap)))).otherwise(p)
     small = capped & ~F.coalesce(sev.isin(*g["floor_exempt_severities"]), F.lit(False)) & (F.col("amount_inr_cr") < g["materiality_floor_cr"])
-    p = F.when(small, F.greatest(p, F.lit(float(g["procedural_band_penalty"])))).otherwise(p)
+    caps = [
+        F.when((et == "regulatory_action") & (stage == "notice_or_demand"), F.lit(float(g["notice_without_order_penalty"]))),
+        *[F.when(capped & (sev == name), F.lit(float(cap))) for name, cap in g["severity_caps"].items()],
+        F.when(small, F.lit(float(g["procedural_band_penalty"]))),
+    ]
+    p = F.greatest(F.col("__base"), *caps)  # the mildest of the base and the caps that apply
     out = rows.withColumn("bucket", bucket)
-    return out.withColumn("penalty", F.when(F.col("bucket") == "override", F.col("penalty_override")).when(F.col("bucket") == "penalty", p))
+    return out.withColumn("penalty", F.when(F.col("bucket") == "override", F.col("penalty_override")).when(F.col("bucket") == "penalty", p)).drop("__base")
 
 
 def family(et: Column, r: Rubric = DEFAULT) -> Column:
