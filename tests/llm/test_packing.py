@@ -105,3 +105,12 @@ def test_encoder_equals_tokenizer(texts):
     want = [ids_of(t)[:-1] for t in texts]
     assert lens.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_encoder_forgets_and_stays_right():
+    e = packing.Encoder(PATH, kept=60)
+    for k in range(30):
+        texts = [" ".join(f"w{(k * 7 + i * j) % 200}x" for i in range(20)) + " common words, here." for j in range(5)]
+        ids, _ = e.encode([t.encode() for t in texts])
+        assert ids.tolist() == [i for t in texts for i in ids_of(t)[:-1].tolist()]
+        assert len(e.at) <= 60 + 110

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +15,32 @@ from pyspark.sql.window import Window
 from ..operators.graph import components
 from ..sources.scratch import Scratch
 
-__all__ = ["Scratch", "components", "map_texts", "numbered", "slices", "table"]
+__all__ = ["Scratch", "components", "map_texts", "numbered", "release", "resident", "slices", "table"]
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(key: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between batches, one thing at a time.
+
+    Workers outlive a stage and serve the next one, so a table that one operator filled must go before another
+    operator fills its own.
+    """
+    if key not in _RESIDENT:
+        if _RESIDENT:
+            _RESIDENT.clear()
+            release()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Gives freed memory back to the system where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,7 +68,7 @@ def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], o
     return ranked.alias("r").join(shifts.alias("s"), cond).select(*cols, (F.col("r.__r") + F.col("s.__shift")).cast("long").alias(out))
 
 
-def slices(lengths: pa.Array, most: int = 8 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
+def slices(lengths: pa.Array, most: int = 4 << 20, rows: int = 4096) -> Iterator[tuple[int, int]]:
     """(start, stop) over rows whose byte lengths are given: at most ``rows`` rows and about ``most`` bytes each."""
     start = total = 0
     for k, n in enumerate(lengths.to_pylist()):
@@ -53,11 +81,15 @@ def slices(lengths: pa.Array, most: int = 8 << 20, rows: int = 4096) -> Iterator
         yield start, len(lengths)
 
 
-def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 8 << 20) -> DataFrame:
-    """mapInArrow over slices of about ``most`` bytes of ``text``, which ``fn`` gets as bytes (UTF-8, None if null)."""
+def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes | None], pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 4 << 20, keeps: bool = False) -> DataFrame:
+    """mapInArrow over slices of about ``most`` bytes of ``text``, which ``fn`` gets as bytes (UTF-8, None if null).
+    Unless ``fn`` ``keeps`` something resident, what an operator before has kept in the worker goes first."""
     import pyarrow.compute as pc
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _RESIDENT and not keeps:
+            _RESIDENT.clear()
+            release()
         for batch in it:
             col = batch.column(batch.schema.get_field_index(text)).cast(pa.binary())
             for a, b in slices(pc.binary_length(col), most):

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_texts, table
+from .common import map_texts, resident, table
 
 ORDER, PER_LANGUAGE, KEPT_WORDS, TEMPERATURE, Z = 4, 500, 300_000, 4.0, 8.0
 WORD = re.compile(r"[^\W\d_]+")
@@ -192,7 +192,6 @@ class Scorer:
 
 
 PREDICTED = "lang_pred string, score double, cross_entropy double, symbols long"
-_SCORERS: dict[str, Scorer] = {}
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -201,12 +200,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names, own = docs.columns, uuid.uuid4().hex
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
-        if own not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[own] = Scorer(shared.value)
-        m = shared.value
+        scorer = resident(f"scorer {own}", lambda: Scorer(shared.value))
+        m = scorer.m
         if m.languages:
-            ll, n = _SCORERS[own](texts)
+            ll, n = scorer(texts)
         else:
             ll, n = np.zeros((len(texts), 1)), np.zeros(len(texts))
         best = ll.argmax(axis=1)
@@ -219,7 +216,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "cross_entropy", "symbols"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_texts(docs, "text", work, f"{kinds}, {PREDICTED}")
+    return map_texts(docs, "text", work, f"{kinds}, {PREDICTED}", keeps=True)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, numbered, table
+from .common import Scratch, map_texts, numbered, resident, table
 
 CAPACITY, END_ID = 4096, 2
-KEPT_WORDS = 1_200_000
+KEPT_WORDS = 500_000
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -42,7 +42,8 @@ class Encoder:
     """Ids of texts, looked up by word.
 
     The tokenizer lowers case, drops white space and never joins what white space parts, so a text's ids are those
-    of its words in turn. Words are kept with their ids; above ``kept`` words the table starts anew.
+    of its words in turn. Words are kept with their ids; above ``kept`` words only those
+    that came again and again since the last time stay.
     """
 
     def __init__(self, path: str, kept: int = KEPT_WORDS):
@@ -59,9 +60,30 @@ class Encoder:
 
     def clear(self) -> None:
         self.at = Numbers()
-        self.flat, self.lens, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+        self.flat, self.lens, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.hits = np.zeros(1 << 16, np.int32)
         self.known = self.used = 0
 
+    def forget(self) -> None:
+        """Keeps the words met most, a third of the table at most."""
+        hits = self.hits[: self.known]
+        least = max(2, int(np.partition(hits, -(self.kept // 3))[-(self.kept // 3)]) + 1)
+        stay = np.flatnonzero(hits >= least)
+        words = np.array(list(self.at), object)[stay]
+        lens = self.lens[stay].astype(np.int64)
+        ends = np.cumsum(lens)
+        ids = self.flat[np.repeat(self.starts[stay] - (ends - lens), lens) + np.arange(int(lens.sum()))]
+        self.clear()
+        for w in words:
+            self.at[w]
+        self.room()
+        self.put(np.arange(len(stay)), ids, lens)
+        self.known = len(stay)
+
+    def room(self) -> None:
+        while len(self.at) > len(self.lens):
+            self.lens, self.starts, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lens, self.starts, self.hits))
+
     def put(self, rows: np.ndarray, ids: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -73,8 +95,7 @@ class Encoder:
         """The ids of the words that have a number but none yet. Words of letters, with or without punctuation
         after them, are encoded together: each is one or two units, and a unit's last id says that it is."""
         new = list(islice(self.at, self.known, None))
-        while len(self.at) > len(self.lens):
-            self.lens, self.starts = np.concatenate([self.lens, np.zeros_like(self.lens)]), np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.room()
         for k in range(0, len(new), 8192):
             part = [w.decode("utf-8", "replace") for w in new[k : k + 8192]]
             units = [(1 if w.isalpha() else 2 if w.rstrip(PUNCTUATION).isalpha() else 0) for w in part]
@@ -96,11 +117,12 @@ class Encoder:
         """All ids in turn, and each text's number of ids."""
         words = [t.lower().split() if t else [] for t in texts]  # of bytes: A-Z and ASCII white space only
         if self.known > self.kept:
-            self.clear()
+            self.forget()
         flat = list(chain.from_iterable(words))
         idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
         if len(self.at) > self.known:
             self.learn()
+        self.hits[: self.known] += np.bincount(idx, minlength=self.known).astype(np.int32)
         lens = self.lens[idx].astype(np.int64)
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
@@ -110,13 +132,8 @@ class Encoder:
         return ids, np.diff(upto)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return resident(f"encoder {path}", lambda: Encoder(path))
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -139,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", cut, PIECES)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", cut, PIECES, keeps=True)
 
 
 def fill(counts: dict[int, int], room: int, order: list[int]) -> dict[int, int]:

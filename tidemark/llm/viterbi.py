@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, resident, table
 
-MARK, PENALTY, KEPT_WORDS, KEPT_LENGTH = "▁", 10.0, 800_000, 80
+MARK, PENALTY, KEPT_WORDS, KEPT_LENGTH = "▁", 10.0, 600_000, 80
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -122,18 +122,14 @@ class Counter:
         return np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, words)])])
 
 
-_COUNTERS: dict[str, Counter] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens)."""
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = Counter(vocabulary(path))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(_COUNTERS[path].counts(texts))], ["doc_id", "n_tokens"])
+        counter = resident(f"counter {path}", lambda: Counter(vocabulary(path)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counter.counts(texts))], ["doc_id", "n_tokens"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", work, "doc_id long, n_tokens long")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", work, "doc_id long, n_tokens long", keeps=True)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
