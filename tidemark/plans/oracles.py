@@ -309,7 +309,7 @@ rk AS (SELECT symbol, CASE WHEN ex THEN 10.0 ELSE risk END AS risk_score, opp AS
 
 O["unique_actions"] = f"WITH {ACT}, {unique('act')} SELECT symbol, seq, event_type FROM uq"
 O["action_event_score"] = f"WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT seq, event_type, stage, stage_mult, round(timing_mult, 6) AS timing_mult, size_mult, round(score, 6) AS score, direction, gate_a, gate_b, tracked_only FROM sc"
-O["action_risk_opportunity"] = f"WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score, 6) AS risk_score, round(opportunity_score, 6) AS opportunity_score, risk_band, opportunity_review, n_scored, n_quarantined, n_tracked FROM rk"
+O["action_risk_opportunity"] = f"WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score + 1e-9, 6) AS risk_score, round(opportunity_score + 1e-9, 6) AS opportunity_score, risk_band, opportunity_review, n_scored, n_quarantined, n_tracked FROM rk"
 O["action_bands"] = """WITH s AS (SELECT range AS hundredths, range / 100.0 AS score FROM range(0, 1001)) SELECT hundredths, CASE WHEN score < 3 THEN 'Log' WHEN score < 5 THEN 'Watch' WHEN score < 7 THEN 'Review' WHEN score < 9 THEN 'Act' ELSE 'Exit' END AS band,
 CASE WHEN score <= 2.9 + 1e-9 THEN 'Log' WHEN score >= 3 AND score <= 4.9 + 1e-9 THEN 'Watch' WHEN score >= 5 AND score <= 6.9 + 1e-9 THEN 'Review' WHEN score >= 7 AND score <= 8.9 + 1e-9 THEN 'Act' ELSE 'Exit' END AS strict_band FROM s"""
 O["quarantined_actions"] = f"""WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT symbol, event_type, CASE WHEN count(DISTINCT direction) = 1 THEN min(direction) ELSE 'mixed' END AS direction, count(*) AS n,

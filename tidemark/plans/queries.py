@@ -301,7 +301,9 @@ def action_event_score(spark, d):
 
 @query
 def action_risk_opportunity(spark, d):
-    return actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
+    out = actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
+    # products of short decimals end in exact halves of the sixth place, which engines round either way
+    return out.withColumns({c: F.col(c) + 1e-9 for c in ("risk_score", "opportunity_score")})
 
 
 @query
