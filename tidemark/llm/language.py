@@ -230,7 +230,11 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     to the driver."""
     spark = labelled.sparkSession
     ids = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # far more than the wanted number of smallest hashes lies below this share of the hashes, and only those are sorted
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("__n"))
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    ids = ids.join(F.broadcast(counts), "lang").where((F.col("__n") <= 8 * per_language) | (spot * F.col("__n") <= 2 * per_language + 100))
+    rank = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
     chosen = [r.doc_id for r in ids.withColumn("__k", F.row_number().over(rank)).where(F.col("__k") <= per_language).select("doc_id").collect()]
     if not chosen:
         return Model([], order)
