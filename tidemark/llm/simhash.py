@@ -185,7 +185,8 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         if held:
             yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    keyed = distinct.select("fp").mapInArrow(emit, "key int, fp long, asks boolean")
+    # a hundred keys come from each row, so the few bytes of fingerprints are dealt out first
+    keyed = distinct.select("fp").repartition("fp").mapInArrow(emit, "key int, fp long, asks boolean")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
