@@ -101,7 +101,9 @@ def gate(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
     ]
     p = F.greatest(F.col("__base"), *caps)  # the mildest of the base and the caps that apply
     out = rows.withColumn("bucket", bucket)
-    return out.withColumn("penalty", F.when(F.col("bucket") == "override", F.col("penalty_override")).when(F.col("bucket") == "penalty", p)).drop("__base")
+    # as a generator's output, so that filters on it don't carry copies of the rules below
+    penalty = F.when(F.col("bucket") == "override", F.col("penalty_override")).when(F.col("bucket") == "penalty", p)
+    return out.select("*", F.explode(F.array(penalty)).alias("penalty")).drop("__base")
 
 
 def family(et: Column, r: Rubric = DEFAULT) -> Column:
