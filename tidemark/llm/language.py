@@ -8,8 +8,9 @@ the lowest cross-entropy per character over its whole text.
 
 The models are fitted on a sample of at most ``per_language`` labelled documents for each language (those with the
 smallest hashes of doc_id), which bounds their size whatever the corpus. A fifth of the sample is kept from the
-counts; it gives the usual cross-entropy of each language and its spread, and a document much above it (``z``
-spreads, allowing for its length) is rejected.
+counts; it gives the usual cross-entropy of each language and its spread. A document is rejected if it lies ``z``
+spreads above that, allowing for its length, and ``apart`` nats a character too: texts that mix two known languages,
+or have a few odd tokens, lie one nat above or less.
 
 Defined cases: a null text, or one without letters, has language ``und``, score 0 and is rejected; without any
 labelled document every row is so; rows with a null language are never learned from; an empty table gives no rows;
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import map_texts, resident, table
 
-ORDER, PER_LANGUAGE, KEPT_WORDS, TEMPERATURE, Z = 4, 500, 300_000, 4.0, 8.0
+ORDER, PER_LANGUAGE, KEPT_WORDS, TEMPERATURE, Z, APART = 4, 500, 300_000, 4.0, 8.0, 1.75
 WORD = re.compile(r"[^\W\d_]+")
 BOS, EOS, CHARACTERS, CAP = 2, 3, 2000, 400
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -261,12 +262,13 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     return model
 
 
-def identify(docs: DataFrame, model: Model, z: float = Z) -> DataFrame:
+def identify(docs: DataFrame, model: Model, z: float = Z, apart: float = APART) -> DataFrame:
     """``docs`` with lang_pred, score, cross_entropy, symbols and accepted (false where the language is unknown)."""
     out = predict(docs, model)
     far = F.lit(False)
     for lang, (m, d) in model.usual.items():
-        far = far | ((F.col("lang_pred") == lang) & ((F.col("cross_entropy") - m) * F.sqrt(F.least("symbols", F.lit(CAP))) > z * d))
+        above = F.col("cross_entropy") - m
+        far = far | ((F.col("lang_pred") == lang) & (above > apart) & (above * F.sqrt(F.least("symbols", F.lit(CAP))) > z * d))
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & ~far)
 
 
