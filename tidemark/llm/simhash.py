@@ -121,6 +121,39 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows), np.concatenate(asks)
 
 
+def forest(nodes: np.ndarray, asks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the links of ``asks`` (some of ``nodes``, both sorted) join, fewer than there are nodes.
+
+    Nodes are only compared with those outside their component so far; the largest component is kept apart, so a dense
+    cloud, which soon is one component, takes little more than one look at each node.
+    """
+    n = len(nodes)
+    label, size = np.arange(n), np.ones(n, np.int64)
+    main, out = 0, np.arange(1, n)  # the largest component's label, and the nodes outside it
+    a, b = [], []
+    for p in np.searchsorted(nodes, asks).tolist():
+        if not len(out):
+            break
+        mine = label[p]
+        far = out if mine == main else np.flatnonzero(label != mine)
+        linked = far[np.bitwise_count((nodes[far] ^ nodes[p]).view(np.uint64)) <= bits]
+        if not len(linked):
+            continue
+        labels, first = np.unique(label[linked], return_index=True)
+        a.append(np.full(len(labels), nodes[p]))
+        b.append(nodes[linked[first]])
+        joined = np.append(labels, mine)
+        new = int(joined[size[joined].argmax()])
+        total = int(size[joined].sum())
+        label[np.isin(label, joined)] = new
+        size[new] = total
+        if total >= size[main] or main in joined:
+            main = new
+            out = np.flatnonzero(label != main)
+    none = nodes[:0]
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+
+
 def near(key: np.ndarray, fp: np.ndarray, asks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the groups of equal, sorted keys."""
     cuts = np.flatnonzero(np.diff(key)) + 1
@@ -137,16 +170,9 @@ def near(key: np.ndarray, fp: np.ndarray, asks: np.ndarray, bits: int) -> tuple[
     b.append(fp[j][hit])
     for g in np.flatnonzero(size > FOREST_FROM):
         own = slice(start[g], stop[g])
-        nodes = np.unique(fp[own])
-        label = np.arange(len(nodes))
-        for x in np.unique(fp[own][asks[own]]):
-            linked = np.flatnonzero(np.bitwise_count((nodes ^ x).view(np.uint64)) <= bits)
-            labels, first = np.unique(label[linked], return_index=True)
-            if len(labels) > 1:
-                other = nodes[linked[first]]
-                a.append(np.full(len(other), x))
-                b.append(other)
-                label[np.isin(label, labels)] = labels[0]
+        x, y = forest(np.unique(fp[own]), np.unique(fp[own][asks[own]]), bits)
+        a.append(x)
+        b.append(y)
     a, b = np.concatenate(a), np.concatenate(b)
     return a[a != b], b[a != b]
 
