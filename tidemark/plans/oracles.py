@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import adapters as ad
 from . import vocabulary as v
 
@@ -423,7 +425,6 @@ UNION SELECT 'compressed_sentiment', 'portfolio' FROM pf HAVING stddev_pop(senti
 UNION SELECT 'loose_query', symbol FROM ord GROUP BY symbol HAVING count(*) >= 5 AND avg(CASE WHEN substance = 'passing' THEN 1.0 ELSE 0.0 END) >= 0.4
 UNION SELECT 'label_failures', 'run' FROM ord HAVING avg(CASE WHEN seq % 7 = 0 THEN 1.0 ELSE 0.0 END) > 0.1)
 SELECT kind, key, concat('L-', substr(sha1(concat(kind, '|', key)), 1, 8)) AS lesson_id FROM pr"""
-ORACLES = O
 
 
 def plain(x: str) -> str:
@@ -440,3 +441,13 @@ O["fulltext_extract"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h F
 array_to_string(list_filter(list_transform(regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {plain('x')}), lambda x: length(x) > 70 AND NOT regexp_matches(x, '{JUNK}')), ' ') AS kept FROM p),
 r AS (SELECT page_id, body, about, trim(concat_ws(' ', nullif(about, ''), nullif(kept, ''))) AS both_ FROM q)
 SELECT page_id, substr(CASE WHEN length(body) > 200 THEN body WHEN length(both_) > 250 THEN both_ WHEN length(about) > 80 THEN about ELSE '' END, 1, 4000) AS text FROM r"""
+
+
+def doubles(sql: str) -> str:
+    """Decimal literals outside quotes as doubles, which is what Spark computes with here."""
+    parts = sql.split("'")
+    parts[::2] = [re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", x) for x in parts[::2]]
+    return "'".join(parts)
+
+
+ORACLES = {name: doubles(sql) for name, sql in O.items()}
