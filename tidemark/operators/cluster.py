@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +10,7 @@ from ..functions import text as tx
 from ..plans.rubric import DEFAULT, Rubric
 from ..sources.scratch import Scratch
 from .graph import components
+from .grouped import over_groups
 
 
 def common_tokens(items: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
@@ -94,28 +94,30 @@ def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
     events of one type and flag."""
     days, results = r["cluster"]["merge_days"], set(r["sentiment"]["results_event_types"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published", "title", "seq"], kind="stable")
-        is_result = pdf["event_type"].iloc[0] in results
-        pub, date = pd.to_datetime(pdf["published"]), pd.to_datetime(pdf["event_date"].fillna(pdf["published"]))
+    def merge(group: list[tuple]) -> list[tuple]:
         kept: list[dict] = []
-        for seq, p, d, tier, purpose in zip(pdf["seq"], pub, date, pdf["max_tier"].fillna("T3"), pdf["purpose"].fillna(""), strict=True):
-            new = {"rep": seq, "pub": p, "date": d, "tier": tier, "purpose": purpose, "all": [seq]}
+        for _, kind, _, seq, _, published, date, tier, purpose in group:
+            new = {"rep": seq, "pub": published, "date": date, "tier": tier, "purpose": purpose, "all": [seq]}
             for k, o in enumerate(kept):
-                quarter = is_result and (o["pub"].year, o["pub"].quarter) == (p.year, p.quarter) and o["purpose"] == purpose
-                if abs((o["date"] - d).days) <= days or quarter:
-                    keep, drop = (o, new) if (o["tier"], o["pub"]) <= (tier, p) else (new, o)
-                    both = {"date": min(o["date"], d, o["pub"], p), "tier": min(o["tier"], tier), "all": o["all"] + [seq]}
+                quarter = kind in results and quarter_of(o["pub"]) == quarter_of(published) and o["purpose"] == purpose
+                if abs((o["date"] - date).days) <= days or quarter:
+                    keep, drop = (o, new) if (o["tier"], o["pub"]) <= (tier, published) else (new, o)
+                    both = {"date": min(o["date"], date, o["pub"], published), "tier": min(o["tier"], tier), "all": o["all"] + [seq]}
                     both["purpose"] = "sentiment" if drop["purpose"] == "sentiment" else keep["purpose"]
                     kept[k] = {**keep, **both}
                     break
             else:
                 kept.append(new)
-        rows = [(s, o["rep"], o["date"].date(), len(o["all"])) for o in kept for s in o["all"]]
-        return pd.DataFrame(rows, columns=["seq", "survivor", "event_date", "n_merged"])
+        return [(s, o["rep"], o["date"], len(o["all"])) for o in kept for s in o["all"]]
 
-    rows = events.where("published is not null").select("symbol", "event_type", "governance_flag", "seq", "title", "published", "event_date", "max_tier", "purpose")
-    return rows.groupBy("symbol", "event_type", "governance_flag").applyInPandas(merge, MERGED)
+    def quarter_of(d) -> tuple[int, int]:
+        return d.year, (d.month - 1) // 3
+
+    rows = events.where("published is not null").select(
+        "symbol", "event_type", "governance_flag", "seq", "title", "published",
+        F.coalesce("event_date", "published").alias("event_date"), F.coalesce("max_tier", F.lit("T3")).alias("max_tier"), F.coalesce("purpose", F.lit("")).alias("purpose"),
+    )
+    return over_groups(rows, ["symbol", "event_type", "governance_flag"], ["published", "title", "seq"], merge, MERGED)
 
 
 def attach_extras(extras: DataFrame, events: DataFrame, r: Rubric = DEFAULT, least: float = 0.3) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +10,7 @@ from ..functions.text import event_words
 from ..functions.timing import age_factor
 from ..plans import vocabulary as v
 from ..plans.rubric import DEFAULT, Rubric
+from .grouped import over_groups
 
 GATE_COLUMNS = {
     "title": "string", "rationale": "string", "event_type": "string", "materiality": "string", "subject": "string",
@@ -127,26 +127,24 @@ def same_events(candidates: DataFrame, own_words: Column | None = None, r: Rubri
         event_words(F.col("title"), F.col("event_key"), own).alias("words"),
     ).where("published is not null")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["penalty", "published", "seq"], kind="stable")
-        kept, out = [], []
-        for seq, day, key, words in zip(pdf["seq"], pd.to_datetime(pdf["published"]), pdf["k"], map(frozenset, pdf["words"]), strict=True):
-            dup = None
-            for kseq, kday, kkey, kwords in kept:
-                gap = abs((day - kday).days)
+    def greedy(group: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        out = []
+        for symbol, seq, day, _, _, key, words in group:
+            words = frozenset(words)
+            for kept_seq, kept_day, kept_key, kept_words in kept:
+                gap = abs((day - kept_day).days)
                 if gap > days:
                     continue
-                shared = len(words & kwords)
-                if (key and key == kkey) or (shared >= 2 and (shared / max(min(len(words), len(kwords)), 1) >= 0.5 or gap <= 3)):
-                    dup = kseq
+                shared = len(words & kept_words)
+                if (key and key == kept_key) or (shared >= 2 and (shared / max(min(len(words), len(kept_words)), 1) >= 0.5 or gap <= 3)):
+                    out.append((symbol, seq, kept_seq))
                     break
-            if dup is None:
-                kept.append((seq, day, key, words))
             else:
-                out.append((seq, dup))
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "seq": [a for a, _ in out], "dup_of": [b for _, b in out]})
+                kept.append((seq, day, key, words))
+        return out
 
-    return rows.groupBy("symbol", "family").applyInPandas(greedy, SAME_EVENT)
+    return over_groups(rows, ["symbol", "family"], ["penalty", "published", "seq"], greedy, SAME_EVENT)
 
 
 def once_per_type(candidates: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> DataFrame:
