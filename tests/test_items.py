@@ -183,6 +183,12 @@ def test_files(spark, tmp_path):
 
 
 def no_network(url):
+    if "market" in url:
+        return json.dumps({"closes": {"2026-06-01": 100, "2026-06-10": 50}, "dividends": {"2026-06-05": 2.0, "2026-06-20": 2.0}, "splits": {"2026-06-21": 2}})
+    if "page" in url:
+        if "bad" in url:
+            raise OSError("gone")
+        return f"<p>{'long text here ' * 20}</p>"
     if "feed" in url:
         return "<rss><channel>" + "".join(f"<item><title>Acme news {k} - Mint</title><link>http://m/{k}</link><pubDate>Tue, 30 Jun 2026 10:00:00 GMT</pubDate><source url='https://www.mint.com'>Mint</source></item>" for k in range(3)) + "</channel></rss>"
     if "filings" in url:
@@ -203,6 +209,17 @@ def test_connectors(spark):
     assert passes == {"governance", "results", "sentiment"}
 
 
+def test_market_data_and_pages(spark):
+    connectors.register(spark)
+    rows = spark.read.format("market_data").options(opener="test_items.no_network", symbols="AA|BB", start="2026-01-01", end="2026-07-01").load()
+    got = {(r.event_type, r.published.day): r.materiality for r in rows.where("symbol = 'AA' and kind = 'action'").collect()}
+    assert got == {("dividend", 5): "medium", ("dividend", 20): "high", ("split_bonus", 21): "medium"}
+    assert rows.where("kind = 'price'").count() == 4
+    pages = fulltext.fetched(spark.createDataFrame([(1, "page:1"), (2, "page:bad"), (3, None)], "seq int, url string"), "test_items.no_network")
+    text = {r.seq: r.t for r in pages.select("seq", fulltext.extract(F.col("html")).alias("t")).collect()}
+    assert text[1].startswith("long text") and text[2] == "" and text[3] == ""
+
+
 def test_throttle_pages_raise():
     waits = []
     with pytest.raises(connectors.SourceThrottled):

@@ -230,7 +230,7 @@ class Announcements(_Source):
 
 
 def register(spark) -> None:
-    for s in (NewsArchive, NewsFeed, Announcements):
+    for s in SOURCES:
         spark.dataSource.register(s)
 
 
@@ -245,3 +245,50 @@ def resolve_source(choice: str, as_of: date, today: date, backdate_days: int, al
             raise ValueError("a live source can't be asked for a past date")
         return "feed", "live-backdated"
     return choice, "archive" if choice == "archive" else "live"
+
+
+ACTION_SCHEMA = "symbol string, kind string, event_type string, sentiment int, materiality string, title string, url string, published date, close double"
+
+
+def parse_market(text: str) -> list[tuple]:
+    """Dividends and splits as labelled actions, and adjusted closes: (kind, event_type, sentiment, materiality, title,
+    date, close). A dividend's materiality goes by its share of the last close before it."""
+    data = json.loads(text)
+    closes = sorted((date.fromisoformat(d), float(c)) for d, c in data.get("closes", {}).items())
+    out = [("price", None, None, None, None, d, c) for d, c in closes]
+    for d, amount in sorted(data.get("dividends", {}).items()):
+        day = date.fromisoformat(d)
+        before = [c for at, c in closes if at < day]
+        out.append(("action", "dividend", 1, dividend_materiality(float(amount) / before[-1]) if before else "low", f"Dividend of {float(amount):g} per share", day, None))
+    for d, ratio in sorted(data.get("splits", {}).items()):
+        out.append(("action", "split_bonus", 0, "medium", f"Split {float(ratio):g} for 1", date.fromisoformat(d), None))
+    return out
+
+
+class MarketReader(NewsReader):
+    """One fetch for each symbol over the whole span."""
+
+    def spans(self, start: date, end: date) -> list[tuple[date, date]]:
+        return [(start, end)]
+
+    def read(self, p: SymbolWindow) -> Iterator[tuple]:
+        opener = open_with(self.o["opener"])
+        lo, hi = p.spans[0]
+        url = f"{self.o.get('base', 'market:')}?symbol={quote_plus(p.symbol + self.o.get('suffix', ''))}"
+        for kind, et, sentiment, materiality, title, day, close in fetched(opener, url, parse_market, int(self.o.get("tries", 3)), float(self.o.get("wait", 5))):
+            if lo <= day <= hi:
+                yield p.symbol, kind, et, sentiment, materiality, title, url, day, close
+
+
+class MarketData(_Source):
+    reader_class = MarketReader
+
+    @classmethod
+    def name(cls) -> str:
+        return "market_data"
+
+    def schema(self) -> str:
+        return ACTION_SCHEMA
+
+
+SOURCES = (NewsArchive, NewsFeed, Announcements, MarketData)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .connectors import open_with
+
 JUNK = r"(?i)cookie|subscribe|newsletter|advertis|sign in|log in|copyright|all rights reserved"
 #: The entities that pages use most, with the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
@@ -29,3 +35,26 @@ def extract(html: Column, limit: int = 4000) -> Column:
     both = F.trim(F.concat_ws(" ", F.nullif(about, F.lit("")), F.nullif(kept, F.lit(""))))
     text = F.when(F.length(body) > 200, body).when(F.length(both) > 250, both).when(F.length(about) > 80, about).otherwise("")
     return F.substring(text, 1, limit)
+
+
+def fetched(items: DataFrame, opener: str, workers: int = 16) -> DataFrame:
+    """Items with html, the page at their url, null where it can't be had. Each task fetches a batch's pages with a few
+    threads; a page that fails is no error of the task. There is no time budget, so a run can be repeated."""
+    names = items.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = open_with(opener)
+
+        def page(url: str | None) -> str | None:
+            try:
+                return get(url) if url else None
+            except Exception:  # whatever a page does, the others go on
+                return None
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in it:
+                html = list(pool.map(page, batch.column(batch.schema.get_field_index("url")).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(html, pa.string())], [*names, "html"])
+
+    return items.mapInArrow(run, f"{kinds}, html string")
