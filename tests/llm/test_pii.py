@@ -34,7 +34,7 @@ def got(row):
 
 
 def test_odd_texts(spark):
-    texts = odd_texts() + ["a@b.c_d@e.f@g.h", "é x@y.zz, +1 (555) 010-9999 1.2.3.4.5 300.1.1.1 001.2.3.4", "4111 1111 1111 1111-4111", "9" * 60000, "1 " * 40000, "a" * 200000, "a.b@" * 3000, "+1 2" + "-" * 5000]
+    texts = odd_texts() + ["a@b.c_d@e.f@g.h", "é x@y.zz, +1 (555) 010-9999 1.2.3.4.5 300.1.1.1 001.2.3.4", "4111 1111 1111 1111-4111", "9" * 60000, "1 " * 12000, "a" * 200000, "a.b@" * 3000, "+1 2" + "-" * 5000]
     rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
     for k, t in enumerate(texts):
         assert got(rows[k]) == plain(t), t[:50]
