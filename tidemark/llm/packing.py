@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, numbered, resident, table
 
 CAPACITY, END_ID = 4096, 2
-KEPT_WORDS = 500_000
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+KEPT_WORDS = 600_000
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = MARKS.encode()
 
 
 class Numbers(dict):
@@ -92,25 +93,43 @@ class Encoder:
         self.used += len(ids)
 
     def learn(self) -> None:
-        """The ids of the words that have a number but none yet. Words of letters, with or without punctuation
-        after them, are encoded together: each is one or two units, and a unit's last id says that it is."""
-        new = list(islice(self.at, self.known, None))
+        """The ids of the words that have a number but none yet.
+
+        A word that ends in punctuation after a letter or digit has the ids of its two parts, so each part is encoded
+        once for all words that share it. Words of letters, and runs of punctuation, are encoded together: each is one
+        unit, and a unit's last id says that it is.
+        """
+        split: list[tuple[int, int, int]] = []
+        for n, w in enumerate(list(islice(self.at, self.known, None)), self.known):
+            head = w.rstrip(PUNCTUATION)
+            if head and len(head) < len(w) and (head[-1:].isalnum() or (head[-1] > 127 and head.decode("utf-8", "replace")[-1].lower()[-1:].isalpha())):
+                split.append((n, self.at[head], self.at[w[len(head) :]]))
         self.room()
-        for k in range(0, len(new), 8192):
-            part = [w.decode("utf-8", "replace") for w in new[k : k + 8192]]
-            units = [(1 if w.isalpha() else 2 if w.rstrip(PUNCTUATION).isalpha() else 0) for w in part]
-            rows = np.arange(self.known + k, self.known + k + len(part))
-            plain = np.flatnonzero(units)
+        new = np.ones(len(self.at), bool)
+        new[: self.known] = False
+        parts = np.array(split, np.int64).reshape(-1, 3)
+        new[parts[:, 0]] = False
+        words = [w.decode("utf-8", "replace") for w, own in zip(islice(self.at, self.known, None), new[self.known :].tolist(), strict=True) if own]
+        numbers = np.flatnonzero(new)
+        for k in range(0, len(words), 8192):
+            part, rows = words[k : k + 8192], numbers[k : k + 8192]
+            one = np.fromiter((w.isalpha() or not w.strip(MARKS) for w in part), bool, len(part))
+            plain = np.flatnonzero(one)
             ids = np.array(self.tok.encode_batch_fast([" ".join(part[i] for i in plain)], add_special_tokens=False)[0].ids, np.int64)
             last = np.flatnonzero(self.ends[ids]) + 1
-            upto = np.cumsum(np.array(units)[plain])
-            if len(plain) and len(last) == upto[-1]:
-                self.put(rows[plain], ids, np.diff(last[upto - 1], prepend=0))
-                rest = np.flatnonzero(np.array(units) == 0)
+            if len(plain) and len(last) == len(plain):
+                self.put(rows[plain], ids, np.diff(last, prepend=0))
+                rest = np.flatnonzero(~one)
             else:
                 rest = np.arange(len(part))
             own = [e.ids for e in self.tok.encode_batch_fast([part[i] for i in rest], add_special_tokens=False)]
             self.put(rows[rest], np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64))
+        if len(parts):
+            both = parts[:, 1:].reshape(-1)  # head and tail of each word in turn
+            lens = self.lens[both].astype(np.int64)
+            ends = np.cumsum(lens)
+            ids = self.flat[np.repeat(self.starts[both] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+            self.put(parts[:, 0], ids, lens.reshape(-1, 2).sum(axis=1))
         self.known = len(self.at)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
