@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -17,7 +19,9 @@ def send(spark: SparkSession) -> None:
     if app in _SENT:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark.zip")
+    own = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    path = os.path.join(own, "tidemark.zip")
     with zipfile.ZipFile(path, "w") as z:
         for folder, _, names in os.walk(root):
             for name in names:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +18,9 @@ def scratch_root(spark: SparkSession) -> str:
     if said:
         return said.rstrip("/")
     if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        own = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN_DIR.append(f"file://{own}")
     return _OWN_DIR[0]
 
 
