@@ -56,10 +56,14 @@ def test_empty_table_and_repeated_rows(spark):
 
 def test_contexts_find_what_no_pattern_does(spark):
     seeds = [f"words here, call me at +1 (555) 010-{1000 + k} today" for k in range(8)]
-    texts = [*seeds, "please call me at +1/555/010/7777 now", "the year is 20240101 and so on", "it is 1234567 of them"]
+    mails = [f"then write to us: u{k}@mail.org now" for k in range(8)]
+    texts = [*seeds, *mails, "please call me at (+1/555/010/7777), now", "or write to us: someone@localhost now", "the year is 20240101 and so on", "it is 1234567 of them", "and call me at 12 sharp"]
     rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
-    assert all(len(rows[k].phone) == 1 for k in range(8))
-    assert not rows[9].extra and not rows[10].extra
+    assert all(len(rows[k].phone) == 1 for k in range(8)) and all(len(rows[k].email) == 1 for k in range(8, 16))
+    found = {k: [texts[k][x.s : x.e] for x in rows[k].extra] for k in rows if rows[k].extra}
+    assert found == {16: ["+1/555/010/7777"], 17: ["someone@localhost"]}
+    out = {r.doc_id: r for r in rows.values()}
+    assert not any(x.s < y.e and y.s < x.e for r in out.values() for x in r.extra for k in pii.KINDS for y in r[k])
 
 
 def test_table(spark):

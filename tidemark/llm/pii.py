@@ -5,12 +5,12 @@ and of the matches add up to them. The patterns are written so that Java's match
 over within a run of characters (possessive repeats, starts only where a run starts or where the last match ended);
 they match what the plain ones match.
 
-Bootstrapping: every token with a digit or an at sign is an instance, and the two words before it with the token's
-shape are the pattern it stands in. Instances within base spans are the seeds. In each round a pattern's confidence
+Bootstrapping: every base span, and every other token with a digit or an at sign, is an instance; the two words
+before it, and whether it has an at sign, are the pattern it stands in. Base spans are the seeds. In each round a pattern's confidence
 is its instances' summed confidence over their number plus ``DOUBT``, if it stands before ``LEAST_SEEDS`` different
 seeds at least, and an instance's is one less the product of its trusted patterns' doubts; seeds stay at one. After
-the rounds, instances that reach ``SURE`` and have ``LEAST_DIGITS`` digits are spans of kind ``context`` wherever
-they stand in a trusted pattern outside a base span.
+the rounds, instances that reach ``SURE`` and have ``LEAST_DIGITS`` digits or join two words by an at sign are spans
+of kind ``context`` wherever they stand in a trusted pattern outside a base span.
 
 The graph holds each pair of pattern and instance once, so a word before many copies of a number counts once.
 
@@ -118,19 +118,18 @@ def core(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(v, r"^[^A-Za-z0-9+@]+", ""), r"[^A-Za-z0-9]+$", "")
 
 
-def shape(v: Column) -> Column:
-    """Runs of digits as 0 and of letters as a, whatever their lengths."""
-    return F.regexp_replace(F.regexp_replace(v, r"\p{L}+", "a"), r"[0-9]+", "0")
-
-
 def discover(found: DataFrame, scratch: Scratch) -> DataFrame:
     """From base spans and tokens, (__key, extra): the spans that only their contexts tell."""
-    rows = found.select("__key", *KINDS, F.explode("tokens").alias("t")).select("__key", "t.*", *KINDS)
-    inside = F.lit(False)
-    for k in KINDS:
-        inside = inside | F.exists(k, lambda x: (x["s"] < F.col("e")) & (x["e"] > F.col("s")))
-    rows = rows.select("__key", "s", "e", "v", core(F.col("v")).alias("instance"), F.regexp_replace("left", r"[\x20\x09-\x0D]+", " ").alias("left"), inside.alias("seed"))
-    rows = rows.where("left <> '' and instance <> ''").withColumn("pattern", F.concat("left", F.lit(" "), shape(F.col("instance"))))
+    every = F.concat(*KINDS)
+    rows = found.select("__key", every.alias("base"), F.explode("tokens").alias("t")).select("__key", "t.*", "base")
+    # a base span stands for the token that it starts in; tokens that it goes on in are no instances
+    starts = F.get(F.filter("base", lambda x: (x["s"] >= F.col("s")) & (x["s"] < F.col("e"))), 0)
+    goes_on = F.exists("base", lambda x: (x["s"] < F.col("s")) & (x["e"] > F.col("s")))
+    rows = rows.where(~goes_on).withColumn("span", starts)
+    seed = F.col("span").isNotNull()
+    rows = rows.select("__key", "s", "e", "v", F.when(seed, F.col("span.v")).otherwise(core(F.col("v"))).alias("instance"), F.regexp_replace("left", r"[\x20\x09-\x0D]+", " ").alias("left"), seed.alias("seed"))
+    sort = F.when(F.contains("instance", F.lit("@")), " @").otherwise(" 0")
+    rows = rows.where("left <> '' and instance <> ''").withColumn("pattern", F.concat("left", sort))
     rows = scratch.save(rows)
     edges = rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
     edges = scratch.save(edges)
@@ -146,7 +145,8 @@ def discover(found: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(sure)
         sure = new
     digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    chosen = sure.where((F.col("score") >= SURE) & (digits >= LEAST_DIGITS)).select("instance")
+    told = (digits >= LEAST_DIGITS) | F.col("instance").rlike("[A-Za-z0-9]@[A-Za-z0-9]")
+    chosen = sure.where((F.col("score") >= SURE) & told).select("instance")
     hits = rows.where("not seed").join(patterns.select("pattern"), "pattern", "left_semi").join(chosen, "instance", "left_semi")
     lead = F.length("v") - F.length(F.regexp_replace("v", r"^[^A-Za-z0-9+@]+", ""))
     span = F.struct((F.col("s") + lead).alias("s"), (F.col("s") + lead + F.length("instance")).alias("e"))
