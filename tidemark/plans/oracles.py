@@ -316,8 +316,8 @@ O["action_bands"] = """WITH s AS (SELECT range AS hundredths, range / 100.0 AS s
 CASE WHEN score <= 2.9 + 1e-9 THEN 'Log' WHEN score >= 3 AND score <= 4.9 + 1e-9 THEN 'Watch' WHEN score >= 5 AND score <= 6.9 + 1e-9 THEN 'Review' WHEN score >= 7 AND score <= 8.9 + 1e-9 THEN 'Act' ELSE 'Exit' END AS strict_band FROM s"""
 O["quarantined_actions"] = f"""WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT symbol, event_type, CASE WHEN count(DISTINCT direction) = 1 THEN min(direction) ELSE 'mixed' END AS direction, count(*) AS n,
 arg_max(title, (published, seq)) AS newest FROM sc WHERE gate_b AND NOT tracked_only GROUP BY symbol, event_type"""
-O["review_queue"] = f"""WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score, 6) AS risk_score,
-round(risk_score * p_retailprice / (SELECT avg(p_retailprice) FROM part), 6) AS priority FROM rk JOIN part ON symbol = p_partkey"""
+O["review_queue"] = f"""WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score + 1e-9, 6) AS risk_score,
+round(risk_score * p_retailprice / (SELECT avg(p_retailprice) FROM part) + 1e-9, 6) AS priority FROM rk JOIN part ON symbol = p_partkey"""
 O["relative_zscores"] = f"""WITH {ORD}, {weighted('ord', 'symbol')}, z AS (SELECT avg(weighted_mean) AS m, stddev_pop(weighted_mean) AS s FROM wm)
 SELECT symbol, round(weighted_mean, 6) AS weighted_mean, round((least(greatest(weighted_mean, m - 3 * s), m + 3 * s) - m) / s, 6) AS weighted_mean_z FROM wm, z"""
 

@@ -499,6 +499,6 @@ def anomaly_proposals(spark, d):
 def review_queue(spark, d):
     risk = actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
     weights = ad.view(spark, d, "SELECT p_partkey AS symbol, p_retailprice AS weight FROM {part}")
-    return actions.review_queue(risk, weights)
+    return actions.review_queue(risk, weights).withColumns({c: F.col(c) + 1e-9 for c in ("risk_score", "priority")})  # as in action_risk_opportunity
 
 
