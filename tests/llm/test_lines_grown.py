@@ -1,0 +1,46 @@
+from helpers import docs
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from tidemark.llm import lines
+
+
+def maximal(texts, min_lines=3, min_words=50):
+    """Deletes the lines of maximal runs, of that many lines or words, that stand at an earlier place too: all pairs
+    of places are compared."""
+    body = [(d, k, tuple(x.split())) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.split()]
+    dead = set()
+    for b in range(len(body)):
+        for a in range(b):
+            if a and body[a - 1][0] == body[a][0] and body[b - 1][0] == body[b][0] and body[a - 1][2] == body[b - 1][2]:
+                continue  # not the run's first line
+            n = 0
+            while b + n < len(body) and body[a + n][0] == body[a][0] and body[b + n][0] == body[b][0] and body[a + n][2] == body[b + n][2]:
+                n += 1
+            if n and (n >= min_lines or sum(len(x[2]) for x in body[b : b + n]) >= min_words):
+                dead |= {x[:2] for x in body[b : b + n]}
+    return ["\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in dead) for d, t in enumerate(texts)]
+
+
+LONG = {c: " ".join(f"{c}{i}" for i in range(n)) for c, n in zip("ABCDef", (60, 50, 30, 25, 2, 1), strict=True)}
+
+
+def grown(spark, texts):
+    got = {r.doc_id: r.text for r in lines.clean(docs(spark, texts).coalesce(1), grow=True).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_the_end_of_a_run_goes(spark):
+    a, c, e, f = (LONG[x] for x in "ACef")
+    texts = [f"{a}\n{e}\n{f}", f"{a}\n{e}\n{f}", f"p\n{a}\n{e}\nq\nr", f"{c}\n{c}\n{e}", f"{c}\n{c}\n{e}\nz", f"s\n{a}\n{f}"]
+    assert grown(spark, texts) == maximal(texts) == [texts[0], "", "p\nq\nr", texts[3], "z", f"s\n{f}"]
+    out = corpus_pipeline.without_repeated_lines(spark, docs(spark, texts), "")
+    assert {r.doc_id: r.text for r in out.collect()} == dict(enumerate(maximal(texts)))
+
+
+@given(st.lists(st.lists(st.sampled_from([*LONG.values()]), max_size=9), min_size=1, max_size=6))
+@settings(max_examples=25, deadline=None)
+def test_any_runs_grown(spark, texts):
+    texts = ["\n".join(t) for t in texts]
+    assert grown(spark, texts) == maximal(texts)

@@ -9,6 +9,11 @@ are joined to their positions and extended both ways to the windows that selecte
 128-bit digest of their lines, and all but the first in the order of (doc_id, position) are repeats. Overlapping
 repeats of a document make its repeated runs, whose lines are deleted; other lines stay as they were.
 
+A run of equal lines starts with a window and each of its windows but those that reach past its end lies in it, so
+only lines at its end, fewer than ``min_lines``, can be in no window of it. With ``grow`` the last windows of a run
+are therefore taken with 1, 2, ... lines more too, as far as the next window doesn't reach, and every line of a run
+that stood before goes. Without it the windows alone count, as in OP9_SQL.
+
 A window's occurrences are compared with the first one by an aggregate, so a line that every document holds costs
 as many rows as it has occurrences and no pairs.
 
@@ -58,10 +63,20 @@ def windows(words: list[int], min_lines: int, min_words: int) -> list[int]:
     return out
 
 
+def grown(sizes: list[int]) -> list[tuple[int, int]]:
+    """The windows as (first line, lines), each also with the lines after it that no later window holds alone."""
+    out = []
+    for k, n in enumerate(sizes):
+        if n:
+            after = sizes[k + 1] if k + 1 < len(sizes) else 0
+            out += [(k, m) for m in range(n, max(n, after or len(sizes) - k) + 1)]
+    return out
+
+
 SELECTED = "fp long, doc_id long, __row_key long, windows array<struct<at:int,n:int,digest:binary>>"
 
 
-def select(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+def select(docs: DataFrame, min_lines: int, min_words: int, grow: bool) -> DataFrame:
     """One row for each selected line, with the windows that select it."""
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -72,10 +87,10 @@ def select(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
                 continue
             hashes = [xxhash.xxh64_intdigest(x) for x in lines]
             found: dict[int, list[dict]] = {}
-            for k, n in enumerate(windows(words, min_lines, min_words)):
-                if n:
-                    at = min(range(k, k + n), key=lambda i: (hashes[i], -i))
-                    found.setdefault(at, []).append({"at": k, "n": n, "digest": xxhash.xxh3_128_digest(b"\n".join(lines[k : k + n]))})
+            sizes = windows(words, min_lines, min_words)
+            for k, n in grown(sizes) if grow else [x for x in enumerate(sizes) if x[1]]:
+                at = min(range(k, k + sizes[k]), key=lambda i: (hashes[i], -i))
+                found.setdefault(at, []).append({"at": k, "n": n, "digest": xxhash.xxh3_128_digest(b"\n".join(lines[k : k + n]))})
             for at, own in found.items():
                 fps.append(hashes[at])
                 ids.append(doc)
@@ -87,9 +102,9 @@ def select(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
     return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW_KEY, "text"), "text", work, SELECTED)
 
 
-def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """(doc_id, __row_key, text) to (__row_key, windows): the repeated windows as (first line, lines)."""
-    chosen = scratch.save(select(docs, min_lines, min_words))
+    chosen = scratch.save(select(docs, min_lines, min_words, grow))
     common = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
     wide = chosen.join(common, "fp", "left_semi").select("doc_id", ROW_KEY, F.inline("windows"))
     wide = scratch.save(wide)
@@ -99,12 +114,12 @@ def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_w
     return later.groupBy(ROW_KEY).agg(F.collect_set(F.struct("at", "n")).alias("__windows"))
 
 
-def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
     """``docs`` with later repeated runs deleted from text, and n_lines and n_removed, the counts of lines that are
     not blank. A text of which lines were deleted is joined again from its other lines."""
     scratch = Scratch(docs.sparkSession, "lines")
     keyed = docs.withColumn(ROW_KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    found = scratch.save(repeats(keyed, scratch, min_lines, min_words))
+    found = scratch.save(repeats(keyed, scratch, min_lines, min_words, grow))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     # always by a shuffle: whether repeats are few enough to broadcast depends on the corpus
     joined = keyed.join(found.hint("merge"), ROW_KEY, "left").select(*[F.col(c) for c in names], "__windows")
