@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..operators.graph import components
 from ..sources.scratch import Scratch
 
-__all__ = ["Scratch", "components", "map_texts", "numbered", "release", "resident", "slices", "table"]
+__all__ = ["Scratch", "components", "fresh", "map_texts", "numbered", "release", "resident", "slices", "split_join", "table"]
 
 _RESIDENT: dict[str, object] = {}
 
@@ -46,6 +46,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't hold."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str, parts: int = 1000) -> DataFrame:
+    """``left`` joined ("inner" or "left_semi") with ``right``: one row for each key and its ``count`` in left.
+
+    Keys with a ``parts``-th of all counted rows, ``parts`` of them at most whatever the data, are broadcast, so their
+    rows stay where they are; the others meet by a shuffle. Other columns of right are added by an inner join.
+    ``right`` must give the same rows on each read.
+    """
+    total = right.agg(F.sum("count").alias("n")).first().n or 0
+    least = max(total // parts, 1)
+    hot = right.where(F.col("count") > least).drop("count")
+    cold = right.where(F.col("count") <= least).drop("count")
+    if not hot.head(1):
+        return left.join(cold.hint("merge"), key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
+    return rest.unionByName(left.join(F.broadcast(hot), key, how))
+
+
 def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], out: str, buckets: int = 256) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within ``keys``, in the order of a hash of ``tie`` and then ``tie``.
 

@@ -1,25 +1,27 @@
 """Operator 9: repeated runs of lines, found by winnowing over line hashes.
 
-Lines are compared with their white space made single spaces; blank lines are passed over. A window starts at each
-line and goes on until it has ``min_words`` words or ``min_lines`` lines, so any run of that many lines or words
-starts with a window and two equal runs start with equal windows. In each window the line with the smallest hash
-(the last of equal ones) is selected: its hash is the window's fingerprint, and equal windows select the same line.
-Fingerprints that occur once in the corpus are dropped by a count that is combined before the shuffle. Those left
-are joined to their positions and extended both ways to the windows that selected them; windows are compared by a
-128-bit digest of their lines, and all but the first in the order of (doc_id, position) are repeats. Overlapping
-repeats of a document make its repeated runs, whose lines are deleted; other lines stay as they were.
-
-A run of equal lines starts with a window and each of its windows but those that reach past its end lies in it, so
-only lines at its end, fewer than ``min_lines``, can be in no window of it. With ``grow`` the last windows of a run
-are therefore taken with 1, 2, ... lines more too, as far as the next window doesn't reach, and every line of a run
-that stood before goes. Without it the windows alone count, as in OP9_SQL.
-
-A window's occurrences are compared with the first one by an aggregate, so a line that every document holds costs
-as many rows as it has occurrences and no pairs.
-
-Defined cases: a null text stays null and an empty one empty; a document shorter than a window is left alone; rows
+Lines are compared with their white space made single spaces; blank lines are passed over. A run counts if it has
+``min_lines`` lines or ``min_words`` words. A window starts at each line and goes on until it is such a run, so every
+run that counts holds the window of its first line, and two equal runs hold equal windows. In each window the line with
+the smallest hash (the last of equal ones) is selected: equal windows select the same line, so two equal runs share a
+selected line at the same place, the guaranteed fingerprint.
+
+Only selected lines, as (hash, document, place), are dealt over the cluster. Those whose hash stands once are dropped;
+the others are joined back to their places, where matches are extended line by line both ways: a run of up to
+``min_lines`` lines that holds the place and counts is named by the digest of its lines, for each number of lines before
+and after the place. All but the first of equal runs, in the order of (doc_id, text's hash, place), are repeats; an
+aggregate finds the first, so a line that every document holds costs as many rows as it has places and no pairs.
+Overlapping repeats join to maximal repeated runs: each line of a maximal run lies in a run of at most ``min_lines``
+lines in it that counts and holds a guaranteed fingerprint, so the whole run goes and nothing else does. Other lines
+stay as they were.
+
+Hashes and digests that hold a thousandth of all rows, a thousand at most, are told apart from the others and joined by
+a broadcast; so no task gets a hot one's rows.
+
+Defined cases: a null text stays null and an empty one empty; a document in which no run counts is left alone; rows
 equal in doc_id and text count as one occurrence, and each is cleaned alike; an empty table gives no rows; columns
-other than text (and n_chars in the pipeline) are kept.
+other than text (and n_chars in the pipeline) are kept, whatever their names; n_lines and n_removed replace columns so
+named.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, table
+from .common import Scratch, fresh, map_texts, split_join, table
 
 MIN_LINES, MIN_WORDS = 3, 50
-ROW_KEY = "__row_key"
+WIDTH = 16  # bytes of a line's hash
 
 
 def content(text: bytes) -> tuple[list[bytes], list[int], list[int]]:
@@ -63,66 +65,95 @@ def windows(words: list[int], min_lines: int, min_words: int) -> list[int]:
     return out
 
 
-def grown(sizes: list[int]) -> list[tuple[int, int]]:
-    """The windows as (first line, lines), each also with the lines after it that no later window holds alone."""
-    out = []
-    for k, n in enumerate(sizes):
-        if n:
-            after = sizes[k + 1] if k + 1 < len(sizes) else 0
-            out += [(k, m) for m in range(n, max(n, after or len(sizes) - k) + 1)]
-    return out
+def selected(hashes: list[int], sizes: list[int]) -> list[int]:
+    """The places of the windows' smallest hashes, the last of equal ones."""
+    return sorted({min(range(k, k + n), key=lambda i: (hashes[i], -i)) for k, n in enumerate(sizes) if n})
+
+
+def runs(words: list[int], places: list[int], min_lines: int, min_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the runs of up to ``min_lines`` lines that count and hold one of ``places``."""
+    out = set()
+    for at in places:
+        for before in range(min(at, min_lines - 1) + 1):
+            first = at - before
+            total = sum(words[first:at])
+            for n in range(before + 1, min(min_lines, len(words) - first) + 1):
+                total += words[first + n - 1]
+                if n == min_lines or total >= min_words:
+                    out.add((first, n))
+    return sorted(out)
 
 
-SELECTED = "fp long, doc_id long, __row_key long, windows array<struct<at:int,n:int,digest:binary>>"
+HASHED = "doc_id long, row long, hashes binary, words array<int>, selected array<struct<fp:long,at:int>>"
+RUNS = "digest binary, doc_id long, row long, at int, n int"
 
 
-def select(docs: DataFrame, min_lines: int, min_words: int, grow: bool) -> DataFrame:
-    """One row for each selected line, with the windows that select it."""
+def hashed(docs: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, row, text) to the lines' hashes and numbers of words and the selected lines, where a run counts."""
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, ids, keys, held = [], [], [], []
-        for doc, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+        rows, held, sizes, marks = [], [], [], []
+        for k, text in enumerate(texts):
             lines, words, _ = content(text or b"")
-            if not lines:
+            if len(words) < min_lines and sum(words) < min_words:
                 continue
-            hashes = [xxhash.xxh64_intdigest(x) for x in lines]
-            found: dict[int, list[dict]] = {}
-            sizes = windows(words, min_lines, min_words)
-            for k, n in grown(sizes) if grow else [x for x in enumerate(sizes) if x[1]]:
-                at = min(range(k, k + sizes[k]), key=lambda i: (hashes[i], -i))
-                found.setdefault(at, []).append({"at": k, "n": n, "digest": xxhash.xxh3_128_digest(b"\n".join(lines[k : k + n]))})
-            for at, own in found.items():
-                fps.append(hashes[at])
-                ids.append(doc)
-                keys.append(key)
-                held.append(own)
-        kind = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
-        return pa.RecordBatch.from_arrays([pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(held, kind)], ["fp", "doc_id", ROW_KEY, "windows"])
-
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), ROW_KEY, "text"), "text", work, SELECTED)
-
-
-def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
-    """(doc_id, __row_key, text) to (__row_key, windows): the repeated windows as (first line, lines)."""
-    chosen = scratch.save(select(docs, min_lines, min_words, grow))
-    common = chosen.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
-    wide = chosen.join(common, "fp", "left_semi").select("doc_id", ROW_KEY, F.inline("windows"))
-    wide = scratch.save(wide)
-    order = F.struct(F.col("doc_id"), F.col(ROW_KEY), F.col("at"))
-    first = wide.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    later = wide.join(first, "digest").where(~F.col("first").eqNullSafe(order))
-    return later.groupBy(ROW_KEY).agg(F.collect_set(F.struct("at", "n")).alias("__windows"))
-
-
-def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, grow: bool = False) -> DataFrame:
+            digests = [xxhash.xxh3_128_digest(x) for x in lines]
+            fps = [int.from_bytes(d[:8], "little", signed=True) for d in digests]
+            rows.append(k)
+            held.append(b"".join(digests))
+            sizes.append(words)
+            marks.append([{"fp": fps[i], "at": i} for i in selected(fps, windows(words, min_lines, min_words))])
+        take = pa.array(rows, pa.int64())
+        kind = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32())]))
+        cols = [batch.column(0).take(take), batch.column(1).take(take), pa.array(held, pa.binary()), pa.array(sizes, pa.list_(pa.int32())), pa.array(marks, kind)]
+        return pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "hashes", "words", "selected"])
+
+    return map_texts(docs, "text", work, HASHED)
+
+
+def extended(matched: DataFrame, min_lines: int, min_words: int) -> DataFrame:
+    """(doc_id, row, hashes, words, places) to the runs around the places with their digests."""
+
+    def work(it):
+        for batch in it:
+            digests, ids, rows, firsts, sizes = [], [], [], [], []
+            for doc, row, raw, words, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for first, n in runs(words, places, min_lines, min_words):
+                    digests.append(xxhash.xxh3_128_digest(raw[WIDTH * first : WIDTH * (first + n)]))
+                    ids.append(doc)
+                    rows.append(row)
+                    firsts.append(first)
+                    sizes.append(n)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((digests, ids, rows, firsts, sizes), kinds, strict=True)], ["digest", "doc_id", "row", "at", "n"])
+
+    return matched.select("doc_id", "row", "hashes", "words", "places").mapInArrow(work, RUNS)
+
+
+def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, row, text) to (row, runs): the repeated runs as (first line, lines)."""
+    lines = scratch.save(hashed(docs, min_lines, min_words))
+    marks = lines.select("row", F.inline("selected"))
+    counts = scratch.save(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("count")).where("count > 1"))
+    met = split_join(marks, counts, "fp", "left_semi").groupBy("row").agg(F.collect_set("at").alias("places"))
+    matched = scratch.save(extended(lines.join(met.hint("merge"), "row"), min_lines, min_words))
+    order = F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
+    first = scratch.save(matched.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count")).where("count > 1"))
+    later = split_join(matched, first, "digest", "inner").where(~F.col("first").eqNullSafe(order))
+    return later.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+
+
+def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later repeated runs deleted from text, and n_lines and n_removed, the counts of lines that are
     not blank. A text of which lines were deleted is joined again from its other lines."""
     scratch = Scratch(docs.sparkSession, "lines")
-    keyed = docs.withColumn(ROW_KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    found = scratch.save(repeats(keyed, scratch, min_lines, min_words, grow))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = scratch.save(repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text"), scratch, min_lines, min_words))
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    key, runs_ = fresh(docs, "__row"), fresh(docs, "__runs")
     # always by a shuffle: whether repeats are few enough to broadcast depends on the corpus
-    joined = keyed.join(found.hint("merge"), ROW_KEY, "left").select(*[F.col(c) for c in names], "__windows")
+    found = found.select(F.col("row").alias(key), F.col("runs").alias(runs_))
+    joined = docs.withColumn(key, row).join(found.hint("merge"), key, "left").select(*[F.col(c) for c in names], runs_)
     at = names.index("text")
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +185,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-#: Windows of up to three lines, as in MIN_LINES and MIN_WORDS.
+#: All runs of one to three lines that count, as in MIN_LINES and MIN_WORDS.
 CLEANED_SQL = r"""
 raw_lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS raw, unnest(l) AS line
@@ -168,12 +199,11 @@ raw_lines AS (
   SELECT *, lead(plain, 1) OVER w AS p1, lead(plain, 2) OVER w AS p2, lead(words, 1) OVER w AS w1 FROM placed
   WINDOW w AS (PARTITION BY doc_id ORDER BY raw)
 ), windowed AS (
-  SELECT doc_id, pos,
-    CASE WHEN words >= 50 THEN 1 WHEN words + w1 >= 50 THEN 2 WHEN p2 IS NOT NULL THEN 3 ELSE 0 END AS n,
-    CASE WHEN words >= 50 THEN plain WHEN words + w1 >= 50 THEN plain || chr(10) || p1 ELSE plain || chr(10) || p1 || chr(10) || p2 END AS body
-  FROM ahead
+  SELECT doc_id, pos, 1 AS n, plain AS body FROM ahead WHERE words >= 50
+  UNION ALL SELECT doc_id, pos, 2, plain || chr(10) || p1 FROM ahead WHERE words + w1 >= 50
+  UNION ALL SELECT doc_id, pos, 3, plain || chr(10) || p1 || chr(10) || p2 FROM ahead WHERE p2 IS NOT NULL
 ), repeated AS (
-  SELECT doc_id, pos, n FROM windowed WHERE n > 0 QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1
+  SELECT doc_id, pos, n FROM windowed QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1
 ), dead AS (
   SELECT DISTINCT doc_id, pos + k AS pos FROM repeated, unnest(range(n)) AS t(k)
 ), gone AS (
