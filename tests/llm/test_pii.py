@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from helpers import docs, odd_texts
@@ -41,7 +42,7 @@ def test_odd_texts(spark):
 
 
 @given(st.lists(st.text(st.sampled_from("a1@.-+ (_é0"), max_size=40), min_size=20, max_size=60))
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=4, deadline=None)
 def test_any_text(spark, texts):
     rows = {r.doc_id: r for r in pii.base_spans(docs(spark, texts)).collect()}
     for k, t in enumerate(texts):
@@ -54,16 +55,102 @@ def test_empty_table_and_repeated_rows(spark):
     assert sorted(got(r) for r in rows) == [[], [("email", 0, 6)], [("email", 0, 6)]]
 
 
+def extras(texts, rows):
+    return {(k, texts[k][x.s : x.e], x.kind) for k in rows for x in rows[k].extra}
+
+
 def test_contexts_find_what_no_pattern_does(spark):
     seeds = [f"words here, call me at +1 (555) 010-{1000 + k} today" for k in range(8)]
     mails = [f"then write to us: u{k}@mail.org now" for k in range(8)]
     texts = [*seeds, *mails, "please call me at (+1/555/010/7777), now", "or write to us: someone@localhost now", "the year is 20240101 and so on", "it is 1234567 of them", "and call me at 12 sharp"]
     rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
     assert all(len(rows[k].phone) == 1 for k in range(8)) and all(len(rows[k].email) == 1 for k in range(8, 16))
-    found = {k: [texts[k][x.s : x.e] for x in rows[k].extra] for k in rows if rows[k].extra}
-    assert found == {16: ["+1/555/010/7777"], 17: ["someone@localhost"]}
-    out = {r.doc_id: r for r in rows.values()}
-    assert not any(x.s < y.e and y.s < x.e for r in out.values() for x in r.extra for k in pii.KINDS for y in r[k])
+    assert extras(texts, rows) == {(16, "+1/555/010/7777", "context"), (17, "someone@localhost", "context")}
+    assert not any(x.s < y.e and y.s < x.e for r in rows.values() for x in r.extra for k in pii.KINDS for y in r[k])
+
+
+def test_keyed_secrets_teach_their_contexts(spark):
+    rng = random.Random(3)
+    value = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 3)) + "a1b"[:3]
+    long = [value(40) for _ in range(8)]
+    texts = [f'set token = "{v}" here' for v in long] + [f"the session: {v} is open" for v in long]  # seeds show what "session:" is
+    texts += ["the session: 77ab19cd0e is open", "token=9f8e7d6c5b done", 'x TOKEN = "' + long[0].upper() + '"!! y', f"alone {long[1]} again", "version: 4.0 and session 12", "page: 12345678 of them"]
+    rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    secrets = {(k, v, "secret") for k, v in enumerate(long)} | {(18, long[0].upper(), "secret")}
+    known = {(8 + k, v, "context") for k, v in enumerate(long)} | {(19, long[1], "context")}
+    assert extras(texts, rows) == secrets | known | {(16, "77ab19cd0e", "context"), (17, "9f8e7d6c5b", "context")}
+
+
+def plain_scores(edges):
+    """(pattern, instance) to seed, by loops: trusted patterns and instances with their scores."""
+    seeds = {i for (_, i), s in edges.items() if s}
+    score = {i: float(i in seeds) for _, i in edges}
+    while True:
+        trust = {}
+        for p in {p for p, _ in edges}:
+            own = [i for q, i in edges if q == p]
+            t = sum(score[i] for i in own) / (len(own) + pii.DOUBT)
+            if len(seeds.intersection(own)) >= pii.LEAST_SEEDS and t >= pii.TRUST:
+                trust[p] = t
+        new = {}
+        for i in score:
+            doubt = 1.0
+            for p, j in edges:
+                if j == i and p in trust:
+                    doubt *= 1 - trust[p]
+            new[i] = 1.0 if i in seeds else 1 - doubt
+        rise = max(new[i] - score[i] for i in score)
+        score = new
+        if rise <= pii.SETTLED:
+            return trust, score
+
+
+def test_scores_against_loops(spark):
+    rng = random.Random(8)
+    edges = {}
+    for i in range(150):
+        for p in rng.sample(range(30), rng.randrange(1, 4)):
+            edges[(f"p{p}", f"i{i}")] = rng.random() < (0.9 if p < 12 else 0.3)
+    df = spark.createDataFrame([(p, i, s) for (p, i), s in edges.items()], "pattern string, instance string, seed boolean")
+    trusted, scores = pii.scored(df, pii.Scratch(spark, "t"))
+    trust, score = plain_scores(edges)
+    assert 0 < len(trust) < 30
+    assert {r.pattern: round(r.trust, 6) for r in trusted.collect()} == {p: round(t, 6) for p, t in trust.items()}
+    assert {r.instance: round(r.score, 6) for r in scores.collect()} == {i: round(t, 6) for i, t in score.items()}
+
+
+def plain_instances(text):
+    """By loops over all base spans: the values of a text's instances and whether they are seeds."""
+    base, out = sorted((a, b) for _, a, b in plain(text)), []
+    for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text):
+        a, b = m.span()
+        if any(x < a < y for x, y in base):
+            continue
+        own = [x for x in base if a <= x[0] < b]
+        out.append((*own[0], True) if own else (a, b, False))
+    return sorted(out)
+
+
+@given(st.lists(st.text(st.sampled_from("a1@.-+ (4"), max_size=50), min_size=10, max_size=40))
+@settings(max_examples=4, deadline=None)
+def test_instances_against_loops(spark, texts):
+    df = docs(spark, [*texts, "1.2.3.4,u@a.bc u@a.bc;1.2.3.4 +1 23 456 7890 5"])
+    keys = {r["__key"]: r.doc_id for r in pii.base_spans(df).collect()}
+    got = {}
+    for r in pii.instances(pii.base_spans(df)).collect():
+        got.setdefault(keys[r["__key"]], []).append((r.s, r.e, r.seed))
+    for k, t in enumerate(texts):
+        assert [x[:1] + x[2:] for x in sorted(got.get(k, []))] == [x[:1] + x[2:] for x in plain_instances(t)], t
+
+
+def test_planted_secrets(spark):
+    d = "/root/testdata/sf0.1"
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    planted = {(k, *m.span(1)) for k, t in texts.items() for m in re.finditer(r'(?i)token = "([0-9a-f]+)"', t)}
+    found = {(r.doc_id, x.s, x.e) for r in pii.find(df).collect() for x in r.extra}
+    assert len(planted) > 100 and len(found & planted) >= 0.9 * len(planted)
+    assert len(found - planted) <= 0.05 * len(planted)
 
 
 def test_table(spark):

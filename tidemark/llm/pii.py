@@ -5,14 +5,22 @@ and of the matches add up to them. The patterns are written so that Java's match
 over within a run of characters (possessive repeats, starts only where a run starts or where the last match ended);
 they match what the plain ones match.
 
-Bootstrapping: every base span, and every other token with a digit or an at sign, is an instance; the two words
-before it, and whether it has an at sign, are the pattern it stands in. Base spans are the seeds. In each round a pattern's confidence
-is its instances' summed confidence over their number plus ``DOUBT``, if it stands before ``LEAST_SEEDS`` different
-seeds at least, and an instance's is one less the product of its trusted patterns' doubts; seeds stay at one. After
-the rounds, instances that reach ``SURE`` and have ``LEAST_DIGITS`` digits or join two words by an at sign are spans
-of kind ``context`` wherever they stand in a trusted pattern outside a base span.
-
-The graph holds each pair of pattern and instance once, so a word before many copies of a number counts once.
+Bootstrapping: every base span, and every other token with a digit or an at sign, is an instance. Seeds are the base
+spans and, of kind ``secret``, tokens of ``LEAST_SECRET`` characters or more, letters and digits, that a word of
+``SECRET_KEYS`` and an equals sign or colon stand before. A place of an instance induces up to four lexical patterns: the
+two words before it, the words before and after it, the word before it with the token's shape, and the key before an
+equals sign or colon. Each also says whether the token has an at sign, is a number or mixes letters and digits.
+
+Pairs of pattern and instance make a bipartite graph, which holds each pair once, so a word before many copies of a
+number counts once. In each round a pattern's confidence is its instances' summed confidence over their number plus
+``DOUBT``; it is trusted from ``TRUST`` if it stands before ``LEAST_SEEDS`` different seeds at least. An instance's
+confidence is one less the product of its trusted patterns' doubts; seeds stay at one. Confidences only rise, and the
+rounds end when none rises by more than ``SETTLED``. Then instances that reach ``SURE`` and have ``LEAST_DIGITS`` digits,
+or mix letters with two digits in ``LEAST_MIXED`` characters, or join two words by an at sign are spans of kind
+``context`` where a trusted pattern holds, or anywhere if they are seeds elsewhere, and no base span is. Spans of kind ``secret`` stand before them.
+
+Base spans and tokens of a text are laid out in one order of place by a window over the text, after its repeated rows
+are made one, so a long text costs little more than its length.
 
 Defined cases: a null text is an empty one; rows equal in doc_id and text have equal spans; a null doc_id is a row
 like others; an empty table gives no rows; other columns of the input are ignored.
@@ -22,6 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, table
 
@@ -35,7 +44,11 @@ PATTERNS = {
 }
 BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
-ROUNDS, LEAST_SEEDS, DOUBT, SURE, LEAST_DIGITS = 3, 3, 0.5, 0.75, 6
+#: The words that make what an equals sign or colon parts from them a secret.
+SECRET_KEYS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "auth", "bearer", "credential")
+LEAST_SEEDS, DOUBT, TRUST, SURE, SETTLED = 3, 0.5, 0.7, 0.75, 1e-3
+LEAST_DIGITS, LEAST_MIXED, LEAST_SECRET = 6, 8, 16
+KEYED = r"^[^A-Za-z0-9]*[A-Za-z][A-Za-z0-9_.-]*[\"']?[:=]+[\"']?(?=[A-Za-z0-9+])"
 BLOCK = 200
 SPAN = "array<struct<s:int,e:int,v:string>>"
 
@@ -110,7 +123,9 @@ def base_spans(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", *[found(k, PATTERNS[k]) for k in KINDS], found("token", TOKEN))
     spans = [valid_spans(k).alias(k) for k in KINDS]
     left = F.transform("p_token", lambda p: F.lower(F.regexp_extract(p, r"([^\x20\x09-\x0D]*[\x20\x09-\x0D]*[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$", 1)))
-    tokens = F.zip_with(placed(F.col("p_token"), F.col("m_token")), F.slice(left, 1, F.size("m_token")), lambda x, c: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), c.alias("left")))
+    right = F.transform("p_token", lambda p: F.lower(F.regexp_extract(p, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1)))
+    about = F.zip_with(F.slice(left, 1, F.size("m_token")), F.slice(right, 2, F.size("m_token")), lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    tokens = F.zip_with(placed(F.col("p_token"), F.col("m_token")), about, lambda x, c: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), c["left"].alias("left"), c["right"].alias("right")))
     return rows.select("doc_id", "__key", *spans, tokens.alias("tokens"))
 
 
@@ -118,52 +133,111 @@ def core(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(v, r"^[^A-Za-z0-9+@]+", ""), r"[^A-Za-z0-9]+$", "")
 
 
-def discover(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """From base spans and tokens, (__key, extra): the spans that only their contexts tell."""
-    every = F.concat(*KINDS)
-    rows = found.select("__key", every.alias("base"), F.explode("tokens").alias("t")).select("__key", "t.*", "base")
-    # a base span stands for the token that it starts in; tokens that it goes on in are no instances
-    starts = F.get(F.filter("base", lambda x: (x["s"] >= F.col("s")) & (x["s"] < F.col("e"))), 0)
-    goes_on = F.exists("base", lambda x: (x["s"] < F.col("s")) & (x["e"] > F.col("s")))
-    rows = rows.where(~goes_on).withColumn("span", starts)
-    seed = F.col("span").isNotNull()
-    rows = rows.select("__key", "s", "e", "v", F.when(seed, F.col("span.v")).otherwise(core(F.col("v"))).alias("instance"), F.regexp_replace("left", r"[\x20\x09-\x0D]+", " ").alias("left"), seed.alias("seed"))
-    sort = F.when(F.contains("instance", F.lit("@")), " @").otherwise(" 0")
-    rows = rows.where("left <> '' and instance <> ''").withColumn("pattern", F.concat("left", sort))
-    rows = scratch.save(rows)
-    edges = rows.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    edges = scratch.save(edges)
-    # a value that is a seed anywhere is one everywhere
-    sure = edges.groupBy("instance").agg(F.max("seed").cast("double").alias("score"))
-    sure = scratch.save(sure)
-    for _ in range(ROUNDS):
-        scored = edges.join(sure, "instance")
-        patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("trust"), F.sum((F.col("score") >= 1).cast("int")).alias("seeds"))
-        patterns = scratch.save(patterns.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("trust") >= 0.5)).select("pattern", "trust"))
-        again = edges.join(patterns, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), F.product(1 - F.coalesce("trust", F.lit(0.0))).alias("doubt"))
-        new = scratch.save(again.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.col("doubt")).alias("score")))
-        scratch.drop(sure)
-        sure = new
+def instances(found: DataFrame) -> DataFrame:
+    """From base spans and tokens, (__key, s, e, v, left, right, seed): base spans that start a token as seeds, and
+    the tokens that no base span starts or goes on in."""
+    token = "struct<s:int,e:int,v:string,left:string,right:string,base:boolean>"
+    every = F.transform(F.concat(*KINDS), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), F.lit("").alias("left"), F.lit("").alias("right"), F.lit(True).alias("base")))
+    words = F.transform("tokens", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v"), t["left"].alias("left"), t["right"].alias("right"), F.lit(False).alias("base")))
+    laid = F.concat(words.cast(f"array<{token}>"), every.cast(f"array<{token}>"))
+    once = found.where(F.size("tokens") > 0).select("__key", laid.alias("all")).groupBy("__key").agg(F.first("all").alias("all"))
+    rows = once.select("__key", F.inline("all"))
+    order = Window.partitionBy("__key").orderBy("s", "base", "e")
+    reach = F.max(F.when(F.col("base"), F.col("e")))
+    rows = rows.select(
+        "*",
+        F.coalesce(reach.over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("reach"),
+        F.coalesce(reach.over(order.rowsBetween(Window.unboundedPreceding, -2)), F.lit(-1)).alias("reach_before"),
+        F.lag(F.struct("s", "e", "left", "right", "base")).over(order).alias("before"),
+        F.lead(F.struct("s", "base")).over(order).alias("after"),
+    )
+    # a base span stands for the token that it starts in; tokens that one goes on in are no instances
+    starts = F.col("base") & ~F.col("before.base") & (F.col("s") < F.col("before.e")) & (F.col("reach_before") <= F.col("before.s"))
+    own = ~F.col("base") & (F.col("reach") <= F.col("s")) & ~F.coalesce(F.col("after.base") & (F.col("after.s") < F.col("e")), F.lit(False))
+    side = lambda c: F.when(F.col("base"), F.col(f"before.{c}")).otherwise(F.col(c)).alias(c)
+    return rows.where(F.coalesce(starts, F.lit(False)) | own).select("__key", "s", "e", "v", side("left"), side("right"), F.col("base").alias("seed"))
+
+
+def described(rows: DataFrame) -> DataFrame:
+    """Adds to instances the value without marks at its ends, its place, its patterns and whether it is a secret."""
+    # key=value in one token: the key belongs to the words before it
+    inside = F.when(F.col("seed"), F.lit("")).otherwise(F.regexp_extract("v", KEYED, 0))
+    rows = rows.withColumn("inside", inside)
+    rows = rows.withColumn("left", F.when(F.col("inside") != "", F.lower("inside")).otherwise(F.regexp_replace("left", r"[\x20\x09-\x0D]+", " ")))
+    rest = F.substr("v", F.length("inside") + 1)
+    lead = F.length(rest) - F.length(F.regexp_replace(rest, r"^[^A-Za-z0-9+@]+", ""))
+    rows = rows.withColumn("instance", F.when(F.col("seed"), F.col("v")).otherwise(core(rest)))
+    rows = rows.withColumn("s", F.when(F.col("seed"), F.col("s")).otherwise(F.col("s") + F.length("inside") + lead))
+    rows = rows.where("instance <> ''").withColumn("e", F.when(F.col("seed"), F.col("e")).otherwise(F.col("s") + F.length("instance")))
+    value = F.lower("instance")  # copies in capitals are one instance
+    key = F.regexp_extract("left", r"([a-z0-9_.-]+)[\"']?\s?[:=]+[\"']?$", 1)
     digits = F.length(F.regexp_replace("instance", "[^0-9]", ""))
-    told = (digits >= LEAST_DIGITS) | F.col("instance").rlike("[A-Za-z0-9]@[A-Za-z0-9]")
-    chosen = sure.where((F.col("score") >= SURE) & told).select("instance")
-    hits = rows.where("not seed").join(patterns.select("pattern"), "pattern", "left_semi").join(chosen, "instance", "left_semi")
-    lead = F.length("v") - F.length(F.regexp_replace("v", r"^[^A-Za-z0-9+@]+", ""))
-    span = F.struct((F.col("s") + lead).alias("s"), (F.col("s") + lead + F.length("instance")).alias("e"))
-    return hits.groupBy("__key").agg(F.array_sort(F.collect_set(span)).alias("extra"))
+    sort = F.when(F.contains("instance", F.lit("@")), "@").when(F.col("instance").rlike("[A-Za-z]"), "a").otherwise("0")
+    long = F.col("instance").rlike(rf"^[A-Za-z0-9+/_=.-]{{{LEAST_SECRET},}}$") & F.col("instance").rlike("[A-Za-z]") & (digits >= 2)
+    word = F.regexp_extract("left", r"([^ ]+)$", 1)
+    shape = F.when(sort == "0", F.regexp_replace(value, "[0-9]", "9")).otherwise(F.concat(sort, F.length("instance").cast("string")))
+    patterns = F.array(
+        F.when(F.contains("left", F.lit(" ")) | (F.col("inside") != ""), F.concat(F.lit("2 "), "left", F.lit(" "), sort)),
+        F.when((word != "") & (F.col("right") != ""), F.concat(F.lit("m "), word, F.lit(" _ "), "right", F.lit(" "), sort)),
+        F.when(word != "", F.concat(F.lit("s "), word, F.lit(" "), shape)),
+        F.when(key != "", F.concat(F.lit("k "), key, F.lit(" "), sort)),
+    )
+    secret = ~F.col("seed") & key.isin(*SECRET_KEYS) & long
+    told = (digits >= LEAST_DIGITS) | F.col("instance").rlike("[A-Za-z0-9]@[A-Za-z0-9]") | ((F.length("instance") >= LEAST_MIXED) & F.col("instance").rlike("[A-Za-z]") & (digits >= 2))
+    return rows.select("__key", "s", "e", value.alias("instance"), F.array_compact(patterns).alias("patterns"), F.col("seed").alias("base"), secret.alias("secret"), told.alias("told"))
+
+
+def scored(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of edges (pattern, instance, seed): trusted patterns (pattern, trust) and instances (instance, score)."""
+    # a value that is a seed anywhere is one everywhere
+    scores = scratch.save(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("seed").cast("double").alias("score")))
+    trusted = None
+    while True:
+        known = edges.select("pattern", "instance").join(scores, "instance")
+        seeds = F.sum(F.col("seed").cast("int"))
+        new = known.groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + DOUBT), 9).alias("trust"), seeds.alias("seeds"))
+        new = scratch.save(new.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("trust") >= TRUST)).select("pattern", "trust"))
+        doubts = edges.join(new, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.least("trust", F.lit(1 - 1e-9)))).alias("doubt"))
+        told = F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.exp(F.coalesce("doubt", F.lit(0.0))), 9))
+        again = scratch.save(scores.join(doubts, "instance", "left").select("instance", "seed", told.alias("score"), (told - F.col("score")).alias("rise")))
+        rise = again.agg(F.max("rise").alias("x")).first().x
+        for old in (trusted, scores):
+            if old is not None:
+                scratch.drop(old)
+        trusted, scores = new, again.drop("rise")
+        scores._scratch_path = again._scratch_path
+        if not rise or rise <= SETTLED:
+            return trusted, scores
+
+
+def discover(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """From base spans and tokens, (__key, extra): secrets and what contexts tell, as (kind, s, e)."""
+    rows = scratch.save(described(instances(found)))
+    seed = F.col("base") | F.col("secret")
+    edges = scratch.save(rows.select("instance", F.explode("patterns").alias("pattern"), seed.alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    trusted, scores = scored(edges, scratch)
+    chosen = scores.where(F.col("score") >= SURE).select("instance", F.col("seed").alias("known"))
+    open_ = scratch.save(rows.where(~seed & F.col("told")).join(chosen, "instance"))
+    hits = open_.select("__key", "s", "e", F.explode("patterns").alias("pattern")).join(trusted.select("pattern"), "pattern", "left_semi")
+    hits = hits.select("__key", "s", "e").unionByName(open_.where("known").select("__key", "s", "e"))
+    spans = rows.where("secret").select("__key", F.lit("secret").alias("kind"), "s", "e").unionByName(hits.select("__key", F.lit("context").alias("kind"), "s", "e"))
+    # secrets stand before what contexts tell
+    span = F.struct((F.col("kind") == "context").alias("later"), "s", "e", "kind")
+    extra = F.transform(F.array_sort(F.collect_set(span)), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    return spans.groupBy("__key").agg(extra.alias("extra"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to doc_id, the spans of each kind, and ``extra``, the discovered ones (start, end)."""
+    """(doc_id, text) to doc_id, the spans of each kind, and ``extra``, the discovered ones (kind, start, end)."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = scratch.save(base_spans(docs))
     extra = scratch.save(discover(found, scratch))
-    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    none = F.expr("cast(array() as array<struct<kind:string,s:int,e:int>>)")
     return found.join(extra, "__key", "left").select("doc_id", *KINDS, F.coalesce("extra", none).alias("extra"))
 
 
-def written(kind: str, spans: str) -> Column:
-    return F.transform(spans, lambda x: F.concat(F.lit(f"{kind}:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
+def written(spans: str, kind: str | None = None) -> Column:
+    return F.transform(spans, lambda x: F.concat(F.lit(kind) if kind else x["kind"], F.lit(":"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string")))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,5 +247,5 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, written("context", "extra")), ",").alias("spans"),
+        F.array_join(F.concat(base, written("extra")), ",").alias("spans"),
     )
