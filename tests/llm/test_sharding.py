@@ -1,6 +1,7 @@
 import zlib
 
 from helpers import docs, odd_texts
+from pyspark.sql import functions as F
 
 from tidemark.llm import sharding
 
@@ -44,6 +45,62 @@ def test_nulls_in_metadata_and_target(spark):
     assert max(by.values()) < 1.25 * total / len(by)
 
 
+def test_repeated_rows_and_null_ids_are_split(spark):
+    df = docs(spark, [(7, "one text")] * 400 + [(None, "none")] * 400)
+    rows = sharding.shard(df, 8).collect()
+    by = [sum(r.size for r in rows if r.shard == k) for k in range(8)]
+    assert len(rows) == 800 and max(by) - min(by) <= 0.05 * sum(by) / 8, by
+    for k in range(8):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+
+
+def plain_tree(rows, shards, first, spread, out):
+    """Splits sorted lists: rows (dims, tie, size, index) to the shard of each index."""
+    if shards == 1 or not rows:
+        out.update({r[3]: first for r in rows})
+        return
+    reach = [max(r[0][d] for r in rows) - min(r[0][d] for r in rows) for d in range(4)]
+    dim = max(range(4), key=lambda d: (reach[d] / spread[d], -d))
+    rows = sorted(rows, key=lambda r: (r[0][dim], r[1]))
+    half = shards // 2
+    goal = sum(r[2] for r in rows) * half / shards
+    total = cut = 0
+    for k, r in enumerate(rows):
+        if total + r[2] >= goal:
+            cut = k + 1 if abs(total + r[2] - goal) < abs(total - goal) else k
+            break
+        total += r[2]
+    plain_tree(rows[:cut], half, first, spread, out)
+    plain_tree(rows[cut:], shards - half, first + half, spread, out)
+
+
+def test_tree_against_sorted_lists(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for shards in (7, 16):
+        scratch = sharding.Scratch(spark, "t")
+        made = scratch.save(sharding.prepare(df))
+        rows = made.collect()
+        leaf, level, n = sharding.grow(made, scratch, shards)
+        assert n == len(rows)
+        got = {r.row: level[r.node].first for r in leaf.collect()}
+        spread = [max(max(r[c] for r in rows) - min(r[c] for r in rows), 1e-300) for c in sharding.DIMS]
+        want = {}
+        plain_tree([([r[c] for c in sharding.DIMS], r.tie, r.size, r.row) for r in rows], shards, 0, spread, want)
+        assert got == want
+
+
+def test_expressions_stay_of_one_size(spark):
+    """Generated code must not grow with the nodes, or it falls back to interpretation."""
+    rows = spark.range(9).selectExpr("id AS doc_id", "'a' AS text", "'en' AS lang", "'s' AS source")
+    rows = sharding.prepare(rows).withColumn("node", F.lit(0))
+    debug = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$")
+    sizes = []
+    for n in (4, 400):
+        level = [sharding.Node(k, 2, cut=(0.5, 0.5)) for k in range(n)]
+        sizes.append(len(debug.codegenString(sharding.placed(rows, level)[0]._jdf.queryExecution().executedPlan())))
+    assert 1000 < sizes[1] < 1.2 * sizes[0]
+
+
 def test_table(spark):
     d = "/root/testdata/sf0.1"
     rows = sharding.op7_kd_shards(spark, d).collect()

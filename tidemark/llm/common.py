@@ -71,12 +71,13 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str, parts: int
     return rest.unionByName(left.join(F.broadcast(hot), key, how))
 
 
-def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], out: str, buckets: int = 256) -> DataFrame:
+def numbered(df: DataFrame, scratch: Scratch, keys: list[str], tie: list[str], out: str, buckets: int = 256, rows: int = 0) -> DataFrame:
     """Adds ``out``: a gapless number from 0 within ``keys``, in the order of a hash of ``tie`` and then ``tie``.
 
-    The rows of a key are dealt over ``buckets`` by that hash and counted there; sums of the counts before a
+    The rows of a key are dealt over ``buckets``, or as many as give a bucket 200,000 of ``rows``, by that hash and counted there; sums of the counts before a
     bucket shift the numbers within it. No task holds a whole key. ``df`` must give the same rows on each read.
     """
+    buckets = max(buckets, rows // 200_000)
     hashed = df.withColumn("__b", F.pmod(F.xxhash64(*tie), F.lit(buckets)).cast("int"))
     counts = hashed.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,16 +4,20 @@ A node of the tree that stands for several shards is split along the dimension i
 (as a share of the whole table's range), at the weighted quantile that gives each side its shards' part of the bytes:
 the weighted median where the number of shards is even. All nodes of a level are split together. The quantile is
 found by histograms over the cluster: the bin that holds it is divided again, and once it holds a single value its
-documents are ordered by a hash of doc_id, until a bin's bytes no longer matter. What comes to the driver is at most
-``BINS`` sums for each node of a level. The tree is then one expression over the metadata, and rows are numbered
-within shards without gathering a shard anywhere.
+documents are ordered by a hash, until a bin's bytes no longer matter. What comes to the driver is at most
+``BINS`` sums for each node of a level.
+
+Each row keeps the number of its node in a column, written anew for each level (80 bytes a row, without the text). What
+is known of a level's nodes is in arrays that the number indexes, so expressions stay of one size however many nodes
+there are. Rows are numbered within shards without gathering a shard anywhere.
 
 Dimensions: hashes of lang and source (equal values stay together as long as possible), the logarithm of the size,
 and doc_id.
 
-Defined cases: a null text has size 16 and the CRC of no bytes; nulls in metadata stand below all values; equal texts
-and equal metadata are told apart by the hash of doc_id, rows equal in doc_id too go to one shard; a table with fewer
-documents than shards leaves shards empty; an empty table gives no rows; other columns of the input are ignored.
+Defined cases: a null text has size 16 and the CRC of no bytes; nulls in metadata stand below all values; equal
+metadata is told apart by a hash of doc_id and the text's CRC, and rows equal in these too, repeated ones or such
+without a doc_id, by the order in which they were read, so they are split like others; a table with fewer documents
+than shards leaves shards empty; an empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -30,45 +34,23 @@ SHARDS, OVERHEAD, BINS, ROUNDS = 40, 16, 2048, 6
 DIMS = ("d0", "d1", "d2", "d3")
 
 
+KEPT = ("doc_id", "size", "text_crc32", *DIMS, "tie", "row")
+
+
 @dataclass
 class Node:
+    """One of a level's nodes: its shards, and while it is being split the place of its quantile, rows of value lo to
+    hi or of hash lo to hi among those of one value."""
+
     first: int
     shards: int
     dim: int = 0
-    cut: tuple[float, float] | None = None  # documents below (value, hash) go left
-    left: Node | None = None
-    right: Node | None = None
-
-    def expr(self, leaf) -> Column:
-        if self.cut is None:
-            return leaf(self)
-        d, (v, h) = F.col(DIMS[self.dim]), self.cut
-        below = (d < v) | ((d == v) & (F.col("tie") < h))
-        return F.when(below, self.left.expr(leaf)).otherwise(self.right.expr(leaf))
-
-    def leaves(self) -> list[Node]:
-        return [self] if self.cut is None else self.left.leaves() + self.right.leaves()
-
-
-@dataclass
-class Search:
-    """The place of a node's quantile: rows of value lo to hi, or of hash lo to hi among those of one value."""
-
-    node: Node
-    goal: float
-    lo: float
-    hi: float
+    goal: float = 0.0
+    lo: float = 0.0
+    hi: float = 0.0
     before: float = 0.0
     value: float | None = None
-    cut: tuple[float, float] | None = None
-
-    def key(self) -> Column:
-        return F.col(DIMS[self.node.dim]) if self.value is None else F.col("tie")
-
-    def inside(self) -> Column:
-        x = self.key()
-        range_ = (x >= self.lo) & (x <= self.hi)
-        return range_ if self.value is None else range_ & (F.col(DIMS[self.node.dim]) == self.value)
+    cut: tuple[float, float] | None = None  # documents below (value, hash) go left
 
     def narrow(self, bins: list[tuple[float, float, float]], enough: float) -> None:
         """bins: (least key, greatest key, bytes), rising."""
@@ -77,7 +59,7 @@ class Search:
             if total + w >= self.goal or (least, most, w) == bins[-1]:
                 break
             total += w
-        if w <= enough or (self.value is not None and least == most):
+        if (self.value is None and w <= enough) or (self.value is not None and (w <= enough or least == most)):
             end = abs(total + w - self.goal) < abs(total - self.goal)
             if self.value is None:
                 self.cut = (most, 2.0) if end else (least, -1.0)
@@ -88,14 +70,19 @@ class Search:
         else:
             self.lo, self.hi, self.before = least, most, total
 
+    def halves(self) -> list[Node]:
+        left = self.shards // 2
+        return [Node(self.first, left), Node(self.first + left, self.shards - left)]
+
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, the dimensions as doubles and the tie's hash in [0, 1)."""
+    """doc_id, size, text_crc32, the dimensions as doubles, the tie's hash in [0, 1) and a number for the row.
+
+    To be written before it is used: the number says in which order rows were read."""
     unit = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")).cast("double") / 2.0**32, F.lit(-1.0 / 2**20))
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + OVERHEAD).cast("long")
-    tie = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)).cast("double") / 2.0**52
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -103,63 +90,98 @@ def prepare(docs: DataFrame) -> DataFrame:
         unit(F.col("source")).alias("d1"),
         F.log2(size.cast("double")).alias("d2"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("d3"),
-        tie.alias("tie"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    # 36 bits of the document, then 16 of the row
+    tie = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 36)) * (1 << 16) + F.pmod(F.xxhash64("row"), F.lit(1 << 16))
+    return rows.withColumn("tie", tie.cast("double") / 2.0**52).select(*KEPT)
+
+
+def at(values: list, kind: str) -> Column:
+    """The value of a row's node."""
+    return F.get(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), F.col("node"))
 
 
-def grow(rows: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> Node:
-    """The tree over prepared rows, for a number of shards or as many as ``target_bytes`` asks for."""
+def split(rows: DataFrame, level: list[Node], enough: float, spread: list[float]) -> None:
+    """Finds the cuts of a level's nodes with several shards."""
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in DIMS for f in (F.min, F.max)]
-    whole = rows.agg(F.sum("size").alias("bytes"), *ends).first()
+    open_ = [x.shards > 1 for x in level]
+    rows = rows.where(at(open_, "boolean"))
+    found = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}
+    for k, x in enumerate(level):
+        r = found.get(k)
+        if not open_[k]:
+            continue
+        if r is None:  # no documents: either cut will do
+            x.cut = (0.0, 0.0)
+            continue
+        x.dim = max(range(len(DIMS)), key=lambda d: ((r[f"max_{DIMS[d]}"] - r[f"min_{DIMS[d]}"]) / spread[d], -d))
+        x.goal = r["bytes"] * (x.shards // 2) / x.shards
+        x.lo, x.hi = r[f"min_{DIMS[x.dim]}"], r[f"max_{DIMS[x.dim]}"]
+    value = F.get(F.array(*DIMS), at([x.dim for x in level], "int"))
+    for _ in range(ROUNDS * 2):
+        going = [o and x.cut is None for o, x in zip(open_, level, strict=True)]
+        if not any(going):
+            break
+        tied = [x.value is not None for x in level]
+        part = rows.where(at(going, "boolean")).select("node", "size", "tie", value.alias("value"))
+        part = part.where(~at(tied, "boolean") | (F.col("value") == at([x.value for x in level], "double")))
+        part = part.select("node", "size", F.when(at(tied, "boolean"), F.col("tie")).otherwise(F.col("value")).alias("key"))
+        part = part.where((F.col("key") >= at([x.lo for x in level], "double")) & (F.col("key") <= at([x.hi for x in level], "double")))
+        share = (F.col("key") - at([x.lo for x in level], "double")) / at([max(x.hi - x.lo, 1e-300) for x in level], "double")
+        bin_ = F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
+        sums = part.groupBy("node", bin_.alias("bin")).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.sum("size").alias("bytes")).collect()
+        bins: dict[int, list] = {}
+        for r in sorted(sums, key=lambda r: (r["node"], r["bin"])):
+            bins.setdefault(r["node"], []).append((r["least"], r["most"], float(r["bytes"])))
+        for k, own in bins.items():
+            level[k].narrow(own, enough)
+    for k, x in enumerate(level):
+        if open_[k] and x.cut is None:
+            x.cut = (x.lo, -1.0) if x.value is None else (x.value, x.lo)
+
+
+def placed(rows: DataFrame, level: list[Node]) -> tuple[DataFrame, list[Node]]:
+    """Rows with the numbers of their nodes in the next level, and that level."""
+    below: list[Node] = []
+    start = []
+    for x in level:
+        start.append(len(below))
+        below += [x] if x.cut is None else x.halves()
+    cut = [x.cut or (0.0, 0.0) for x in level]
+    value = F.get(F.array(*DIMS), at([x.dim for x in level], "int"))
+    rows = rows.withColumn("value", value).withColumn("edge", at([v for v, _ in cut], "double"))
+    right = (F.col("value") > F.col("edge")) | ((F.col("value") == F.col("edge")) & (F.col("tie") >= at([h for _, h in cut], "double")))
+    node = at(start, "int") + F.when(at([x.cut is not None for x in level], "boolean") & right, 1).otherwise(0)
+    return rows.select(*KEPT, node.cast("int").alias("node")), below
+
+
+def grow(rows: DataFrame, scratch: Scratch, shards: int | None = None, target_bytes: int | None = None) -> tuple[DataFrame, list[Node], int]:
+    """Prepared rows with the numbers of their leaves, the leaves, for a number of shards or as many as
+    ``target_bytes`` asks for, and the number of rows."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in DIMS for f in (F.min, F.max)]
+    whole = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), *ends).first()
+    rows = rows.withColumn("node", F.lit(0))
     if whole["bytes"] is None:
-        return Node(0, 1)
+        return rows, [Node(0, 1)], 0
     shards = shards or max(1, math.ceil(whole["bytes"] / target_bytes))
-    enough = whole["bytes"] / shards * 1e-4
     spread = [max(whole[f"max_{c}"] - whole[f"min_{c}"], 1e-300) for c in DIMS]
-    root = Node(0, shards)
-    while any(x.shards > 1 for x in root.leaves()):
-        open_ = [x for x in root.leaves() if x.shards > 1]
-        number = {id(x): k for k, x in enumerate(open_)}
-        at = rows.withColumn("node", root.expr(lambda x, n=number: F.lit(n.get(id(x), -1)))).where("node >= 0")
-        found = {r["node"]: r for r in at.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}
-        searches = []
-        for k, x in enumerate(open_):
-            r = found.get(k)
-            if r is None:  # no documents: either cut will do
-                searches.append(Search(x, 0.0, 0.0, 0.0, cut=(0.0, 0.0)))
-                continue
-            x.dim = max(range(len(DIMS)), key=lambda d: ((r[f"max_{DIMS[d]}"] - r[f"min_{DIMS[d]}"]) / spread[d], -d))
-            goal = r["bytes"] * (x.shards // 2) / x.shards
-            searches.append(Search(x, goal, r[f"min_{DIMS[x.dim]}"], r[f"max_{DIMS[x.dim]}"]))
-        for _ in range(ROUNDS * 2):
-            going = [k for k, s in enumerate(searches) if s.cut is None]
-            if not going:
-                break
-            live = [(k, searches[k]) for k in going]
-            picked = lambda f: F.coalesce(*[F.when(F.col("node") == k, f(s)) for k, s in live])
-            width = lambda s: max(s.hi - s.lo, 1e-300)
-            part = at.where(picked(lambda s: s.inside())).withColumn("key", picked(lambda s: s.key()))
-            bin_ = picked(lambda s: F.least(F.floor((F.col("key") - s.lo) / width(s) * BINS), F.lit(BINS - 1)))
-            sums = part.groupBy("node", bin_.cast("int").alias("bin")).agg(F.min("key").alias("least"), F.max("key").alias("most"), F.sum("size").alias("bytes")).collect()
-            bins: dict[int, list] = {}
-            for r in sorted(sums, key=lambda r: (r["node"], r["bin"])):
-                bins.setdefault(r["node"], []).append((r["least"], r["most"], float(r["bytes"])))
-            for k in going:
-                searches[k].narrow(bins[k], enough)
-        for s in searches:
-            x = s.node
-            x.cut = s.cut or ((s.lo, -1.0) if s.value is None else (s.value, s.lo))
-            x.left, x.right = Node(x.first, x.shards // 2), Node(x.first + x.shards // 2, x.shards - x.shards // 2)
-    return root
+    level = [Node(0, shards)]
+    while any(x.shards > 1 for x in level):
+        split(rows, level, whole["bytes"] / shards * 1e-4, spread)
+        new, level = placed(rows, level)
+        new = scratch.save(new)
+        scratch.drop(rows)
+        rows = new
+    return rows, level, whole["n"]
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """(doc_id, text, lang, source) to doc_id, size, text_crc32, shard and slot."""
     scratch = Scratch(docs.sparkSession, "sharding")
-    rows = scratch.save(prepare(docs))
-    root = grow(rows, shards, target_bytes)
-    placed = rows.select("doc_id", "size", "text_crc32", root.expr(lambda x: F.lit(x.first)).cast("int").alias("shard"))
-    return numbered(placed, scratch, ["shard"], ["doc_id", "size", "text_crc32"], "slot")
+    rows, level, n = grow(scratch.save(prepare(docs)), scratch, shards, target_bytes)
+    own = rows.select("doc_id", "size", "text_crc32", "row", at([x.first for x in level], "int").alias("shard"))
+    return numbered(own, scratch, ["shard"], ["doc_id", "size", "text_crc32", "row"], "slot", rows=n).drop("row")
 
 
 def op7_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
