@@ -88,6 +88,36 @@ def test_odd_texts_and_clashing_names(spark):
     assert not out[len(texts) - 1].accepted
 
 
+def test_a_language_left_out_is_rejected_and_mixed_texts_stay(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null and length(text) > 300")
+    own = {lang: [r.text for r in df.where(f"lang = '{lang}'").limit(40).collect()] for lang in ("de", "en", "es", "fr")}
+    for lang in own:
+        model = language.learned_from(df.where(f"lang <> '{lang}'"), per_language=200)
+        out = language.identify(docs(spark, own[lang]), model).collect()
+        assert sum(not r.accepted for r in out) >= 0.9 * len(out), lang
+    model = language.learned_from(df, per_language=200)
+    mixed = [a[:300] + " " + b[:300] for a, b in zip(own["en"], own["es"])]
+    assert all(r.accepted for r in language.identify(docs(spark, mixed), model).collect())
+    short = ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" From reha reenti oution', "a1b2c3"]
+    assert all(r.lang_pred in model.languages for r in language.identify(docs(spark, short), model).collect())
+
+
+def test_columns_so_named_and_repeated_rows(spark):
+    model = language.learned_from(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    df = docs(spark, [(1, "the and that"), (1, "the and that"), (None, "the"), (2, None)]).selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS symbols", "4 AS accepted", "5 AS excess", "6 AS cross_entropy", "7 AS __0")
+    rows = language.identify(df, model).collect()
+    assert len(rows) == 4 and all(isinstance(r.lang_pred, str) and r["__0"] == 7 for r in rows)
+    kept = language.known(df, model)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    assert sorted((r.doc_id or 0, r.score, r.accepted) for r in kept.collect()) == [(0, 1, 4), (1, 1, 4), (1, 1, 4)]
+
+
+def test_ties_go_to_the_first_name():
+    m = language.fit({"b": Counter({"aa": 2}), "a": Counter({"aa": 2})}, 4)
+    ll, _, n = language.Scorer(m)([b"aa"])
+    assert m.languages == ["a", "b"] and n[0] == 3 and ll[0].argmax() == 0 and ll[0, 0] == ll[0, 1]
+
+
 def test_nothing_to_learn(spark):
     model = language.learned_from(docs(spark, []))
     assert [r.lang_pred for r in language.identify(docs(spark, ["a b"]), model).collect()] == ["und"]

@@ -1,20 +1,23 @@
 """Operator 4: language identification by interpolated Kneser-Ney character models.
 
-Words are lower-cased runs of letters, read as characters between two marks; n-grams never leave a word, so a word's
-cross-entropy under each language depends on the word alone and is kept in a bounded table of words seen. All
-languages share one sorted array of 64-bit n-gram hashes for each order, with a column of discounted probabilities
-for each language, and another such array of contexts with back-off weights. A document's language is the one with
-the lowest cross-entropy per character over its whole text.
+Words are lower-cased runs of letters that touch no digit (all runs of letters in a text without such), read as
+characters between two marks; n-grams never leave a word, so a word's cross-entropy under each language depends on the
+word alone and is kept in a bounded table of words seen. All languages share one sorted array of 64-bit n-gram hashes
+for each order, with a column of discounted probabilities for each language, and another such array of contexts with
+back-off weights. A document's language is the one with the lowest cross-entropy per character over its whole text; of
+equal ones the first by name.
 
 The models are fitted on a sample of at most ``per_language`` labelled documents for each language (those with the
-smallest hashes of doc_id), which bounds their size whatever the corpus. A fifth of the sample is kept from the
-counts; it gives the usual cross-entropy of each language and its spread. A document is rejected if it lies ``z``
-spreads above that, allowing for its length, and ``apart`` nats a character too: texts that mix two known languages,
-or have a few odd tokens, lie one nat above or less.
+smallest hashes of doc_id), which bounds their size whatever the corpus. A fifth of the sample is kept from the counts.
+It gives the usual cross-entropy of each language. A word's excess is how far it lies above the usual under the language
+that suits it best, and a text's excess is its words' mean by character, so that a text in two known languages has none.
+The same fifth says how far texts lie if their own language is left out of the models. A document is rejected if its
+excess is more than ``MARGIN`` of the least such distance, and ``z`` spreads of known texts too, allowing for its length.
 
 Defined cases: a null text, or one without letters, has language ``und``, score 0 and is rejected; without any
 labelled document every row is so; rows with a null language are never learned from; an empty table gives no rows;
-repeated rows are predicted alike; other columns of the input are ignored or, in ``identify``, kept.
+repeated rows are predicted alike; other columns of the input are ignored or, in ``identify``, kept, where lang_pred,
+score, cross_entropy, excess, symbols and accepted replace columns so named; ``known`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from pyspark.sql.window import Window
 
 from .common import map_texts, resident, table
 
-ORDER, PER_LANGUAGE, KEPT_WORDS, TEMPERATURE, Z, APART = 4, 500, 300_000, 4.0, 8.0, 1.75
-WORD = re.compile(r"[^\W\d_]+")
+ORDER, PER_LANGUAGE, KEPT_WORDS, TEMPERATURE, Z, MARGIN = 4, 500, 300_000, 4.0, 8.0, 0.45
+ALONE = 1.0  # the distance where there is one language only
+WORD, ANY = re.compile(r"(?<![^\W_])[^\W\d_]++(?!\d)"), re.compile(r"[^\W\d_]+")
 BOS, EOS, CHARACTERS, CAP = 2, 3, 2000, 400
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -69,7 +73,9 @@ class Model:
     shares: list[np.ndarray] = field(default_factory=list)
     contexts: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
-    usual: dict[str, tuple[float, float]] = field(default_factory=dict)  # by language: cross-entropy, spread
+    usual: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by language: cross-entropy
+    margin: float = ALONE
+    spread: float = 0.5
 
     @staticmethod
     def find(sorted_hashes: np.ndarray, values: np.ndarray, asked: np.ndarray, default: float) -> np.ndarray:
@@ -154,18 +160,27 @@ def fit(samples: dict[str, Counter], order: int = ORDER) -> Model:
     return m
 
 
+def words_of(text: bytes | None) -> list[str]:
+    if not text:
+        return []
+    lower = text.decode("utf-8", "replace").lower()
+    return WORD.findall(lower) or ANY.findall(lower)
+
+
 class Scorer:
+    """Sums over a text's words: log-likelihood by language, excess and symbols."""
+
     def __init__(self, model: Model, kept: int = KEPT_WORDS):
         self.m, self.kept = model, kept
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((1 << 14, len(self.m.languages) + 1))
+        self.rows = np.zeros((1 << 14, len(self.m.languages) + 2))
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's log-likelihood by language and its number of symbols; 0 symbols without letters."""
-        words = [WORD.findall(t.decode("utf-8", "replace").lower()) if t else [] for t in texts]
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's log-likelihood by language, its excess and its number of symbols; 0 symbols without letters."""
+        words = [words_of(t) for t in texts]
         flat = [w for ws in words for w in ws]
         new = set(flat).difference(self.at)
         if self.at and len(self.at) + len(new) > self.kept:
@@ -179,24 +194,28 @@ class Scorer:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             ll, size = self.m.score(own)
             letters = np.fromiter((any(map(str.isalpha, w)) for w in own), bool, n)
-            self.rows[base : base + n, :-1] = ll * letters[:, None]
+            over = np.zeros(n) if not len(self.m.usual) else (-ll - self.m.usual * size[:, None]).min(axis=1)
+            self.rows[base : base + n, :-2] = ll * letters[:, None]
+            self.rows[base : base + n, -2] = over * letters
             self.rows[base : base + n, -1] = size * letters
             self.at.update(zip(own, range(base, base + n), strict=True))
         idx = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
-        out = np.zeros((len(texts), len(self.m.languages) + 1))
+        out = np.zeros((len(texts), len(self.m.languages) + 2))
         lens = np.fromiter(map(len, words), np.int64, len(words))
         some = np.flatnonzero(lens)
         if len(some):
             starts = (np.cumsum(lens) - lens)[some]
             out[some] = np.add.reduceat(self.rows[idx], starts, axis=0)
-        return out[:, :-1], out[:, -1]
+        return out[:, :-2], out[:, -2], out[:, -1]
 
 
-PREDICTED = "lang_pred string, score double, cross_entropy double, symbols long"
+PREDICTED = "lang_pred string, score double, cross_entropy double, excess double, symbols long"
+ADDED = [c.split()[0] for c in PREDICTED.split(", ")]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds to (doc_id, text and others) the language, its share among the languages and the cross-entropy."""
+    """Adds to (text and others, none named as these) the language, its share among the languages, its cross-entropy
+    and the excess over all."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample that it was fitted on
     names, own = docs.columns, uuid.uuid4().hex
 
@@ -204,22 +223,71 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = resident(f"scorer {own}", lambda: Scorer(shared.value))
         m = scorer.m
         if m.languages:
-            ll, n = scorer(texts)
+            ll, over, n = scorer(texts)
         else:
-            ll, n = np.zeros((len(texts), 1)), np.zeros(len(texts))
+            ll, over, n = np.zeros((len(texts), 1)), np.zeros(len(texts)), np.zeros(len(texts))
         best = ll.argmax(axis=1)
         top = ll[np.arange(len(ll)), best]
         share = 1 / np.exp(np.maximum((ll - top[:, None]) / TEMPERATURE, -700)).sum(axis=1)
         ok = n > 0
         lang = [m.languages[k] if o else "und" for k, o in zip(best, ok, strict=True)]
+        each = np.maximum(n, 1)
         cols = [batch.column(i) for i in range(batch.num_columns)]
-        cols += [pa.array(lang, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(np.where(ok, -top / np.maximum(n, 1), 0.0)), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "cross_entropy", "symbols"])
+        cols += [pa.array(lang, pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(np.where(ok, -top / each, 0.0)), pa.array(over / each), pa.array(n.astype(np.int64))]
+        return pa.RecordBatch.from_arrays(cols, [*names, *ADDED])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_texts(docs, "text", work, f"{kinds}, {PREDICTED}", keeps=True)
 
 
+def calibrate(aside: DataFrame, model: Model) -> None:
+    """Sets the usual cross-entropies, the margin and the spread from documents (lang, text) kept from the counts.
+
+    A row of sums for each document comes to the driver; the sample bounds them."""
+    languages = model.languages
+
+    def sums(extra: str, of) -> list:
+        shared = aside.sparkSession.sparkContext.broadcast(model)
+
+        def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
+            m = shared.value
+            rows = []
+            for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True):
+                words = [w for w in words_of(t) if any(map(str.isalpha, w))]
+                if words and lang in m.languages:
+                    ll, n = m.score(words)
+                    rows.append((lang, *of(m, m.languages.index(lang), ll, n), int(n.sum())))
+            kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", *extra.split(), "n"])
+
+        return map_texts(aside, "text", work, f"lang string, {', '.join(x + ' double' for x in extra.split())}, n long").collect()
+
+    def own(m: Model, k: int, ll: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        return float(-ll[:, k].sum()), 0.0
+
+    def left_out(m: Model, k: int, ll: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+        over = -ll - m.usual * n[:, None]
+        others = np.delete(over, k, axis=1)
+        return float(over.min(axis=1).sum()), float(others.min(axis=1).sum()) if others.shape[1] else 0.0
+
+    def by(rows: list, column: str) -> dict[str, float]:
+        total, size = Counter(), Counter()
+        for r in rows:
+            total[r.lang] += r[column]
+            size[r.lang] += r.n
+        return {k: total[k] / size[k] for k in size}
+
+    usual = by(sums("own none", own), "own")
+    every = sum(usual.values()) / max(len(usual), 1)
+    model.usual = np.array([usual.get(k, every) for k in languages])
+    rows = sums("over others", left_out)
+    apart = by(rows, "others")
+    if len(languages) > 1 and apart:
+        model.margin = MARGIN * max(min(apart.values()), 0.0)
+    if rows:
+        model.spread = max(float(np.sqrt(np.mean([(r.over / r.n) ** 2 * min(r.n, CAP) for r in rows]))), 0.5)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -245,7 +313,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     def count(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
         found: dict[str, Counter] = {}
         for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-            found.setdefault(lang, Counter()).update(WORD.findall(t.decode("utf-8", "replace").lower()) if t else [])
+            found.setdefault(lang, Counter()).update(words_of(t))
         rows = [(lang, w, c) for lang, own in found.items() for w, c in own.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -254,24 +322,26 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE, order: int = OR
     for r in words.groupBy("lang", "word").agg(F.sum("n").alias("n")).collect():
         samples.setdefault(r.lang, Counter())[r.word] = r.n
     model = fit(samples, order)
-    aside = predict(sample.where("aside").select("lang", "text"), model).where("symbols > 0 and lang_pred = lang")
-    mean = aside.groupBy("lang_pred").agg((F.sum(F.col("cross_entropy") * F.col("symbols")) / F.sum("symbols")).alias("m"))
-    off = aside.join(F.broadcast(mean), "lang_pred").groupBy("lang_pred", "m").agg(F.sqrt(F.avg(F.pow(F.col("cross_entropy") - F.col("m"), 2) * F.least("symbols", F.lit(CAP)))).alias("d"))
-    model.usual = {r.lang_pred: (r.m, max(r.d, 0.5)) for r in off.collect()}
+    calibrate(sample.where("aside").select("lang", "text"), model)
     sample.unpersist()
     return model
 
 
-def identify(docs: DataFrame, model: Model, z: float = Z, apart: float = APART) -> DataFrame:
-    """``docs`` with lang_pred, score, cross_entropy, symbols and accepted (false where the language is unknown)."""
-    out = predict(docs, model)
-    far = F.lit(False)
-    for lang, (m, d) in model.usual.items():
-        above = F.col("cross_entropy") - m
-        far = far | ((F.col("lang_pred") == lang) & (above > apart) & (above * F.sqrt(F.least("symbols", F.lit(CAP))) > z * d))
+def identify(docs: DataFrame, model: Model, z: float = Z) -> DataFrame:
+    """``docs`` with lang_pred, score, cross_entropy, excess, symbols and accepted (false where the language is
+    unknown)."""
+    out = predict(docs.select(*[F.col(c) for c in docs.columns if c.lower() not in (*ADDED, "accepted")]), model)
+    far = (F.col("excess") > model.margin) & (F.col("excess") * F.sqrt(F.least("symbols", F.lit(CAP))) > z * model.spread)
     return out.withColumn("accepted", (F.col("lang_pred") != "und") & ~far)
 
 
+def known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose language is known, with their columns."""
+    safe = docs.select(*[F.col(c).alias("text" if c == "text" else f"__{k}") for k, c in enumerate(docs.columns)])
+    kept = identify(safe, model).where("accepted")
+    return kept.select(*[F.col("text" if c == "text" else f"__{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
 def learned_from(docs: DataFrame, **how) -> Model:
     return learn(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), **how)
 
