@@ -13,11 +13,16 @@ A candidate is a leak if the longest common subsequence of the item and the word
 are among the words around the window. So reordered or replaced words may part the text from the item.
 
 Words in more than ``MAX_DF`` of the passages are left out of the space, except those of items that would keep fewer
-than ``LEAST_TERMS`` words. The benchmark is read in blocks of about ``BLOCK_BYTES``, each a pass of its own.
+than ``LEAST_TERMS`` words. There is one vocabulary, one space and one encoding of the documents for the whole benchmark;
+only the search takes items in blocks of about ``BLOCK_BYTES``, and its pairs don't depend on how they are dealt. The
+benchmark's words, not the documents, go through the driver: it holds about 30 bytes for each byte of different words.
 
-Defined cases: null and empty texts match nothing; items of fewer than ``LEAST_WORDS`` words, null ones included, are
-not searched for; repeated items are matched each; rows equal in doc_id and text give equal pairs once; an empty
-table of documents or items gives no rows; other columns of the input are ignored.
+An item of fewer than ``LEAST_WORDS`` words says too little for a common subsequence: it is found where its words stand
+in a text in sequence.
+
+Defined cases: null and empty texts match nothing; items without a word, null ones included, match nothing; repeated
+items are matched each; rows equal in doc_id and text give equal pairs once; an empty table of documents or items gives
+no rows; other columns of the input are ignored, and kept in ``decontaminated`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, table
+from .common import Scratch, fresh, map_texts, table
 
 WINDOW, STEP, RANK, COSINE, SHARE, ANSWER = 32, 16, 64, 0.45, 0.6, 0.5
-MAX_DF, LEAST_TERMS, LEAST_WORDS, TERMS = 0.05, 8, 5, 512
+MAX_DF, LEAST_TERMS, LEAST_WORDS, TERMS, MEMBER = 0.05, 8, 5, 512, 1 << 26
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 KEY = "__row_key"
@@ -47,13 +52,24 @@ class Items:
     answers: list[set[int]]
     vocabulary: dict[bytes, int]
 
+    def blocks(self, most: int) -> list[list[int]]:
+        """The items' numbers in blocks of about ``most`` bytes, at four bytes a word and 64 an item."""
+        out, total = [], most
+        for k, w in enumerate(self.words):
+            if total >= most:
+                out.append([])
+                total = 0
+            out[-1].append(k)
+            total += 4 * len(w) + 64
+        return out
+
 
 def read_items(rows: list) -> Items:
     out = Items([], [], [], {})
     number = lambda t: np.array([out.vocabulary.setdefault(w, len(out.vocabulary)) for w in WORD.findall((t or "").encode().lower())], np.int32)
     for item_id, text, answer in rows:
         words = number(text)
-        if len(words) >= LEAST_WORDS:
+        if len(words):
             out.ids.append(item_id)
             out.words.append(words)
             out.answers.append(set(number(answer).tolist()))
@@ -134,7 +150,7 @@ def weigh(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
     idf = np.log((passages + 1) / (df + 1))
     rare = df <= MAX_DF * passages
     for words in items.words:
-        if rare[np.unique(words)].sum() < LEAST_TERMS:
+        if len(words) >= LEAST_WORDS and rare[np.unique(words)].sum() < LEAST_TERMS:
             rare[words] = True
     return np.where(rare, np.maximum(idf, 1e-3) ** 2, 0.0)
 
@@ -240,21 +256,71 @@ def judged(words: np.ndarray, window: int, item: np.ndarray, masks: dict[int, in
     return (n, seen) if seen >= ANSWER else None
 
 
-def enough(flat: np.ndarray, base: np.ndarray, ends: np.ndarray, start: np.ndarray, lengths: np.ndarray, member: np.ndarray, item: np.ndarray, share: float) -> np.ndarray:
+class Held:
+    """Which words an item holds, in a table of ``MEMBER`` cells at most; beyond that items may share cells, which lets
+    more candidates through to the exact test."""
+
+    def __init__(self, words: list[np.ndarray], vocabulary: int):
+        self.width = vocabulary
+        self.cells = np.zeros(min(max(len(words) * vocabulary, 1), MEMBER), bool)
+        for k, w in enumerate(words):
+            self.cells[(k * vocabulary + w.astype(np.int64)) % len(self.cells)] = True
+
+    def __call__(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return self.cells[(item[:, None] * self.width + words) % len(self.cells)] & (words >= 0)
+
+
+def enough(flat: np.ndarray, base: np.ndarray, ends: np.ndarray, start: np.ndarray, lengths: np.ndarray, member: Held, item: np.ndarray, share: float) -> np.ndarray:
     """Whether the words around a window, in or out of order, hold ``share`` of the item's number of words, without
     which no common subsequence can."""
     out = np.zeros(len(item), bool)
     width = np.arange(WINDOW + 2 * int(lengths.max(initial=0)))
-    for k in range(0, len(item), 2048):
-        own = slice(k, k + 2048)
+    step = max(1, (1 << 18) // len(width))
+    for k in range(0, len(item), step):
+        own = slice(k, k + step)
         left = base[own] + np.maximum(start[own] - lengths[own], 0)
         right = np.minimum(base[own] + start[own] + WINDOW + lengths[own], ends[own])
         at = left[:, None] + width
         words = np.where(at < right[:, None], flat[np.minimum(at, len(flat) - 1)], -1)
-        out[own] = member[item[own, None], words].sum(axis=1) >= share * lengths[own]
+        out[own] = member(item[own], words.astype(np.int64)).sum(axis=1) >= share * lengths[own]
     return out
 
 
+class Phrases:
+    """Items of a few words, found where their words stand in sequence."""
+
+    def __init__(self, words: list[np.ndarray], answers: list[set[int]]):
+        self.words, self.answers = words, answers
+        self.by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in {len(w) for w in words if len(w) < LEAST_WORDS}:
+            own = [k for k, w in enumerate(words) if len(w) == n]
+            h = np.array([self.mix(words[k].astype(np.int64), n)[0] for k in own], np.uint64)
+            order = np.argsort(h, kind="stable")
+            self.by[n] = h[order], np.array(own)[order]
+
+    @staticmethod
+    def mix(words: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(max(len(words) - n + 1, 0), np.uint64)
+        for k in range(n):
+            out = (out + words[k : k + len(out)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return out
+
+    def found(self, words: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(item, words, share of answer words) of the items that a document's words hold."""
+        for n, (hashes, items) in self.by.items():
+            asked = self.mix(words.astype(np.int64), n)
+            first, last = np.searchsorted(hashes, asked), np.searchsorted(hashes, asked, "right")
+            best: dict[int, float] = {}
+            for at in np.flatnonzero(last > first).tolist():
+                for i in items[first[at] : last[at]].tolist():
+                    if best.get(i, 0.0) < 1.0 and (words[at : at + n] == self.words[i]).all():
+                        answer = self.answers[i]
+                        near = words[max(0, at - WINDOW) : at + n + WINDOW].tolist()
+                        seen = len(answer.intersection(near)) / len(answer) if answer else 1.0
+                        best[i] = max(best.get(i, 0.0), seen)
+            yield from ((i, n, seen) for i, seen in best.items() if seen >= ANSWER)
+
+
 PAIRS = f"doc_id long, {KEY} long, item_id long, cosine double, common_words long, item_words long, answer_share double"
 
 
@@ -263,22 +329,29 @@ def rarer_half(words: np.ndarray, df: np.ndarray) -> set[int]:
     return set(own[: (len(own) + 1) // 2])
 
 
-def search(encoded: DataFrame, kind: str, items: Items, weight: np.ndarray, vectors: np.ndarray, df: np.ndarray, cosine: float, share: float) -> DataFrame:
-    rare = [a or rarer_half(w, df) for w, a in zip(items.words, items.answers, strict=True)]
-    placed = np.concatenate([vectors[w].sum(axis=0, keepdims=True) for w in items.words])
-    shared = encoded.sparkSession.sparkContext.broadcast((items.ids, items.words, rare, weight, vectors, unit(placed)))
+def search(encoded: DataFrame, kind: str, items: Items, block: list[int], weight: np.ndarray, vectors: np.ndarray, df: np.ndarray, cosine: float, share: float) -> DataFrame:
+    """The pairs of a document and one of a block of items."""
+    words, given = [items.words[k] for k in block], [items.answers[k] for k in block]
+    long = np.array([k for k, w in enumerate(words) if len(w) >= LEAST_WORDS], np.int64)
+    rare = [a or rarer_half(w, df) for w, a in zip(words, given, strict=True)]
+    placed = np.stack([vectors[words[k]].sum(axis=0) for k in long]) if len(long) else np.zeros((0, vectors.shape[1]), np.float32)
+    shared = encoded.sparkSession.sparkContext.broadcast(([items.ids[k] for k in block], words, given, rare, weight, vectors, long, unit(placed)))
 
     def look(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, item_words, answers, weight, vectors, q = shared.value
-        masks = [masks_of(w) for w in item_words]
+        ids, item_words, given, answers, weight, vectors, long, q = shared.value
+        phrases = Phrases(item_words, given)
+        masks = {int(k): masks_of(item_words[k]) for k in long}
         lengths = np.fromiter(map(len, item_words), np.int64, len(item_words))
-        member = np.zeros((len(item_words), len(weight) + 1), bool)  # the last column is word -1
-        for k, w in enumerate(item_words):
-            member[k, w] = True
+        member = Held(item_words, len(weight))
+        step = max(16, (1 << 24) // max(len(long), 1))
         for batch in it:
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, int], list] = {}
             for first, words in chunks(batch, kind):
+                if phrases.by:
+                    for k, w in enumerate(words):
+                        for i, n, seen in phrases.found(w):
+                            found[(first + k, i)] = [1.0, n, seen]
                 sizes = np.array([-(-len(w) // STEP) for w in words])
                 flat = np.full(int(sizes.sum()) * STEP, -1, kind)
                 at = 0
@@ -293,16 +366,17 @@ def search(encoded: DataFrame, kind: str, items: Items, weight: np.ndarray, vect
                 start = (np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) * STEP
                 base = (np.cumsum(sizes) - sizes) * STEP  # where a document's words are in ``flat``
                 ends = base + np.fromiter(map(len, words), np.int64, len(words))
-                for k in range(0, len(x), 4096):
-                    c = x[k : k + 4096] @ q.T
-                    r, i = np.nonzero(c >= cosine)
+                for k in range(0, len(x) if len(long) else 0, min(step, 4096)):
+                    c = x[k : k + min(step, 4096)] @ q.T
+                    r, near = np.nonzero(c >= cosine)
+                    like, i = c[r, near], long[near]
                     d = doc[k + r]
                     ok = enough(flat, base[d], ends[d], start[k + r], lengths[i], member, i, share)
-                    for r, i, d in zip(r[ok].tolist(), i[ok].tolist(), d[ok].tolist(), strict=True):
+                    for r, i, d, cos in zip(r[ok].tolist(), i[ok].tolist(), d[ok].tolist(), like[ok].tolist(), strict=True):
                         pair = (first + d, i)
                         got = judged(words[d], int(start[k + r]), item_words[i], masks[i], answers[i], share)
                         if got and (pair not in found or found[pair][1:] < [got[0], got[1]]):
-                            found[pair] = [float(c[r, i]), *got]
+                            found[pair] = [cos, *got]
             rows = [(docs[d], keys[d], ids[i], v[0], v[1], len(item_words[i]), v[2]) for (d, i), v in found.items()]
             kinds = (pa.int64(),) * 3 + (pa.float64(), pa.int64(), pa.int64(), pa.float64())
             names = [c.split()[0] for c in PAIRS.split(", ")]
@@ -311,39 +385,38 @@ def search(encoded: DataFrame, kind: str, items: Items, weight: np.ndarray, vect
     return encoded.mapInArrow(look, PAIRS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = SHARE, rank: int = RANK) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = SHARE, rank: int = RANK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Pairs of a document (doc_id, __row_key) and an item that its text holds."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     answer = F.col("answer") if "answer" in benchmark.columns else F.lit(None).cast("string")
     queries = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
-    size = queries.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    blocks = 1 + size // BLOCK_BYTES
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias(KEY), "text")
-    out = []
-    for k in range(blocks):
-        items = read_items(sorted((tuple(r) for r in queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()), key=str))
-        if not items.ids:
-            continue
-        kind = "<i2" if len(items.vocabulary) < 1 << 15 else "<i4"
-        encoded = scratch.save(encode(keyed, items))
-        df, passages = frequencies(encoded, kind, len(items.vocabulary))
-        weight = weigh(items, df, passages)
-        vectors = space(sketch(encoded, kind, weight, rank), weight)
-        out.append(scratch.save(search(encoded, kind, items, weight, vectors, df, cosine, share).distinct()))
-        scratch.drop(encoded)
-    if not out:
+    items = read_items(sorted((tuple(r) for r in queries.collect()), key=str))
+    if not items.ids:
         return spark.createDataFrame([], PAIRS)
-    found = out[0]
-    for x in out[1:]:
-        found = found.unionByName(x)
+    kind = "<i2" if len(items.vocabulary) < 1 << 15 else "<i4"
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias(KEY), "text")
+    encoded = scratch.save(encode(keyed, items))
+    df, passages = frequencies(encoded, kind, len(items.vocabulary))
+    weight = weigh(items, df, passages)
+    vectors = space(sketch(encoded, kind, weight, rank), weight)
+    found = None
+    for block in items.blocks(block_bytes):
+        new = scratch.save(search(encoded, kind, items, block, weight, vectors, df, cosine, share).distinct())
+        found = new if found is None else found.unionByName(new)
+    scratch.drop(encoded)
     return found
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    bad = leaks(docs, benchmark).select(KEY).distinct()
-    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(bad, KEY, "left_anti").select(*[F.col(c) for c in docs.columns])
+    key = fresh(docs, KEY)
+    bad = leaks(docs, benchmark).select(F.col(KEY).alias(key)).distinct()
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*[F.col(c) for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
