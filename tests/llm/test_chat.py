@@ -48,6 +48,12 @@ def test_empty_table_and_clashing_names(spark):
     assert chat.read_chats(chat.format_chats(df)).first().turns[0].text == "a"
 
 
+def test_a_very_long_conversation(spark):
+    rows = [(1, k, "user" if k % 3 else "assistant", f"{'é' * (k % 11)}turn {k}") for k in range(60_000)]
+    rows += [(2, k, "assistant", "") for k in range(450)] + [(3, 0, "assistant", "😀 long " * 40_000)]
+    agree(spark, rows)
+
+
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 5), st.sampled_from(["user", "assistant", "a:b", "#"]), st.text(st.sampled_from("\\#<+>/turnsthpc: \n"), max_size=25)), min_size=1, max_size=25))
 @settings(max_examples=12, deadline=None)
 def test_any_turns(spark, rows):

@@ -22,6 +22,42 @@ from pyspark.sql import functions as F
 from .common import table
 
 END, JOINT, HEAD = "</turn>\n", "<+>", "### "
+BLOCK, PIECE = 200, 256
+
+
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for the row, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def starts(lengths: Column) -> Column:
+    """The sum of the lengths before each of an array's elements."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def running(own: Column, first: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(own, F.struct(first.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def blocked(n: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(n) - 1) / BLOCK).cast("int"))
+        return bound(
+            F.transform(numbers, lambda k: F.slice(n, k * BLOCK + 1, BLOCK)),
+            lambda blocks: F.flatten(F.zip_with(blocks, running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0)), running)),
+        )
+
+    return bound(lengths, lambda n: F.when(F.size(n) == 0, none).otherwise(blocked(n)))
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The parts of a text at (start, length), each read from the pieces that hold it."""
+
+    def part(pieces: Column, s: Column) -> Column:
+        first, last = (s["start"] / PIECE).cast("int"), ((s["start"] + s["length"] - 1) / PIECE).cast("int")
+        held = F.array_join(F.slice(pieces, first + 1, F.greatest(last - first + 1, F.lit(1))), "")
+        return F.when(s["length"] > 0, F.substring(held, s["start"] - first * PIECE + 1, s["length"])).otherwise("")
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return bound(pieces, lambda p: F.transform(spans, lambda s: part(p, s)))
 
 
 def escape(c: Column) -> Column:
@@ -54,16 +90,9 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     rows = rows.select("conv_id", parts.alias("p"))
     lengths = rows.select("conv_id", "p", F.transform("p", lambda x: F.struct(F.length(x["mark"]).alias("m"), F.length(x["body"]).alias("b"), x["on"].alias("on"))).alias("n"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,length:int>>)").alias("spans"))
-    spans = F.aggregate(
-        "n",
-        start,
-        lambda a, x: F.struct(
-            (a["at"] + x["m"] + x["b"]).alias("at"),
-            F.when(x["on"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["m"]).alias("start"), x["b"].alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-        lambda a: a["spans"],
-    )
+    at = starts(F.transform("n", lambda x: x["m"] + x["b"]))
+    every = F.zip_with("n", at, lambda x, a: F.struct((a + x["m"]).alias("start"), x["b"].alias("length"), x["on"].alias("on")))
+    spans = F.transform(F.filter(every, lambda x: x["on"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
     text = F.concat(F.array_join(F.transform("p", lambda x: F.concat(x["mark"], x["body"])), ""), F.lit(END))
     return lengths.select("conv_id", text.alias("formatted"), spans.alias("loss"))
 
@@ -79,7 +108,7 @@ def read_chats(formatted: DataFrame) -> DataFrame:
         texts = F.split(F.substring(b, cut + 2, F.length(b)), "<\\+>")
         return F.transform(texts, lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    loss = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    loss = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss")), unescape), "")
     return formatted.select("conv_id", F.flatten(F.transform(blocks, block)).alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
