@@ -3,9 +3,9 @@
 
 from helpers import DOCS, docs
 from test_decontaminate import every_pair
-from test_lines import plain as plain_lines
+from test_lines import maximal
+from test_near_copies import expected
 from test_packing import check
-from test_simhash import expected
 
 import corpus_pipeline
 from tidemark.llm import language
@@ -32,11 +32,10 @@ def test_stages(spark, tmp_path):
     assert set(known) == set(whole) - far and len(far) <= 0.02 * len(whole)
     # lines
     order = sorted(known)
-    assert [lined[d].text for d in order] == plain_lines([known[d].text for d in order])
+    assert [lined[d].text for d in order] == maximal([known[d].text for d in order])
     assert all(r.n_chars == len(r.text) for r in lined.values())
     # near copies: the smallest doc_id of each component stays
-    groups = expected([(d, r.text) for d, r in lined.items()])
-    assert set(single) == {c for _, c in groups.values()}
+    assert set(single) == expected([(d, r.text) for d, r in lined.items()])
     # benchmark
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     held = {d for d, _ in every_pair({d: r.text for d, r in single.items()}, [items[i] for i in sorted(items)])}
@@ -53,11 +52,22 @@ def test_run_equals_stages(spark):
 
 
 def test_stages_take_odd_rows(spark):
+    """Nulls, repeated rows, long texts, and columns named like those that operators add."""
     texts = [None, "", "123", "a b c", "a b c", "the word " * 3000, "x\ny\nz", "x\ny\nz\nw"]
     df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "null id", None, None, None), (3, "a b c", "en", "s", 5)], DOCS))
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, df, SF).count() > 0
-    for _, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, df.where("false"), SF).count() == 0
+    odd = ["score", "symbols", "lang_pred", "excess", "accepted", "row", "__row", "__row_key", "runs", "fp", "set", "count", "words", "item_id", "n_removed", "length", "start"]
+    more = df.selectExpr("*", *[f"{k} AS `{c}`" for k, c in enumerate(odd)])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        base = stage(spark, df, SF)
+        assert base.count() > 0
+        wide = stage(spark, more, SF)
+        assert sorted((r.doc_id or -1) for r in wide.collect()) == sorted((r.doc_id or -1) for r in base.collect()), name
+        if k < 4:
+            row = wide.first()
+            assert wide.columns == more.columns and all(row[c] == i for i, c in enumerate(odd)), name
 
 
+def test_stages_take_empty_tables(spark):
+    empty = docs(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0

@@ -27,9 +27,8 @@ def resident(key: str, make: Callable[[], object]) -> object:
     operator fills its own.
     """
     if key not in _RESIDENT:
-        if _RESIDENT:
-            _RESIDENT.clear()
-            release()
+        _RESIDENT.clear()
+        release()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
 

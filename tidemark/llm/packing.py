@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, numbered, resident, table
 
 CAPACITY, END_ID = 4096, 2
-KEPT_WORDS = 900_000
+KEPT_WORDS = 600_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PUNCTUATION = MARKS.encode()
 
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     col.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", cut, PIECES, keeps=True)
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", cut, PIECES, most=2 << 20, keeps=True)
 
 
 def fill(counts: dict[int, int], room: int, order: list[int]) -> dict[int, int]:
@@ -243,7 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     cut = scratch.save(pieces(docs, tokenizer, capacity, end_id))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` rows
     at = places(plan(counts, capacity))
-    numbers = numbered(cut, scratch, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "number")
+    numbers = numbered(cut, scratch, ["length"], ["doc_id", "start", "ids_crc32", "doc_tokens"], "number", rows=sum(counts.values()))
 
     def put(it):
         for batch in it:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, map_texts, table
+from .common import Scratch, components, fresh, map_texts, table
 
 SHINGLE, BITS, SEED = 4, 4, 42
 GOLAY = 0b110001110101  # generator polynomial of the binary Golay code
@@ -220,6 +220,14 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One of the rows of ``docs`` for each row key of ``kept``."""
+    key = fresh(docs, KEY)
+    kept = kept.select(F.col(KEY).alias(key)).distinct()
+    one = docs.withColumn(key, row_key()).join(kept.hint("merge"), key, "left_semi").dropDuplicates([key])
+    return one.select(*[F.col(c) for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(doc_id, text) to (doc_id, __row_key, fp, root, component_id): the smallest doc_id reachable over links of
     ``bits`` bits; root stands for the component."""
@@ -239,9 +247,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
     """``docs`` with one row of each component: one with the smallest doc_id."""
     groups = near_duplicates(docs, shingle, bits)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))).alias("one"))
-    kept = first.select(F.col(f"one.{KEY}").alias(KEY)).distinct()
-    one = docs.withColumn(KEY, row_key()).join(kept.hint("merge"), KEY, "left_semi").dropDuplicates([KEY])
-    return one.select(*[F.col(c) for c in docs.columns])
+    return only(docs, first.select(F.col(f"one.{KEY}").alias(KEY)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
