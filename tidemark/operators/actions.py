@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.rounding import half_even
 from ..functions.text import numbers
 from ..plans.rubric import DEFAULT, Rubric
 from .governance import lookup
@@ -20,17 +21,17 @@ def unique_actions(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
     known = [*a["severity"], "capacity_expansion", *a["tracked_types"]]
     rows = rows.where(F.col("event_type").isin(*known)).withColumn("__sig", numbers(F.col("title")))
     w = Window.partitionBy("symbol", "event_type", "__sig").orderBy(F.col("published").asc_nulls_first(), "seq")
-    before = F.lag("published").over(w)
+    before, oldest = F.lag("published").over(w), F.first("published").over(w)
     days = F.when(F.col("event_type") == "dividend", a["dividend_days"]).otherwise(a["other_days"])
     first = F.row_number().over(w) == 1
-    # a row without a date matches any earlier row of its kind, and any later row matches it
-    keep = first | (F.coalesce(F.datediff("published", before) > days, F.lit(False)) & before.isNotNull())
+    # rows without a date come first; such a row and any other of its kind are one action
+    keep = first | (oldest.isNotNull() & F.coalesce(F.datediff("published", before) > days, F.lit(False)))
     return rows.withColumn("__keep", keep).where("__keep").drop("__keep", "__sig")
 
 
 def event_scores(rows: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> DataFrame:
-    """Adds severity_points, stage, stage_mult, timing_mult, size_mult, score (10 at most), direction, gate_a, gate_b
-    and tracked_only. Types outside the severity table have no score; tracked types stay, as tracked only."""
+    """Adds severity_points, stage, stage_mult, timing_mult, size_mult, score (10 at most, to two places), direction,
+    gate_a, gate_b and tracked_only. Types outside the severity table have no score; tracked types stay, as tracked only."""
     a, t = r["actions"], r["actions"]["timing"]
     for name, kind in ACTION_COLUMNS.items():
         if name not in rows.columns:
@@ -55,8 +56,9 @@ def event_scores(rows: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> DataFra
     gate_b = et.isin(*a["gate_b_types"])
     done = F.col("stage").isin(*a["stages_excluded"]) & ~gate_a & ~gate_b
     raw = F.col("severity_points") * F.col("stage_mult") * F.col("timing_mult") * F.col("size_mult")
+    out = out.withColumn("__raw", F.least(F.lit(10.0), raw))
     direction = F.when(F.col("sentiment") > 0, "positive").when(F.col("sentiment") < 0, "negative").otherwise("unclear")
-    return out.select("*", F.least(F.lit(10.0), raw).alias("score"), direction.alias("direction"), gate_a.alias("gate_a"), gate_b.alias("gate_b"), (et.isin(*a["tracked_types"]) | done).alias("tracked_only"))
+    return out.select("*", half_even(F.col("__raw")).alias("score"), direction.alias("direction"), gate_a.alias("gate_a"), gate_b.alias("gate_b"), (et.isin(*a["tracked_types"]) | done).alias("tracked_only")).drop("__raw")
 
 
 def action_band(score: Column, r: Rubric = DEFAULT, strict: bool = False) -> Column:
@@ -76,8 +78,10 @@ def action_band(score: Column, r: Rubric = DEFAULT, strict: bool = False) -> Col
 
 
 def combined(on: Column) -> Column:
-    """Ten times the chance that at least one of the scored events bites; 0 without any."""
-    return F.lit(10.0) * (1 - F.coalesce(F.product(F.when(on, 1 - F.col("score") / 10)), F.lit(1.0)))
+    """Ten times the chance that at least one of the scored events bites; 0 without any. Factors are multiplied in
+    order of date and seq, so equal rows give equal doubles; a symbol's events of a lookback are a short array."""
+    scores = F.array_sort(F.collect_list(F.when(on, F.struct("published", "seq", "score"))))
+    return F.lit(10.0) * (1 - F.aggregate(scores, F.lit(1.0), lambda a, x: a * (1 - x["score"] / 10)))
 
 
 def risk_opportunity(scored: DataFrame, r: Rubric = DEFAULT, strict: bool = False) -> DataFrame:
@@ -87,13 +91,13 @@ def risk_opportunity(scored: DataFrame, r: Rubric = DEFAULT, strict: bool = Fals
     up = F.col("direction") == "positive"
     out = scored.groupBy("symbol").agg(
         combined(live & ~up).alias("risk"),
-        combined(live & up).alias("opportunity_score"),
+        combined(live & up).alias("opportunity"),
         F.coalesce(F.max(live & F.col("gate_a")), F.lit(False)).alias("exit"),
         F.count_if(live).alias("n_scored"),
         F.count_if(primary & F.col("gate_b") & ~F.col("tracked_only")).alias("n_quarantined"),
         F.count_if(primary & F.col("tracked_only")).alias("n_tracked"),
     )
-    out = out.withColumn("risk_score", F.when(F.col("exit"), 10.0).otherwise(F.col("risk")))
+    out = out.withColumn("risk_score", F.when(F.col("exit"), 10.0).otherwise(half_even(F.col("risk")))).withColumn("opportunity_score", half_even(F.col("opportunity")))
     name = F.when(F.col("exit"), "Exit").otherwise(action_band(F.col("risk_score"), r, strict))
     return out.select("symbol", "risk_score", "opportunity_score", name.alias("risk_band"), (F.col("opportunity_score") >= r["actions"]["opportunity_review_at"]).alias("opportunity_review"), "n_scored", "n_quarantined", "n_tracked")
 
@@ -108,4 +112,4 @@ def quarantined(scored: DataFrame) -> DataFrame:
 def review_queue(risk: DataFrame, holdings: DataFrame) -> DataFrame:
     """Risk times the position's weight over the mean weight."""
     mean = holdings.agg(F.avg("weight").alias("__m"))
-    return risk.join(holdings.select("symbol", "weight"), "symbol").join(F.broadcast(mean)).select("symbol", "risk_score", (F.col("risk_score") * F.col("weight") / F.col("__m")).alias("priority"))
+    return risk.join(holdings.select("symbol", "weight"), "symbol").join(mean).select("symbol", "risk_score", (F.col("risk_score") * F.col("weight") / F.col("__m")).alias("priority"))

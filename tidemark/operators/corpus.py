@@ -108,8 +108,8 @@ def agreement(diffed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def penalty_changes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Penalties by (symbol, event_type) that only one run has or that differ."""
-    x, y = a.select("symbol", "event_type", F.col("eff").alias("a")), b.select("symbol", "event_type", F.col("eff").alias("b"))
+    """Penalties by (symbol, event_type), summed up, that only one run has or that differ."""
+    x, y = (rows.groupBy("symbol", "event_type").agg(F.sum("eff").alias(c)) for rows, c in ((a, "a"), (b, "b")))
     out = x.join(y, ["symbol", "event_type"], "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
     return out.withColumn("change", F.when(F.col("a").isNull(), "only in b").when(F.col("b").isNull(), "only in a").otherwise("changed"))
 

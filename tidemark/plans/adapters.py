@@ -16,6 +16,10 @@ def pick(expr: str, values: list) -> str:
     return f"CASE ({expr}) % {len(values)} " + " ".join(f"WHEN {k} THEN {lit(v)}" for k, v in enumerate(values)) + " END"
 
 
+#: Two runs that hold all rows between them; each has a symbol that the other lacks.
+RUN_A = "(seq % 2 = 0 OR symbol = 'CHINA') AND symbol <> 'FRANCE'"
+RUN_B = "(seq % 2 <> 0 OR seq % 3 <> 0 OR symbol = 'FRANCE') AND symbol <> 'CHINA'"
+
 ORD_TYPES = ["earnings_beat", "earnings_miss", "order_win", "regulatory_action", "management_exit", "exchange_fine", "other", "guidance_change", "dividend", "price_move", "pledge", "dilution", "operating_update"]
 TITLES = [
     "SEBI penalty order against the company", "Managing director to retire, successor named", "CFO resigns amid board dispute", "Customs duty hike hits sector",

@@ -6,6 +6,7 @@ import re
 
 from . import adapters as ad
 from . import vocabulary as v
+from .rubric import DEFAULT
 
 FLAT = "CASE WHEN {a} <= 30 THEN 1.0 WHEN {a} <= 90 THEN 0.75 WHEN {a} <= 180 THEN 0.5 ELSE 0.25 END"
 NOISE = "('other', 'management_change_routine', 'board_change_routine', 'dilution', 'rpt_routine')"
@@ -82,10 +83,10 @@ STANDARD = f"""st AS (
     WHEN event_mode AND n_results < 1 THEN 'no results event' WHEN event_mode THEN '' WHEN n < 8 THEN concat('only ', n, ' article(s)') WHEN n_prints = 0 THEN 'no results item' ELSE '' END AS insufficient
   FROM st
 )"""
-O["evidence_standard"] = f"""WITH {ORD}, o2 AS (SELECT * REPLACE (symbol || '/' || sector AS symbol) FROM ord WHERE published > DATE '2000-08-01'), {STANDARD.format(rows='o2')}
+O["evidence_standard"] = f"""WITH {ORD}, o2 AS (SELECT * REPLACE (symbol || '/' || sector AS symbol) FROM ord WHERE win IS NOT NULL), {STANDARD.format(rows='o2')}
 SELECT symbol, n, n_results, n_windows, first, last, span_days, event_mode, insufficient, span_days < 270 AS collapsed FROM st2"""
 SHARES = ", ".join(f"round(coalesce(sum(w) FILTER (f AND win = {k}), 0) / sum(w) FILTER (f), 6) AS share{k}" for k in range(1, 5))
-O["coverage_map"] = f"""WITH {ORD}, r AS (SELECT *, {FEEDS} AS f FROM ord WHERE kind = 'news' AND published > DATE '2000-08-01'),
+O["coverage_map"] = f"""WITH {ORD}, r AS (SELECT *, {FEEDS} AS f FROM ord WHERE kind = 'news' AND win IS NOT NULL),
 c AS (SELECT symbol, {", ".join(f"count(*) FILTER (f AND win = {k}) AS w{k}" for k in range(1, 5))}, count(*) FILTER (f) AS n_events,
   round(avg(CASE WHEN max_tier IN ('T1', 'T2') THEN 1.0 ELSE 0.0 END), 6) AS tier12_share, round(sum(coalesce(confidence, 1.0)) FILTER (f), 6) AS confidence_n, {SHARES} FROM r GROUP BY symbol)
 SELECT *, n_events >= 6 AND greatest(w1, w2, w3, w4) / n_events > 0.7 AS dominated FROM c"""
@@ -145,7 +146,7 @@ O["latest_n"] = f"WITH {DOC}, {COLLAPSE} SELECT symbol, seq, row_number() OVER (
 NEW = "published DESC, relevance DESC, seq"
 O["gov_candidates"] = f"""WITH {DOC}, k AS (SELECT *, regexp_replace(lower(trim(coalesce(url, ''))), '/+$', '') AS u, {TKEY} AS t FROM doc),
 x AS (SELECT * FROM k WHERE seq % 7 = 0),
-c0 AS (SELECT * FROM k WHERE seq % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.u = k.u) AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.t = k.t)),
+c0 AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.u = k.u) AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.t = k.t)),
 c1 AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY symbol, u ORDER BY {NEW}) = 1),
 c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY {NEW}) = 1),
 c3 AS (SELECT *, {window('published', ad.DOC_AS_OF)} AS win FROM c2 WHERE {window('published', ad.DOC_AS_OF)} IS NOT NULL),
@@ -163,7 +164,7 @@ SELECT symbol, seq, bucket, row_number() OVER (PARTITION BY symbol ORDER BY buck
 O["results_anchors"] = f"""WITH {DOC}, q AS (SELECT *, year(published) * 4 + quarter(published) AS quarter, seq % 7 AS n_sources FROM doc),
 k AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY symbol, quarter ORDER BY n_sources DESC, published DESC, seq) = 1)
 SELECT symbol, seq, quarter, row_number() OVER (PARTITION BY symbol ORDER BY quarter DESC) AS rank FROM k QUALIFY rank <= 4"""
-O["month_histogram"] = f"""WITH {DOC}, d AS (SELECT * FROM doc WHERE published > DATE '2024-06-15'), m AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 MONTH)) AS DATE) AS month),
+O["month_histogram"] = f"""WITH {DOC}, d AS (SELECT * FROM doc), m AS (SELECT CAST(unnest(generate_series(DATE '2023-11-01', DATE '2024-12-31', INTERVAL 1 MONTH)) AS DATE) AS month),
 g AS (SELECT DISTINCT symbol, month FROM d, m), c AS (SELECT symbol, CAST(date_trunc('month', published) AS DATE) AS month, count(*) AS n FROM d GROUP BY 1, 2)
 SELECT g.symbol, g.month, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.symbol = c.symbol AND g.month = c.month"""
 
@@ -251,18 +252,41 @@ gp AS (SELECT *, CASE WHEN NOT {exempt} AND severity IN ('procedural', 'immateri
 gt AS (SELECT *, CASE bucket WHEN 'override' THEN penalty_override WHEN 'penalty' THEN CASE WHEN NOT {exempt} AND coalesce(severity, '') NOT IN ('integrity', 'minor') AND amount_inr_cr < 10 THEN greatest(p2, -5.0) ELSE p2 END END AS penalty FROM gp)"""
 
 
-def applied(rows: str, as_of: str) -> str:
-    """CTEs ending in ``ap``: the penalties that count, without the same-event step, with eff."""
+def applied(rows: str, as_of: str, dedupe: bool = False) -> str:
+    """CTEs ending in ``ap``: the penalties that count, with eff; the same-event step is left out or in."""
     a = age("published", as_of)
     fade = f"CASE WHEN {a} > 182 THEN 1.0 - least(1.0, ({a} - 182) / 183.0) * 0.5 ELSE 1.0 END"
-    return f"""{gated(rows)},
-al AS (SELECT *, CASE WHEN penalty_override IS NOT NULL THEN penalty ELSE round_even(penalty * ({fade}), 0) END AS eff FROM gt WHERE penalty IS NOT NULL AND (NOT historical OR penalty_override IS NOT NULL)),
+    live = "penalty IS NOT NULL AND (NOT historical OR penalty_override IS NOT NULL)"
+    first = f"lv AS (SELECT * FROM gt WHERE {live}), {same_event('lv')}," if dedupe else ""
+    source = "lv WHERE (symbol, seq) NOT IN (SELECT (symbol, seq) FROM dup)" if dedupe else f"gt WHERE {live}"
+    return f"""{gated(rows)}, {first}
+al AS (SELECT *, CASE WHEN penalty_override IS NOT NULL THEN penalty ELSE round_even(penalty * ({fade}), 0) END AS eff FROM {source}),
 ap AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, event_type ORDER BY penalty_override IS NOT NULL DESC, eff, published DESC, seq) AS rn FROM al) WHERE rn = 1 OR penalty_override IS NOT NULL)"""
 
 
-def governed(rows: str, as_of: str) -> str:
+def same_event(rows: str, keys: str = "symbol") -> str:
+    """CTEs ending in ``dup``: each row in turn, most severe first, against the rows of its symbol and family kept so
+    far."""
+    families = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in DEFAULT["governance"]["families"].items()) + " ELSE event_type END"
+    stop = ", ".join(f"'{w}'" for w in v.EVENT_STOP)
+    words = f"""list_filter(list_distinct(list_concat(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{{4,}}'), regexp_extract_all(lower(replace(coalesce(event_key, ''), '-', ' ')), '[a-z0-9]{{4,}}'))),
+    lambda w: w <> lower(symbol) AND w NOT IN ({stop}))"""
+    shared = "len(list_intersect(x.words, c.words))"
+    meets = f"""abs(date_diff('day', x.published, c.published)) <= {DEFAULT["governance"]["dedupe_days"]} AND ((c.k <> '' AND c.k = x.k)
+    OR ({shared} >= 2 AND ({shared} / greatest(least(len(x.words), len(c.words)), 1) >= 0.5 OR abs(date_diff('day', x.published, c.published)) <= 3)))"""
+    me = "struct_pack(seq := {0}seq, published := {0}published, k := {0}k, words := {0}words)"
+    hit = f"list_filter(r.kept, lambda x: {meets})"
+    return f"""se0 AS (SELECT symbol, seq, published, {families} AS family, regexp_replace(lower(coalesce(event_key, '')), '[^a-z0-9]', '', 'g') AS k, {words} AS words, penalty FROM {rows} WHERE published IS NOT NULL),
+se AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY penalty, published, seq) AS nth FROM se0),
+se_loop AS (SELECT symbol, family, nth, seq, [{me.format("")}] AS kept, CAST(NULL AS BIGINT) AS dup_of FROM se WHERE nth = 1
+  UNION ALL SELECT c.symbol, c.family, c.nth, c.seq, CASE WHEN len({hit}) = 0 THEN list_append(r.kept, {me.format("c.")}) ELSE r.kept END, {hit}[1].seq
+  FROM se_loop r JOIN se c ON c.symbol = r.symbol AND c.family = r.family AND c.nth = r.nth + 1),
+dup AS (SELECT symbol, seq, dup_of FROM se_loop WHERE dup_of IS NOT NULL)"""
+
+
+def governed(rows: str, as_of: str, dedupe: bool = False) -> str:
     """CTEs ending in ``gv``: the governance score of each symbol of ``rows``."""
-    return f"""{applied(rows, as_of)},
+    return f"""{applied(rows, as_of, dedupe)},
 gs AS (SELECT symbol, sum(eff) AS penalty_sum, count(*) AS n_penalties FROM ap GROUP BY symbol),
 gm AS (SELECT DISTINCT symbol FROM gt WHERE historical AND penalty_override IS NULL AND penalty IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ap WHERE ap.symbol = gt.symbol AND ap.event_type = gt.event_type)),
 gv0 AS (SELECT h.symbol, coalesce(penalty_sum, 0.0) AS penalty_sum, coalesce(n_penalties, 0) AS n_penalties, CASE WHEN gm.symbol IS NOT NULL AND n_penalties IS NULL THEN -5.0 ELSE 0.0 END AS memory_discount
@@ -273,19 +297,46 @@ gv AS (SELECT *, 100.0 + penalty_sum + memory_discount AS governance_score, CASE
 O["governance_gate"] = f"WITH {ORD}, {gated('ord')} SELECT seq, bucket, penalty FROM gt"
 O["governance_once_per_type"] = f"WITH {EV}, {applied('ev', ad.EV_AS_OF)} SELECT symbol, seq, event_type, penalty, eff FROM ap"
 O["governance_score"] = f"WITH {EV}, {governed('ev', ad.EV_AS_OF)} SELECT symbol, penalty_sum, n_penalties, memory_discount, governance_score, governance_label FROM gv"
+O["governance_same_event"] = f"WITH RECURSIVE {EV}, {gated('ev')}, pn AS (SELECT * FROM gt WHERE penalty IS NOT NULL), {same_event('pn')} SELECT symbol, seq, dup_of FROM dup"
+O["governance_score_deduped"] = f"WITH RECURSIVE {EV}, {governed('ev', ad.EV_AS_OF, True)} SELECT symbol, penalty_sum, n_penalties, memory_discount, governance_score, governance_label FROM gv"
 RUNNING = "100.0 + sum(eff) OVER (PARTITION BY symbol ORDER BY eff, published, seq ROWS UNBOUNDED PRECEDING)"
 O["governance_running"] = f"WITH {EV}, {applied('ev', ad.EV_AS_OF)} SELECT symbol, seq, event_type, eff, {RUNNING} AS running FROM ap"
 
+RESULT_TYPES = ", ".join(f"'{t}'" for t in DEFAULT["sentiment"]["results_event_types"])
+ENTRY = "struct_pack(rep := {0}seq, pub := {0}published, d := {0}d, tier := {0}tier, purpose := {0}purpose, rows_ := [{0}seq])"
+FITS = f"""abs(date_diff('day', x.d, c.d)) <= {DEFAULT["cluster"]["merge_days"]} OR (c.event_type IN ({RESULT_TYPES}) AND date_trunc('quarter', x.pub) = date_trunc('quarter', c.published) AND x.purpose = c.purpose)"""
+OLD = "(x.tier < c.tier OR (x.tier = c.tier AND x.pub <= c.published))"  # the kept one stands for both
+TAKEN = f"""struct_pack(rep := CASE WHEN {OLD} THEN x.rep ELSE c.seq END, pub := CASE WHEN {OLD} THEN x.pub ELSE c.published END, d := least(x.d, c.d, x.pub, c.published), tier := least(x.tier, c.tier),
+  purpose := CASE WHEN (CASE WHEN {OLD} THEN c.purpose ELSE x.purpose END) = 'sentiment' THEN 'sentiment' WHEN {OLD} THEN x.purpose ELSE c.purpose END, rows_ := list_append(x.rows_, c.seq))"""
+AT = f"list_position(list_transform(r.kept, lambda x: {FITS}), true)"
+O["post_label_merge"] = f"""WITH RECURSIVE {EV}, pm AS (SELECT symbol, event_type, governance_flag, seq, published, coalesce(event_date, published) AS d, coalesce(max_tier, 'T3') AS tier, coalesce(purpose, '') AS purpose,
+  row_number() OVER (PARTITION BY symbol, event_type, governance_flag ORDER BY published, title, seq) AS nth FROM ev WHERE published IS NOT NULL),
+pm_loop AS (SELECT symbol, event_type, governance_flag, nth, [{ENTRY.format("")}] AS kept FROM pm WHERE nth = 1
+  UNION ALL SELECT c.symbol, c.event_type, c.governance_flag, c.nth, CASE WHEN coalesce({AT}, 0) = 0 THEN list_append(r.kept, {ENTRY.format("c.")})
+    ELSE list_transform(r.kept, lambda x, i: CASE WHEN i = {AT.replace("lambda x:", "lambda y:").replace("x.", "y.")} THEN {TAKEN} ELSE x END) END
+  FROM pm_loop r JOIN pm c ON c.symbol = r.symbol AND c.event_type = r.event_type AND c.governance_flag = r.governance_flag AND c.nth = r.nth + 1),
+pm_last AS (SELECT unnest(kept) AS x FROM (SELECT * FROM pm_loop QUALIFY nth = max(nth) OVER (PARTITION BY symbol, event_type, governance_flag)))
+SELECT unnest(x.rows_) AS seq, x.rep AS survivor, x.d AS event_date, len(x.rows_) AS n_merged FROM pm_last"""
+
 NUMS = "list_sort(regexp_extract_all(replace(title, ',', ''), '[0-9]+(?:\\.[0-9]+)?'))"
 SIG = f"CASE WHEN len({NUMS}) > 0 THEN {NUMS} ELSE list_sort(regexp_extract_all(lower(title), '[a-z]{{4,}}'))[1:6] END"
 KNOWN = "('insolvency_admission', 'demerger', 'merger_acquisition', 'split_bonus', 'open_offer_takeover', 'rights_issue', 'pledge', 'pledge_invocation', 'dilution', 'special_dividend', 'auditor_resignation', 'management_exit', 'buyback', 'lock_in_expiry', 'dividend', 'name_symbol_isin_change', 'fy_end_change', 'routine_agm_egm', 'admin_notice', 'noise_notice'"
 TRACKED = "'index_inclusion', 'index_exclusion', 'exchange_surveillance'"
 
 
+def two(x: str) -> str:
+    """To two places, exact halves to even, by the double's exact value."""
+    high = "(s.v * 134217729.0 - (s.v * 134217729.0 - s.v))"
+    parts = f"struct_pack(f := floor(s.p), d := s.p - floor(s.p), e := ({high} * 100.0 - s.p) + (s.v - {high}) * 100.0)"
+    rounded = "(t.f + CASE WHEN t.d > 0.5 OR (t.d = 0.5 AND (t.e > 0 OR (t.e = 0 AND CAST(t.f AS BIGINT) % 2 <> 0))) THEN 1.0 ELSE 0.0 END) / 100.0"
+    return f"list_transform(list_transform(list_transform([{x}], lambda v: struct_pack(v := v, p := v * 100.0)), lambda s: {parts}), lambda t: {rounded})[1]"
+
+
 def unique(rows: str) -> str:
     return f"""us AS (SELECT *, {SIG} AS sig FROM {rows} WHERE event_type IN {KNOWN}, 'capacity_expansion', {TRACKED})),
-ul AS (SELECT *, lag(published) OVER (PARTITION BY symbol, event_type, sig ORDER BY published, seq) AS before FROM us),
-uq AS (SELECT * FROM ul WHERE before IS NULL OR date_diff('day', before, published) > CASE WHEN event_type = 'dividend' THEN 120 ELSE 30 END)"""
+ul AS (SELECT *, lag(published) OVER kind AS before, first_value(published) OVER kind AS oldest, row_number() OVER kind AS nth FROM us
+  WINDOW kind AS (PARTITION BY symbol, event_type, sig ORDER BY published NULLS FIRST, seq)),
+uq AS (SELECT * FROM ul WHERE nth = 1 OR oldest IS NOT NULL AND date_diff('day', before, published) > CASE WHEN event_type = 'dividend' THEN 120 ELSE 30 END)"""
 
 
 def scored(rows: str, as_of: str, extra: str = "") -> str:
@@ -298,26 +349,27 @@ sc1 AS (SELECT *, CASE stage WHEN 'board_intimation' THEN 0.3 WHEN 'approval_obt
     WHEN event_type IN ('dilution', 'rights_issue', 'pledge', 'pledge_invocation', 'buyback', 'open_offer_takeover') AND materiality IS NOT NULL THEN CASE materiality WHEN 'low' THEN 0.7 WHEN 'high' THEN 1.5 ELSE 1.0 END ELSE 1.0 END AS size_mult,
   event_type IN ('insolvency_admission', 'pledge_invocation') OR (event_type = 'auditor_resignation' AND coalesce(severity, '') = 'integrity') AS gate_a,
   event_type IN ('split_bonus', 'demerger', 'merger_acquisition', 'rights_issue', 'special_dividend', 'name_symbol_isin_change') AS gate_b FROM sc0),
-sc AS (SELECT *, least(10.0, CAST(pts AS DOUBLE) * CAST(stage_mult AS DOUBLE) * CAST(timing_mult AS DOUBLE) * CAST(size_mult AS DOUBLE)) AS score, CASE WHEN sentiment > 0 THEN 'positive' WHEN sentiment < 0 THEN 'negative' ELSE 'unclear' END AS direction,
+sc AS (SELECT *, {two('least(10.0, CAST(pts AS DOUBLE) * CAST(stage_mult AS DOUBLE) * CAST(timing_mult AS DOUBLE) * CAST(size_mult AS DOUBLE))')} AS score, CASE WHEN sentiment > 0 THEN 'positive' WHEN sentiment < 0 THEN 'negative' ELSE 'unclear' END AS direction,
   event_type IN ({TRACKED}) OR (stage = 'completed' AND NOT gate_a AND NOT gate_b) AS tracked_only FROM sc1)"""
 
 
 def risked() -> str:
     live = "NOT tracked_only AND NOT gate_b AND coalesce(substance, 'primary') <> 'passing'"
-    return f"""rk0 AS (SELECT symbol, 10.0 * (1 - coalesce(product(1 - score / 10) FILTER ({live} AND direction <> 'positive'), 1.0)) AS risk, 10.0 * (1 - coalesce(product(1 - score / 10) FILTER ({live} AND direction = 'positive'), 1.0)) AS opp,
+    all_ = lambda on: two(f"10.0 * (1 - list_reduce(list_prepend(1.0, coalesce(list(1 - score / 10.0 ORDER BY published NULLS FIRST, seq) FILTER ({on}), [])), lambda x, y: x * y))")
+    return f"""rk0 AS (SELECT symbol, {all_(f"{live} AND direction <> 'positive'")} AS risk, {all_(f"{live} AND direction = 'positive'")} AS opp,
   bool_or({live} AND gate_a) AS ex, count(*) FILTER ({live}) AS n_scored, count(*) FILTER (coalesce(substance, 'primary') <> 'passing' AND gate_b AND NOT tracked_only) AS n_quarantined, count(*) FILTER (coalesce(substance, 'primary') <> 'passing' AND tracked_only) AS n_tracked FROM sc GROUP BY symbol),
 rk AS (SELECT symbol, CASE WHEN ex THEN 10.0 ELSE risk END AS risk_score, opp AS opportunity_score, CASE WHEN ex OR risk >= 9 THEN 'Exit' WHEN risk >= 7 THEN 'Act' WHEN risk >= 5 THEN 'Review' WHEN risk >= 3 THEN 'Watch' ELSE 'Log' END AS risk_band, opp >= 6 AS opportunity_review, n_scored, n_quarantined, n_tracked FROM rk0)"""
 
 
 O["unique_actions"] = f"WITH {ACT}, {unique('act')} SELECT symbol, seq, event_type FROM uq"
 O["action_event_score"] = f"WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT seq, event_type, stage, stage_mult, round(timing_mult, 6) AS timing_mult, size_mult, round(score, 6) AS score, direction, gate_a, gate_b, tracked_only FROM sc"
-O["action_risk_opportunity"] = f"WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score + 1e-9, 6) AS risk_score, round(opportunity_score + 1e-9, 6) AS opportunity_score, risk_band, opportunity_review, n_scored, n_quarantined, n_tracked FROM rk"
+O["action_risk_opportunity"] = f"WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, risk_score, opportunity_score, risk_band, opportunity_review, n_scored, n_quarantined, n_tracked FROM rk"
 O["action_bands"] = """WITH s AS (SELECT range AS hundredths, range / 100.0 AS score FROM range(0, 1001)) SELECT hundredths, CASE WHEN score < 3 THEN 'Log' WHEN score < 5 THEN 'Watch' WHEN score < 7 THEN 'Review' WHEN score < 9 THEN 'Act' ELSE 'Exit' END AS band,
 CASE WHEN score <= 2.9 + 1e-9 THEN 'Log' WHEN score >= 3 AND score <= 4.9 + 1e-9 THEN 'Watch' WHEN score >= 5 AND score <= 6.9 + 1e-9 THEN 'Review' WHEN score >= 7 AND score <= 8.9 + 1e-9 THEN 'Act' ELSE 'Exit' END AS strict_band FROM s"""
 O["quarantined_actions"] = f"""WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT symbol, event_type, CASE WHEN count(DISTINCT direction) = 1 THEN min(direction) ELSE 'mixed' END AS direction, count(*) AS n,
 arg_max(title, (published, seq)) AS newest FROM sc WHERE gate_b AND NOT tracked_only GROUP BY symbol, event_type"""
-O["review_queue"] = f"""WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, round(risk_score + 1e-9, 6) AS risk_score,
-round(risk_score * p_retailprice / (SELECT avg(p_retailprice) FROM part) + 1e-9, 6) AS priority FROM rk JOIN part ON symbol = p_partkey"""
+O["review_queue"] = f"""WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, risk_score,
+round(risk_score * p_retailprice / (SELECT avg(p_retailprice) FROM part), 6) AS priority FROM rk JOIN part ON symbol = p_partkey"""
 O["relative_zscores"] = f"""WITH {ORD}, {weighted('ord', 'symbol')}, z AS (SELECT avg(weighted_mean) AS m, stddev_pop(weighted_mean) AS s FROM wm)
 SELECT symbol, round(weighted_mean, 6) AS weighted_mean, round((least(greatest(weighted_mean, m - 3 * s), m + 3 * s) - m) / s, 6) AS weighted_mean_z FROM wm, z"""
 
@@ -357,7 +409,7 @@ def half(name: str, where: str) -> str:
     return f"{inner}, {name} AS (SELECT symbol, weighted_mean, CAST({band('weighted_mean')} AS DOUBLE) AS band FROM wm_{name})"
 
 
-HALVES = f"{ORD}, {half('ha', 'seq % 2 = 0 AND symbol <> ' + chr(39) + 'FRANCE' + chr(39))}, {half('hb', 'seq % 3 <> 0 AND symbol <> ' + chr(39) + 'CHINA' + chr(39))}"
+HALVES = f"{ORD}, {half('ha', ad.RUN_A)}, {half('hb', ad.RUN_B)}"
 O["run_delta"] = f"WITH {HALVES} SELECT a.symbol, round(a.weighted_mean, 6) AS weighted_mean, round(b.weighted_mean, 6) AS weighted_mean_before, round(a.weighted_mean - b.weighted_mean, 6) AS weighted_mean_change FROM ha a LEFT JOIN hb b ON a.symbol = b.symbol"
 
 
@@ -370,14 +422,14 @@ CASE WHEN a.symbol IS NULL OR b.symbol IS NULL THEN 'U' WHEN {same('weighted_mea
 O["run_diff"] = f"WITH {HALVES}, {DIFF} SELECT * REPLACE (round(weighted_mean_a, 6) AS weighted_mean_a, round(weighted_mean_b, 6) AS weighted_mean_b) FROM df"
 O["run_agreement"] = f"WITH {HALVES}, {DIFF} SELECT count(*) AS n_both, round(avg(CASE WHEN band_same THEN 1.0 ELSE 0.0 END), 6) AS band_agreement FROM df WHERE code <> 'U'"
 O["run_verify"] = f"WITH {HALVES}, {DIFF} SELECT symbol, CASE WHEN code = 'U' THEN 'U' ELSE 'C' END AS code FROM df WHERE code = 'U' OR NOT band_same"
-O["run_merge"] = f"""WITH {ORD}, u AS (SELECT *, 0 AS r FROM ord WHERE seq % 2 = 0 UNION ALL SELECT *, 1 FROM ord WHERE seq % 3 = 0)
+O["run_merge"] = f"""WITH {ORD}, u AS (SELECT *, 0 AS r FROM ord WHERE seq % 2 = 0 UNION ALL SELECT *, 1 FROM ord WHERE seq % 2 <> 0 OR seq % 3 = 0)
 SELECT symbol, seq, url FROM u QUALIFY row_number() OVER (PARTITION BY symbol, coalesce(nullif(trim(url), ''), title) ORDER BY r, seq) = 1"""
 HALF_A, HALF_B = applied("ea", ad.EV_AS_OF), applied("eb", ad.EV_AS_OF)
 for _cte in ("gb", "gk", "gp", "gt", "al", "ap"):
     HALF_B = HALF_B.replace(f"{_cte} AS", f"{_cte}2 AS").replace(f"FROM {_cte})", f"FROM {_cte}2)").replace(f"FROM {_cte} ", f"FROM {_cte}2 ")
-O["penalty_changes"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE penalty_override IS NULL AND seq % 2 = 0), eb AS (SELECT * FROM ev WHERE penalty_override IS NULL AND seq % 3 = 0), {HALF_A}, {HALF_B}
+O["penalty_changes"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE seq % 2 = 0), eb AS (SELECT * FROM ev WHERE seq % 2 <> 0 OR seq % 3 = 0), {HALF_A}, {HALF_B}, xa AS (SELECT symbol, event_type, sum(eff) AS eff FROM ap GROUP BY ALL), xb AS (SELECT symbol, event_type, sum(eff) AS eff FROM ap2 GROUP BY ALL)
 SELECT coalesce(x.symbol, y.symbol) AS symbol, coalesce(x.event_type, y.event_type) AS event_type, x.eff AS a, y.eff AS b, CASE WHEN x.eff IS NULL THEN 'only in b' WHEN y.eff IS NULL THEN 'only in a' ELSE 'changed' END AS change
-FROM ap x FULL OUTER JOIN ap2 y ON x.symbol = y.symbol AND x.event_type = y.event_type WHERE x.eff IS DISTINCT FROM y.eff"""
+FROM xa x FULL OUTER JOIN xb y ON x.symbol = y.symbol AND x.event_type = y.event_type WHERE x.eff IS DISTINCT FROM y.eff"""
 O["label_cache_miss"] = f"""WITH {DOC}, k AS (SELECT seq, {UHASH.format(u='url')} AS item_key FROM doc) SELECT seq, item_key FROM k WHERE item_key NOT IN (SELECT item_key FROM k WHERE seq % 5 = 0 OR seq % 7 = 0)"""
 XHASH = UHASH.format(u="concat('x', url)")
 O["label_from_cache"] = f"""WITH {DOC}, k AS (SELECT seq, {TKEY} AS item_key, {UHASH.format(u='url')} AS h, {XHASH} AS hx FROM doc),
@@ -388,7 +440,7 @@ FROM k LEFT JOIN c ON k.item_key = c.item_key LEFT JOIN i ON k.h = i.uh LEFT JOI
 O["corpus_union"] = f"""WITH {EV}, k AS (SELECT symbol, seq AS event_id, event_date, governance_flag, {UHASH.format(u='url')} AS h FROM ev), n AS (SELECT DISTINCT symbol, h FROM k WHERE event_id % 6 = 0),
 s AS (SELECT * FROM k WHERE event_id % 6 <> 0 AND governance_flag AND event_date BETWEEN DATE '{ad.EV_AS_OF}' - 20 AND DATE '{ad.EV_AS_OF}' AND NOT EXISTS (SELECT 1 FROM n WHERE n.symbol = k.symbol AND n.h = k.h))
 SELECT symbol, event_id FROM s QUALIFY row_number() OVER (PARTITION BY symbol, h ORDER BY event_date, event_id) = 1"""
-O["universe_added_removed"] = """WITH a AS (SELECT DISTINCT upper(trim(c_name)) AS symbol FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT DISTINCT upper(trim(c_name)) AS symbol FROM customer WHERE c_custkey % 3 = 0)
+O["universe_added_removed"] = """WITH a AS (SELECT DISTINCT upper(trim(c_name)) AS symbol FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT DISTINCT upper(trim(c_name)) AS symbol FROM customer WHERE c_custkey % 2 <> 0 OR c_custkey % 3 = 0)
 SELECT symbol, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT symbol, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
 O["universe_hash"] = "SELECT sha256(string_agg(s, chr(10) ORDER BY s)) AS universe_hash FROM (SELECT DISTINCT upper(n_name) AS s FROM nation)"
 ORD_ACT = f"ordact AS (SELECT *, CAST(NULL AS VARCHAR) AS ca_stage, CAST(NULL AS DOUBLE) AS ca_size_pct, CAST(NULL AS DOUBLE) AS ca_days_to_effective FROM ord)"
@@ -401,6 +453,11 @@ pf AS (SELECT symbol, sector, CASE WHEN note IS NULL THEN weighted_mean END AS s
   governance_score, governance_label, coalesce(risk_score, 0.0) AS risk_score, coalesce(opportunity_score, 0.0) AS opportunity_score, coalesce(risk_band, 'Log') AS risk_band, coalesce(n_events, 0) AS n_events, coalesce(n_events, 0) < 3 OR note IS NOT NULL OR collapsed AS low_confidence, note
   FROM (SELECT *, coalesce(ins, CASE WHEN n IS NULL THEN 'no evidence' END) AS note FROM pf0))"""
 O["score_portfolio"] = f"WITH {PORTFOLIO} SELECT * REPLACE (round(sentiment_mean, 6) AS sentiment_mean, round(raw_mean, 6) AS raw_mean, round(risk_score, 6) AS risk_score, round(opportunity_score, 6) AS opportunity_score) FROM pf"
+O["narration"] = f"""WITH {PORTFOLIO}, {TERMS}, sd AS (SELECT *, CASE WHEN push > 0 THEN 'up' ELSE 'down' END AS side FROM terms WHERE counted AND push <> 0),
+dr AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY abs(push) DESC, seq) <= 3),
+tp AS (SELECT symbol, string_agg(line, '; ' ORDER BY k, line) AS pushes FROM (SELECT symbol, -abs(push) AS k, event_type || ' ' || format('{{:,.2f}}', push) AS line FROM dr) GROUP BY symbol)
+SELECT pf.symbol, pf.symbol || ': ' || CASE WHEN sentiment_band IS NULL THEN 'Sentiment not scored: ' || coalesce(note, '') ELSE 'Sentiment ' || CAST(sentiment_band AS VARCHAR) END
+  || '. Governance ' || governance_label || '. Action risk ' || risk_band || '.' || coalesce(' Pushes: ' || pushes || '.', '') AS commentary FROM pf LEFT JOIN tp ON pf.symbol = tp.symbol"""
 O["portfolio_facts"] = f"""WITH {PORTFOLIO} SELECT count(*) AS n, {", ".join(f"count(*) FILTER (sentiment_band = {k}) AS {x}" for k, x in ((-2, 'm2'), (-1, 'm1'), (0, 'zero'), (1, 'p1'), (2, 'p2')))},
 count(*) FILTER (sentiment_band IS NULL) AS unscored, {", ".join(f"count(*) FILTER (governance_label = '{x}') AS {x.lower()}" for x in ('Clean', 'Watch', 'Flag'))}, {", ".join(f"count(*) FILTER (risk_band = '{x}') AS risk_{x.lower()}" for x in ('Review', 'Act', 'Exit'))},
 count(*) FILTER (low_confidence) AS low_confidence FROM pf"""
@@ -412,7 +469,7 @@ UNION ALL SELECT symbol, 'action', seq, event_type, round(score, 6), NULL FROM s
 SPLIT_A, SPLIT_B = governed("ea", ad.EV_AS_OF), governed("eb", ad.EV_AS_OF)
 for _cte in ("gb", "gk", "gp", "gt", "al", "ap", "gs", "gm", "gv0", "gv"):
     SPLIT_B = SPLIT_B.replace(f"{_cte} AS", f"{_cte}2 AS").replace(f"FROM {_cte})", f"FROM {_cte}2)").replace(f"FROM {_cte} ", f"FROM {_cte}2 ").replace(f"JOIN {_cte} ", f"JOIN {_cte}2 ").replace(f"{_cte}.", f"{_cte}2.")
-O["label_split"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE seq % 2 = 0), eb AS (SELECT * FROM ev WHERE seq % 3 = 0), {SPLIT_A}, {SPLIT_B},
+O["label_split"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE seq % 2 = 0), eb AS (SELECT * FROM ev WHERE seq % 2 <> 0 OR seq % 3 = 0), {SPLIT_A}, {SPLIT_B},
 x AS (SELECT governance_label AS label, count(*) AS n FROM gv GROUP BY 1), y AS (SELECT governance_label AS label, count(*) AS n_before FROM gv2 GROUP BY 1), t AS (SELECT sum(n) AS total FROM x),
 j AS (SELECT coalesce(x.label, y.label) AS label, coalesce(n, 0) AS n, coalesce(n_before, 0) AS n_before FROM x FULL OUTER JOIN y ON x.label = y.label)
 SELECT label, n, n_before, round(n / total, 6) AS share, (label = 'Clean' AND n / total >= 0.6) OR (label = 'Flag' AND n / total >= 0.3) AS noted FROM j, t"""

@@ -94,13 +94,13 @@ def sector_pooled_mean(spark, d):
 
 @query
 def evidence_standard(spark, d):
-    rows = orders(spark, d).where("published > DATE '2000-08-01'").withColumn("symbol", F.concat_ws("/", "symbol", "sector"))
+    rows = orders(spark, d).where("win is not null").withColumn("symbol", F.concat_ws("/", "symbol", "sector"))
     return sentiment.evidence_standard(rows, ["symbol"]).select("symbol", "n", "n_results", F.size("windows").alias("n_windows"), "first", "last", "span_days", "event_mode", "insufficient", "collapsed")
 
 
 @query
 def coverage_map(spark, d):
-    return sentiment.coverage(orders(spark, d).where("published > DATE '2000-08-01'"), day(ad.ORD_AS_OF), ["symbol"])
+    return sentiment.coverage(orders(spark, d).where("win is not null"), day(ad.ORD_AS_OF), ["symbol"])
 
 
 @query
@@ -170,7 +170,7 @@ def latest_n(spark, d):
 @query
 def gov_candidates(spark, d):
     rows = docs(spark, d)
-    return sample.governance_candidates(sample.unseen(rows.where("seq % 3 <> 0"), rows.where("seq % 7 = 0")), day(ad.DOC_AS_OF)).select("symbol", "seq", "win")
+    return sample.governance_candidates(sample.unseen(rows, rows.where("seq % 7 = 0")), day(ad.DOC_AS_OF)).select("symbol", "seq", "win")
 
 
 @query
@@ -186,7 +186,7 @@ def results_anchors(spark, d):
 
 @query
 def month_histogram(spark, d):
-    return sample.month_histogram(docs(spark, d).where("published > DATE '2024-06-15'"), "2024-01-01", "2024-12-31")
+    return sample.month_histogram(docs(spark, d), "2023-11-01", "2024-12-31")
 
 
 @query
@@ -301,9 +301,7 @@ def action_event_score(spark, d):
 
 @query
 def action_risk_opportunity(spark, d):
-    out = actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
-    # products of short decimals end in exact halves of the sixth place, which engines round either way
-    return out.withColumns({c: F.col(c) + 1e-9 for c in ("risk_score", "opportunity_score")})
+    return actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
 
 
 @query
@@ -378,7 +376,7 @@ def backtest_weekly(spark, d):
 def halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = orders(spark, d)
     mean = lambda x: sentiment.weighted_mean(x, day(ad.ORD_AS_OF), ["symbol"]).select("symbol", "weighted_mean", F.col("weighted_band").cast("double").alias("band"))
-    return mean(rows.where("seq % 2 = 0 and symbol <> 'FRANCE'")), mean(rows.where("seq % 3 <> 0 and symbol <> 'CHINA'"))
+    return mean(rows.where(ad.RUN_A)), mean(rows.where(ad.RUN_B))
 
 
 @query
@@ -402,7 +400,7 @@ def run_agreement(spark, d):
 @query
 def run_merge(spark, d):
     rows = orders(spark, d)
-    return corpus.merge(rows.where("seq % 2 = 0"), rows.where("seq % 3 = 0")).select("symbol", "seq", "url")
+    return corpus.merge(rows.where("seq % 2 = 0"), rows.where("seq % 2 <> 0 OR seq % 3 = 0")).select("symbol", "seq", "url")
 
 
 @query
@@ -414,8 +412,8 @@ def run_verify(spark, d):
 @query
 def penalty_changes(spark, d):
     pens = lambda x: governance.penalties(x, day(ad.EV_AS_OF), dedupe=False)
-    rows = events(spark, d).where("penalty_override is null")
-    return corpus.penalty_changes(pens(rows.where("seq % 2 = 0")), pens(rows.where("seq % 3 = 0")))
+    rows = events(spark, d)
+    return corpus.penalty_changes(pens(rows.where("seq % 2 = 0")), pens(rows.where("seq % 2 <> 0 OR seq % 3 = 0")))
 
 
 @query
@@ -443,7 +441,7 @@ def corpus_union(spark, d):
 @query
 def universe_added_removed(spark, d):
     rows = ad.view(spark, d, "SELECT c_name AS symbol, c_custkey FROM {customer}")
-    return corpus.universe_changes(rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 3 = 0"))
+    return corpus.universe_changes(rows.where("c_custkey % 2 = 0"), rows.where("c_custkey % 2 <> 0 OR c_custkey % 3 = 0"))
 
 
 @query
@@ -479,7 +477,7 @@ def portfolio_facts(spark, d):
 def label_split(spark, d):
     gov = lambda x: governance.governance(x, x, day(ad.EV_AS_OF), dedupe=False)
     rows = events(spark, d)
-    return score.label_split(gov(rows.where("seq % 2 = 0")), gov(rows.where("seq % 3 = 0")))
+    return score.label_split(gov(rows.where("seq % 2 = 0")), gov(rows.where("seq % 2 <> 0 OR seq % 3 = 0")))
 
 
 @query
@@ -499,6 +497,6 @@ def anomaly_proposals(spark, d):
 def review_queue(spark, d):
     risk = actions.risk_opportunity(actions.event_scores(actions.unique_actions(acts(spark, d)), day(ad.ACT_AS_OF)))
     weights = ad.view(spark, d, "SELECT p_partkey AS symbol, p_retailprice AS weight FROM {part}")
-    return actions.review_queue(risk, weights).withColumns({c: F.col(c) + 1e-9 for c in ("risk_score", "priority")})  # as in action_risk_opportunity
+    return actions.review_queue(risk, weights)
 
 
