@@ -174,3 +174,37 @@ def test_rubric_overrides_change_the_hash():
     a, b = load_rubric(), load_rubric({"governance": {"penalties": {"pledge": {"low": -1}}}})
     assert a.sha != b.sha and b["governance"]["penalties"]["pledge"] == {"low": -1, "medium": -5, "high": -10}
     assert a["governance"]["penalties"]["pledge"]["low"] == 0
+
+
+def test_rounding_is_the_double_s_own(spark):
+    """Against the language's own rounding, exact halves and near halves included."""
+    from tidemark.functions.rounding import half_even
+
+    rng = random.Random(5)
+    values = [2.675, 0.125, 0.375, 1.005, 2.5, 9.995, 0.0, 10.0, 4.35, -2.675, -0.125, *[k / 1000 + 0.005 for k in range(3000)], *[rng.random() * 10 for _ in range(3000)], *[k / 8 for k in range(90)]]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(values)] + [(-1, None)], "k long, x double").withColumn("y", half_even(F.col("x"))).collect()
+    assert all(r.y == (None if r.x is None else round(r.x, 2)) for r in rows)
+
+
+ACTS = "symbol string, seq long, published date, event_type string, title string, sentiment int, kind string"
+
+
+def test_an_undated_action_stands_for_all_of_its_kind(spark):
+    day = lambda s: date.fromisoformat(s) if s else None
+    rows = [("A", 1, None), ("A", 2, "2024-01-01"), ("A", 3, "2024-12-01"), ("B", 4, "2024-01-01"), ("B", 5, "2024-01-20"), ("B", 6, "2024-03-30"), ("C", 7, None), ("C", 8, None)]
+    df = spark.createDataFrame([(s, k, day(d), "buyback", "Buyback of Rs 5", 1, "news") for s, k, d in rows], ACTS)
+    assert sorted(r.seq for r in actions.unique_actions(df).collect()) == [1, 4, 6, 7]
+
+
+def test_action_scores_by_hand(spark):
+    """Each event's score and the combined one have two places: 1 - (1 - .38)(1 - .24)(1 - .2) and the like."""
+    rows = [("A", 1, 0, "dividend", "Rs 1"), ("A", 2, 40, "pledge", "Rs 2"), ("A", 3, 100, "buyback", "Rs 3"), ("B", 4, 10, "dilution", "Rs 4")]
+    df = spark.createDataFrame([(s, k, DAY - timedelta(days=old), et, t, -1, "news") for s, k, old, et, t in rows], ACTS)
+    scored = actions.event_scores(df, as_of())
+    got = {r.seq: r.score for r in scored.collect()}
+    # severity x stage (board approved 0.6) x timing (0.5 ^ (age / half-life), 0.1 at least) x size 1
+    want = {1: round(4 * 0.6, 2), 2: round(7 * 0.6 * 0.5 ** (40 / 180), 2), 3: round(5 * 0.6 * max(0.1, 0.5 ** (100 / 30)), 2), 4: round(6 * 0.6 * 0.5 ** (10 / 90), 2)}
+    assert got == want
+    risk = {r.symbol: r.risk_score for r in actions.risk_opportunity(scored).collect()}
+    both = (1 - want[3] / 10) * (1 - want[2] / 10) * (1 - want[1] / 10)
+    assert risk == {"A": round(10 * (1 - both), 2), "B": round(10 * (1 - (1 - want[4] / 10)), 2)}

@@ -54,7 +54,7 @@ def balance(evidence: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> DataFram
 
 def payload(evidence: DataFrame, scores: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> DataFrame:
     """What a narrator is given for each holding, as JSON, and its hash, by which commentary can be kept."""
-    d = sentiment.drivers(evidence, as_of, 3, r).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "event_type", "sentiment", F.round("push", 6).alias("push")))).alias("drivers"))
+    d = sentiment.drivers(evidence, as_of, 3, r).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("side", "rank", "event_type", "sentiment", F.format_string("%.4f", "push").alias("push")))).alias("drivers"))
     b = balance(evidence, as_of, r).select("symbol", "balance")
     rows = scores.join(d, "symbol", "left").join(b, "symbol", "left")
     text = F.to_json(F.struct("symbol", "sentiment_band", "governance_label", "risk_band", "balance", "drivers"))

@@ -44,7 +44,7 @@ SELECT o.o_orderkey AS seq, n.n_name AS symbol, c.c_mktsegment AS sector, CAST(n
   CASE WHEN o.o_orderkey % 50 = 0 THEN '' ELSE concat('https://example.org/a/', CAST(o.o_orderkey % 4001 AS VARCHAR(20))) END AS url,
   CASE WHEN o.o_orderkey % 9 = 0 THEN NULL ELSE CAST(o.o_orderkey % 7 AS DOUBLE) / 8.0 + 0.25 END AS confidence, {pick("o.o_custkey", ["T1", "T2", "T3", "T4"])} AS max_tier,
   CASE WHEN o.o_orderkey % 4 = 0 THEN CAST(o.o_orderkey % 40 AS DOUBLE) END AS amount_inr_cr, (o.o_orderkey % 13 = 4) AS historical,
-  (o.o_orderkey % 3 <> 1) AS governance_flag, (o.o_orderkey % 17 <> 3) AS occurred_at_company, CASE WHEN o.o_orderkey % 301 = 0 THEN CAST(-3.0 AS DOUBLE) END AS penalty_override
+  {pick("o.o_orderkey", ["key-one", None, None, None, "key-two", None, None])} AS event_key, (o.o_orderkey % 3 <> 1) AS governance_flag, (o.o_orderkey % 17 <> 3) AS occurred_at_company, CASE WHEN o.o_orderkey % 301 = 0 THEN CAST(-3.0 AS DOUBLE) END AS penalty_override
 FROM {{orders}} o JOIN {{customer}} c ON o.o_custkey = c.c_custkey JOIN {{nation}} n ON c.c_nationkey = n.n_nationkey
 """
 

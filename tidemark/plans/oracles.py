@@ -445,23 +445,23 @@ SELECT symbol, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) U
 O["universe_hash"] = "SELECT sha256(string_agg(s, chr(10) ORDER BY s)) AS universe_hash FROM (SELECT DISTINCT upper(n_name) AS s FROM nation)"
 ORD_ACT = f"ordact AS (SELECT *, CAST(NULL AS VARCHAR) AS ca_stage, CAST(NULL AS DOUBLE) AS ca_size_pct, CAST(NULL AS DOUBLE) AS ca_days_to_effective FROM ord)"
 PORTFOLIO = f"""{ORD}, {weighted('ord', 'symbol')}, hold AS (SELECT symbol, min(sector) AS sector FROM ord GROUP BY symbol), rawm AS (SELECT symbol, coalesce(avg(nullif(sentiment, 0)), avg(sentiment)) AS x FROM ord WHERE {FEEDS} GROUP BY symbol),
-{STANDARD.format(rows='ord')}, {governed('ord', ad.ORD_AS_OF)}, {ORD_ACT}, {unique('ordact')}, {scored('uq', ad.ORD_AS_OF)}, {risked()},
+{STANDARD.format(rows='ord')}, {governed('ord', ad.ORD_AS_OF, True)}, {ORD_ACT}, {unique('ordact')}, {scored('uq', ad.ORD_AS_OF)}, {risked()},
 {POOL}, {weighted('pool', 'sector').replace('sums AS', 'sums_s AS').replace('FROM sums)', 'FROM sums_s)').replace('wm0 AS', 'wm0_s AS').replace('FROM wm0)', 'FROM wm0_s)').replace('wm AS', 'wm_s AS')},
 pf0 AS (SELECT h.symbol, h.sector, wm.weighted_mean, rawm.x, wm_s.weighted_mean AS sm, gv.governance_score, gv.governance_label, rk.risk_score, rk.opportunity_score, rk.risk_band, wm.n_events, nullif(st2.insufficient, '') AS ins, st2.n, coalesce(st2.span_days < 270, false) AS collapsed
   FROM hold h LEFT JOIN wm ON h.symbol = wm.symbol LEFT JOIN rawm ON h.symbol = rawm.symbol LEFT JOIN st2 ON h.symbol = st2.symbol LEFT JOIN gv ON h.symbol = gv.symbol LEFT JOIN rk ON h.symbol = rk.symbol LEFT JOIN wm_s ON h.sector = wm_s.sector),
 pf AS (SELECT symbol, sector, CASE WHEN note IS NULL THEN weighted_mean END AS sentiment_mean, CASE WHEN note IS NULL THEN {band('weighted_mean')} END AS sentiment_band, x AS raw_mean, {band('x')} AS raw_band, {band('sm')} AS sector_sentiment,
   governance_score, governance_label, coalesce(risk_score, 0.0) AS risk_score, coalesce(opportunity_score, 0.0) AS opportunity_score, coalesce(risk_band, 'Log') AS risk_band, coalesce(n_events, 0) AS n_events, coalesce(n_events, 0) < 3 OR note IS NOT NULL OR collapsed AS low_confidence, note
   FROM (SELECT *, coalesce(ins, CASE WHEN n IS NULL THEN 'no evidence' END) AS note FROM pf0))"""
-O["score_portfolio"] = f"WITH {PORTFOLIO} SELECT * REPLACE (round(sentiment_mean, 6) AS sentiment_mean, round(raw_mean, 6) AS raw_mean, round(risk_score, 6) AS risk_score, round(opportunity_score, 6) AS opportunity_score) FROM pf"
-O["narration"] = f"""WITH {PORTFOLIO}, {TERMS}, sd AS (SELECT *, CASE WHEN push > 0 THEN 'up' ELSE 'down' END AS side FROM terms WHERE counted AND push <> 0),
+O["score_portfolio"] = f"WITH RECURSIVE {PORTFOLIO} SELECT * REPLACE (round(sentiment_mean, 6) AS sentiment_mean, round(raw_mean, 6) AS raw_mean, round(risk_score, 6) AS risk_score, round(opportunity_score, 6) AS opportunity_score) FROM pf"
+O["narration"] = f"""WITH RECURSIVE {PORTFOLIO}, {TERMS}, sd AS (SELECT *, CASE WHEN push > 0 THEN 'up' ELSE 'down' END AS side FROM terms WHERE counted AND push <> 0),
 dr AS (SELECT * FROM sd QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY abs(push) DESC, seq) <= 3),
 tp AS (SELECT symbol, string_agg(line, '; ' ORDER BY k, line) AS pushes FROM (SELECT symbol, -abs(push) AS k, event_type || ' ' || format('{{:,.2f}}', push) AS line FROM dr) GROUP BY symbol)
 SELECT pf.symbol, pf.symbol || ': ' || CASE WHEN sentiment_band IS NULL THEN 'Sentiment not scored: ' || coalesce(note, '') ELSE 'Sentiment ' || CAST(sentiment_band AS VARCHAR) END
   || '. Governance ' || governance_label || '. Action risk ' || risk_band || '.' || coalesce(' Pushes: ' || pushes || '.', '') AS commentary FROM pf LEFT JOIN tp ON pf.symbol = tp.symbol"""
-O["portfolio_facts"] = f"""WITH {PORTFOLIO} SELECT count(*) AS n, {", ".join(f"count(*) FILTER (sentiment_band = {k}) AS {x}" for k, x in ((-2, 'm2'), (-1, 'm1'), (0, 'zero'), (1, 'p1'), (2, 'p2')))},
+O["portfolio_facts"] = f"""WITH RECURSIVE {PORTFOLIO} SELECT count(*) AS n, {", ".join(f"count(*) FILTER (sentiment_band = {k}) AS {x}" for k, x in ((-2, 'm2'), (-1, 'm1'), (0, 'zero'), (1, 'p1'), (2, 'p2')))},
 count(*) FILTER (sentiment_band IS NULL) AS unscored, {", ".join(f"count(*) FILTER (governance_label = '{x}') AS {x.lower()}" for x in ('Clean', 'Watch', 'Flag'))}, {", ".join(f"count(*) FILTER (risk_band = '{x}') AS risk_{x.lower()}" for x in ('Review', 'Act', 'Exit'))},
 count(*) FILTER (low_confidence) AS low_confidence FROM pf"""
-O["score_workings"] = f"""WITH {ORD}, {TERMS}, {weighted('ord', 'symbol')}, {applied('ord', ad.ORD_AS_OF)}, {ORD_ACT}, {unique('ordact')}, {scored('uq', ad.ORD_AS_OF)}
+O["score_workings"] = f"""WITH RECURSIVE {ORD}, {TERMS}, {weighted('ord', 'symbol')}, {applied('ord', ad.ORD_AS_OF, True)}, {ORD_ACT}, {unique('ordact')}, {scored('uq', ad.ORD_AS_OF)}
 SELECT symbol, CASE WHEN counted THEN 'sentiment term' ELSE 'not counted' END AS part, seq, event_type AS label, round(push, 6) AS value, NULL::DOUBLE AS running FROM terms
 UNION ALL SELECT symbol, 'sentiment mean', NULL, '', round(weighted_mean, 6), NULL FROM wm
 UNION ALL SELECT symbol, 'penalty', seq, event_type, eff, {RUNNING} FROM ap UNION ALL SELECT symbol, 'not penalised', seq, bucket, NULL, NULL FROM gt WHERE penalty IS NULL
@@ -473,7 +473,7 @@ O["label_split"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE seq % 2 = 0), eb
 x AS (SELECT governance_label AS label, count(*) AS n FROM gv GROUP BY 1), y AS (SELECT governance_label AS label, count(*) AS n_before FROM gv2 GROUP BY 1), t AS (SELECT sum(n) AS total FROM x),
 j AS (SELECT coalesce(x.label, y.label) AS label, coalesce(n, 0) AS n, coalesce(n_before, 0) AS n_before FROM x FULL OUTER JOIN y ON x.label = y.label)
 SELECT label, n, n_before, round(n / total, 6) AS share, (label = 'Clean' AND n / total >= 0.6) OR (label = 'Flag' AND n / total >= 0.3) AS noted FROM j, t"""
-O["anomaly_proposals"] = f"""WITH {PORTFOLIO}, pr(kind, key) AS (
+O["anomaly_proposals"] = f"""WITH RECURSIVE {PORTFOLIO}, pr(kind, key) AS (
 SELECT 'benign_people_penalised', concat(symbol, '|', seq) FROM ap WHERE event_type = 'management_exit' AND coalesce(role_tier, '') <> 'cxo_cs_cfo_compliance'
 UNION SELECT 'immaterial_heavy_penalty', concat(symbol, '|', seq) FROM ap WHERE coalesce(materiality, '') = 'low' AND eff <= -15
 UNION SELECT 'collapsed_window', symbol FROM st2 WHERE span_days < 270 AND insufficient = '' UNION SELECT 'insufficient_data', symbol FROM st2 WHERE insufficient <> ''
@@ -484,6 +484,35 @@ UNION SELECT 'label_failures', 'run' FROM ord HAVING avg(CASE WHEN seq % 7 = 0 T
 SELECT kind, key, concat('L-', substr(sha1(concat(kind, '|', key)), 1, 8)) AS lesson_id FROM pr"""
 
 
+def zscore(c: str) -> str:
+    m, sd = f"(SELECT avg({c}) FROM pf)", f"(SELECT stddev_pop({c}) FROM pf)"
+    return f"round(CASE WHEN {c} IS NULL OR (SELECT count({c}) FROM pf) < 2 THEN NULL WHEN {sd} = 0 THEN 0.0 ELSE (least(greatest({c}, {m} - 3 * {sd}), {m} + 3 * {sd}) - {m}) / {sd} END, 6) AS {c}_z"
+
+
+O["view_scorecard"] = f"WITH RECURSIVE {PORTFOLIO} SELECT symbol, sentiment_band, governance_score, {zscore('sentiment_mean')}, {zscore('governance_score')}, {zscore('risk_score')}, DATE '{ad.ORD_AS_OF}' AS as_of FROM pf"
+O["view_articles"] = f"""WITH {DOC}, {CAPPED}, vd AS (SELECT symbol, seq, win, {REASON} AS why FROM sampled),
+va AS (SELECT *, min(seq) OVER (PARTITION BY symbol, seq // 5) AS survivor FROM vd WHERE why IS NULL)
+SELECT symbol, seq, win, 'dropped' AS state, why FROM vd WHERE why IS NOT NULL UNION ALL SELECT symbol, seq, win, 'kept', NULL FROM va WHERE seq = survivor
+UNION ALL SELECT symbol, seq, win, 'merged', 'into ' || CAST(survivor AS VARCHAR) FROM va WHERE seq <> survivor"""
+O["view_governance"] = f"""WITH RECURSIVE {EV}, {applied('ev', ad.EV_AS_OF, True)}
+SELECT gt.symbol, gt.seq, gt.event_type, CASE WHEN ap.eff IS NOT NULL THEN 'penalised' WHEN gt.penalty IS NULL THEN gt.bucket WHEN gt.historical THEN 'out of window' ELSE 'counted once' END AS state, gt.penalty, ap.eff
+FROM gt LEFT JOIN ap ON gt.symbol = ap.symbol AND gt.seq = ap.seq"""
+O["view_actions"] = f"""WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)} SELECT symbol, seq, CASE WHEN substance = 'passing' THEN 'passing' WHEN tracked_only THEN 'tracked' WHEN gate_b THEN 'quarantined' ELSE 'scored' END AS state,
+CAST(pts AS DOUBLE) AS severity_points, stage, score, direction, gate_a FROM sc"""
+O["view_coverage"] = f"""WITH {DOC}, {CAPPED}, vd AS (SELECT symbol, {REASON} AS why FROM sampled), h AS (SELECT DISTINCT symbol FROM doc),
+vc AS (SELECT h.symbol, count(vd.symbol) FILTER (why IS NULL) AS kept, count(why) AS dropped FROM h LEFT JOIN vd ON h.symbol = vd.symbol GROUP BY h.symbol)
+SELECT symbol, kept, dropped FROM vc UNION ALL SELECT 'PORTFOLIO', CAST(sum(kept) AS BIGINT), CAST(sum(dropped) AS BIGINT) FROM vc"""
+BALANCE = """bl AS (SELECT symbol, avg(CASE WHEN sentiment > 0 THEN 1.0 ELSE 0.0 END) AS positive_share, count(*) AS n FROM terms WHERE counted AND sentiment <> 0 GROUP BY symbol),
+bn AS (SELECT *, CASE WHEN positive_share >= 0.75 THEN 'clearly positive' WHEN positive_share >= 0.58 THEN 'mostly positive' WHEN positive_share >= 0.42 THEN 'balanced' WHEN positive_share >= 0.25 THEN 'mostly negative' ELSE 'clearly negative' END AS balance FROM bl)"""
+O["view_balance"] = f"WITH {ORD}, {TERMS}, {BALANCE} SELECT symbol, round(positive_share, 6) AS positive_share, n, balance FROM bn"
+FIELD = lambda name, c, text=True: f"""CASE WHEN {c} IS NULL THEN NULL ELSE '"{name}":' || {f"to_json({c})" if text else f"CAST({c} AS VARCHAR)"} END"""
+O["view_payload"] = f"""WITH RECURSIVE {PORTFOLIO}, {TERMS}, {BALANCE}, sd AS (SELECT *, CASE WHEN push > 0 THEN 'up' ELSE 'down' END AS side FROM terms WHERE counted AND push <> 0),
+dr AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(push) DESC, seq) AS rank FROM sd QUALIFY rank <= 3),
+dj AS (SELECT symbol, '"drivers":[' || string_agg('{{"side":"' || side || '","rank":' || rank || ',"event_type":"' || event_type || '","sentiment":' || sentiment || ',"push":"' || printf('%.4f', push) || '"}}', ',' ORDER BY side, rank) || ']' AS drivers FROM dr GROUP BY symbol),
+pj AS (SELECT pf.symbol, '{{' || concat_ws(',', {FIELD('symbol', 'pf.symbol')}, {FIELD('sentiment_band', 'sentiment_band', False)}, {FIELD('governance_label', 'governance_label')}, {FIELD('risk_band', 'risk_band')}, {FIELD('balance', 'balance')}, drivers) || '}}' AS payload
+  FROM pf LEFT JOIN dj ON pf.symbol = dj.symbol LEFT JOIN bn ON pf.symbol = bn.symbol) SELECT symbol, payload, sha256(payload) AS payload_hash FROM pj"""
+
+
 def plain(x: str) -> str:
     out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
     for name, raw in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):

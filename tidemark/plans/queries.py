@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import timing as tm
-from ..operators import actions, cluster, corpus, governance, label, market, sample, score, sentiment
+from ..operators import actions, cluster, corpus, governance, label, market, sample, score, sentiment, views
 from ..sources.fulltext import extract
 from . import adapters as ad
 from .rubric import load_rubric
@@ -455,22 +456,26 @@ def drop_counts_total(spark, d):
     return score.drop_totals(rows)
 
 
-@query
-def score_portfolio(spark, d):
+def portfolio(spark: SparkSession, d: str) -> DataFrame:
     rows = orders(spark, d)
     holdings = rows.groupBy("symbol").agg(F.min("sector").alias("sector"))
-    return score.score_portfolio(holdings, rows, day(ad.ORD_AS_OF), dedupe=False)
+    return score.score_portfolio(holdings, rows, day(ad.ORD_AS_OF))
+
+
+@query
+def score_portfolio(spark, d):
+    return portfolio(spark, d)
 
 
 @query
 def score_workings(spark, d):
     rows = orders(spark, d)
-    return score.workings(rows, rows, day(ad.ORD_AS_OF), dedupe=False)
+    return score.workings(rows, rows, day(ad.ORD_AS_OF))
 
 
 @query
 def portfolio_facts(spark, d):
-    return score.portfolio_facts(QUERIES["score_portfolio"](spark, d))
+    return score.portfolio_facts(portfolio(spark, d))
 
 
 @query
@@ -482,15 +487,15 @@ def label_split(spark, d):
 
 @query
 def narration(spark, d):
-    return score.narration(QUERIES["score_portfolio"](spark, d), sentiment.drivers(orders(spark, d), day(ad.ORD_AS_OF)))
+    return score.narration(portfolio(spark, d), sentiment.drivers(orders(spark, d), day(ad.ORD_AS_OF)))
 
 
 @query
 def anomaly_proposals(spark, d):
     rows = orders(spark, d)
-    applied = governance.penalties(rows, day(ad.ORD_AS_OF), dedupe=False)
+    applied = governance.penalties(rows, day(ad.ORD_AS_OF))
     standard = sentiment.evidence_standard(rows, ["symbol"])
-    return score.anomalies(QUERIES["score_portfolio"](spark, d), applied, rows, rows.withColumn("labelled", F.col("seq") % 7 != 0), standard)
+    return score.anomalies(portfolio(spark, d), applied, rows, rows.withColumn("labelled", F.col("seq") % 7 != 0), standard)
 
 
 @query
@@ -500,3 +505,41 @@ def review_queue(spark, d):
     return actions.review_queue(risk, weights)
 
 
+@query
+def view_scorecard(spark, d):
+    out = views.scorecard(portfolio(spark, d), day(ad.ORD_AS_OF))
+    return out.select("symbol", "sentiment_band", "governance_score", "sentiment_mean_z", "governance_score_z", "risk_score_z", "as_of")
+
+
+@query
+def view_articles(spark, d):
+    """Each group of five documents is one event here, told by its first kept row."""
+    rows = sample.drop_reasons(sample.stratified(docs(spark, d), day(ad.DOC_AS_OF)))
+    kept = rows.where("reason is null").withColumn("survivor", F.min("seq").over(Window.partitionBy("symbol", F.floor(F.col("seq") / 5))))
+    return views.articles_by_window(kept.where("seq = survivor"), rows.where("reason is not null"), kept.where("seq <> survivor")).select("symbol", "seq", "win", "state", "why")
+
+
+@query
+def view_governance(spark, d):
+    return views.governance_evidence(events(spark, d), day(ad.EV_AS_OF)).select("symbol", "seq", "event_type", "state", "penalty", "eff")
+
+
+@query
+def view_actions(spark, d):
+    return views.action_events(acts(spark, d), day(ad.ACT_AS_OF)).select("symbol", "seq", "state", "severity_points", "stage", "score", "direction", "gate_a")
+
+
+@query
+def view_coverage(spark, d):
+    rows = sample.drop_reasons(sample.stratified(docs(spark, d), day(ad.DOC_AS_OF)))
+    return views.coverage_rows(rows.where("reason is null"), rows.where("reason is not null"), docs(spark, d))
+
+
+@query
+def view_balance(spark, d):
+    return views.balance(orders(spark, d), day(ad.ORD_AS_OF))
+
+
+@query
+def view_payload(spark, d):
+    return views.payload(orders(spark, d), portfolio(spark, d), day(ad.ORD_AS_OF))
