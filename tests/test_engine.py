@@ -48,7 +48,7 @@ def test_run_replay_verify_and_merge(spark, data, tmp_path):
     assert merged == {s: r.governance_score for s, r in got.items()}
     with pytest.raises(ValueError, match="already"):
         e.run(holdings, items, "2026-07-01", run="2026-07-01_a")
-    test = e.backtest("2026-06-03", "2026-07-01")
+    test = e.backtest("2026-06-24", "2026-07-01")
     seen = {(r.as_of, r.symbol): r.n_events for r in test.collect()}
     assert seen[(date(2026, 7, 1), "BB")] >= seen.get((date(2026, 6, 24), "BB"), 0)
     new = e.relabel("2026-07-01_a", lambda d: d.withColumn("label", F.struct(F.lit("other").alias("event_type"), F.lit(0).alias("sentiment"))), holdings)
@@ -113,3 +113,92 @@ def test_run_id():
     from datetime import datetime
 
     assert run_id("2026-07-01", datetime(2026, 7, 3, 1, 2, 3, 4000)) == "2026-07-01_20260703T010203004"
+
+
+def counting(asked):
+    """The keyword labeller, which notes how many rows it is asked for."""
+    from tidemark.engine import keyword_labeller
+
+    def labeller(rows):
+        n = rows.count()
+        if n:
+            asked.append(n)
+        return keyword_labeller(rows)
+
+    return labeller
+
+
+def test_a_second_run_labels_nothing(spark, data, tmp_path):
+    holdings, items = data
+    e = Engine(spark, f"file://{tmp_path}/c")
+    asked = []
+    first = e.run(holdings, items, "2026-07-01", counting(asked), run="a")
+    assert len(asked) == 1 and asked[0] > 10
+    again = e.run(holdings, items, "2026-07-01", counting(asked), run="b")
+    assert len(asked) == 1
+    assert sorted(map(str, first.scores.collect())) == sorted(map(str, again.scores.collect()))
+    assert e.previous() == "b" and e.previous("b") == "a"
+    assert {r.symbol: r.drivers for r in e.drivers("a", "b", "2026-07-01").collect()} == {"AA": "agree", "BB": "agree", "CC": "agree"}
+    # another prompt's labels don't count
+    e.run(holdings, items, "2026-07-01", counting(asked), run="c", prompt="v2")
+    assert len(asked) == 2
+
+
+def test_stored_governance_joins_and_passes_are_united(spark, data, tmp_path):
+    holdings, items = data
+    e = Engine(spark, f"file://{tmp_path}/c")
+    e.run(holdings, items, "2026-07-01", run="a")
+    calm = items.where("title NOT LIKE '%resigns%'")
+    out = e.run(holdings, calm, "2026-07-01", run="b")
+    got = {r.symbol: r for r in out.scores.collect()}
+    assert got["AA"].governance_score == 92  # from the event that run a stored
+    assert [r.purpose for r in out.evidence.where("event_type = 'management_exit'").collect()] == ["governance"]
+    day = lambda n: DAY - timedelta(days=n)
+    row = lambda k, t, n: ("CC", k, t, "", f"http://reuters.com/c{k}", "reuters.com", day(n))
+    more = {
+        "results": spark.createDataFrame([row(9001, "Quiet Corp quarterly results: net profit jumps", 40), row(9002, "Quiet Corp opens a garden", 41)], ITEMS),
+        "governance": spark.createDataFrame([row(9003, "Quiet Corp CFO resigns abruptly", 90), row(9004, "Quiet Corp paints a wall", 91)], ITEMS),
+        "filings": spark.createDataFrame([row(9005, "Quiet Corp: outcome of board meeting on expansion plan", 12), row(9006, "Quiet Corp: Outcome of Board Meeting on expansion plan", 12)], ITEMS),
+        "actions": spark.createDataFrame([row(9007, "Quiet Corp dividend of Rs 5 per share", 20)], ITEMS),
+    }
+    out = Engine(spark, f"file://{tmp_path}/d").run(holdings, calm, "2026-07-01", run="a", more=more)
+    seen = {r.seq: (r.pass_, r.purpose, r.kind) for r in out.evidence.where("symbol = 'CC'").collect()}
+    assert seen[9001] == ("results", "sentiment", "news") and seen[9003] == ("governance", "governance", "news") and seen[9007] == ("actions", "sentiment", "action")
+    assert 9002 not in seen and 9004 not in seen and len({9005, 9006} & set(seen)) == 1
+
+
+def test_universe_lock_and_golden_gate(spark, data, tmp_path):
+    holdings, items = data
+    e = Engine(spark, f"file://{tmp_path}/c")
+    with pytest.raises(ValueError, match="CC added"):
+        e.run(holdings, items, "2026-07-01", run="a", locked=holdings.where("symbol <> 'CC'"))
+    bad = spark.createDataFrame([("g1", "penalise", -1.0, "regulatory_action", "company", "x fined")], "id string, expected string, expected_weight double, event_type string, subject string, title string")
+    with pytest.raises(ValueError, match="g1"):
+        e.run(holdings, items, "2026-07-01", run="a", golden=bad)
+    assert e.corpus.runs("events") == set()
+    e.run(holdings, items, "2026-07-01", run="a", locked=holdings.where("symbol <> 'CC'"), confirmed=True)
+    told = {r.symbol: (r.name, r.sector) for r in e.holdings_of(spark.createDataFrame([("AA",), ("ZZ",)], "symbol string")).collect()}
+    assert told == {"AA": ("Acme Forge", "Steel"), "ZZ": ("ZZ", "Unclassified")}
+
+
+def test_backtest_of_all_scores(spark, data, tmp_path):
+    holdings, items = data
+    e = Engine(spark, f"file://{tmp_path}/c")
+    out = e.run(holdings, items, "2026-07-01", run="a")
+    last = {r.symbol: r for r in e.backtest("2026-06-24", "2026-07-01").where("as_of = DATE '2026-07-01'").collect()}
+    for r in out.scores.where("symbol <> 'CC'").collect():
+        got = last[r.symbol]
+        assert (got.sentiment_mean, got.governance_score, got.risk_score, got.sector) == (pytest.approx(r.sentiment_mean), r.governance_score, r.risk_score, r.sector)
+
+
+def test_driver_codes(spark):
+    from tidemark.operators import corpus
+
+    s = "symbol string, sentiment_band int, governance_score double, note string, span_days int"
+    a = spark.createDataFrame([("A", 1, 100.0, None, 300), ("B", 1, 92.0, None, 300), ("C", 1, 92.0, None, 300), ("D", 1, 100.0, None, 300), ("E", 1, 100.0, None, 300), ("F", 1, 100.0, None, 300)], s)
+    b = spark.createDataFrame([("A", 1, 100.0, None, 300), ("B", 1, 100.0, None, 300), ("C", 1, 90.0, None, 300), ("D", 0, 100.0, None, 100), ("E", 0, 100.0, None, 290), ("G", 1, 100.0, None, 300)], s)
+    p = "symbol string, event_type string, eff double"
+    pa_, pb = spark.createDataFrame([("B", "pledge", -8.0), ("C", "pledge", -8.0)], p), spark.createDataFrame([("C", "pledge", -10.0)], p)
+    got = {r.symbol: r.drivers for r in corpus.driver_codes(a, b, pa_, pb).collect()}
+    assert got == {"A": "agree", "B": "C", "C": "M", "D": "R", "E": "L", "F": "U", "G": "U"}
+    assert {r.drivers for r in corpus.driver_codes(a, b, pa_, pb, linted=True).where("symbol = 'E'").collect()} == {"P"}

@@ -70,7 +70,7 @@ def backtest(events: DataFrame, manifests: DataFrame, start: str, end: str, step
     spark = events.sparkSession
     dates = spark.sql(f"SELECT explode(sequence(DATE '{start}', DATE '{end}', INTERVAL {step_days} DAY)) AS as_of")
     runs = manifests.where(F.coalesce("mode", F.lit("")) != "pit-replay").select("run_id", F.col("as_of").alias("__run_as_of"))
-    rows = events.join(F.broadcast(runs), "run_id")
+    rows = events.join(runs, "run_id")
     grace = F.date_add(F.col("as_of"), r["pit_grace_days"])
     seen = rows.join(F.broadcast(dates), (F.col("event_date") <= F.col("as_of")) & (F.col("__run_as_of") <= grace)).drop("__run_as_of")
     return score(latest_copy(seen, ["as_of"]), ["as_of"])
@@ -102,6 +102,41 @@ def diff(a: DataFrame, b: DataFrame, columns: list[str], tolerance: float = 1e-9
     return out.withColumn("code", code).drop("in_a", "in_b")
 
 
+def driver_codes(a: DataFrame, b: DataFrame, penalties_a: DataFrame, penalties_b: DataFrame, linted: bool = False) -> DataFrame:
+    """(symbol, drivers): what makes two runs differ, as "agree" or codes in a row.
+
+    Scores have sentiment_band, governance_score, note and span_days. U: only one run has the symbol. C: a penalty in
+    one run only. M: another weight of a penalty. For another sentiment band R: a run lacked evidence or the spans
+    differ by more than 90 days, else P: price language was taken out of a rationale (``linted``), else L: labels."""
+    cols = ("sentiment_band", "governance_score", "note", "span_days")
+    x, y = (rows.select("symbol", *[F.col(c).alias(f"{c}_{n}") for c in cols], F.lit(True).alias(f"in_{n}")) for rows, n in ((a, "a"), (b, "b")))
+    changed = penalty_changes(penalties_a, penalties_b).groupBy("symbol").agg(F.collect_set("change").alias("changes"))
+    out = x.join(y, "symbol", "full_outer").join(changed, "symbol", "left")
+    gov = ~F.col("governance_score_a").eqNullSafe(F.col("governance_score_b"))
+    has = lambda c: F.coalesce(F.array_contains("changes", c), F.lit(False))
+    lacks = F.concat(F.coalesce("note_a", F.lit("")), F.coalesce("note_b", F.lit("")))
+    reach = (lacks != "") | F.coalesce(F.abs(F.col("span_days_a") - F.col("span_days_b")) > 90, F.lit(False))
+    mood = ~F.col("sentiment_band_a").eqNullSafe(F.col("sentiment_band_b"))
+    codes = F.array_compact(
+        F.array(
+            F.when(gov & (has("only in a") | has("only in b")), "C"),
+            F.when(gov & has("changed"), "M"),
+            F.when(mood, F.when(reach, "R").when(F.lit(linted), "P").otherwise("L")),
+        )
+    )
+    one = F.col("in_a").isNull() | F.col("in_b").isNull()
+    return out.select("symbol", F.when(one, "U").when(F.size(codes) > 0, F.array_join(codes, "")).otherwise("agree").alias("drivers"))
+
+
+def stored_holdings(manifests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, name, sector): each symbol's holding as the newest manifest that lists it has it. Symbols that none
+    lists are named after themselves. Manifests have holdings, an array of (symbol, name, sector)."""
+    rows = manifests.select("run_id", F.inline("holdings"))
+    last = rows.groupBy("symbol").agg(F.max_by(F.struct("name", "sector"), "run_id").alias("x"))
+    out = symbols.select("symbol").distinct().join(last, "symbol", "left")
+    return out.select("symbol", F.coalesce("x.name", "symbol").alias("name"), F.coalesce("x.sector", F.lit("Unclassified")).alias("sector"))
+
+
 def agreement(diffed: DataFrame, columns: list[str]) -> DataFrame:
     both = diffed.where("code <> 'U'")
     return both.agg(F.count(F.lit(1)).alias("n_both"), *[F.avg(F.col(f"{c}_same").cast("double")).alias(f"{c}_agreement") for c in columns])

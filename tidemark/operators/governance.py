@@ -110,6 +110,8 @@ def family(et: Column, r: Rubric = DEFAULT) -> Column:
     return F.coalesce(lookup(et, r["governance"]["families"]), et)
 
 
+#: Parts a symbol from a date where scores of many dates are made at once.
+AT = "\x1f"
 SAME_EVENT = "symbol string, seq long, dup_of long"
 
 
@@ -120,7 +122,7 @@ def same_events(candidates: DataFrame, own_words: Column | None = None, r: Rubri
     meet within a family, so a group is a symbol's candidates of one family: flagged rows that passed the gate.
     """
     days = r["governance"]["dedupe_days"]
-    own = own_words if own_words is not None else F.array(F.lower("symbol"))
+    own = own_words if own_words is not None else F.array(F.lower(F.substring_index("symbol", AT, 1)))
     rows = candidates.select(
         "symbol", "seq", "published", "penalty", family(F.col("event_type"), r).alias("family"),
         F.regexp_replace(F.lower(F.coalesce("event_key", F.lit(""))), "[^a-z0-9]", "").alias("k"),

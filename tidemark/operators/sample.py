@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import is_boilerplate, title_key, url_norm
+from ..functions.text import governance_title, is_boilerplate, title_key, url_norm
 from ..functions.timing import window_of
 from ..plans.rubric import DEFAULT, Rubric
 
@@ -106,7 +106,7 @@ def stratified(items: DataFrame, as_of: Column, capped: bool = True, r: Rubric =
 
 
 def drop_reasons(sampled: DataFrame) -> DataFrame:
-    """Why a row of the sampler isn't used, null if it is."""
+    """Why a row of the sampler isn't used, null if it is or rides on a day's event as an extra source."""
     why = (
         F.when(F.col("status") == "unusable", "title does not name the company")
         .when(F.col("status") == "boilerplate", "boilerplate headline")
@@ -116,6 +116,18 @@ def drop_reasons(sampled: DataFrame) -> DataFrame:
     return sampled.withColumn("reason", why)
 
 
+def articles_seen(items: DataFrame, sampled: DataFrame) -> DataFrame:
+    """(symbol, seq, reason) for every item that came in, in the published order of reasons: a copy of a headline that
+    is used, a title that doesn't name the company, boilerplate, outside the lookback, over budget. Copies of a
+    headline that isn't used have its reason. Used rows have none, and extras say that they are."""
+    key = F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), F.col("url"), F.lit(""))
+    told = drop_reasons(sampled).select("symbol", key.alias("__t"), F.col("seq").alias("__head"), "status", "reason")
+    rows = items.select("symbol", "seq", key.alias("__t")).join(told, ["symbol", "__t"])
+    used = F.col("status").isin("selected", "extra")
+    why = F.when(used & (F.col("seq") != F.col("__head")), "syndicated copy").when(F.col("status") == "extra", "extra of its day").otherwise(F.col("reason"))
+    return rows.select("symbol", "seq", why.alias("reason"))
+
+
 def latest(items: DataFrame, cap: int) -> DataFrame:
     """The newest ``cap`` titles of each symbol, those that name the company first."""
     rows = collapse_titles(items)
@@ -134,6 +146,19 @@ def unseen(items: DataFrame, exclude: DataFrame) -> DataFrame:
     return rows.drop("__u", "__t")
 
 
+def governance_pass(items: DataFrame, exclude: DataFrame, as_of: Column, quotas: list[int] | None = None, r: Rubric = DEFAULT) -> DataFrame:
+    """Candidates for governance: titles with one of its keywords that no excluded row has, within the quotas."""
+    return governance_candidates(unseen(items.where(governance_title(F.col("title"))), exclude), as_of, quotas, r)
+
+
+def unique_filings(items: DataFrame) -> DataFrame:
+    """Filings of one symbol, day and first 80 characters of the title's key once, the first by seq."""
+    rest = [c for c in items.columns if c not in ("symbol", "published")]
+    key = F.substring(title_key(F.col("title")), 1, 80)
+    out = items.withColumn("__k", key).groupBy("symbol", "published", "__k").agg(F.min_by(F.struct(*rest), "seq").alias("x"))
+    return out.select("symbol", "published", "x.*").select(*items.columns)
+
+
 def governance_candidates(items: DataFrame, as_of: Column, quotas: list[int] | None = None, r: Rubric = DEFAULT) -> DataFrame:
     """Rows of four windows up to quotas, with the same carries as the sampler and no day cap."""
     quotas = quotas or r["sampling"]["governance_quotas"]

@@ -20,7 +20,7 @@ def score_portfolio(holdings: DataFrame, evidence: DataFrame, as_of: Column, r:
     gov = governance.governance(evidence, holdings, as_of, r, dedupe)
     act = actions.risk_opportunity(actions.event_scores(actions.unique_actions(evidence, r), as_of, r), r)
     out = holdings.join(weighted, "symbol", "left").join(raw, "symbol", "left").join(standard, "symbol", "left")
-    out = out.join(F.broadcast(sector), "sector", "left").join(gov, "symbol", "left").join(act, "symbol", "left")
+    out = out.join(sector, "sector", "left").join(gov, "symbol", "left").join(act, "symbol", "left")
     lacking = F.coalesce(F.nullif("insufficient", F.lit("")), F.when(F.col("n").isNull(), "no evidence"))
     low = (F.coalesce("n_events", F.lit(0)) < r["low_below_items"]) | lacking.isNotNull() | F.coalesce("collapsed", F.lit(False))
     return out.select(
