@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, numbered, resident, table
 
 CAPACITY, END_ID = 4096, 2
-KEPT_WORDS = 600_000
+KEPT_WORDS = 750_000
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PUNCTUATION = MARKS.encode()
 
