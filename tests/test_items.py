@@ -241,7 +241,7 @@ def test_source_policy():
 
 def test_fulltext(spark):
     body = "word " * 60
-    pages = [f'<script>{{"articleBody": "{body}"}}</script>', f"<p>{'long text here ' * 20}</p><p>cookie {'x' * 80}</p>", "<p>short</p>"]
+    pages = [f'<script type="application/ld+json">{{"articleBody": "{body}"}}</script>', f"<p>{'long text here ' * 20}</p><p>cookie {'x' * 80}</p>", "<p>short</p>"]
     got = [r.t for r in spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k int, h string").orderBy("k").select(fulltext.extract(F.col("h")).alias("t")).collect()]
     assert got == [body.strip(), ("long text here " * 20).strip(), ""]
 
@@ -254,3 +254,50 @@ def test_stream_labels_once(spark, tmp_path):
     rows.limit(3).write.mode("append").parquet(src)
     labels.run_once(spark, src, out, chk)
     assert spark.read.parquet(out).count() == 5
+
+
+BODY = "The works won the order after a long tender. " * 6
+PAGES = [
+    f'<html><script type="application/ld+json">{{"@type": "NewsArticle", "articleBody": "{BODY}line\\nbreak &amp;amp; \\u20b9 5 &#8377;"}}</script><p>short</p></html>',
+    f'<script type="application/ld+json">not json</script><script data-x type="application/ld+json">\n{{"@graph": [{{"name": "x"}}, {{"articleBody": "{BODY}in a graph"}}]}}\n</script>',
+    f'<script type="application/ld+json">[{{"articleBody": "too short"}}, {{"articleBody": "{BODY}in a list"}}]</script>',
+    '<meta name="description" content="A description that is quite long &ndash; longer than eighty characters, so it leads the text of the page."><nav><p>'
+    + "menu words " * 20 + "</p></nav><p>" + "First paragraph of the story with enough words to be kept by the rule. " * 3 + "</p><p>Subscribe to our newsletter for more stories like this one and many others every day</p><p>"
+    + "Second &eacute;t&eacute;&nbsp;paragraph &#x2014; &#150; &unknown; of the story, also long enough. " * 3 + "</p>",
+    '<meta content="Another description, this time with its content before its name, and long enough to stand alone." property="og:description"><p>tiny</p>',
+    "<p>tiny</p>", "", None,
+]
+
+
+def test_text_of_pages_against_a_loop(spark):
+    """What a page parser by the language's own tools makes of the pages."""
+    import html as h
+    import json as j
+    import re
+
+    from tidemark.sources import fulltext as ft
+
+    clean = lambda s: " ".join(h.unescape(re.sub("<[^>]+>", " ", s)).split())
+
+    def expected(raw):
+        raw = raw or ""
+        for m in re.findall(ft.SCRIPT, raw):
+            try:
+                x = j.loads(m)
+            except ValueError:
+                continue
+            for o in x if isinstance(x, list) else x.get("@graph", [x]):
+                if len(o.get("articleBody", "")) > 200:
+                    return clean(o["articleBody"])[:4000]
+        m = re.search(ft.ABOUT[0], raw) or re.search(ft.ABOUT[1], raw)
+        about = clean(m[1]) if m else ""
+        bare = re.sub(rf"(?is)<({'|'.join(ft.ASIDE)})[^>]*>.*?</\1>", " ", raw)
+        kept = [p for p in map(clean, re.findall("(?is)<p[^>]*>(.*?)</p>", bare)) if len(p) > 70 and not re.search(ft.JUNK, p) and p != about]
+        if sum(map(len, kept)) > 250:
+            return (about + " " if len(about) > 80 else "") + " ".join(kept)[:4000]
+        return about if len(about) > 80 else ""
+
+    df = spark.createDataFrame(list(enumerate(PAGES)), "k int, html string")
+    got = {r.k: r.text for r in df.select("k", ft.extract(F.col("html")).alias("text")).collect()}
+    assert got == {k: expected(x) for k, x in enumerate(PAGES)}
+    assert "₹ 5 ₹" in got[0] and got[1].endswith("in a graph") and got[2].endswith("in a list") and "été paragraph — – &unknown;" in got[3] and got[4] and not got[5]

@@ -121,9 +121,15 @@ def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
 
 
 def attach_extras(extras: DataFrame, events: DataFrame, r: Rubric = DEFAULT, least: float = 0.3) -> DataFrame:
-    """(seq, cluster): the event of the same symbol within the clustering days with the most similar title."""
-    a = extras.select("symbol", "seq", "published", tx.tokens(F.col("title")).alias("ta"))
-    b = events.select("symbol", "cluster", F.col("published").alias("day"), tx.tokens(F.col("title")).alias("tb"))
-    met = a.join(b, "symbol").where(F.abs(F.datediff("published", "day")) <= r["cluster"]["days"])
-    met = met.where((F.size("ta") > 0) & (F.size("tb") > 0)).withColumn("s", tx.jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
+    """(seq, cluster): the event of the same symbol within the clustering days with the most similar title. Rows meet by
+    symbol and block of days, and by a token that both have, as in ``similar_pairs``."""
+    days = r["cluster"]["days"]
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    block = lambda c: F.floor(F.col(c) / (days + 1)).cast("int")
+    a = extras.where("published is not null").select("symbol", "seq", number("published").alias("da"), tx.tokens(F.col("title")).alias("ta"))
+    b = events.where("published is not null").select("symbol", "cluster", number("published").alias("db"), tx.tokens(F.col("title")).alias("tb"))
+    a = a.select("*", block("da").alias("block"), F.explode("ta").alias("token"))
+    b = b.select("*", F.explode(F.array(block("db") - 1, block("db"), block("db") + 1)).alias("block")).select("*", F.explode("tb").alias("token"))
+    met = a.join(b, ["symbol", "block", "token"]).where((F.abs(F.col("da") - F.col("db")) <= days) & (F.col("token") == F.array_min(F.array_intersect("ta", "tb"))))
+    met = met.withColumn("s", tx.jaccard(F.col("ta"), F.col("tb"))).where(F.col("s") >= least)
     return met.groupBy("seq").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"))

@@ -11,30 +11,41 @@ from ..plans.rubric import DEFAULT, EVENT_TYPES, Rubric
 
 
 def keyword_label(title: Column, snippet: Column, company: Column) -> Column:
-    """The label struct by the first matching rule; ``other`` without one or if the company's first word is missing."""
+    """The label struct by the first matching rule; ``other`` without one or if the company's first word is missing.
+
+    The text is searched once: rules give a number, and all fields are looked up by it."""
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(snippet, F.lit(""))))
-    named = F.contains(text, F.lower(F.substring_index(company, " ", 1)))
-    kind, sentiment, flag = F.when(~named, "other"), F.when(~named, 0), F.when(~named, False)
-    for pattern, et, s, g in v.LABEL_RULES:
-        hit = text.rlike(pattern)
-        value = F.when(F.contains(text, F.lit("downgrade")), -1).when(F.contains(text, F.lit("upgrade")), 1).otherwise(0) if et == "analyst_action" else F.lit(s)
-        kind, sentiment, flag = kind.when(hit, et), sentiment.when(hit, value), flag.when(hit, g)
-    et, flag = kind.otherwise("other"), flag.otherwise(False)
-    people = et.isin(*v.PEOPLE_TYPES)
-    none = F.lit(None).cast("string")
-    return F.struct(
-        et.alias("event_type"),
-        sentiment.otherwise(0).cast("int").alias("sentiment"),
-        flag.alias("governance_flag"),
-        named.alias("about_company"),
-        F.when(named, "primary").otherwise("passing").alias("substance"),
-        F.when(flag, "company").otherwise(none).alias("subject"),
-        F.when(flag, True).alias("occurred_at_company"),
-        F.when(flag & et.isin("regulatory_action", "auditor_resignation", "auditor_restatement"), "integrity").when(flag, "material").otherwise(none).alias("severity"),
-        F.when(et == "management_exit", "unplanned_exit").when(people & flag, "appointment").otherwise(none).alias("people_direction"),
-        F.when(et == "management_exit", "cxo_cs_cfo_compliance").when(people & flag, "senior_management").otherwise(none).alias("role_tier"),
-        F.when(~flag, none).when(et == "regulatory_action", "order_or_settlement").when(et == "investigation", "investigation").when(et == "management_change_routine", "routine").otherwise("n/a").alias("action_stage"),
-    )
+    rules = v.LABEL_RULES
+
+    def rule(x: Column) -> Column:
+        out = F.when(~F.contains(x, F.lower(F.substring_index(company, " ", 1))), -1)
+        for k, (pattern, *_) in enumerate(rules):
+            out = out.when(x.rlike(pattern), k + 1)
+        return F.struct(x.alias("text"), out.otherwise(0).alias("rule"))
+
+    def fields(f: Column) -> Column:
+        k = F.greatest(f["rule"], F.lit(0))
+        of = lambda values, kind: F.get(F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>"), k)
+        et, flag = of(["other", *[r[1] for r in rules]], "string"), of([False, *[r[3] for r in rules]], "boolean")
+        view = F.when(F.contains(f["text"], F.lit("downgrade")), -1).when(F.contains(f["text"], F.lit("upgrade")), 1).otherwise(0)
+        sentiment = F.when(et == "analyst_action", view).otherwise(of([0, *[r[2] if r[1] != "analyst_action" else 0 for r in rules]], "int"))
+        named, people, none = f["rule"] >= 0, et.isin(*v.PEOPLE_TYPES), F.lit(None).cast("string")
+        return F.struct(
+            et.alias("event_type"),
+            sentiment.cast("int").alias("sentiment"),
+            flag.alias("governance_flag"),
+            named.alias("about_company"),
+            F.when(named, "primary").otherwise("passing").alias("substance"),
+            F.when(flag, "company").otherwise(none).alias("subject"),
+            F.when(flag, True).alias("occurred_at_company"),
+            F.when(flag & et.isin("regulatory_action", "auditor_resignation", "auditor_restatement"), "integrity").when(flag, "material").otherwise(none).alias("severity"),
+            F.when(et == "management_exit", "unplanned_exit").when(people & flag, "appointment").otherwise(none).alias("people_direction"),
+            F.when(et == "management_exit", "cxo_cs_cfo_compliance").when(people & flag, "senior_management").otherwise(none).alias("role_tier"),
+            F.when(~flag, none).when(et == "regulatory_action", "order_or_settlement").when(et == "investigation", "investigation").when(et == "management_change_routine", "routine").otherwise("n/a").alias("action_stage"),
+        )
+
+    found = F.transform(F.array(text), rule)
+    return F.get(F.transform(found, fields), 0)
 
 
 LABEL_COLUMNS = {

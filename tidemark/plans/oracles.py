@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from ..sources import fulltext as ft
 from . import adapters as ad
 from . import vocabulary as v
 from .rubric import DEFAULT
@@ -513,20 +514,37 @@ pj AS (SELECT pf.symbol, '{{' || concat_ws(',', {FIELD('symbol', 'pf.symbol')},
   FROM pf LEFT JOIN dj ON pf.symbol = dj.symbol LEFT JOIN bn ON pf.symbol = bn.symbol) SELECT symbol, payload, sha256(payload) AS payload_hash FROM pj"""
 
 
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+NAMES = "MAP {" + ", ".join(f"{quoted(k)}: {quoted(c)}" for k, c in ft.NAMED.items()) + "}"
+CONTROLS = "MAP {" + ", ".join(f"{k}: {quoted(c)}" for k, c in ft.WINDOWS.items()) + "}"
+
+
 def plain(x: str) -> str:
-    out = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
-    for name, raw in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{name}', '{raw}')"
-    return f"trim(regexp_replace({out}, '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
-
-
-JUNK = "(?i)cookie|subscribe|newsletter|advertis|sign in|log in|copyright|all rights reserved"
-BODY = plain("""regexp_extract(h, '"articleBody"\\s*:\\s*"((?:[^"\\\\]|\\\\.)*)"', 1)""")
-ABOUT = plain("""regexp_extract(h, '(?i)<meta[^>]+(?:name|property)="(?:og:)?description"[^>]+content="([^"]*)"', 1)""")
-O["fulltext_extract"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, {BODY} AS body, {ABOUT} AS about,
-array_to_string(list_filter(list_transform(regexp_extract_all(h, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {plain('x')}), lambda x: length(x) > 70 AND NOT regexp_matches(x, '{JUNK}')), ' ') AS kept FROM p),
-r AS (SELECT page_id, body, about, trim(concat_ws(' ', nullif(about, ''), nullif(kept, ''))) AS both_ FROM q)
-SELECT page_id, substr(CASE WHEN length(body) > 200 THEN body WHEN length(both_) > 250 THEN both_ WHEN length(about) > 80 THEN about ELSE '' END, 1, 4000) AS text FROM r"""
+    """Tags out, entities decoded part by part, white space in single spaces."""
+    number = "(CASE WHEN regexp_matches(e, '^&#[xX]') THEN CAST('0x' || regexp_extract(e, '[0-9a-fA-F]+', 0) AS BIGINT) ELSE CAST(regexp_extract(e, '[0-9]+', 0) AS BIGINT) END)"
+    told = f"CASE WHEN {number} = 0 OR {number} > 1114111 OR {number} BETWEEN 55296 AND 57343 THEN chr(65533) WHEN {number} BETWEEN 128 AND 159 THEN coalesce({CONTROLS}[{number}], '') ELSE chr(CAST({number} AS INT)) END"
+    value = f"coalesce(CASE WHEN starts_with(e, '&#') THEN {told} ELSE {NAMES}[e[2:-2]] END, e)"
+    bare = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    parts = f"string_split_regex(t, '{ft.ENTITY}')"
+    found = f"list_concat([''], list_transform(regexp_extract_all(t, '{ft.ENTITY}'), lambda e: {value}))"
+    return f"trim(regexp_replace(list_transform([{bare}], lambda t: array_to_string(list_transform(list_zip({found}, {parts}), lambda z: z[1] || z[2]), ''))[1], '{ft.SPACE}', ' ', 'g'))"
+
+
+BARE = "h"
+for _tag in ft.ASIDE:
+    BARE = f"regexp_replace({BARE}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+SCRIPTS = f"list_transform(list_filter(regexp_extract_all(h, {quoted(ft.SCRIPT)}, 1), lambda x: json_valid(x)), lambda x: CAST(x AS JSON))"
+OBJECTS = "CASE WHEN json_type(x) = 'ARRAY' THEN CAST(x AS JSON[]) WHEN json_type(x, '$.\"@graph\"') = 'ARRAY' THEN CAST(json_extract(x, '$.\"@graph\"') AS JSON[]) ELSE [x] END"
+LINKED = f"list_filter(list_transform(flatten(list_transform({SCRIPTS}, lambda x: {OBJECTS})), lambda o: json_extract_string(o, '$.articleBody')), lambda y: length(y) > 200)[1]"
+ABOUT = f"coalesce(nullif(regexp_extract(h, {quoted(ft.ABOUT[0])}, 1), ''), regexp_extract(h, {quoted(ft.ABOUT[1])}, 1))"
+O["fulltext_extract"] = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CASE WHEN contains(h, 'ld+json') THEN {LINKED} END AS body, {plain(ABOUT)} AS about, list_transform(regexp_extract_all({BARE}, '(?is)<p[^>]*>(.*?)</p>', 1), lambda x: {plain('x')}) AS ps FROM p),
+r AS (SELECT page_id, body, about, list_filter(ps, lambda x: length(x) > 70 AND NOT regexp_matches(x, {quoted(ft.JUNK)}) AND x <> about) AS kept FROM q)
+SELECT page_id, coalesce(substr({plain('body')}, 1, 4000), CASE WHEN coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) > 250
+  THEN CASE WHEN length(about) > 80 THEN about || ' ' ELSE '' END || substr(array_to_string(kept, ' '), 1, 4000) WHEN length(about) > 80 THEN substr(about, 1, 4000) ELSE '' END) AS text FROM r"""
 
 
 def doubles(sql: str) -> str:
