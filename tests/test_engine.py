@@ -202,3 +202,57 @@ def test_driver_codes(spark):
     got = {r.symbol: r.drivers for r in corpus.driver_codes(a, b, pa_, pb).collect()}
     assert got == {"A": "agree", "B": "C", "C": "M", "D": "R", "E": "L", "F": "U", "G": "U"}
     assert {r.drivers for r in corpus.driver_codes(a, b, pa_, pb, linted=True).where("symbol = 'E'").collect()} == {"P"}
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from tidemark.cli import main
+
+    holdings, items = data
+    holdings.write.parquet(f"file://{tmp_path}/holdings")
+    items.write.parquet(f"file://{tmp_path}/items")
+    h, i, c = f"file://{tmp_path}/holdings", f"file://{tmp_path}/items", ["--corpus", f"file://{tmp_path}/c"]
+    main([*c, "--out", f"file://{tmp_path}/scores", "run", h, i, "2026-07-01", "--run", "a"], spark)
+    assert {r.symbol: r.governance_score for r in spark.read.parquet(f"file://{tmp_path}/scores").collect()} == {"AA": 92, "BB": 80, "CC": 100}
+    main([*c, "verify", "a", h, "2026-07-01"], spark)
+    main([*c, "runs"], spark)
+    main([*c, "inspect", "input", h], spark)
+    out = capsys.readouterr().out
+    assert "2026-07-01" in out and "bolts" in out
+    with pytest.raises(SystemExit):
+        main([*c, "nothing"], spark)
+
+
+def test_no_broken_source_goes_unseen(spark, tmp_path):
+    from tidemark.sources import connectors as cn
+
+    tried, waits = [], []
+
+    class Fake:
+        """Stands for a session whose source fails for some symbols, for some of them once."""
+
+        def __init__(self, bad, once=()):
+            self.bad, self.once = set(bad), set(once)
+
+        read = property(lambda self: self)
+        format = options = lambda self, *_, **__: self
+        option = lambda self, _, symbol: self.__dict__.update(symbol=symbol) or self
+
+        def load(self):
+            tried.append(self.symbol)
+            if self.symbol in self.bad:
+                if self.symbol in self.once:
+                    self.bad.discard(self.symbol)
+                raise cn.SourceThrottled("down")
+            return spark.createDataFrame([(self.symbol,)], "symbol string")
+
+        def __getattr__(self, name):
+            return getattr(spark, name)
+
+    rows, errors = cn.fetch_all(Fake("BD", "BD"), "x", list("ABCD"), {}, pause=waits.append)
+    assert sorted(r.symbol for r in rows.collect()) == list("ABCD") and errors.count() == 0 and waits == [60.0] and tried == list("ABCDBD")
+    with pytest.raises(cn.SourceThrottled, match="three symbols"):
+        cn.fetch_all(Fake("BCD"), "x", list("ABCDE"), {}, pause=waits.append)
+    with pytest.raises(cn.SourceThrottled, match="no items for B"):
+        cn.fetch_all(Fake("B"), "x", list("ABC"), {}, pause=waits.append)
+    rows, errors = cn.fetch_all(Fake("BCD"), "x", list("ABCDE"), {}, allow_missing=True, pause=waits.append)
+    assert rows.count() == 2 and [r.symbol for r in errors.orderBy("symbol").collect()] == list("BCD")

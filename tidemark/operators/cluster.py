@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,18 +98,32 @@ def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
 
     def merge(group: list[tuple]) -> list[tuple]:
         kept: list[dict] = []
+        at: dict[tuple, set[int]] = defaultdict(set)  # kept events by block of days and by quarter and purpose
+
+        def places(o: dict, kind: str) -> list[tuple]:
+            return [("day", o["date"].toordinal() // (days + 1)), *([("quarter", quarter_of(o["pub"]), o["purpose"])] if kind in results else [])]
+
         for _, kind, _, seq, _, published, date, tier, purpose in group:
             new = {"rep": seq, "pub": published, "date": date, "tier": tier, "purpose": purpose, "all": [seq]}
-            for k, o in enumerate(kept):
+            own = places(new, kind)
+            reach = {x for b in (-1, 0, 1) for x in at[("day", own[0][1] + b)]}.union(*[at[k] for k in own[1:]])
+            for k in sorted(reach):
+                o = kept[k]
                 quarter = kind in results and quarter_of(o["pub"]) == quarter_of(published) and o["purpose"] == purpose
                 if abs((o["date"] - date).days) <= days or quarter:
                     keep, drop = (o, new) if (o["tier"], o["pub"]) <= (tier, published) else (new, o)
-                    both = {"date": min(o["date"], date, o["pub"], published), "tier": min(o["tier"], tier), "all": o["all"] + [seq]}
+                    o["all"].append(seq)
+                    both = {"date": min(o["date"], date, o["pub"], published), "tier": min(o["tier"], tier), "all": o["all"]}
                     both["purpose"] = "sentiment" if drop["purpose"] == "sentiment" else keep["purpose"]
+                    for x in places(o, kind):
+                        at[x].discard(k)
                     kept[k] = {**keep, **both}
                     break
             else:
+                k = len(kept)
                 kept.append(new)
+            for x in places(kept[k], kind):
+                at[x].add(k)
         return [(s, o["rep"], o["date"], len(o["all"])) for o in kept for s in o["all"]]
 
     def quarter_of(d) -> tuple[int, int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,20 +132,26 @@ def same_events(candidates: DataFrame, own_words: Column | None = None, r: Rubri
     ).where("published is not null")
 
     def greedy(group: list[tuple]) -> list[tuple]:
-        kept: list[tuple] = []
+        kept: dict[int, list[tuple]] = defaultdict(list)  # by block of days, so a row looks only at those in its reach
         out = []
-        for symbol, seq, day, _, _, key, words in group:
-            words = frozenset(words)
-            for kept_seq, kept_day, kept_key, kept_words in kept:
-                gap = abs((day - kept_day).days)
-                if gap > days:
-                    continue
-                shared = len(words & kept_words)
-                if (key and key == kept_key) or (shared >= 2 and (shared / max(min(len(words), len(kept_words)), 1) >= 0.5 or gap <= 3)):
-                    out.append((symbol, seq, kept_seq))
-                    break
+        for n, (symbol, seq, day, _, _, key, words) in enumerate(group):
+            words, block = frozenset(words), day.toordinal() // (days + 1)
+            first = None
+            for near in (block - 1, block, block + 1):
+                for order, kept_seq, kept_day, kept_key, kept_words in kept[near]:
+                    if first and order > first[0]:
+                        break
+                    gap = abs((day - kept_day).days)
+                    if gap > days:
+                        continue
+                    shared = len(words & kept_words)
+                    if (key and key == kept_key) or (shared >= 2 and (shared / max(min(len(words), len(kept_words)), 1) >= 0.5 or gap <= 3)):
+                        first = (order, kept_seq)
+                        break
+            if first:
+                out.append((symbol, seq, first[1]))
             else:
-                kept.append((seq, day, key, words))
+                kept[block].append((n, seq, day, key, words))
         return out
 
     return over_groups(rows, ["symbol", "family"], ["penalty", "published", "seq"], greedy, SAME_EVENT)

@@ -26,6 +26,7 @@ PASS_WORDS = {
     "results": "(results OR \"net profit\" OR revenue OR earnings OR guidance OR \"order win\" OR dividend OR capex)",
     "governance": "(resigns OR appointed OR CFO OR CEO OR SEBI OR penalty OR fined OR probe OR auditor OR pledge OR fraud)",
 }
+#: The words that tell an announcement's pass.
 GOVERNANCE = re.compile(r"resign|appoint|cessation|auditor|penalt|fine|sebi|order|show cause|litigation|fraud|pledge", re.I)
 RESULTS = re.compile(r"financial result|quarterly|earnings|order|dividend|outcome of board", re.I)
 
@@ -292,3 +293,39 @@ class MarketData(_Source):
 
 
 SOURCES = (NewsArchive, NewsFeed, Announcements, MarketData)
+
+
+def fetch_all(spark, source: str, symbols: list[str], options: dict, allow_missing: bool = False, cool_down: float = 60.0, pause: Callable[[float], None] = time.sleep):
+    """The rows of a source for symbols (``symbol=name``), and the errors (symbol, error) that are left.
+
+    A symbol whose fetch fails is no failure of the others: it is tried once more after a cool-down. Three symbols in a
+    row that fail mean that the source is down, and symbols that fail twice would leave gaps in the scores, so both
+    raise unless gaps are allowed. Rows of symbols that came are kept in the shared folder, and none is fetched twice."""
+    from .scratch import Scratch
+
+    scratch, parts, errors = Scratch(spark, "fetched"), [], {}
+
+    def one(symbol: str) -> bool:
+        try:
+            parts.append(scratch.save(spark.read.format(source).options(**options).option("symbols", symbol).load()))
+        except Exception as e:  # whatever the source does, the others go on
+            errors[symbol] = str(e)[:200]
+            return False
+        errors.pop(symbol, None)
+        return True
+
+    row = 0
+    for symbol in symbols:
+        row = 0 if one(symbol) else row + 1
+        if row >= 3 and not allow_missing:
+            raise SourceThrottled(f"three symbols in a row failed, {symbol} the last: {errors[symbol]}")
+    if errors:
+        pause(cool_down)
+        for symbol in list(errors):
+            one(symbol)
+    if errors and not allow_missing:
+        raise SourceThrottled(f"no items for {', '.join(sorted(errors))}")
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out, spark.createDataFrame(sorted(errors.items()), "symbol string, error string")

@@ -61,7 +61,7 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         self.n += 1
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # keeps the frame and its path together
         return out
 
