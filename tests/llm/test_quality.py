@@ -64,3 +64,23 @@ def test_keeps_good_and_drops_bad(spark):
     good, bad = ([r.kept for r in out if r.label == q] for q in (1, 0))
     assert np.mean(good) > 0.97
     assert np.mean(bad) < 0.3
+
+
+def test_repeated_rows_null_ids_and_clashing_names(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    df = docs(spark, [(1, text), (1, text), (None, text), (2, None)]).selectExpr("*", "1 AS pattern", "2 AS quality", "3 AS n_words", "4 AS kept")
+    rows = quality.judge(df).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.kept) for r in rows) == [(0, 11, True), (1, 11, True), (1, 11, True), (2, 0, False)]
+    assert len({r.quality for r in rows if r.n_words}) == 1
+
+
+def test_posterior_against_sums_over_both_classes(spark):
+    """The posterior of each pattern by Bayes' rule from the accuracies that were estimated."""
+    own = {r.pattern: r.n for r in quality.votes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("pattern").agg({"*": "count"}).toDF("pattern", "n").collect()}
+    post, good, acc = quality.estimate(own)
+    for p, q in post.items():
+        both = [good, 1 - good]
+        for k, v in enumerate(quality.digits(p)):
+            for c in (0, 1):
+                both[c] *= 1 if v == 0 else acc[k, c] if v == c + 1 else 1 - acc[k, c]
+        assert abs(q - both[0] / sum(both)) < 1e-3

@@ -253,22 +253,23 @@ def calibrate(aside: DataFrame, model: Model) -> None:
             m = shared.value
             rows = []
             for lang, t in zip(batch.column(0).to_pylist(), texts, strict=True):
-                words = [w for w in words_of(t) if any(map(str.isalpha, w))]
-                if words and lang in m.languages:
-                    ll, n = m.score(words)
-                    rows.append((lang, *of(m, m.languages.index(lang), ll, n), int(n.sum())))
+                count = Counter(w for w in words_of(t) if any(map(str.isalpha, w)))
+                if count and lang in m.languages:
+                    ll, n = m.score(list(count))
+                    times = np.fromiter(count.values(), np.int64, len(count))
+                    rows.append((lang, *of(m, m.languages.index(lang), ll, n, times), int(n @ times)))
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["lang", *extra.split(), "n"])
 
         return map_texts(aside, "text", work, f"lang string, {', '.join(x + ' double' for x in extra.split())}, n long").collect()
 
-    def own(m: Model, k: int, ll: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-        return float(-ll[:, k].sum()), 0.0
+    def own(m: Model, k: int, ll: np.ndarray, n: np.ndarray, times: np.ndarray) -> tuple[float, float]:
+        return float(-ll[:, k] @ times), 0.0
 
-    def left_out(m: Model, k: int, ll: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    def left_out(m: Model, k: int, ll: np.ndarray, n: np.ndarray, times: np.ndarray) -> tuple[float, float]:
         over = -ll - m.usual * n[:, None]
         others = np.delete(over, k, axis=1)
-        return float(over.min(axis=1).sum()), float(others.min(axis=1).sum()) if others.shape[1] else 0.0
+        return float(over.min(axis=1) @ times), float(others.min(axis=1) @ times) if others.shape[1] else 0.0
 
     def by(rows: list, column: str) -> dict[str, float]:
         total, size = Counter(), Counter()
