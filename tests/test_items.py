@@ -301,3 +301,15 @@ def test_text_of_pages_against_a_loop(spark):
     got = {r.k: r.text for r in df.select("k", ft.extract(F.col("html")).alias("text")).collect()}
     assert got == {k: expected(x) for k, x in enumerate(PAGES)}
     assert "₹ 5 ₹" in got[0] and got[1].endswith("in a graph") and got[2].endswith("in a list") and "été paragraph — – &unknown;" in got[3] and got[4] and not got[5]
+
+
+def test_commentary_and_replies(spark):
+    rows = spark.range(1).select(
+        tx.scrubbed(F.lit("Strong year — two-wheeler sales rose - again. The merger is quarantined. Calm.\n\nGate B holds it.\n\nEnd–note.")).alias("a"),
+        tx.scrubbed(F.lit("One two three. Four five. Six."), 4).alias("b"),
+        tx.cap_words(F.lit("One two three four. Five."), 2).alias("c"),
+        tx.reply_objects(F.lit('Sure [1]:\n```json\n{"labels": [{"id": 1, "x": "a"}, {"id": 2}, {"x": 3}, {"id": 4, bad}, {"id": 5')).alias("d"),
+        tx.reply_objects(F.lit(None).cast("string")).alias("e"),
+    ).first()
+    assert rows.a == "Strong year, two-wheeler sales rose, again. Calm.\n\nEnd, note."
+    assert rows.b == "One two three." and rows.c == "One two three four." and rows.d == ['{"id": 1, "x": "a"}', '{"id": 2}'] and rows.e == []

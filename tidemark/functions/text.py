@@ -103,8 +103,28 @@ def strip_price_sentences(text: Column) -> Column:
     return F.trim(F.replace(F.array_join(kept, " "), F.lit("[context]"), F.lit("")))
 
 
+#: Words of the engine's own workings, which no commentary should hold.
+HIDDEN = ("quarantin", "gate b")
+
+
+def scrubbed(text: Column, most: int | None = None) -> Column:
+    """Commentary without sentences about the engine's workings and without dashes as clause breaks, which become
+    commas, its paragraphs kept; with ``most`` cut to whole sentences of so many words."""
+    hidden = lambda s: F.lower(s).rlike("|".join(HIDDEN))
+    clean = F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.array_join(F.filter(F.split(p, r"(?<=[.!?])\s+"), lambda s: ~hidden(s)), " "))
+    out = F.regexp_replace(F.array_join(F.filter(clean, lambda p: p != ""), "\n\n"), r"\s*[–—]\s*|\s+-\s+", ", ")
+    return out if most is None else F.when(F.size(F.split(F.trim(out), r"\s+")) <= most, out).otherwise(cap_words(out, most))
+
+
+def reply_objects(reply: Column) -> Column:
+    """The flat JSON objects with an id in a model's reply, as strings, whatever stands around them: fences, prose, a
+    wrapping object, stray brackets or an array that breaks off."""
+    found = F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r"\{[^{}]*\}"), F.lit(0))
+    return F.filter(found, lambda o: F.try_parse_json(o).isNotNull() & F.get_json_object(o, "$.id").isNotNull())
+
+
 def cap_words(text: Column, most: int) -> Column:
-    """The first whole sentences that together have ``most`` words at most."""
+    """The first whole sentences that together have ``most`` words at most; a first one that is longer stays whole."""
     sentences = F.split(text, r"(?<=[.!?])\s+")
     count = lambda s: F.size(F.split(F.trim(s), r"\s+"))
     start = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("s"), F.lit(True).alias("on"))
@@ -114,8 +134,8 @@ def cap_words(text: Column, most: int) -> Column:
             start,
             lambda a, x: F.struct(
                 (a["n"] + count(x)).alias("n"),
-                F.when(a["on"] & (a["n"] + count(x) <= most), F.concat(a["s"], F.array(x))).otherwise(a["s"]).alias("s"),
-                (a["on"] & (a["n"] + count(x) <= most)).alias("on"),
+                F.when(a["on"] & ((a["n"] == 0) | (a["n"] + count(x) <= most)), F.concat(a["s"], F.array(x))).otherwise(a["s"]).alias("s"),
+                (a["on"] & ((a["n"] == 0) | (a["n"] + count(x) <= most))).alias("on"),
             ),
             lambda a: a["s"],
         ),

@@ -145,12 +145,18 @@ O["sample_report"] = f"WITH {DOC}, {CAPPED} SELECT symbol, status, count(*) AS n
 O["drop_counts_total"] = f"WITH {DOC}, {CAPPED}, d AS (SELECT symbol, {REASON} AS reason FROM sampled) SELECT symbol, reason, count(*) AS n FROM d WHERE reason IS NOT NULL GROUP BY ROLLUP (symbol, reason)"
 O["latest_n"] = f"WITH {DOC}, {COLLAPSE} SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY usable DESC, published DESC, relevance DESC, seq) AS rank FROM uniq QUALIFY rank <= 50"
 NEW = "published DESC, relevance DESC, seq"
-O["gov_candidates"] = f"""WITH {DOC}, k AS (SELECT *, regexp_replace(lower(trim(coalesce(url, ''))), '/+$', '') AS u, {TKEY} AS t FROM doc),
+def has(col: str, pattern: str) -> str:
+    return f"regexp_matches({col}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
+
+
+def candidates(rows: str, as_of: str, where: str = "true") -> str:
+    """Rows that none of every seventh has, up to the quotas of four windows, with the sampler's carries."""
+    return f"""k AS (SELECT *, regexp_replace(lower(trim(coalesce(url, ''))), '/+$', '') AS u, {TKEY} AS t FROM {rows}),
 x AS (SELECT * FROM k WHERE seq % 7 = 0),
-c0 AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.u = k.u) AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.t = k.t)),
+c0 AS (SELECT * FROM k WHERE {where} AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.u = k.u) AND NOT EXISTS (SELECT 1 FROM x WHERE x.symbol = k.symbol AND x.t = k.t)),
 c1 AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY symbol, u ORDER BY {NEW}) = 1),
 c2 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY {NEW}) = 1),
-c3 AS (SELECT *, {window('published', ad.DOC_AS_OF)} AS win FROM c2 WHERE {window('published', ad.DOC_AS_OF)} IS NOT NULL),
+c3 AS (SELECT *, {window('published', as_of)} AS win FROM c2 WHERE {window('published', as_of)} IS NOT NULL),
 c4 AS (SELECT *, row_number() OVER (PARTITION BY symbol, win ORDER BY {NEW}) AS rn FROM c3),
 av AS (SELECT symbol, {", ".join(f"count(*) FILTER (win = {k}) AS a{k}" for k in range(1, 5))} FROM c4 GROUP BY symbol),
 f1 AS (SELECT *, 9 AS w1, least(9, a1) AS g1 FROM av), f2 AS (SELECT *, 8 + w1 - g1 AS w2, least(8 + w1 - g1, a2) AS g2 FROM f1),
@@ -159,6 +165,14 @@ b1 AS (SELECT *, w4 - g4 AS c1, least(w4 - g4, a1 - g1) AS r1 FROM f4), b2 AS (S
 b3 AS (SELECT *, c2 - r2 AS c3, least(c2 - r2, a3 - g3) AS r3 FROM b2), b4 AS (SELECT *, c3 - r3 AS c4, least(c3 - r3, a4 - g4) AS r4 FROM b3),
 plan AS ({" UNION ALL ".join(f"SELECT symbol, {k} AS win, g{k} + r{k} AS take FROM b4" for k in range(1, 5))})
 SELECT c4.symbol, seq, win FROM c4 JOIN plan USING (symbol, win) WHERE rn <= take"""
+
+
+O["gov_candidates"] = f"WITH {DOC}, {candidates('doc', ad.DOC_AS_OF)}"
+NUMBERED = "nu AS (SELECT * REPLACE (title || ' ' || CAST(seq AS VARCHAR) AS title), sentiment AS relevance FROM ord)"
+O["governance_pass"] = f"WITH {ORD}, {NUMBERED}, {candidates('nu', ad.ORD_AS_OF, has('title', v.GOV_TITLE))}"
+O["unique_filings"] = f"WITH {ORD} SELECT symbol, seq, published FROM ord QUALIFY row_number() OVER (PARTITION BY symbol, published, substr({TKEY}, 1, 80) ORDER BY seq) = 1"
+O["articles_seen"] = f"""WITH {DOC}, {CAPPED}, hd AS (SELECT dd.symbol, coalesce(nullif({TKEY}, ''), url, '') AS th, dd.seq AS head, status, {REASON} AS why FROM (SELECT seq, status FROM sampled) sm JOIN doc dd ON sm.seq = dd.seq), it AS (SELECT symbol, seq, coalesce(nullif({TKEY}, ''), url, '') AS th FROM doc)
+SELECT it.symbol, it.seq, CASE WHEN status IN ('selected', 'extra') AND it.seq <> head THEN 'syndicated copy' WHEN status = 'extra' THEN 'extra of its day' ELSE why END AS reason FROM it JOIN hd ON it.symbol = hd.symbol AND it.th = hd.th"""
 O["fundamental_buckets"] = f"""WITH {DOC}, b AS (SELECT *, CAST(floor({DAGE} / 90.0) AS INT) AS bucket FROM doc),
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol, bucket ORDER BY {NEW}) AS rn FROM b QUALIFY rn <= 10)
 SELECT symbol, seq, bucket, row_number() OVER (PARTITION BY symbol ORDER BY bucket, rn) AS rank FROM k QUALIFY rank <= 40"""
@@ -170,10 +184,6 @@ g AS (SELECT DISTINCT symbol, month FROM d, m), c AS (SELECT symbol, CAST(date_t
 SELECT g.symbol, g.month, coalesce(n, 0) AS n FROM g LEFT JOIN c ON g.symbol = c.symbol AND g.month = c.month"""
 
 
-def has(col: str, pattern: str) -> str:
-    return f"regexp_matches({col}, '(?i){pattern.replace(chr(39), chr(39) * 2)}')"
-
-
 PRICED = "|".join(f"(?:{p})" for p in v.PRICE_LANGUAGE)
 PRICE_ONLY = f"({has('title', PRICED)} AND NOT {has('title', v.FUNDAMENTAL)})"
 STYLE = "CASE " + " ".join(f"WHEN regexp_matches(lower(title || ' '), '{p}') THEN '{n}'" for n, p in v.STYLES) + " ELSE 'general-news' END"

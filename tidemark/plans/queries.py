@@ -174,6 +174,24 @@ def gov_candidates(spark, d):
     return sample.governance_candidates(sample.unseen(rows, rows.where("seq % 7 = 0")), day(ad.DOC_AS_OF)).select("symbol", "seq", "win")
 
 
+@query
+def governance_pass(spark, d):
+    """Titles with a governance word: orders, whose titles have some, with those of every seventh already taken."""
+    rows = orders(spark, d).withColumns({"relevance": F.col("sentiment"), "title": F.concat_ws(" ", "title", F.col("seq").cast("string"))})
+    return sample.governance_pass(rows, rows.where("seq % 7 = 0"), day(ad.ORD_AS_OF)).select("symbol", "seq", "win")
+
+
+@query
+def unique_filings(spark, d):
+    return sample.unique_filings(orders(spark, d)).select("symbol", "seq", "published")
+
+
+@query
+def articles_seen(spark, d):
+    rows = docs(spark, d)
+    return sample.articles_seen(rows, sample.stratified(rows, day(ad.DOC_AS_OF)))
+
+
 @query
 def fundamental_buckets(spark, d):
     return sample.results_buckets(docs(spark, d), day(ad.DOC_AS_OF)).select("symbol", "seq", "bucket", "rank")
