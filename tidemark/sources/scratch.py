@@ -10,6 +10,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the shared folder is a file system of the kernel, files have no checksum files beside them: parquet has its own,
+#: and each file more is a process that sets its permissions.
+WRITING = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _OWN_DIR: list[str] = []
 _BASES: dict[str, SparkSession] = {}
 
@@ -60,7 +63,7 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(**WRITING).parquet(path)
         out = df.sparkSession.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # keeps the frame and its path together
         return out
