@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, lines, packing, pii, quality, sharding, simhash, viterbi
+from . import alignment, chat, decontaminate, infill, language, lines, packing, pii, quality, sharding, simhash, token_files, viterbi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -19,5 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": pii.op8_pii,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_infill": infill.op11_infill,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_token_files": token_files.op13_token_files,
 }
-ORACLES: dict[str, str] = {"op9_line_dedup": lines.OP9_SQL, "op10_chat_format": chat.OP10_SQL}
+ORACLES: dict[str, str] = {"op9_line_dedup": lines.OP9_SQL, "op10_chat_format": chat.OP10_SQL, "op11_infill": infill.OP11_SQL}
