@@ -256,3 +256,75 @@ def test_no_broken_source_goes_unseen(spark, tmp_path):
         cn.fetch_all(Fake("B"), "x", list("ABC"), {}, pause=waits.append)
     rows, errors = cn.fetch_all(Fake("BCD"), "x", list("ABCDE"), {}, allow_missing=True, pause=waits.append)
     assert rows.count() == 2 and [r.symbol for r in errors.orderBy("symbol").collect()] == list("BCD")
+
+
+def test_a_run_loses_nothing(spark, tmp_path):
+    """Actions of an exchange are never merged, merged news is recorded and pooled, and a later run restores nothing of it."""
+    holdings = spark.createDataFrame([("AM", "Alpha Motors", "Auto", "")], "symbol string, name string, sector string, aliases string")
+    row = lambda k, t, n, host: ("AM", k, t, "", f"http://{host}/{k}", host, DAY - timedelta(days=n))
+    items = spark.createDataFrame(
+        [
+            row(1, "Alpha Motors auditor resigns citing delays", 30, "reuters.com"),
+            row(2, "Statutory auditor resignation rocks Alpha Motors board", 28, "livemint.com"),
+            row(3, "Alpha Motors: customs demand upheld", 60, "reuters.com"),
+            row(4, "Market closes higher", 3, "x.com"),
+            row(5, "Auditor resigns at Alpha Motors citing long delays", 30, "other.com"),
+            row(8, "Alpha Motors auditor resigns citing delays", 30, "copy.com"),
+        ],
+        ITEMS,
+    )
+    more = {"actions": spark.createDataFrame([row(6, "Alpha Motors dividend of Rs 5 per share", 30, "exchange.com"), row(7, "Alpha Motors interim dividend Rs 9 per share", 28, "exchange.com")], ITEMS)}
+    told = lambda rows: rows.withColumn(
+        "label",
+        F.struct(
+            F.when(F.contains(F.lower("title"), F.lit("auditor")), "auditor_resignation").when(F.contains("title", F.lit("dividend")), "dividend").otherwise("litigation").alias("event_type"),
+            F.lit(-1).alias("sentiment"), F.lit(False).alias("governance_flag"), F.lit("low").alias("materiality"),
+        ),
+    ).withColumn("rationale", F.lit("said so"))
+    e = Engine(spark, f"file://{tmp_path}/c")
+    out = e.run(holdings, items, "2026-07-01", told, run="a", more=more)
+    evidence = {r.seq: r for r in out.evidence.collect()}
+    merged = {r.seq: (r.into, r.step) for r in out.merged.collect()}
+    dropped = {r.seq for r in out.dropped.collect()}
+    assert {6, 7} <= set(evidence) and {4, 8} == dropped
+    assert sorted([*evidence, *merged, *dropped]) == [1, 2, 3, 4, 5, 6, 7, 8]
+    one = next(r for r in evidence.values() if r.event_type == "auditor_resignation")
+    assert one.n_sources == 3 and set(one.sources) == {"reuters.com", "livemint.com", "other.com"} and len(one.url_hashes) == 3 and one.n_members == 3
+    assert one.event_date == DAY - timedelta(days=30) and {s for _, s in merged.values()} == {"before labelling", "after labelling"}
+    assert e.corpus.read("articles").count() == 8
+
+
+def test_merged_reports_do_not_come_back(spark, tmp_path):
+    holdings = spark.createDataFrame([("AM", "Alpha Motors", "Auto", "")], "symbol string, name string, sector string, aliases string")
+    row = lambda k, t, n, host: ("AM", k, t, "", f"http://{host}/{k}", host, DAY - timedelta(days=n))
+    items = spark.createDataFrame([row(1, "Alpha Motors CFO resigns abruptly over dispute", 30, "reuters.com"), row(2, "Finance chief of Alpha Motors: CFO quits amid row", 28, "livemint.com")], ITEMS)
+    e = Engine(spark, f"file://{tmp_path}/c")
+    first = e.run(holdings, items, "2026-07-01", run="a")
+    assert [r.n_sources for r in first.evidence.where("governance_flag").collect()] == [2]
+    again = e.run(holdings, items.where("seq = 2"), "2026-07-01", run="b")
+    assert again.evidence.where("governance_flag").count() == 1
+    assert [r.governance_score for r in first.scores.collect()] == [r.governance_score for r in again.scores.collect()]
+
+
+def test_company_words_tell_no_events_apart(spark):
+    from tidemark.operators import governance
+
+    rows = [("AM", 1, "Alpha Motors: customs demand upheld", DAY, -20.0, "regulatory_action", None, "Alpha Motors"), ("AM", 2, "Alpha Motors barred from tender over pollution", DAY - timedelta(days=2), -20.0, "regulatory_action", None, "Alpha Motors")]
+    df = spark.createDataFrame(rows, "symbol string, seq long, title string, published date, penalty double, event_type string, event_key string, company string")
+    assert governance.same_events(df).count() == 0 and governance.same_events(df.drop("company")).count() == 1
+
+
+def test_a_run_is_seen_whole_or_not_at_all(spark, tmp_path):
+    from tidemark.operators.corpus import Corpus
+
+    c = Corpus(spark, f"file://{tmp_path}/c")
+    good = spark.createDataFrame([("x", 1)], "symbol string, n int")
+    c.publish({"events": good, "scores": good}, "a")
+    bad = good.select("symbol", F.raise_error(F.lit("lost")).cast("int").alias("n"))
+    with pytest.raises(Exception, match="lost"):
+        c.publish({"events": good, "scores": bad}, "b")
+    assert c.unfinished() == {"b"} and c.runs("events") == {"a"} and {r.run_id for r in c.read("events").collect()} == {"a"}
+    with pytest.raises(ValueError, match="already"):
+        c.publish({"events": good}, "a")
+    c.publish({"events": good, "scores": good}, "b")
+    assert c.unfinished() == set() and c.runs("scores") == {"a", "b"} and c.read("events").count() == 2

@@ -108,23 +108,23 @@ def test_one_event_from_a_flood(spark):
 
 def test_merge_equals_loop(spark):
     rng = random.Random(9)
-    rows = [("AA", rng.choice(["earnings_beat", "litigation"]), True, k, f"t{rng.randrange(5)}", DAY - timedelta(days=rng.randrange(200)), None, rng.choice(["T1", "T2", "T3"]), rng.choice(["sentiment", "governance"])) for k in range(80)]
-    df = spark.createDataFrame(rows, "symbol string, event_type string, governance_flag boolean, seq long, title string, published date, event_date date, max_tier string, purpose string")
-    got = {r.seq: (r.survivor, r.event_date, r.n_merged) for r in cluster.merge_labelled(df).collect()}
+    rows = [("AA", rng.choice(["earnings_beat", "litigation"]), True, k, f"t{rng.randrange(5)}", DAY - timedelta(days=rng.randrange(200)), None, rng.choice(["T1", "T2", "T3"]), rng.choice(["sentiment", "governance"]), f"http://x{k % 7}.com/{k}") for k in range(80)]
+    df = spark.createDataFrame(rows, "symbol string, event_type string, governance_flag boolean, seq long, title string, published date, event_date date, max_tier string, purpose string, url string")
+    got = {r.seq: (r.survivor, r.event_date, r.n_merged, r.purpose, r.max_tier, tuple(r.sources), r.n_sources, r.n_members, len(r.url_hashes)) for r in cluster.merge_labelled(df).collect()}
     kept = []
     for r in sorted(rows, key=lambda r: (r[5], r[4], r[3])):
-        n = {"et": r[1], "rep": r[3], "pub": r[5], "date": r[5], "tier": r[7], "purpose": r[8], "all": [r[3]]}
+        n = {"et": r[1], "rep": r[3], "pub": r[5], "date": r[5], "tier": r[7], "purpose": r[8], "all": [r[3]], "src": {r[9].split("/")[2]}}
         for k, o in enumerate(kept):
             if o["et"] != n["et"]:
                 continue
             q = lambda d: (d.year, (d.month - 1) // 3)
             if abs((o["date"] - n["date"]).days) <= 3 or (n["et"] == "earnings_beat" and q(o["pub"]) == q(n["pub"]) and o["purpose"] == n["purpose"]):
                 a, b = (o, n) if (o["tier"], o["pub"]) <= (n["tier"], n["pub"]) else (n, o)
-                kept[k] = {**a, "date": min(o["date"], n["date"]), "tier": min(o["tier"], n["tier"]), "all": o["all"] + n["all"], "purpose": "sentiment" if b["purpose"] == "sentiment" else a["purpose"]}
+                kept[k] = {**a, "date": min(o["date"], n["date"]), "tier": min(o["tier"], n["tier"]), "all": o["all"] + n["all"], "src": o["src"] | n["src"], "purpose": "sentiment" if b["purpose"] == "sentiment" else a["purpose"]}
                 break
         else:
             kept.append(n)
-    assert got == {s: (o["rep"], o["date"], len(o["all"])) for o in kept for s in o["all"]}
+    assert got == {s: (o["rep"], o["date"], len(o["all"]), o["purpose"], o["tier"], tuple(sorted(o["src"])), len(o["src"]), len(o["all"]), len(o["all"])) for o in kept for s in o["all"]}
 
 
 def test_labels_and_reasons(spark):

@@ -27,13 +27,13 @@ SCORES = ["sentiment_mean", "governance_score", "risk_score", "opportunity_score
 LOOKBACK = 365
 #: Columns of stored evidence: all that scoring reads.
 EVIDENCE = (
-    "symbol sector seq title snippet url source published event_date kind win purpose pass_ relevance n_sources n_members max_tier confidence url_hashes event_id event_type sentiment rationale "
+    "symbol company sector seq title snippet url source published event_date kind win purpose pass_ relevance n_sources n_members max_tier confidence sources url_hashes event_id event_type sentiment rationale "
     "governance_flag materiality historical substance subject occurred_at_company action_stage severity amount_inr_cr people_direction role_tier event_key ca_stage ca_size_pct ca_days_to_effective penalty_override "
     "model prompt_version"
 ).split()
 KINDS = {
     "sentiment": "int", "governance_flag": "boolean", "historical": "boolean", "occurred_at_company": "boolean", "amount_inr_cr": "double", "ca_size_pct": "double", "ca_days_to_effective": "double",
-    "penalty_override": "double", "confidence": "double", "published": "date", "event_date": "date", "seq": "long", "win": "int", "relevance": "int", "n_sources": "long", "n_members": "long", "url_hashes": "array<string>",
+    "penalty_override": "double", "confidence": "double", "published": "date", "event_date": "date", "seq": "long", "win": "int", "relevance": "int", "n_sources": "long", "n_members": "long", "url_hashes": "array<string>", "sources": "array<string>",
 }
 Labeller = Callable[[DataFrame], DataFrame]
 
@@ -69,6 +69,7 @@ class Run:
     scores: DataFrame
     evidence: DataFrame
     dropped: DataFrame
+    merged: DataFrame  # rows that are part of another event, with the row that stands for it and when they were merged
 
 
 class Engine:
@@ -77,16 +78,18 @@ class Engine:
         self.corpus = corpus.Corpus(spark, root)
 
     def named(self, holdings: DataFrame, items: DataFrame) -> DataFrame:
-        """Items of the holdings, with name and sector and whether the title names the company."""
+        """Items of the holdings, with name and sector, the company's own words and whether the title names the company."""
         cols = [c for c in ("name", "sector") if c in holdings.columns]
-        rows = items.join(views.name_tokens(holdings), "symbol").join(holdings.select("symbol", *cols), "symbol")
+        said = [F.col(c) for c in ("name", "symbol", "aliases") if c in holdings.columns]
+        own = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", *said)), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+        rows = items.join(views.name_tokens(holdings), "symbol").join(holdings.select("symbol", *cols, own.alias("own")), "symbol")
         rows = rows.withColumn("usable", tx.title_hit(F.col("title"), F.col("name_tokens"))).drop("name_tokens")
         return rows if "relevance" in rows.columns else rows.withColumn("relevance", F.lit(0))
 
     def passes(self, holdings: DataFrame, items: DataFrame, as_of: Column, more: dict[str, DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         """(kept, dropped): the union of the passes, each without the urls and titles that those before it have."""
         picked = scratch.save(sample.drop_reasons(sample.stratified(self.named(holdings, items), as_of, capped=False, r=self.r)))
-        names = ["symbol", "seq", "title", "snippet", "url", "source", "published", "name", "sector", "relevance", "win"]
+        names = ["symbol", "seq", "title", "snippet", "url", "source", "published", "name", "sector", "own", "relevance", "win"]
         told = lambda rows, pass_, purpose, kind="news": rows.select(*names).withColumns({"pass_": F.lit(pass_), "purpose": F.lit(purpose), "kind": F.lit(kind)})
         kept = told(picked.where("reason is null"), "sentiment", "sentiment")
         windowed = lambda rows: rows.withColumn("win", window_of(F.col("published"), as_of, self.r))
@@ -105,16 +108,27 @@ class Engine:
         if "actions" in more:
             rows = windowed(sample.dedupe_by_url(self.named(holdings, more["actions"]), ["symbol"])).where("win is not null")
             kept = scratch.save(kept.unionByName(told(rows, "actions", "sentiment", "action")))
-        return kept, picked.where("reason is not null").select("symbol", "seq", "title", "url", "published", "win", "reason")
-
-    def events(self, kept: DataFrame) -> DataFrame:
-        """Items clustered, each event by its representative: one label an event is all that follows, so this comes
-        before the labeller. Actions of an exchange are events as they are."""
+        told_why = picked.where("reason is not null").select("symbol", "seq", "title", "url", "published", "win", "reason")
+        cols = ["symbol", "seq", "title", "url", "published"]
+        every = items.select(*cols)
+        for rows in more.values():
+            every = every.unionByName(rows.select(*cols))
+        # what a pass left out without a word: copies of a url or title, other holdings' items, and titles that it doesn't look for
+        rest = every.join(kept.select("seq"), "seq", "left_anti").join(told_why.select("seq"), "seq", "left_anti")
+        rest = windowed(rest).withColumn("reason", F.lit("a copy of another item or not what its pass looks for"))
+        return kept, told_why.unionByName(rest.select(*told_why.columns))
+
+    def events(self, kept: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+        """(events, members): items clustered, each event by its representative: one label an event is all that follows,
+        so this comes before the labeller. Members are the other items, each with the one that stands for it. Actions of
+        an exchange are events as they are."""
         news, acts = kept.where("kind = 'news'"), kept.where("kind <> 'news'").withColumn("cluster", F.col("seq"))
-        grouped = news.join(cluster.clusters(news, self.r), "seq").unionByName(acts)
-        built = cluster.build_events(grouped, self.r, members=False)
+        grouped = news.join(cluster.clusters(news, self.r, F.col("own")), "seq").unionByName(acts)
+        built = scratch.save(cluster.build_events(grouped, self.r, members=False))
+        others = grouped.join(built.select("symbol", "cluster", F.col("seq").alias("into")), ["symbol", "cluster"]).where("seq <> into")
+        members = others.select("symbol", "seq", "title", "url", "published", "win", "into", F.lit("before labelling").alias("step"))
         rest = kept.select("seq", "sector", "snippet", "source", "win", "relevance", "pass_", "purpose", "kind", F.col("name").alias("company"))
-        return built.join(rest, "seq")
+        return built.join(rest, "seq"), members
 
     def labels(self, events: DataFrame, labeller: Labeller, model: str, prompt: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         """(events with label and rationale, the new labels): from the cache by item, from the corpus by url, then from
@@ -149,7 +163,8 @@ class Engine:
         """Scores a portfolio and appends the run to the corpus. Items: symbol, seq, title, snippet, url, source,
         published; ``more`` has such items by pass (results, governance, filings, actions), with numbers of their own.
         Verified rows, with evidence's columns, are added before scoring. Labels are kept by ``model`` and ``prompt``.
-        A change of the ``locked`` universe must be confirmed, and every ``golden`` case must hold."""
+        A change of the ``locked`` universe must be confirmed, and every ``golden`` case must hold. Each item is in the
+        evidence, dropped with a reason or merged into another; news alone is merged after labelling."""
         if locked is not None and not confirmed:
             changes = [f"{r.symbol} {r.change}" for r in corpus.universe_changes(holdings, locked).orderBy("symbol").limit(20).collect()]
             if changes:
@@ -161,33 +176,46 @@ class Engine:
         day = F.lit(as_of).cast("date")
         scratch = Scratch(self.spark, "run")
         run = run or run_id(as_of)
-        if run in self.corpus.runs("events"):
+        if run in self.corpus.runs("manifests"):
             raise ValueError(f"run {run} is already in events")
         kept, dropped = self.passes(holdings, items, day, more or {}, scratch)
-        told, new = self.labels(scratch.save(self.events(kept)), labeller, model, prompt, scratch)
+        built, members = self.events(kept, scratch)
+        told, new = self.labels(scratch.save(built), labeller, model, prompt, scratch)
         done = told.select("*", "label.*").withColumn("labelled", F.col("label").isNotNull()).drop("label")
         checked = scratch.save(label.validated(done, day, LOOKBACK, self.r))
         bad = checked.where("reason is not null").select("symbol", "seq", "title", "url", "published", "win", "reason")
         good = label.price_lint(checked.where("reason is null")).withColumns({"model": F.lit(model), "prompt_version": F.lit(prompt)})
         good = scratch.save(with_columns(good))
-        merged = cluster.merge_labelled(good, self.r)
-        kept = scratch.save(good.drop("event_date").join(merged.where("seq = survivor").select("seq", "event_date"), "seq"))
+        news = good.where("kind = 'news'")
+        merged = scratch.save(cluster.merge_labelled(news, self.r))
+        pooled = merged.where("seq = survivor").select("seq", *cluster.POOLED)
+        kept = news.drop(*cluster.POOLED).join(pooled, "seq").unionByName(good.where("kind <> 'news'"))
+        later = news.join(merged.where("seq <> survivor").select("seq", F.col("survivor").alias("into")), "seq")
+        absorbed = scratch.save(members.unionByName(later.select("symbol", "seq", "title", "url", "published", "win", "into", F.lit("after labelling").alias("step"))))
+        kept = scratch.save(kept)
         if self.corpus.runs("events"):
             kept = kept.unionByName(self.stored(kept, holdings, day, model, prompt).select(*kept.columns))
         if verified is not None:
-            kept = kept.unionByName(with_columns(verified).select(*kept.columns))
+            named = verified.drop("company").join(holdings.select("symbol", F.col("name").alias("company")), "symbol", "left") if "name" in holdings.columns else verified
+            kept = kept.unionByName(with_columns(named).select(*kept.columns))
         evidence = scratch.save(with_columns(kept))
         gone = scratch.save(dropped.unionByName(bad))
         scores = scratch.save(score.score_portfolio(holdings.select("symbol", "sector"), evidence, day, self.r))
-        self.corpus.append("events", evidence.withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("v"), F.col("seq").cast("string")))), run)
-        self.corpus.append("scores", scores.withColumn("as_of", day), run)
-        self.corpus.append("articles", gone.select("symbol", "seq", "url", "published", "win", "reason").unionByName(evidence.select("symbol", "seq", "url", "published", "win", F.lit(None).cast("string").alias("reason"))), run)
-        self.corpus.append("labels", new.select("item_key", "url_hash", "label", "rationale", F.lit(model).alias("model"), F.lit(prompt).alias("prompt_version")), run)
+        seen = [F.col(c) for c in ("symbol", "seq", "url", "published", "win")]
+        why = lambda c: c.cast("string").alias("reason")
+        into = F.concat(F.lit("merged into "), F.col("into").cast("string"))
         names = [F.col(c) if c in holdings.columns else F.lit(None).cast("string").alias(c) for c in ("symbol", "name", "sector")]
-        listed = holdings.agg(F.collect_list(F.struct(*names)).alias("holdings"))
-        told_as = {"as_of": day, "rubric": F.lit(self.r.sha), "mode": F.lit("live"), "fetched": F.current_date(), "model": F.lit(model), "prompt_version": F.lit(prompt)}
-        self.corpus.append("manifests", listed.withColumns(told_as), run)
-        return Run(scores, evidence, gone)
+        told_as = [day.alias("as_of"), F.lit(self.r.sha).alias("rubric"), F.lit("live").alias("mode"), F.current_date().alias("fetched"), F.lit(model).alias("model"), F.lit(prompt).alias("prompt_version")]
+        tables = {
+            "events": evidence.withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("v"), F.col("seq").cast("string")))),
+            "scores": scores.withColumn("as_of", day),
+            "articles": gone.select(*seen, "reason").unionByName(absorbed.select(*seen, why(into))).unionByName(evidence.select(*seen, why(F.lit(None)))),
+            "labels": new.select("item_key", "url_hash", "label", "rationale", F.lit(model).alias("model"), F.lit(prompt).alias("prompt_version")),
+            "holdings": holdings.select(*names),
+            "manifests": self.spark.range(1).select(*told_as),
+        }
+        self.corpus.publish(tables, run)
+        return Run(scores, evidence, gone, absorbed)
 
     def stored(self, kept: DataFrame, holdings: DataFrame, as_of: Column, model: str, prompt: str) -> DataFrame:
         """Governance events that earlier runs of the same model and prompt stored, a date could see and this run
@@ -200,7 +228,7 @@ class Engine:
 
     def holdings_of(self, symbols: DataFrame) -> DataFrame:
         """Symbols as the newest stored run that lists them has them."""
-        return corpus.stored_holdings(self.corpus.read("manifests"), symbols)
+        return corpus.stored_holdings(self.corpus.read("holdings"), symbols)
 
     def previous(self, before: str | None = None) -> str | None:
         """The newest stored run, or the newest before a run."""
@@ -214,7 +242,7 @@ class Engine:
 
     def relabel(self, run: str, labeller: Labeller, company: DataFrame) -> DataFrame:
         """Stored events of a run with new labels; all other columns stay."""
-        rows = self.corpus.read("events", [run]).join(company.select("symbol", F.col("name").alias("company")), "symbol")
+        rows = self.corpus.read("events", [run]).drop("company").join(company.select("symbol", F.col("name").alias("company")), "symbol")
         fields = [f.name for f in labeller(rows.limit(0)).schema["label"].dataType.fields]
         return with_columns(labeller(rows).drop(*[f for f in fields if f in rows.columns]).select("*", "label.*"))
 

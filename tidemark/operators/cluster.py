@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +56,11 @@ def similar_pairs(items: DataFrame, r: Rubric = DEFAULT, own: Column | None = No
     return met.withColumn("near", near).where(F.col("near") | close).drop("small")
 
 
-def clusters(items: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
-    """(seq, cluster): the smallest seq of the closure of similar pairs; seq tells all items apart."""
+def clusters(items: DataFrame, r: Rubric = DEFAULT, own: Column | None = None) -> DataFrame:
+    """(seq, cluster): the smallest seq of the closure of similar pairs; seq tells all items apart. Titles are compared
+    without the company's ``own`` words."""
     scratch = Scratch(items.sparkSession, "clusters")
-    roots = components(similar_pairs(items, r).select("a", "b"), scratch)
+    roots = components(similar_pairs(items, r, own).select("a", "b"), scratch)
     return items.select("seq").join(roots, items.seq == roots.node, "left").select("seq", F.coalesce("root", "seq").alias("cluster"))
 
 
@@ -76,6 +78,7 @@ def build_events(items: DataFrame, r: Rubric = DEFAULT, members: bool = True) ->
         F.min("tier").alias("max_tier"),
         F.min("published").alias("event_date"),
         F.array_sort(F.collect_set("hash")).alias("url_hashes"),
+        F.array_sort(F.collect_set(F.nullif("domain", F.lit("")))).alias("sources"),
     ]
     if members:
         aggs.append(F.array_sort(F.collect_list(F.struct("seq", "url", F.col("domain").alias("source"), "published", "title", "tier"))).alias("members"))
@@ -85,26 +88,31 @@ def build_events(items: DataFrame, r: Rubric = DEFAULT, members: bool = True) ->
     return out.select("symbol", "cluster", F.col("rep.seq").alias("seq"), F.col("rep.title").alias("title"), F.col("rep.url").alias("url"), F.col("rep.published").alias("published"), *[c for c in out.columns if c not in ("symbol", "cluster", "rep")])
 
 
-MERGED = "seq long, survivor long, event_date date, n_merged long"
+MERGED = "symbol string, seq long, survivor long, event_date date, n_merged long, purpose string, n_members long, n_sources long, max_tier string, sources array<string>, url_hashes array<string>"
+#: What a survivor takes from the events merged into it.
+POOLED = ["event_date", "purpose", "n_members", "n_sources", "max_tier", "confidence", "sources", "url_hashes"]
 
 
 def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
-    """(seq, survivor, event_date, n_merged): labelled events of one symbol, type and flag that tell of one event.
+    """(symbol, seq, survivor, event_date, n_merged and the survivor's pooled columns): labelled events of one symbol,
+    type and flag that tell of one event.
 
     The first kept event that fits takes the newcomer; its date moves back to the earlier one and the better sourced of
-    the two stands for both, so what later rows are held against changes as the loop runs. Groups are one symbol's
-    events of one type and flag."""
+    the two stands for both, so what later rows are held against changes as the loop runs. Sources, url hashes and
+    members of both are the survivor's, its tier is the better one and its confidence follows from what is pooled.
+    Groups are one symbol's events of one type and flag. Events have a url, and may have sources, url_hashes and
+    n_members of their own; undated ones are left out."""
     days, results = r["cluster"]["merge_days"], set(r["sentiment"]["results_event_types"])
 
-    def merge(group: list[tuple]) -> list[tuple]:
+    def merge(group: Iterator[tuple]) -> list[tuple]:
         kept: list[dict] = []
         at: dict[tuple, set[int]] = defaultdict(set)  # kept events by block of days and by quarter and purpose
 
         def places(o: dict, kind: str) -> list[tuple]:
             return [("day", o["date"].toordinal() // (days + 1)), *([("quarter", quarter_of(o["pub"]), o["purpose"])] if kind in results else [])]
 
-        for _, kind, _, seq, _, published, date, tier, purpose in group:
-            new = {"rep": seq, "pub": published, "date": date, "tier": tier, "purpose": purpose, "all": [seq]}
+        for symbol, kind, _, seq, _, published, date, tier, purpose, members, sources, hashes in group:
+            new = {"rep": seq, "pub": published, "date": date, "tier": tier, "purpose": purpose, "all": [seq], "symbol": symbol, "members": members, "sources": {*sources}, "hashes": {*hashes}}
             own = places(new, kind)
             reach = {x for b in (-1, 0, 1) for x in at[("day", own[0][1] + b)]}.union(*[at[k] for k in own[1:]])
             for k in sorted(reach):
@@ -113,7 +121,10 @@ def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
                 if abs((o["date"] - date).days) <= days or quarter:
                     keep, drop = (o, new) if (o["tier"], o["pub"]) <= (tier, published) else (new, o)
                     o["all"].append(seq)
-                    both = {"date": min(o["date"], date, o["pub"], published), "tier": min(o["tier"], tier), "all": o["all"]}
+                    o["sources"] |= new["sources"]
+                    o["hashes"] |= new["hashes"]
+                    both = {c: o[c] for c in ("all", "sources", "hashes")} | {"members": o["members"] + members}
+                    both |= {"date": min(o["date"], date, o["pub"], published), "tier": min(o["tier"], tier)}
                     both["purpose"] = "sentiment" if drop["purpose"] == "sentiment" else keep["purpose"]
                     for x in places(o, kind):
                         at[x].discard(k)
@@ -124,16 +135,21 @@ def merge_labelled(events: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
                 kept.append(new)
             for x in places(kept[k], kind):
                 at[x].add(k)
-        return [(s, o["rep"], o["date"], len(o["all"])) for o in kept for s in o["all"]]
+        pooled = lambda o: (o["date"], len(o["all"]), o["purpose"], o["members"], max(len(o["sources"]), 1), o["tier"], sorted(o["sources"]), sorted(o["hashes"]))
+        return [(o["symbol"], s, o["rep"], *pooled(o)) for o in kept for s in o["all"]]
 
     def quarter_of(d) -> tuple[int, int]:
         return d.year, (d.month - 1) // 3
 
+    has = lambda c, made: F.coalesce(F.col(c), made) if c in events.columns else made
+    domain = tx.domain_of(F.col("url"), F.col("source") if "source" in events.columns else F.lit(""))
     rows = events.where("published is not null").select(
         "symbol", "event_type", "governance_flag", "seq", "title", "published",
         F.coalesce("event_date", "published").alias("event_date"), F.coalesce("max_tier", F.lit("T3")).alias("max_tier"), F.coalesce("purpose", F.lit("")).alias("purpose"),
+        has("n_members", F.lit(1)).cast("long").alias("n_members"), has("sources", F.array_remove(F.array(domain), "")).alias("sources"), has("url_hashes", F.array(tx.url_hash(F.col("url")))).alias("url_hashes"),
     )
-    return over_groups(rows, ["symbol", "event_type", "governance_flag"], ["published", "title", "seq"], merge, MERGED)
+    out = over_groups(rows, ["symbol", "event_type", "governance_flag"], ["published", "title", "seq"], merge, MERGED)
+    return out.withColumn("confidence", tx.confidence(F.col("n_sources"), F.col("max_tier"), r))
 
 
 def attach_extras(extras: DataFrame, events: DataFrame, r: Rubric = DEFAULT, least: float = 0.3) -> DataFrame:

@@ -12,7 +12,12 @@ from ..plans.rubric import DEFAULT, Rubric
 
 
 class Corpus:
-    """Parquet tables under a root, one partition for each run; a run is written once."""
+    """Parquet tables under a root, one partition for each run; a run is written once.
+
+    ``publish`` writes a run's tables behind a marker and takes the marker away at the end. Readers leave out runs that
+    have one, so a run is seen with all its tables or not at all; what a failed attempt left goes when the run is
+    published again.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -20,21 +25,48 @@ class Corpus:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def runs(self, name: str) -> set[str]:
-        """The run ids of a table, from its directories."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _written(self, name: str) -> set[str]:
+        p, fs = self._at(self.path(name))
         if not fs.exists(p):
             return set()
         return {s.getPath().getName().split("=", 1)[1] for s in fs.listStatus(p) if "=" in s.getPath().getName()}
 
+    def unfinished(self) -> set[str]:
+        """Runs whose tables are being written, or were when their writer failed."""
+        return self._written("_unfinished")
+
+    def runs(self, name: str) -> set[str]:
+        """The run ids of a table that can be seen, from its directories."""
+        return self._written(name) - self.unfinished()
+
     def append(self, name: str, rows: DataFrame, run_id: str) -> None:
         if run_id in self.runs(name):
             raise ValueError(f"run {run_id} is already in {name}")
         rows.drop("run_id").write.parquet(f"{self.path(name)}/run_id={run_id}")
 
+    def publish(self, tables: dict[str, DataFrame], run_id: str) -> None:
+        """Writes a run's tables so that they are seen together. A run id has one writer at a time."""
+        marker, fs = self._at(f"{self.path('_unfinished')}/run_id={run_id}")
+        left = fs.exists(marker)
+        for name in tables:
+            if left:
+                fs.delete(self._at(f"{self.path(name)}/run_id={run_id}")[0], True)
+            elif run_id in self._written(name):
+                raise ValueError(f"run {run_id} is already in {name}")
+        fs.mkdirs(marker)
+        for name, rows in tables.items():
+            rows.drop("run_id").write.parquet(f"{self.path(name)}/run_id={run_id}")
+        fs.delete(marker, True)
+
     def read(self, name: str, runs: list[str] | None = None) -> DataFrame:
-        out = self.spark.read.parquet(self.path(name)).withColumn("run_id", F.col("run_id").cast("string"))
+        out = self.spark.read.option("mergeSchema", True).parquet(self.path(name)).withColumn("run_id", F.col("run_id").cast("string"))
+        hidden = self.unfinished()
+        if hidden:
+            out = out.where(~F.col("run_id").isin(*hidden))
         return out if runs is None else out.where(F.col("run_id").isin(*runs))
 
 
@@ -128,11 +160,10 @@ def driver_codes(a: DataFrame, b: DataFrame, penalties_a: DataFrame, penalties_b
     return out.select("symbol", F.when(one, "U").when(F.size(codes) > 0, F.array_join(codes, "")).otherwise("agree").alias("drivers"))
 
 
-def stored_holdings(manifests: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol, name, sector): each symbol's holding as the newest manifest that lists it has it. Symbols that none
-    lists are named after themselves. Manifests have holdings, an array of (symbol, name, sector)."""
-    rows = manifests.select("run_id", F.inline("holdings"))
-    last = rows.groupBy("symbol").agg(F.max_by(F.struct("name", "sector"), "run_id").alias("x"))
+def stored_holdings(listed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, name, sector): each symbol's holding as the newest run that lists it has it. Symbols that none lists are
+    named after themselves. ``listed`` has run_id, symbol, name and sector."""
+    last = listed.groupBy("symbol").agg(F.max_by(F.struct("name", "sector"), "run_id").alias("x"))
     out = symbols.select("symbol").distinct().join(last, "symbol", "left")
     return out.select("symbol", F.coalesce("x.name", "symbol").alias("name"), F.coalesce("x.sector", F.lit("Unclassified")).alias("sector"))
 

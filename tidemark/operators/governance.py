@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,21 +118,30 @@ AT = "\x1f"
 SAME_EVENT = "symbol string, seq long, dup_of long"
 
 
+def company_words(rows: DataFrame) -> Column:
+    """The words by which a title names its own company: the symbol and, where rows have it, the company's name."""
+    symbol = F.array(F.lower(F.substring_index("symbol", AT, 1)))
+    if "company" not in rows.columns:
+        return symbol
+    return F.array_union(symbol, F.regexp_extract_all(F.lower(F.coalesce("company", F.lit(""))), F.lit("[a-z0-9]{4,}"), F.lit(0)))
+
+
 def same_events(candidates: DataFrame, own_words: Column | None = None, r: Rubric = DEFAULT) -> DataFrame:
     """(symbol, seq, dup_of): candidates that tell of an event that a more severe candidate tells of.
 
     Greedy, most severe first, against the rows kept so far, so it is no closure that a join could give. Rows can only
-    meet within a family, so a group is a symbol's candidates of one family: flagged rows that passed the gate.
+    meet within a family, so a group is a symbol's candidates of one family: flagged rows that passed the gate. The
+    company's own words (``company_words``, or those given) say nothing of an event and are left out.
     """
     days = r["governance"]["dedupe_days"]
-    own = own_words if own_words is not None else F.array(F.lower(F.substring_index("symbol", AT, 1)))
+    own = own_words if own_words is not None else company_words(candidates)
     rows = candidates.select(
         "symbol", "seq", "published", "penalty", family(F.col("event_type"), r).alias("family"),
         F.regexp_replace(F.lower(F.coalesce("event_key", F.lit(""))), "[^a-z0-9]", "").alias("k"),
         event_words(F.col("title"), F.col("event_key"), own).alias("words"),
     ).where("published is not null")
 
-    def greedy(group: list[tuple]) -> list[tuple]:
+    def greedy(group: Iterator[tuple]) -> list[tuple]:
         kept: dict[int, list[tuple]] = defaultdict(list)  # by block of days, so a row looks only at those in its reach
         out = []
         for n, (symbol, seq, day, _, _, key, words) in enumerate(group):

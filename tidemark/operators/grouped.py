@@ -13,11 +13,11 @@ from pyspark.sql.types import _parse_datatype_string
 BATCH = 4096
 
 
-def over_groups(df: DataFrame, keys: list[str], order: list[str], loop: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
-    """What ``loop`` makes of each group's rows (tuples, in order) as rows of ``schema``.
+def over_groups(df: DataFrame, keys: list[str], order: list[str], loop: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """What ``loop`` makes of each group's rows (a stream of tuples, in order) as rows of ``schema``.
 
-    Rows are dealt by the keys and sorted, so groups come as a stream and only one is held at a time; many small groups
-    cost no more than their rows.
+    Rows are dealt by the keys and sorted, so groups come as a stream and a loop holds what it keeps of one group; many
+    small groups cost no more than their rows.
     """
     names = df.columns
     at = [names.index(k) for k in keys]
@@ -33,7 +33,7 @@ def over_groups(df: DataFrame, keys: list[str], order: list[str], loop: Callable
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for _, group in groupby(rows(it), key=lambda r: tuple(r[k] for k in at)):
-            out.extend(loop(list(group)))
+            out.extend(loop(group))
             if len(out) >= BATCH:
                 yield batch_of(out)
                 out = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.rubric import DEFAULT, Rubric
 from . import actions, governance, sentiment
+from .governance import lookup
 
 
 def score_portfolio(holdings: DataFrame, evidence: DataFrame, as_of: Column, r: Rubric = DEFAULT, dedupe: bool = True) -> DataFrame:
@@ -94,8 +95,26 @@ def portfolio_facts(scores: DataFrame) -> DataFrame:
     )
 
 
-def anomalies(scores: DataFrame, applied: DataFrame, evidence: DataFrame, labelled: DataFrame, standard: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
-    """Proposals (kind, key, lesson_id) of what a person should look at in a run, one small query each."""
+#: Types that tell of one kind of governance event (fixed values of the rubric's lessons).
+KINDS_OF_EVENT = {"regulatory_action": "reg", "investigation": "reg", "exchange_fine": "reg", "management_exit": "people", "board_independence": "people", "rpt_concern": "rpt"}
+
+
+def missed(verified: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Verified rows for which a run found no governance event of their symbol and kind; types without a kind are never found."""
+    kind = lookup(F.col("event_type"), KINDS_OF_EVENT)
+    found = evidence.where("governance_flag").select("symbol", kind.alias("kind")).where("kind is not null").distinct()
+    return verified.withColumn("kind", kind).join(found, ["symbol", "kind"], "left_anti")
+
+
+def anomalies(
+    scores: DataFrame, applied: DataFrame, evidence: DataFrame, labelled: DataFrame, standard: DataFrame, r: Rubric = DEFAULT,
+    drops: DataFrame | None = None, linted: DataFrame | None = None, verified: DataFrame | None = None, against: DataFrame | None = None,
+) -> DataFrame:
+    """Proposals (kind, key, lesson_id) of what a person should look at in a run, one small query each.
+
+    Where they are given: ``drops`` (symbol, reason) tell of loose queries, ``linted`` rows of price language, ``verified``
+    rows of events that the run's ``evidence``, found without them, lacks, and ``against`` (symbol, governance_score) of another run
+    that disagrees."""
     parts = []
 
     def add(rows: DataFrame, kind: str, key: Column | str) -> None:
@@ -111,9 +130,17 @@ def anomalies(scores: DataFrame, applied: DataFrame, evidence: DataFrame, labell
     add(split.where("flag >= 0.3"), "many_flags", "portfolio")
     add(split.where("clean >= 0.6"), "many_clean", "portfolio")
     add(split.where("spread < 0.25"), "compressed_sentiment", "portfolio")
-    loose = evidence.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg((F.coalesce("substance", F.lit("primary")) == "passing").cast("double")).alias("passing"))
-    add(loose.where("n >= 5 and passing >= 0.4"), "loose_query", F.col("symbol"))
-    add(label_failures(labelled, r).where("over_limit"), "label_failures", "run")
+    if drops is not None:
+        other = F.count_if(F.substring_index("reason", ":", 1) == "not_about_company")
+        add(drops.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), other.alias("other")).where("other >= 5 and other / n >= 0.4"), "loose_query", F.col("symbol"))
+    add(labelled.where(~F.col("labelled")), "label_failures", F.col("symbol"))
+    if linted is not None:
+        add(linted.agg(F.count(F.lit(1)).alias("n")).where("n > 0"), "price_language", F.col("n").cast("string"))
+    if verified is not None:
+        add(missed(verified, evidence), "verified_event_missed", F.concat("symbol", F.lit("|"), F.coalesce("event_key", F.lit(""))))
+    if against is not None:
+        both = scores.join(against.select("symbol", F.col("governance_score").alias("other")), "symbol").where("governance_score <> other")
+        add(both, "runs_disagree", F.concat_ws("|", "symbol", F.col("governance_score").cast("string"), F.col("other").cast("string")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

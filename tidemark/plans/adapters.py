@@ -17,8 +17,10 @@ def pick(expr: str, values: list) -> str:
 
 
 #: Two runs that hold all rows between them; each has a symbol that the other lacks.
-RUN_A = "(seq % 2 = 0 OR symbol = 'CHINA') AND symbol <> 'FRANCE'"
-RUN_B = "(seq % 2 <> 0 OR seq % 3 <> 0 OR symbol = 'FRANCE') AND symbol <> 'CHINA'"
+RUN_A = "(seq % 2 = 0 OR holding_seq = 5) AND holding_seq <> 6"
+#: A run whose stored scores don't come out again for some symbols, and lack one.
+RUN_AGAIN = "(holding_seq % 4 <> 1 OR seq % 2 = 0) AND holding_seq <> 7"
+RUN_B = "(seq % 2 <> 0 OR seq % 3 <> 0 OR holding_seq = 6) AND holding_seq <> 5"
 
 ORD_TYPES = ["earnings_beat", "earnings_miss", "order_win", "regulatory_action", "management_exit", "exchange_fine", "other", "guidance_change", "dividend", "price_move", "pledge", "dilution", "operating_update"]
 TITLES = [
@@ -35,7 +37,7 @@ TIERS = ["cxo_cs_cfo_compliance", None, "below_cxo"]
 MATERIALITY = ["low", "medium", "high", None]
 
 ORD = f"""
-SELECT o.o_orderkey AS seq, n.n_name AS symbol, c.c_mktsegment AS sector, CAST(n.n_nationkey AS BIGINT) AS holding_seq, CAST(o.o_orderdate AS DATE) AS published, 'news' AS kind,
+SELECT o.o_orderkey AS seq, n.n_name AS symbol, concat(n.n_name, ' Works') AS company, c.c_mktsegment AS sector, CAST(n.n_nationkey AS BIGINT) AS holding_seq, CAST(o.o_orderdate AS DATE) AS published, 'news' AS kind,
   CASE substr(o.o_orderpriority, 1, 1) WHEN '1' THEN -2 WHEN '2' THEN -1 WHEN '3' THEN 0 WHEN '4' THEN 1 ELSE 2 END AS sentiment,
   {pick("o.o_orderkey", ORD_TYPES)} AS event_type, {pick("o.o_orderkey", TITLES)} AS title, {pick("o.o_custkey", MATERIALITY)} AS materiality,
   {pick("o.o_orderkey", SUBJECTS)} AS subject, {pick("o.o_custkey", STAGES)} AS action_stage, {pick("o.o_orderkey", SEVERITIES)} AS severity,
@@ -75,12 +77,12 @@ SELECT event_id AS seq, concat('U', CAST(user_id AS VARCHAR(20))) AS symbol, CAS
   {pick("event_id", STAGES)} AS action_stage, 'unplanned_exit' AS people_direction, 'cxo_cs_cfo_compliance' AS role_tier, CAST(NULL AS DOUBLE) AS amount_inr_cr,
   TRUE AS occurred_at_company, (event_type <> 'view') AS governance_flag, (event_id % 5 = 2) AS historical, CASE WHEN event_id % 211 = 0 THEN CAST(-4.0 AS DOUBLE) END AS penalty_override,
   {pick("event_id", ["key-one", None, None, "key-two", None])} AS event_key, {pick("event_id", ["T1", "T2", "T3"])} AS max_tier, {pick("event_id", ["sentiment", "governance"])} AS purpose,
-  CAST(event_id % 5 AS INT) - 2 AS sentiment, concat('https://example.org/e/', CAST(event_id % 5003 AS VARCHAR(20))) AS url, CAST(event_id % 4 AS INT) AS run
+  CAST(event_id % 5 AS INT) - 2 AS sentiment, concat('https://', {pick("event_id", ["reuters.com", "example.org", "news.example.net", "example.org", "livemint.com"])}, '/e/', CAST(event_id % 5003 AS VARCHAR(20))) AS url, {pick("user_id", ["Penalty Order Works", None, "Board Compliance Stores", "Fraud Detection", None])} AS company, CAST(event_id % 4 AS INT) AS run
 FROM {{events}}
 """
 
 DOC_SPARK = """
-SELECT d.doc_id AS seq, d.lang AS symbol, d.source AS source, array_join(slice(split(d.text, ' '), 1, 12), ' ') AS title, substr(d.text, 1, 200) AS snippet,
+SELECT d.doc_id AS seq, d.lang AS symbol, d.source AS source, array_join(slice(split(d.text, ' '), 1, 12), ' ') AS title, d.text AS snippet,
   concat('https://www.', d.source, '.example.org/', CAST(d.doc_id % 701 AS VARCHAR(20)), CASE WHEN d.doc_id % 2 = 0 THEN '/' ELSE '' END) AS url,
   DATE '2024-12-31' - CAST((d.doc_id * 37) % 400 AS INT) AS published, CAST(d.n_chars % 5 AS INT) AS relevance, (d.doc_id % 6 <> 5) AS usable,
   CASE WHEN coalesce(l.toxic, 0) = 1 THEN TRUE ELSE FALSE END AS governance_flag, 'news' AS kind

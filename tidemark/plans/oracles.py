@@ -231,8 +231,8 @@ reach(n, r) AS (SELECT seq, seq FROM doc UNION SELECT e.v, reach.r FROM reach JO
 HOST = "regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1)), '^www\\.', '')"
 O["event_confidence"] = f"""WITH {DOC}, m AS (SELECT *, seq - seq % 5 AS cluster, {HOST} AS domain, {UHASH.format(u='url')} AS h FROM doc),
 g AS (SELECT symbol, cluster, arg_min(seq, (published, -length(coalesce(snippet, '')), coalesce(title, ''), seq)) AS seq, count(*) AS n_members, count(DISTINCT domain) AS n_sources, min(published) AS event_date,
-  array_to_string(list_sort(list_distinct(list(h))), ',') AS url_hashes FROM m GROUP BY symbol, cluster)
-SELECT g.symbol, g.seq, d.title, d.url, d.published, n_members, n_sources, 'T3' AS max_tier, event_date, url_hashes, round(least(1.0, 0.4 + 0.15 * ln(1.0 + n_sources)) * 0.7, 6) AS confidence,
+  array_to_string(list_sort(list_distinct(list(h))), ',') AS url_hashes, array_to_string(list_sort(list_distinct(list(domain))), ',') AS sources FROM m GROUP BY symbol, cluster)
+SELECT g.symbol, g.seq, d.title, d.url, d.published, n_members, n_sources, 'T3' AS max_tier, event_date, url_hashes, sources, round(least(1.0, 0.4 + 0.15 * ln(1.0 + n_sources)) * 0.7, 6) AS confidence,
 substr(sha1(concat(g.symbol, '|', CAST(event_date AS VARCHAR), '|', url_hashes)), 1, 12) AS event_id FROM g JOIN doc d ON g.seq = d.seq"""
 
 
@@ -281,7 +281,7 @@ def same_event(rows: str, keys: str = "symbol") -> str:
     families = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in DEFAULT["governance"]["families"].items()) + " ELSE event_type END"
     stop = ", ".join(f"'{w}'" for w in v.EVENT_STOP)
     words = f"""list_filter(list_distinct(list_concat(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9]{{4,}}'), regexp_extract_all(lower(replace(coalesce(event_key, ''), '-', ' ')), '[a-z0-9]{{4,}}'))),
-    lambda w: w <> lower(symbol) AND w NOT IN ({stop}))"""
+    lambda w: w <> lower(symbol) AND NOT list_contains(regexp_extract_all(lower(coalesce(company, '')), '[a-z0-9]{{4,}}'), w) AND w NOT IN ({stop}))"""
     shared = "len(list_intersect(x.words, c.words))"
     meets = f"""abs(date_diff('day', x.published, c.published)) <= {DEFAULT["governance"]["dedupe_days"]} AND ((c.k <> '' AND c.k = x.k)
     OR ({shared} >= 2 AND ({shared} / greatest(least(len(x.words), len(c.words)), 1) >= 0.5 OR abs(date_diff('day', x.published, c.published)) <= 3)))"""
@@ -314,20 +314,22 @@ RUNNING = "100.0 + sum(eff) OVER (PARTITION BY symbol ORDER BY eff, published, s
 O["governance_running"] = f"WITH {EV}, {applied('ev', ad.EV_AS_OF)} SELECT symbol, seq, event_type, eff, {RUNNING} AS running FROM ap"
 
 RESULT_TYPES = ", ".join(f"'{t}'" for t in DEFAULT["sentiment"]["results_event_types"])
-ENTRY = "struct_pack(rep := {0}seq, pub := {0}published, d := {0}d, tier := {0}tier, purpose := {0}purpose, rows_ := [{0}seq])"
+TIER_WEIGHTS = " ".join(f"WHEN '{t}' THEN {float(w)}" for t, w in DEFAULT["tier_weight"].items())
+ENTRY = "struct_pack(rep := {0}seq, pub := {0}published, d := {0}d, tier := {0}tier, purpose := {0}purpose, rows_ := [{0}seq], src := [{0}host], h := [{0}h])"
 FITS = f"""abs(date_diff('day', x.d, c.d)) <= {DEFAULT["cluster"]["merge_days"]} OR (c.event_type IN ({RESULT_TYPES}) AND date_trunc('quarter', x.pub) = date_trunc('quarter', c.published) AND x.purpose = c.purpose)"""
 OLD = "(x.tier < c.tier OR (x.tier = c.tier AND x.pub <= c.published))"  # the kept one stands for both
 TAKEN = f"""struct_pack(rep := CASE WHEN {OLD} THEN x.rep ELSE c.seq END, pub := CASE WHEN {OLD} THEN x.pub ELSE c.published END, d := least(x.d, c.d, x.pub, c.published), tier := least(x.tier, c.tier),
-  purpose := CASE WHEN (CASE WHEN {OLD} THEN c.purpose ELSE x.purpose END) = 'sentiment' THEN 'sentiment' WHEN {OLD} THEN x.purpose ELSE c.purpose END, rows_ := list_append(x.rows_, c.seq))"""
+  purpose := CASE WHEN (CASE WHEN {OLD} THEN c.purpose ELSE x.purpose END) = 'sentiment' THEN 'sentiment' WHEN {OLD} THEN x.purpose ELSE c.purpose END, rows_ := list_append(x.rows_, c.seq), src := list_distinct(list_append(x.src, c.host)), h := list_distinct(list_append(x.h, c.h)))"""
 AT = f"list_position(list_transform(r.kept, lambda x: {FITS}), true)"
-O["post_label_merge"] = f"""WITH RECURSIVE {EV}, pm AS (SELECT symbol, event_type, governance_flag, seq, published, coalesce(event_date, published) AS d, coalesce(max_tier, 'T3') AS tier, coalesce(purpose, '') AS purpose,
+O["post_label_merge"] = f"""WITH RECURSIVE {EV}, pm AS (SELECT symbol, event_type, governance_flag, seq, published, coalesce(event_date, published) AS d, coalesce(max_tier, 'T3') AS tier, coalesce(purpose, '') AS purpose, {HOST} AS host, {UHASH.format(u='url')} AS h,
   row_number() OVER (PARTITION BY symbol, event_type, governance_flag ORDER BY published, title, seq) AS nth FROM ev WHERE published IS NOT NULL),
 pm_loop AS (SELECT symbol, event_type, governance_flag, nth, [{ENTRY.format("")}] AS kept FROM pm WHERE nth = 1
   UNION ALL SELECT c.symbol, c.event_type, c.governance_flag, c.nth, CASE WHEN coalesce({AT}, 0) = 0 THEN list_append(r.kept, {ENTRY.format("c.")})
     ELSE list_transform(r.kept, lambda x, i: CASE WHEN i = {AT.replace("lambda x:", "lambda y:").replace("x.", "y.")} THEN {TAKEN} ELSE x END) END
   FROM pm_loop r JOIN pm c ON c.symbol = r.symbol AND c.event_type = r.event_type AND c.governance_flag = r.governance_flag AND c.nth = r.nth + 1),
 pm_last AS (SELECT unnest(kept) AS x FROM (SELECT * FROM pm_loop QUALIFY nth = max(nth) OVER (PARTITION BY symbol, event_type, governance_flag)))
-SELECT unnest(x.rows_) AS seq, x.rep AS survivor, x.d AS event_date, len(x.rows_) AS n_merged FROM pm_last"""
+SELECT unnest(x.rows_) AS seq, x.rep AS survivor, x.d AS event_date, len(x.rows_) AS n_merged, x.purpose AS purpose, len(x.rows_) AS n_members, len(x.src) AS n_sources, x.tier AS max_tier,
+  round(least(1.0, 0.4 + 0.15 * ln(1.0 + len(x.src))) * CASE x.tier {TIER_WEIGHTS} END, 6) AS confidence, array_to_string(list_sort(x.src), ',') AS sources, array_to_string(list_sort(x.h), ',') AS url_hashes FROM pm_last"""
 
 NUMS = "list_sort(regexp_extract_all(replace(title, ',', ''), '[0-9]+(?:\\.[0-9]+)?'))"
 SIG = f"CASE WHEN len({NUMS}) > 0 THEN {NUMS} ELSE list_sort(regexp_extract_all(lower(title), '[a-z]{{4,}}'))[1:6] END"
@@ -375,7 +377,7 @@ rk AS (SELECT symbol, CASE WHEN ex THEN 10.0 ELSE risk END AS risk_score, opp AS
 O["unique_actions"] = f"WITH {ACT}, {unique('act')} SELECT symbol, seq, event_type FROM uq"
 O["action_event_score"] = f"WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT seq, event_type, stage, stage_mult, round(timing_mult, 6) AS timing_mult, size_mult, round(score, 6) AS score, direction, gate_a, gate_b, tracked_only FROM sc"
 O["action_risk_opportunity"] = f"WITH {ACT}, {unique('act')}, {scored('uq', ad.ACT_AS_OF)}, {risked()} SELECT symbol, risk_score, opportunity_score, risk_band, opportunity_review, n_scored, n_quarantined, n_tracked FROM rk"
-O["action_bands"] = """WITH s AS (SELECT range AS hundredths, range / 100.0 AS score FROM range(0, 1001)) SELECT hundredths, CASE WHEN score < 3 THEN 'Log' WHEN score < 5 THEN 'Watch' WHEN score < 7 THEN 'Review' WHEN score < 9 THEN 'Act' ELSE 'Exit' END AS band,
+O["action_bands"] = """WITH s AS (SELECT p_partkey, p_partkey % 1001 AS hundredths, (p_partkey % 1001) / 100.0 AS score FROM part) SELECT p_partkey, hundredths, CASE WHEN score < 3 THEN 'Log' WHEN score < 5 THEN 'Watch' WHEN score < 7 THEN 'Review' WHEN score < 9 THEN 'Act' ELSE 'Exit' END AS band,
 CASE WHEN score <= 2.9 + 1e-9 THEN 'Log' WHEN score >= 3 AND score <= 4.9 + 1e-9 THEN 'Watch' WHEN score >= 5 AND score <= 6.9 + 1e-9 THEN 'Review' WHEN score >= 7 AND score <= 8.9 + 1e-9 THEN 'Act' ELSE 'Exit' END AS strict_band FROM s"""
 O["quarantined_actions"] = f"""WITH {ACT}, {scored('act', ad.ACT_AS_OF)} SELECT symbol, event_type, CASE WHEN count(DISTINCT direction) = 1 THEN min(direction) ELSE 'mixed' END AS direction, count(*) AS n,
 arg_max(title, (published, seq)) AS newest FROM sc WHERE gate_b AND NOT tracked_only GROUP BY symbol, event_type"""
@@ -432,7 +434,8 @@ DIFF = f"""df AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.weighted_mean
 CASE WHEN a.symbol IS NULL OR b.symbol IS NULL THEN 'U' WHEN {same('weighted_mean')} AND {same('band')} THEN '=' ELSE 'C' END AS code FROM ha a FULL OUTER JOIN hb b ON a.symbol = b.symbol)"""
 O["run_diff"] = f"WITH {HALVES}, {DIFF} SELECT * REPLACE (round(weighted_mean_a, 6) AS weighted_mean_a, round(weighted_mean_b, 6) AS weighted_mean_b) FROM df"
 O["run_agreement"] = f"WITH {HALVES}, {DIFF} SELECT count(*) AS n_both, round(avg(CASE WHEN band_same THEN 1.0 ELSE 0.0 END), 6) AS band_agreement FROM df WHERE code <> 'U'"
-O["run_verify"] = f"WITH {HALVES}, {DIFF} SELECT symbol, CASE WHEN code = 'U' THEN 'U' ELSE 'C' END AS code FROM df WHERE code = 'U' OR NOT band_same"
+O["run_verify"] = f"""WITH {ORD}, {half('va', 'TRUE')}, {half('vb', ad.RUN_AGAIN)} SELECT coalesce(a.symbol, b.symbol) AS symbol, CASE WHEN a.symbol IS NULL OR b.symbol IS NULL THEN 'U' ELSE 'C' END AS code
+FROM va a FULL OUTER JOIN vb b ON a.symbol = b.symbol WHERE a.symbol IS NULL OR b.symbol IS NULL OR NOT {same('weighted_mean')}"""
 O["run_merge"] = f"""WITH {ORD}, u AS (SELECT *, 0 AS r FROM ord WHERE seq % 2 = 0 UNION ALL SELECT *, 1 FROM ord WHERE seq % 2 <> 0 OR seq % 3 = 0)
 SELECT symbol, seq, url FROM u QUALIFY row_number() OVER (PARTITION BY symbol, coalesce(nullif(trim(url), ''), title) ORDER BY r, seq) = 1"""
 HALF_A, HALF_B = applied("ea", ad.EV_AS_OF), applied("eb", ad.EV_AS_OF)
@@ -484,14 +487,21 @@ O["label_split"] = f"""WITH {EV}, ea AS (SELECT * FROM ev WHERE seq % 2 = 0), eb
 x AS (SELECT governance_label AS label, count(*) AS n FROM gv GROUP BY 1), y AS (SELECT governance_label AS label, count(*) AS n_before FROM gv2 GROUP BY 1), t AS (SELECT sum(n) AS total FROM x),
 j AS (SELECT coalesce(x.label, y.label) AS label, coalesce(n, 0) AS n, coalesce(n_before, 0) AS n_before FROM x FULL OUTER JOIN y ON x.label = y.label)
 SELECT label, n, n_before, round(n / total, 6) AS share, (label = 'Clean' AND n / total >= 0.6) OR (label = 'Flag' AND n / total >= 0.3) AS noted FROM j, t"""
-O["anomaly_proposals"] = f"""WITH RECURSIVE {PORTFOLIO}, pr(kind, key) AS (
+KIND_OF = "CASE {0}.event_type WHEN 'regulatory_action' THEN 'reg' WHEN 'investigation' THEN 'reg' WHEN 'exchange_fine' THEN 'reg' WHEN 'management_exit' THEN 'people' WHEN 'board_independence' THEN 'people' WHEN 'rpt_concern' THEN 'rpt' END"
+OTHER_RUN = governed("ord", ad.ORD_AS_OF)
+for _cte in re.findall(r"(\w+) AS \(", OTHER_RUN):
+    OTHER_RUN = re.sub(rf"\b{_cte}\b", f"{_cte}_x", OTHER_RUN)
+O["anomaly_proposals"] = f"""WITH RECURSIVE {PORTFOLIO}, {OTHER_RUN}, pr(kind, key) AS (
 SELECT 'benign_people_penalised', concat(symbol, '|', seq) FROM ap WHERE event_type = 'management_exit' AND coalesce(role_tier, '') <> 'cxo_cs_cfo_compliance'
 UNION SELECT 'immaterial_heavy_penalty', concat(symbol, '|', seq) FROM ap WHERE coalesce(materiality, '') = 'low' AND eff <= -15
 UNION SELECT 'collapsed_window', symbol FROM st2 WHERE span_days < 270 AND insufficient = '' UNION SELECT 'insufficient_data', symbol FROM st2 WHERE insufficient <> ''
 UNION SELECT 'many_flags', 'portfolio' FROM pf HAVING avg(CASE WHEN governance_label = 'Flag' THEN 1.0 ELSE 0.0 END) >= 0.3 UNION SELECT 'many_clean', 'portfolio' FROM pf HAVING avg(CASE WHEN governance_label = 'Clean' THEN 1.0 ELSE 0.0 END) >= 0.6
 UNION SELECT 'compressed_sentiment', 'portfolio' FROM pf HAVING stddev_pop(sentiment_mean) < 0.25
-UNION SELECT 'loose_query', symbol FROM ord GROUP BY symbol HAVING count(*) >= 5 AND avg(CASE WHEN substance = 'passing' THEN 1.0 ELSE 0.0 END) >= 0.4
-UNION SELECT 'label_failures', 'run' FROM ord HAVING avg(CASE WHEN seq % 7 = 0 THEN 1.0 ELSE 0.0 END) > 0.1)
+UNION SELECT 'loose_query', symbol FROM ord GROUP BY symbol HAVING count(*) FILTER (seq % 10 < holding_seq % 10) >= 5 AND count(*) FILTER (seq % 10 < holding_seq % 10) / count(*) >= 0.4
+UNION SELECT 'label_failures', symbol FROM ord WHERE seq % 7 = 0 AND holding_seq % 3 = 0
+UNION SELECT 'price_language', CAST(count(*) AS VARCHAR) FROM ord WHERE event_type = 'price_move' HAVING count(*) > 0
+UNION SELECT 'verified_event_missed', concat(symbol, '|', coalesce(event_key, '')) FROM ord o WHERE penalty_override IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ord f WHERE f.penalty_override IS NULL AND f.governance_flag AND f.symbol = o.symbol AND {KIND_OF.format('f')} = {KIND_OF.format('o')})
+UNION SELECT 'runs_disagree', concat(pf.symbol, '|', CAST(pf.governance_score AS VARCHAR), '|', CAST(x.governance_score AS VARCHAR)) FROM pf JOIN gv_x x ON pf.symbol = x.symbol WHERE pf.governance_score <> x.governance_score)
 SELECT kind, key, concat('L-', substr(sha1(concat(kind, '|', key)), 1, 8)) AS lesson_id FROM pr"""
 
 

@@ -266,12 +266,13 @@ def event_clusters(spark, d):
 @query
 def event_confidence(spark, d):
     rows = docs(spark, d).withColumn("cluster", F.expr("seq - seq % 5"))
-    return cluster.build_events(rows, members=False).withColumn("url_hashes", F.array_join("url_hashes", ",")).drop("cluster")
+    return cluster.build_events(rows, members=False).withColumns({c: F.array_join(c, ",") for c in ("url_hashes", "sources")}).drop("cluster")
 
 
 @query
 def post_label_merge(spark, d):
-    return cluster.merge_labelled(events(spark, d))
+    told = cluster.merge_labelled(events(spark, d))
+    return told.select("seq", "survivor", "event_date", "n_merged", "purpose", "n_members", "n_sources", "max_tier", "confidence", *[F.array_join(c, ",").alias(c) for c in ("sources", "url_hashes")])
 
 
 @query
@@ -325,8 +326,8 @@ def action_risk_opportunity(spark, d):
 
 @query
 def action_bands(spark, d):
-    rows = spark.range(0, 1001).select(F.col("id").alias("hundredths"), (F.col("id") / 100.0).alias("score"))
-    return rows.select("hundredths", actions.action_band(F.col("score")).alias("band"), actions.action_band(F.col("score"), strict=True).alias("strict_band"))
+    rows = ad.view(spark, d, "SELECT p_partkey, p_partkey % 1001 AS hundredths FROM {part}").withColumn("score", F.col("hundredths") / 100.0)
+    return rows.select("p_partkey", "hundredths", actions.action_band(F.col("score")).alias("band"), actions.action_band(F.col("score"), strict=True).alias("strict_band"))
 
 
 @query
@@ -424,8 +425,10 @@ def run_merge(spark, d):
 
 @query
 def run_verify(spark, d):
-    a, b = halves(spark, d)
-    return corpus.verify(a, b, ["band"]).select("symbol", "code")
+    """Stored scores of all rows against scores made again from rows of which some symbols lack some."""
+    rows = orders(spark, d)
+    mean = lambda x: sentiment.weighted_mean(x, day(ad.ORD_AS_OF), ["symbol"]).select("symbol", "weighted_mean")
+    return corpus.verify(mean(rows), mean(rows.where(ad.RUN_AGAIN)), ["weighted_mean"]).select("symbol", "code")
 
 
 @query
@@ -513,7 +516,11 @@ def anomaly_proposals(spark, d):
     rows = orders(spark, d)
     applied = governance.penalties(rows, day(ad.ORD_AS_OF))
     standard = sentiment.evidence_standard(rows, ["symbol"])
-    return score.anomalies(portfolio(spark, d), applied, rows, rows.withColumn("labelled", F.col("seq") % 7 != 0), standard)
+    drops = rows.select("symbol", F.when(F.col("seq") % 10 < F.col("holding_seq") % 10, "not_about_company").otherwise("empty_rationale").alias("reason"))
+    labelled = rows.withColumn("labelled", ~((F.col("seq") % 7 == 0) & (F.col("holding_seq") % 3 == 0)))
+    verified = rows.where("penalty_override is not null")
+    other = governance.governance(rows, rows, day(ad.ORD_AS_OF), dedupe=False)
+    return score.anomalies(portfolio(spark, d), applied, rows.where("penalty_override is null"), labelled, standard, drops=drops, linted=rows.where("event_type = 'price_move'"), verified=verified, against=other)
 
 
 @query
