@@ -10,19 +10,23 @@ LONG = {c: " ".join(f"{c}{i}" for i in range(n)) for c, n in zip("ABCDef", (60,
 
 
 def maximal(texts, min_lines=3, min_words=50):
-    """Deletes the lines of maximal runs, of that many lines or words, that stand at an earlier place too: all pairs
-    of places are compared."""
+    """Deletes the lines of runs, of that many lines or words, that stand at an earlier place too. Where the first place
+    is in the same text, its lines stay."""
     body = [(d, k, tuple(x.encode().split())) for d, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if x.encode().split()]
-    dead = set()
+    first, gone, own, kept = {}, set(), set(), set()
     for b in range(len(body)):
-        for a in range(b):
-            if a and body[a - 1][0] == body[a][0] and body[b - 1][0] == body[b][0] and body[a - 1][2] == body[b - 1][2]:
-                continue  # not the run's first line
-            n = 0
-            while b + n < len(body) and body[a + n][0] == body[a][0] and body[b + n][0] == body[b][0] and body[a + n][2] == body[b + n][2]:
-                n += 1
-            if n and (n >= min_lines or sum(len(x[2]) for x in body[b : b + n]) >= min_words):
-                dead |= {x[:2] for x in body[b : b + n]}
+        for n in range(1, min_lines + 1):
+            run = body[b : b + n]
+            if len(run) < n or run[-1][0] != run[0][0] or (n < min_lines and sum(len(x[2]) for x in run) < min_words):
+                continue
+            a = first.setdefault(tuple(x[2] for x in run), b)
+            places = {x[:2] for x in run}
+            if a < b and body[a][0] != body[b][0]:
+                gone |= places
+            elif a < b:
+                own |= places
+                kept |= {x[:2] for x in body[a : a + n]}
+    dead = gone | (own - kept)
     return [t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in dead) for d, t in enumerate(texts)]
 
 
@@ -43,6 +47,25 @@ def test_the_end_of_a_run_goes(spark):
     assert cleaned(docs(spark, texts), 6) == maximal(texts) == [texts[0], "", "p\nq\nr", texts[3], "z", f"s\n{f}"]
 
 
+def test_the_first_copy_is_kept_whole(spark):
+    texts = ["\n".join(["x x"] * 4), "\n".join("ab" * 4), "\n".join(["p", *"cde", "q", *"cde"]), "\n".join("fgf" * 3), "\n".join("ab" * 3)]
+    want = ["x x\nx x\nx x", "a\nb\na\nb", "p\nc\nd\ne\nq", "\n".join("fgffgf"[:5]), ""]
+    got = cleaned(docs(spark, texts), len(texts))
+    assert got == maximal(texts) and got[:3] == want[:3] and got[4] == ""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert [r[0] for r in con.sql(f"SELECT text FROM ({lines.OP9_SQL}) ORDER BY doc_id").fetchall()] == got
+
+
+@given(st.lists(st.tuples(st.integers(1, 4), st.integers(1, 12), st.integers(0, 2)), min_size=1, max_size=5))
+@settings(max_examples=8, deadline=None)
+def test_periodic_lines(spark, parts):
+    """Lines that recur with a period, in one text and over several."""
+    texts = ["\n".join([*(f"l{(k + shift) % period}" for k in range(n)), f"end {period} {n}"]) for period, n, shift in parts]
+    assert cleaned(docs(spark, texts).coalesce(1), len(texts)) == maximal(texts)
+
+
 def test_equal_rows_count_once(spark):
     rows = [r.text for r in lines.clean(docs(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "z"), (None, "x\ny\nz"), (2, "x\ny\nz\nw")])).collect()]
     assert sorted(rows) == ["a\nb\nc", "a\nb\nc", "w", "x\ny\nz", "z"]  # a null doc_id stands first

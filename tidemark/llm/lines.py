@@ -11,6 +11,9 @@ the others are joined back to their places, where matches are extended line by l
 ``min_lines`` lines that holds the place and counts is named by the digest of its lines, for each number of lines before
 and after the place. All but the first of equal runs, in the order of (doc_id, text's hash, place), are repeats; an
 aggregate finds the first, so a line that every document holds costs as many rows as it has places and no pairs.
+A run that is found again in its own document may overlap what it repeats (lines that recur with a period): the lines of
+such a first copy stay, so it is kept whole, and the lines after it go. Of a run whose first copy is in another document
+every line goes.
 Overlapping repeats join to maximal repeated runs: each line of a maximal run lies in a run of at most ``min_lines``
 lines in it that counts and holds a guaranteed fingerprint, so the whole run goes and nothing else does. Other lines
 stay as they were.
@@ -131,7 +134,8 @@ def extended(matched: DataFrame, min_lines: int, min_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, row, text) to (row, runs): the repeated runs as (first line, lines)."""
+    """(doc_id, row, text) to (row, runs): the repeated runs as (first line, lines, first line of the first copy where
+    the same document holds it)."""
     lines = scratch.save(hashed(docs, min_lines, min_words))
     marks = lines.select("row", F.inline("selected"))
     counts = scratch.save(marks.groupBy("fp").agg(F.count(F.lit(1)).alias("count")).where("count > 1"))
@@ -140,7 +144,14 @@ def repeats(docs: DataFrame, scratch: Scratch, min_lines: int = MIN_LINES, min_w
     order = F.struct(F.col("doc_id"), F.col("row"), F.col("at"))
     first = scratch.save(matched.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("count")).where("count > 1"))
     later = split_join(matched, first, "digest", "inner").where(~F.col("first").eqNullSafe(order))
-    return later.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    own = F.when((F.col("first.row") == F.col("row")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id")), F.col("first.at"))
+    return later.groupBy("row").agg(F.collect_set(F.struct("at", "n", own.alias("of"))).alias("runs"))
+
+
+def deleted(found: list[dict]) -> set[int]:
+    """The lines that go, by their numbers among those that are not blank."""
+    lines = lambda key, own: {i for w in found if (w["of"] is not None) == own for i in range(w[key], w[key] + w["n"])}
+    return lines("at", False) | (lines("at", True) - lines("of", True))
 
 
 def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -167,7 +178,7 @@ def clean(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
             _, _, places = content(text)
             total.append(len(places))
             if gone:
-                dead = {places[i] for w in gone for i in range(w["at"], w["at"] + w["n"])}
+                dead = {places[i] for i in deleted(gone)}
                 text = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in dead)
                 removed.append(len(dead))
             else:
@@ -203,9 +214,11 @@ raw_lines AS (
   UNION ALL SELECT doc_id, pos, 2, plain || chr(10) || p1 FROM ahead WHERE words + w1 >= 50
   UNION ALL SELECT doc_id, pos, 3, plain || chr(10) || p1 || chr(10) || p2 FROM ahead WHERE p2 IS NOT NULL
 ), repeated AS (
-  SELECT doc_id, pos, n FROM windowed QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) > 1
+  SELECT doc_id, pos, n, first_value(doc_id) OVER w AS of_doc, first_value(pos) OVER w AS of_pos FROM windowed
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id, pos) QUALIFY row_number() OVER w > 1
 ), dead AS (
-  SELECT DISTINCT doc_id, pos + k AS pos FROM repeated, unnest(range(n)) AS t(k)
+  SELECT doc_id, pos + k AS pos FROM repeated, unnest(range(n)) AS t(k) WHERE of_doc <> doc_id
+  UNION (SELECT doc_id, pos + k FROM repeated, unnest(range(n)) AS t(k) WHERE of_doc = doc_id EXCEPT SELECT doc_id, of_pos + k FROM repeated, unnest(range(n)) AS t(k) WHERE of_doc = doc_id)
 ), gone AS (
   SELECT p.doc_id, p.raw FROM placed p JOIN dead d USING (doc_id, pos)
 ), joined AS (
