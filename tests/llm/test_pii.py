@@ -1,10 +1,12 @@
 import hashlib
+import math
 import random
 import re
 
 from helpers import docs, odd_texts
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii
 
@@ -82,15 +84,17 @@ def test_keyed_secrets_teach_their_contexts(spark):
 
 
 def plain_scores(edges):
-    """(pattern, instance) to seed, by loops: trusted patterns and instances with their scores."""
-    seeds = {i for (_, i), s in edges.items() if s}
+    """(pattern, instance) to (seed, told), by loops: trusted patterns and instances with their scores."""
+    seeds = {i for (_, i), (s, _) in edges.items() if s}
+    able = seeds | {i for (_, i), (_, t) in edges.items() if t}
     score = {i: float(i in seeds) for _, i in edges}
     while True:
         trust = {}
         for p in {p for p, _ in edges}:
             own = [i for q, i in edges if q == p]
-            t = sum(score[i] for i in own) / (len(own) + pii.DOUBT)
-            if len(seeds.intersection(own)) >= pii.LEAST_SEEDS and t >= pii.TRUST:
+            support, n = sum(score[i] for i in own), len(able.intersection(own))
+            t = support / (support + len(own) - n + pii.DOUBT)
+            if len(seeds.intersection(own)) >= pii.LEAST_SEEDS and t >= pii.TRUST and support / n * math.log2(max(support, 1)) >= pii.LEAST_WORTH:
                 trust[p] = t
         new = {}
         for i in score:
@@ -107,11 +111,10 @@ def plain_scores(edges):
 
 def test_scores_against_loops(spark):
     rng = random.Random(8)
-    edges = {}
-    for i in range(150):
-        for p in rng.sample(range(30), rng.randrange(1, 4)):
-            edges[(f"p{p}", f"i{i}")] = rng.random() < (0.9 if p < 12 else 0.3)
-    df = spark.createDataFrame([(p, i, s) for (p, i), s in edges.items()], "pattern string, instance string, seed boolean")
+    told = {i: rng.random() < 0.7 for i in range(150)}
+    seeds = {i for i in told if rng.random() < 0.4}
+    edges = {(f"p{p}", f"i{i}"): (i in seeds, told[i]) for i in told for p in rng.sample(range(12) if told[i] else range(6, 30), rng.randrange(1, 4))}
+    df = spark.createDataFrame([(p, i, s, t) for (p, i), (s, t) in edges.items()], "pattern string, instance string, seed boolean, told boolean")
     trusted, scores = pii.scored(df, pii.Scratch(spark, "t"))
     trust, score = plain_scores(edges)
     assert 0 < len(trust) < 30
@@ -119,6 +122,22 @@ def test_scores_against_loops(spark):
     assert {r.instance: round(r.score, 6) for r in scores.collect()} == {i: round(t, 6) for i, t in score.items()}
 
 
+def test_unknown_values_are_no_counterexamples(spark):
+    """One pattern of 100 values: the known half teaches it, three of a thousand don't, and small numbers speak against it."""
+    rows = [("half", f"h{k}", k < 50, True) for k in range(100)] + [("few", f"f{k}", k < 3, True) for k in range(1000)] + [("mixed", f"m{k}", k < 50, k < 75) for k in range(100)]
+    trusted, _ = pii.scored(spark.createDataFrame(rows, "pattern string, instance string, seed boolean, told boolean"), pii.Scratch(spark, "t"))
+    assert {r.pattern for r in trusted.collect()} == {"half"}
+
+
+def test_failed_checks_speak_against_a_pattern(spark):
+    """Numbers of a card's form after a common word: those that fail the check are no cards, whatever stands before them."""
+    cards = ["4111111111111111", "5500005555555559", "6011000000000004", "3530111333300000", "4012888888881881", "5105105105105100"]
+    texts = [f"pay by the {c} now" for c in cards] + [f"pay by the {c[:-1]}{(int(c[-1]) + 1) % 10} now" for c in cards]
+    rows = {r.doc_id: r for r in pii.find(docs(spark, texts)).collect()}
+    assert [len(rows[k].card) for k in range(12)] == [1] * 6 + [0] * 6
+    assert extras(texts, rows) == set()
+
+
 def plain_instances(text):
     """By loops over all base spans: the values of a text's instances and whether they are seeds."""
     base, out = sorted((a, b) for _, a, b in plain(text)), []
@@ -153,6 +172,21 @@ def test_planted_secrets(spark):
     assert len(found - planted) <= 0.05 * len(planted)
 
 
+def test_hidden_seeds_come_back_from_contexts(spark):
+    """Half of all seed values, by their hash, are like any other token: their contexts find the secrets among them."""
+    scratch = pii.Scratch(spark, "t")
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = scratch.save(pii.base_spans(df))
+    shown = F.pmod(F.xxhash64("instance"), F.lit(2)) == 0
+    secrets = pii.described(pii.instances(found)).where("secret").select("__key", "s", "e", shown.alias("shown")).collect()
+    hidden = {(r["__key"], r.s, r.e) for r in secrets if not r.shown}
+    assert 50 < len(hidden) < len(secrets) - 50
+    back = {(r["__key"], x.s, x.e) for r in pii.discover(found, scratch, shown).collect() for x in r.extra if x.kind == "context"}
+    assert len(back & hidden) >= 0.9 * len(hidden)
+    base = {(r["__key"], x.s, x.e) for r in found.select("__key", *pii.KINDS).collect() for k in pii.KINDS for x in r[k]}
+    assert len(back - hidden - base) <= 0.05 * len(hidden)
+
+
 def test_table(spark):
     d = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}

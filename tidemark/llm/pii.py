@@ -12,8 +12,12 @@ two words before it, the words before and after it, the word before it with the
 equals sign or colon. Each also says whether the token has an at sign, is a number or mixes letters and digits.
 
 Pairs of pattern and instance make a bipartite graph, which holds each pair once, so a word before many copies of a
-number counts once. In each round a pattern's confidence is its instances' summed confidence over their number plus
-``DOUBT``; it is trusted from ``TRUST`` if it stands before ``LEAST_SEEDS`` different seeds at least. An instance's
+number counts once. A value that can't be an identifier (few digits and no at sign, or the form of a card or address that fails its check) is a counterexample; one that could be
+and isn't known to be is neither for nor against a pattern. In each round a pattern's support is its instances' summed
+confidence and its trust that over support, counterexamples and ``DOUBT``. It is trusted from ``TRUST`` if it stands
+before ``LEAST_SEEDS`` different seeds at least and its support's share of the values that could be identifiers, times the
+support's logarithm to base 2, reaches ``LEAST_WORTH``: half of ten values are enough, and 16 of 64, but not three of a
+thousand. An instance's
 confidence is one less the product of its trusted patterns' doubts; seeds stay at one. Confidences only rise, and the
 rounds end when none rises by more than ``SETTLED``. Then instances that reach ``SURE`` and have ``LEAST_DIGITS`` digits,
 or mix letters with two digits in ``LEAST_MIXED`` characters, or join two words by an at sign are spans of kind
@@ -46,7 +50,7 @@ BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 #: The words that make what an equals sign or colon parts from them a secret.
 SECRET_KEYS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "auth", "bearer", "credential")
-LEAST_SEEDS, DOUBT, TRUST, SURE, SETTLED = 3, 0.5, 0.7, 0.75, 1e-3
+LEAST_SEEDS, DOUBT, TRUST, LEAST_WORTH, SURE, SETTLED = 3, 0.5, 0.7, 1.0, 0.75, 1e-3
 LEAST_DIGITS, LEAST_MIXED, LEAST_SECRET = 6, 8, 16
 KEYED = r"^[^A-Za-z0-9]*[A-Za-z][A-Za-z0-9_.-]*[\"']?[:=]+[\"']?(?=[A-Za-z0-9+])"
 BLOCK = 200
@@ -184,19 +188,23 @@ def described(rows: DataFrame) -> DataFrame:
     )
     secret = ~F.col("seed") & key.isin(*SECRET_KEYS) & long
     told = (digits >= LEAST_DIGITS) | F.col("instance").rlike("[A-Za-z0-9]@[A-Za-z0-9]") | ((F.length("instance") >= LEAST_MIXED) & F.col("instance").rlike("[A-Za-z]") & (digits >= 2))
+    refuted = lambda kind, form: F.when(F.col("instance").rlike(form), ~valid(kind, F.col("instance"))).otherwise(False)
+    told = told & ~refuted("card", r"^[0-9](?:[\x20-]?[0-9]){15,18}$") & ~refuted("ip", r"^[0-9]+(?:\.[0-9]+){3}$")
     return rows.select("__key", "s", "e", value.alias("instance"), F.array_compact(patterns).alias("patterns"), F.col("seed").alias("base"), secret.alias("secret"), told.alias("told"))
 
 
 def scored(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Of edges (pattern, instance, seed): trusted patterns (pattern, trust) and instances (instance, score)."""
+    """Of edges (pattern, instance, seed, told): trusted patterns (pattern, trust) and instances (instance, score)."""
     # a value that is a seed anywhere is one everywhere
     scores = scratch.save(edges.groupBy("instance").agg(F.max("seed").alias("seed"), F.max("seed").cast("double").alias("score")))
     trusted = None
     while True:
-        known = edges.select("pattern", "instance").join(scores, "instance")
-        seeds = F.sum(F.col("seed").cast("int"))
-        new = known.groupBy("pattern").agg(F.round(F.sum("score") / (F.count(F.lit(1)) + DOUBT), 9).alias("trust"), seeds.alias("seeds"))
-        new = scratch.save(new.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("trust") >= TRUST)).select("pattern", "trust"))
+        known = edges.select("pattern", "instance", "told").join(scores, "instance")
+        able = F.col("told") | F.col("seed")
+        new = known.groupBy("pattern").agg(F.round(F.sum("score"), 9).alias("support"), F.count_if(able).alias("n"), F.count_if(~able).alias("against"), F.count_if("seed").alias("seeds"))
+        new = new.withColumn("trust", F.round(F.col("support") / (F.col("support") + F.col("against") + DOUBT), 9))
+        worth = F.col("support") / F.col("n") * F.log2(F.greatest("support", F.lit(1.0)))
+        new = scratch.save(new.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("trust") >= TRUST) & (worth >= LEAST_WORTH)).select("pattern", "trust"))
         doubts = edges.join(new, "pattern").groupBy("instance").agg(F.sum(F.log1p(-F.least("trust", F.lit(1 - 1e-9)))).alias("doubt"))
         told = F.when(F.col("seed"), 1.0).otherwise(F.round(1 - F.exp(F.coalesce("doubt", F.lit(0.0))), 9))
         again = scratch.save(scores.join(doubts, "instance", "left").select("instance", "seed", told.alias("score"), (told - F.col("score")).alias("rise")))
@@ -210,11 +218,16 @@ def scored(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             return trusted, scores
 
 
-def discover(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """From base spans and tokens, (__key, extra): secrets and what contexts tell, as (kind, s, e)."""
-    rows = scratch.save(described(instances(found)))
+def discover(found: DataFrame, scratch: Scratch, known: Column | None = None) -> DataFrame:
+    """From base spans and tokens, (__key, extra): secrets and what contexts tell, as (kind, s, e). ``known`` may tell which
+    instances can be seeds; what it leaves out is like any other token, so that recall can be measured."""
+    rows = described(instances(found))
+    if known is not None:
+        rows = rows.withColumns({"base": F.col("base") & known, "secret": F.col("secret") & known, "told": F.col("told") | F.col("base")})
+    rows = scratch.save(rows)
     seed = F.col("base") | F.col("secret")
-    edges = scratch.save(rows.select("instance", F.explode("patterns").alias("pattern"), seed.alias("seed")).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    edges = rows.select("instance", F.explode("patterns").alias("pattern"), seed.alias("seed"), "told")
+    edges = scratch.save(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.max("told").alias("told")))
     trusted, scores = scored(edges, scratch)
     chosen = scores.where(F.col("score") >= SURE).select("instance", F.col("seed").alias("known"))
     open_ = scratch.save(rows.where(~seed & F.col("told")).join(chosen, "instance"))
