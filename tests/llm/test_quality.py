@@ -58,6 +58,20 @@ def test_estimate_finds_known_accuracies():
     assert np.mean([(post[c] >= 0.5) == g for c, g in zip(code.tolist(), good)]) > 0.93
 
 
+def test_accuracies_are_estimates_and_not_bounds(spark):
+    """Over the votes of a table: one more document of a rule's votes moves its accuracy, and few are all but sure."""
+    own = {r.pattern: r.n for r in quality.votes(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).groupBy("pattern").agg({"*": "count"}).toDF("pattern", "n").collect()}
+    post, good, acc = quality.estimate(own)
+    weights = np.array([own[p] for p in sorted(own)]), np.array([post[p] for p in sorted(own)])
+    v = np.array([quality.digits(p) for p in sorted(own)])
+    for c, w in enumerate((weights[0] * weights[1], weights[0] * (1 - weights[1]))):
+        for k in range(8):
+            assert abs(acc[k, c] - (w @ (v[:, k] == c + 1) + 0.8) / (w @ (v[:, k] > 0) + 1)) < 1e-3
+    assert 0.5 < good < 1 and (acc[:, 1] < 0.5).any()  # a rule for one kind of bad document is wrong on most others
+    told = quality.coverage(own, post)
+    assert told.shape == (8, 2) and (told > 0).all() and (told < 1).all()
+
+
 def test_keeps_good_and_drops_bad(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").withColumnRenamed("quality", "label")
     out = quality.op6_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("not base_failed").collect()

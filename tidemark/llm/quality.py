@@ -2,8 +2,11 @@
 
 Eight rules look at a text and vote good or bad, or abstain. The votes of a document form one of 3^8 patterns;
 only the number of documents with each pattern goes to the driver. There, expectation-maximisation estimates the
-share of good documents and each rule's accuracy on either class, without labels, and gives each pattern a posterior
-probability of good quality. A document is kept if that is at least one half, in place of a rule that all must pass,
+share of good documents and each rule's accuracy on either class, given that it votes, without labels, and gives each
+pattern a posterior probability of good quality. Accuracies are estimates without bounds: bad documents are of several
+kinds, and a rule for one kind is often wrong on the others. What names the classes is the start, at which a document
+is in the class that most of its votes say. How often a rule votes at all is told apart from that (``coverage``) and is
+no evidence. A document is kept if that is at least one half, in place of a rule that all must pass,
 and if it doesn't fail the base rule.
 
 Defined cases: a null text has no words, and so fails the base rule, as does an empty one; every rule abstains on
@@ -112,36 +115,42 @@ def digits(pattern: int, rules: int = len(RULES)) -> list[int]:
     return [pattern // 3 ** (rules - 1 - k) % 3 for k in range(rules)]
 
 
-def estimate(counts: dict[int, int], rules: int = len(RULES), rounds: int = 200) -> tuple[dict[int, float], float, np.ndarray]:
+def estimate(counts: dict[int, int], rules: int = len(RULES), rounds: int = 500) -> tuple[dict[int, float], float, np.ndarray]:
     """Posterior probability of good quality by pattern, the share of good documents, and each rule's accuracies on
-    good and on bad documents, given that it votes. One vote more of either kind is added to each rule's counts, and
-    rules stay better than chance, which keeps the two classes from changing places."""
+    good and on bad documents, given that it votes. One vote of accuracy 0.8 is added to each rule's counts, and one
+    document to each class."""
     if not counts:
         return {}, 0.5, np.full((rules, 2), 0.8)
     patterns = sorted(counts)
     v = np.array([digits(p, rules) for p in patterns])
     n = np.array([counts[p] for p in patterns], float)
-    accuracy, good = np.full((rules, 2), 0.8), 0.7
-    post = np.zeros(len(n))
+    majority = np.sign((v == 1).sum(axis=1) - (v == 2).sum(axis=1))
+    post = 0.5 + 0.4 * majority
+    good, accuracy = 0.5, np.full((rules, 2), 0.8)
     for _ in range(rounds):
+        good = float((n @ post + 1) / (n.sum() + 2))
         ll = np.tile(np.log([good, 1 - good]), (len(n), 1))
-        for k in range(rules):
-            for c in (0, 1):
-                right = v[:, k] == c + 1
-                ll[:, c] += np.where(v[:, k] == 0, 0.0, np.where(right, np.log(accuracy[k, c]), np.log(1 - accuracy[k, c])))
+        for c, weight in enumerate((n * post, n * (1 - post))):
+            for k in range(rules):
+                right, voted = v[:, k] == c + 1, v[:, k] > 0
+                accuracy[k, c] = (weight @ right + 0.8) / (weight @ voted + 1)
+                ll[:, c] += np.where(right, np.log(accuracy[k, c]), np.where(voted, np.log(1 - accuracy[k, c]), 0.0))
         new = 1 / (1 + np.exp(np.clip(ll[:, 1] - ll[:, 0], -700, 700)))
         done = np.abs(new - post).max() < 1e-10
         post = new
         if done:
             break
-        good = float(np.clip((n @ post + 1) / (n.sum() + 2), 0.05, 0.95))
-        for k in range(rules):
-            for c, share in enumerate((post, 1 - post)):
-                voted = n @ (share * (v[:, k] > 0))
-                accuracy[k, c] = np.clip((n @ (share * (v[:, k] == c + 1)) + 1) / (voted + 2), 0.55, 0.99)
     return dict(zip(patterns, post.tolist(), strict=True)), good, accuracy
 
 
+def coverage(counts: dict[int, int], posterior: dict[int, float], rules: int = len(RULES)) -> np.ndarray:
+    """The share of good and of bad documents on which each rule votes."""
+    patterns = sorted(counts)
+    voted = np.array([digits(p, rules) for p in patterns]).reshape(-1, rules) > 0
+    n, post = np.array([counts[p] for p in patterns], float), np.array([posterior[p] for p in patterns])
+    return np.stack([(weight @ voted + 0.5) / (weight.sum() + 1) for weight in (n * post, n * (1 - post))], axis=1)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, the base counts, base_failed, the posterior probability and kept."""
     spark = docs.sparkSession
