@@ -28,9 +28,8 @@ def similar_pairs(items: DataFrame, r: Rubric = DEFAULT, own: Column | None = No
     """(symbol, a, b, gap, jaccard, contained, shared, near) for pairs of a symbol's items that tell of one event.
 
     Pairs meet over a token they share in a block of near_days days or the block after, so items without a common word
-    never meet: every rule needs one. Each pair is taken once, under the first token it shares, and tokens come in
-    order of rising frequency, so the frequent ones hardly serve as keys: an item is keyed by all its tokens but a
-    pair counts only where the token is the least of the shared ones.
+    never meet: every rule needs one. An item is keyed by all its tokens, and a pair counts once, where the token is the
+    first by name of the shared ones; a frequent token brings together all items of a block that have it.
     """
     c = r["cluster"]
     days = max(c["days"], c["near_days"])

@@ -1,7 +1,7 @@
-"""Labelling as a stream: new items are labelled once, and late ones within the grace only.
+"""Labelling as a stream: new items are labelled once.
 
-A file-source stream of items is watermarked by the point-in-time grace; each micro-batch labels what the label table
-doesn't hold yet, so a second run over the same items labels nothing and a repeated batch changes nothing.
+Each micro-batch of a file-source stream labels what the label table doesn't hold yet, so a second run over the same
+items labels nothing and a repeated batch changes nothing. Counts by day have a watermark of the point-in-time grace.
 """
 
 from __future__ import annotations
