@@ -41,7 +41,10 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--confirmed", action="store_true", help="a change of the universe is meant")
     command("replay", "holdings", "as_of").add_argument("--strict", action="store_true")
     command("relabel", "run", "holdings")
-    command("backtest", "start", "end").add_argument("--step", type=int, default=7)
+    for name, step in (("backtest", 7), ("series", 1)):
+        c = command(name, "start", "end")
+        c.add_argument("--step", type=int, default=step)
+        c.add_argument("--strict", action="store_true", help="without runs fetched after a date's grace")
     command("diff", "a", "b")
     command("drivers", "a", "b", "as_of")
     command("merge", "a", "b", "holdings", "as_of")
@@ -96,7 +99,8 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return e.relabel(a.run, keyword_labeller, get("holdings"))
     return {
         "replay": lambda: e.replay(get("holdings"), a.as_of, a.strict),
-        "backtest": lambda: e.backtest(a.start, a.end, a.step),
+        "backtest": lambda: e.backtest(a.start, a.end, a.step, a.strict),
+        "series": lambda: e.series(a.start, a.end, a.step, a.strict),
         "diff": lambda: e.diff(a.a, a.b),
         "drivers": lambda: e.drivers(a.a, a.b, a.as_of),
         "merge": lambda: e.merge(a.a, a.b, get("holdings"), a.as_of),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.timing import window_of
-from .operators import cluster, corpus, label, sample, score, views
+from .operators import cluster, corpus, label, sample, score, sweep, views
 from .operators import governance as gov
 from .operators import sentiment as sen
 from .plans.rubric import DEFAULT, Rubric
@@ -246,7 +246,13 @@ class Engine:
         fields = [f.name for f in labeller(rows.limit(0)).schema["label"].dataType.fields]
         return with_columns(labeller(rows).drop(*[f for f in fields if f in rows.columns]).select("*", "label.*"))
 
-    def backtest(self, start: str, end: str, step_days: int = 7) -> DataFrame:
+    def series(self, start: str, end: str, step_days: int = 1, strict: bool = False) -> DataFrame:
+        """(as_of, symbol, n_events, n_signal, weighted_mean, weighted_band) at each date, by running sums: the work doesn't
+        grow with the dates, only the rows that come out."""
+        spans = sweep.mean_intervals(self.corpus.read("events"), self.corpus.read("manifests"), start, end, self.r, strict=strict)
+        return sweep.at_dates(spans, start, end, step_days)
+
+    def backtest(self, start: str, end: str, step_days: int = 7, strict: bool = False) -> DataFrame:
         """All scores at each date, all dates in one job. An event after its date fails the job."""
 
         def scored(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -260,7 +266,7 @@ class Engine:
             cut = lambda c: F.substring_index(c, gov.AT, 1).alias(c)
             return out.select(F.substring_index("symbol", gov.AT, -1).cast("date").alias("as_of"), cut("symbol"), cut("sector"), *[c for c in out.columns if c not in ("symbol", "sector")])
 
-        return corpus.backtest(self.corpus.read("events"), self.corpus.read("manifests"), start, end, step_days, scored, self.r)
+        return corpus.backtest(self.corpus.read("events"), self.corpus.read("manifests"), start, end, step_days, scored, self.r, strict)
 
     def scores(self, run: str) -> DataFrame:
         return self.corpus.read("scores", [run])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,38 +17,73 @@ from .graph import components
 from .grouped import over_groups
 
 
-def common_tokens(items: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
-    """(symbol, common): each symbol's most frequent title tokens, the first by name of equally frequent ones."""
-    counts = items.select("symbol", F.explode("tokens").alias("token")).groupBy("symbol", "token").agg(F.count(F.lit(1)).alias("n"))
+SPLIT = 50_000  # rows of a token from which on its left side is split
+
+
+def token_counts(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
+    """(symbol, token, n, common): how often a symbol's titles have a token, and whether it is one of its most frequent
+    ones, the first by name of equally frequent ones."""
+    counts = rows.select("symbol", F.explode("tokens").alias("token")).groupBy("symbol", "token").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("symbol").orderBy(F.col("n").desc(), "token")
     top = counts.withColumn("k", F.row_number().over(w)).where(F.col("k") <= r["cluster"]["top_tokens"])
-    return top.groupBy("symbol").agg(F.collect_set("token").alias("common"))
+    top = top.select("symbol", "token", F.lit(True).alias("common"))
+    return counts.join(top, ["symbol", "token"], "left").na.fill(False, ["common"])
+
+
+def prefix_length(size: Column, distinctive: Column, r: Rubric = DEFAULT) -> Column:
+    """How many of a title's tokens, distinctive ones first, a similar title must share one of.
+
+    Titles of a Jaccard similarity j share at least j of either one's tokens, contained ones at least their share of the
+    smallest size the rule takes, and the third rule asks for distinctive tokens alone. If k tokens of n are shared, the
+    first shared one is among the first n - k + 1; the weakest rule decides."""
+    c = r["cluster"]
+    shares = lambda k: size - k + 1
+    least = F.ceil(size * F.lit(float(min(c["jaccard"], c["near_jaccard"]))) - 1e-9)
+    contained = F.when(size >= c["contained_size"], shares(F.lit(math.ceil(c["contained"] * c["contained_size"] - 1e-9)))).otherwise(0)
+    return F.least(size, F.greatest(shares(least), contained, distinctive - c["shared"] + 1, F.lit(1))).cast("int")
+
+
+def ordered_tokens(rows: DataFrame, r: Rubric = DEFAULT) -> DataFrame:
+    """Rows with their tokens in one order for a symbol: those that aren't among its common ones first, by rising
+    frequency, then by name. Adds keys, the first of them with the rows each occurs in, and how many are distinctive."""
+    rest = [c for c in rows.columns if c != "tokens"]
+    one = rows.select(*rest, F.explode("tokens").alias("token")).join(token_counts(rows, r), ["symbol", "token"])
+    out = one.groupBy(*rest).agg(F.array_sort(F.collect_list(F.struct("common", "n", "token"))).alias("t"))
+    out = out.withColumn("distinctive", F.size(F.filter("t", lambda x: ~x["common"])))
+    keys = F.slice("t", 1, prefix_length(F.size("t"), F.col("distinctive"), r))
+    return out.select(*rest, F.transform("t", lambda x: x["token"]).alias("tokens"), keys.alias("keys"), "distinctive")
+
+
+def meetings(rows: DataFrame, days: int) -> DataFrame:
+    """Pairs of a symbol's rows that share a key within ``days``, one for each shared key. A frequent key's left rows
+    are dealt to parts of ``SPLIT`` rows, each of which meets all its right rows."""
+    keyed = rows.select("*", F.explode("keys").alias("key"), F.floor(F.col("day") / (days + 1)).cast("int").alias("block"))
+    keyed = keyed.withColumn("token", F.col("key.token")).withColumn("parts", F.ceil(F.col("key.n") / SPLIT).cast("int"))
+    left = keyed.select("symbol", "token", "block", F.pmod(F.xxhash64("seq"), F.col("parts")).cast("int").alias("part"), F.col("seq").alias("a"), F.col("day").alias("day_a"), F.col("tokens").alias("ta"), "distinctive")
+    right = keyed.select("symbol", "token", "parts", F.col("seq").alias("b"), F.col("day").alias("day_b"), F.col("tokens").alias("tb"), F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)).alias("block"))
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = left.join(right, ["symbol", "token", "block", "part"]).where("a < b").withColumn("gap", F.abs(F.col("day_a") - F.col("day_b")))
+    return met.where(F.col("gap") <= days)
 
 
 def similar_pairs(items: DataFrame, r: Rubric = DEFAULT, own: Column | None = None) -> DataFrame:
     """(symbol, a, b, gap, jaccard, contained, shared, near) for pairs of a symbol's items that tell of one event.
 
-    Pairs meet over a token they share in a block of near_days days or the block after, so items without a common word
-    never meet: every rule needs one. An item is keyed by all its tokens, and a pair counts once, where the token is the
-    first by name of the shared ones; a frequent token brings together all items of a block that have it.
+    Pairs meet over a token of both items' prefixes (``prefix_length``) in a block of days or the block after, so items
+    that share common words alone seldom meet. A pair counts once, where the token is the first that they share; that one
+    is in both prefixes if any rule holds. Repeated tokens of a title count once, and seq tells all items apart.
     """
     c = r["cluster"]
     days = max(c["days"], c["near_days"])
     rows = items.where("published is not null").select("symbol", "seq", "published", tx.tokens(F.col("title"), own).alias("tokens")).where(F.size("tokens") > 0)
-    rows = rows.withColumn("day", F.datediff("published", F.lit("1970-01-01").cast("date")))
-    keyed = rows.select("*", F.explode("tokens").alias("token"), F.floor(F.col("day") / (days + 1)).cast("int").alias("block"))
-    left = keyed.select("symbol", "token", F.col("block"), F.col("seq").alias("a"), F.col("day").alias("day_a"), F.col("tokens").alias("ta"))
-    right = keyed.select("symbol", "token", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1)).alias("block"), F.col("seq").alias("b"), F.col("day").alias("day_b"), F.col("tokens").alias("tb"))
-    met = left.join(right, ["symbol", "token", "block"]).where("a < b").withColumn("gap", F.abs(F.col("day_a") - F.col("day_b"))).where(F.col("gap") <= days)
-    met = met.withColumn("inter", F.array_intersect("ta", "tb")).where(F.col("token") == F.array_min("inter"))
-    common = common_tokens(rows, r)
-    met = met.join(common, "symbol", "left")
+    rows = rows.select("symbol", "seq", F.datediff("published", F.lit("1970-01-01").cast("date")).alias("day"), "tokens")
+    met = meetings(ordered_tokens(rows, r), days).withColumn("inter", F.array_intersect("ta", "tb")).where(F.col("token") == F.element_at("inter", 1))
     n, small = F.size("inter"), F.least(F.size("ta"), F.size("tb"))
     met = met.select(
         "symbol", "a", "b", "gap",
         (n / F.size(F.array_union("ta", "tb"))).alias("jaccard"),
         (n / small).alias("contained"),
-        F.size(F.array_except("inter", F.coalesce("common", F.expr("cast(array() as array<string>)")))).alias("shared"),
+        F.size(F.array_intersect(F.slice("ta", 1, F.col("distinctive")), F.col("tb"))).alias("shared"),
         small.alias("small"),
     )
     near = (F.col("gap") <= c["near_days"]) & ((F.col("jaccard") >= c["near_jaccard"]) | ((F.col("contained") >= c["contained"]) & (F.col("small") >= c["contained_size"])))

@@ -81,6 +81,12 @@ def weighted_mean(evidence: DataFrame, as_of: Column, by: list[str], r: Rubric =
         F.sum(F.when(signal & F.col("res"), F.col("w") * F.col("s"))).alias("res_ws"),
         F.sum(F.when(signal & F.col("res"), F.col("w"))).alias("res_w"),
     )
+    return mean_of_sums(sums, by, r)
+
+
+def mean_of_sums(sums: DataFrame, keep: list[str], r: Rubric = DEFAULT) -> DataFrame:
+    """(keep, n_events, n_signal, weighted_mean, weighted_band) from the sums of ``weighted_mean``, however they were made."""
+    c = r["sentiment"]
     use = (F.col("n_signal") >= c["min_signal_events"]) if c["aggregation"] == "signal_events" else F.lit(False)
     mean = F.col("ws") / F.when(use, F.col("w_signal")).otherwise(F.col("w_all"))
     if c["plus_two_requires_no_results_offset"]:
@@ -89,7 +95,7 @@ def weighted_mean(evidence: DataFrame, as_of: Column, by: list[str], r: Rubric =
     if c["minus_one_when_results_negative"]:
         low = float(c["results_dominance_threshold"])
         mean = F.when((F.col("res_ws") / F.col("res_w") <= low) & (mean > low), F.lit(low)).otherwise(mean)
-    return sums.select(*by, "n_events", "n_signal", mean.alias("weighted_mean")).withColumn("weighted_band", band(F.col("weighted_mean"), r))
+    return sums.select(*keep, "n_events", "n_signal", mean.alias("weighted_mean")).withColumn("weighted_band", band(F.col("weighted_mean"), r))
 
 
 def raw_mean(evidence: DataFrame, by: list[str], r: Rubric = DEFAULT) -> DataFrame:

@@ -414,6 +414,15 @@ O["backtest_weekly"] = f"""WITH {RUNS}, d AS (SELECT CAST(unnest(generate_series
 s AS (SELECT d.day AS as_of, runs.* FROM runs JOIN man USING (run_id), d WHERE event_date <= d.day AND man.as_of <= d.day + 7 AND mode <> 'pit-replay' QUALIFY row_number() OVER (PARTITION BY d.day, event_id ORDER BY run_id DESC) = 1)
 SELECT as_of, symbol, count(*) AS n, round(avg(sentiment), 6) AS mean FROM s GROUP BY as_of, symbol"""
 
+RUNS_W = RUNS.replace("event_date, sentiment, concat", "event_date, published, event_type, kind, sentiment, concat").replace("event_date, -sentiment", "event_date, published, event_type, kind, -sentiment")
+O["backtest_daily_sweep"] = f"""WITH {RUNS_W}, d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+s AS (SELECT d.day, runs.* FROM runs JOIN man USING (run_id), d WHERE event_date <= d.day AND man.as_of <= d.day + 7 AND mode <> 'pit-replay' QUALIFY row_number() OVER (PARTITION BY d.day, event_id ORDER BY run_id DESC) = 1),
+w AS (SELECT day AS as_of, symbol, sentiment AS s, event_type IN {RESULTS} AS res, CAST({FLAT.format(a="greatest(date_diff('day', published, day), 0)")} AS DOUBLE) * (event_id % 7 / 8.0 + 0.25) AS w
+  FROM s WHERE event_type <> 'price_move' AND NOT (sentiment = 0 AND event_type IN {NOISE})),
+a AS (SELECT as_of, symbol, count(*) AS n_events, count(*) FILTER (s <> 0) AS n_signal, sum(w * s) AS ws, sum(w) AS wa, sum(w) FILTER (s <> 0) AS wg, coalesce(bool_or(res AND s <= -1), FALSE) AS off FROM w GROUP BY as_of, symbol),
+m AS (SELECT *, ws / CASE WHEN n_signal >= 3 THEN wg ELSE wa END AS m0 FROM a), v AS (SELECT *, CASE WHEN n_signal >= 3 AND m0 > 49.0 / 50.0 AND off THEN 49.0 / 50.0 ELSE m0 END AS m1 FROM m)
+SELECT as_of, symbol, n_events, n_signal, round(m1, 6) AS weighted_mean, {band("m1")} AS weighted_band FROM v"""
+
 
 def half(name: str, where: str) -> str:
     inner = weighted(f"(SELECT * FROM ord WHERE {where})", "symbol")

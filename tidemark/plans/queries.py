@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import timing as tm
-from ..operators import actions, cluster, corpus, governance, label, market, sample, score, sentiment, views
+from ..operators import actions, cluster, corpus, governance, label, market, sample, score, sentiment, sweep, views
 from ..sources.fulltext import extract
 from . import adapters as ad
 from .rubric import load_rubric
@@ -393,6 +393,16 @@ def backtest_weekly(spark, d):
     return corpus.backtest(ev, man, "2024-01-03", "2024-01-31", 7, mean)
 
 
+@query
+def backtest_daily_sweep(spark, d):
+    """Every day of a year, with results that veto: runs that come in, copies that are replaced, weights that fall."""
+    ev, man = runs(spark, d)
+    ev = ev.withColumns({"substance": F.lit("primary"), "pass_": F.lit("sentiment"), "confidence": (F.col("seq") % 7 / 8.0 + 0.25)})
+    r = load_rubric({"sentiment": {"use_source_confidence": True, "plus_two_requires_no_results_offset": True}})
+    spans = sweep.mean_intervals(ev, man, "2024-01-01", "2024-12-31", r)
+    return sweep.at_dates(spans, "2024-01-01", "2024-12-31")
+
+
 def halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = orders(spark, d)
     mean = lambda x: sentiment.weighted_mean(x, day(ad.ORD_AS_OF), ["symbol"]).select("symbol", "weighted_mean", F.col("weighted_band").cast("double").alias("band"))
