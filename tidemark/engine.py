@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions.timing import window_of
-from .operators import cluster, corpus, label, sample, score, sweep, views
+from .operators import asking, cluster, corpus, label, sample, score, sweep, views
 from .operators import governance as gov
 from .operators import sentiment as sen
 from .plans.rubric import DEFAULT, Rubric
@@ -53,6 +53,10 @@ def keyword_labeller(items: DataFrame) -> DataFrame:
     return items.withColumn("label", label.keyword_label(F.col("title"), F.col("snippet"), F.col("company"))).withColumn("rationale", F.lit("keyword rule"))
 
 
+def stored_labels(new: DataFrame, model: str, prompt: str) -> DataFrame:
+    return new.select("item_key", "url_hash", "label", "rationale", F.lit(model).alias("model"), F.lit(prompt).alias("prompt_version"))
+
+
 def batched(label_rows: Callable, schema: str) -> Labeller:
     """A labeller from a function over pandas batches, for a model that labels many items a call. It returns the
     batch with the columns of ``schema`` too."""
@@ -130,9 +134,10 @@ class Engine:
         rest = kept.select("seq", "sector", "snippet", "source", "win", "relevance", "pass_", "purpose", "kind", F.col("name").alias("company"))
         return built.join(rest, "seq"), members
 
-    def labels(self, events: DataFrame, labeller: Labeller, model: str, prompt: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    def labels(self, events: DataFrame, labeller: Labeller, model: str, prompt: str, scratch: Scratch, run: str) -> tuple[DataFrame, DataFrame]:
         """(events with label and rationale, the new labels): from the cache by item, from the corpus by url, then from
-        the labeller, which is asked once more for what it left out."""
+        the labeller, which is asked once more for what it left out. Where a model's throttling goes on, the labels that
+        came are stored and the run ends; the next one asks for the rest."""
         keyed = events.withColumn("item_key", tx.item_key(F.col("url"), F.col("title"), F.col("snippet"), F.lit(model), F.lit(prompt)))
         keyed = keyed.withColumn("url_hash", tx.url_hash(F.col("url"))).withColumn("member_hashes", F.col("url_hashes"))
         own = labeller(events.limit(0)).schema["label"].dataType.simpleString()  # as text, which leaves out what can't be null
@@ -152,6 +157,10 @@ class Engine:
         first = scratch.save(labeller(todo))
         missing = first.where("label is null").select(*todo.columns)
         new = first.where("label is not null")
+        if "label_error" in first.columns and first.where(F.col("label_error") == asking.ABORTED).head(1):
+            part = f"{run}_{run_id('labels')}"
+            self.corpus.append("labels", stored_labels(new, model, prompt), part)
+            raise asking.LabellingAborted(f"the model kept throttling; the labels that came are stored as {part}")
         if missing.head(1):
             new = scratch.save(new.unionByName(labeller(missing).select(*first.columns)))
         return have.unionByName(new.select(*have.columns)), new.where("label is not null")
@@ -180,7 +189,7 @@ class Engine:
             raise ValueError(f"run {run} is already in events")
         kept, dropped = self.passes(holdings, items, day, more or {}, scratch)
         built, members = self.events(kept, scratch)
-        told, new = self.labels(scratch.save(built), labeller, model, prompt, scratch)
+        told, new = self.labels(scratch.save(built), labeller, model, prompt, scratch, run)
         done = told.select("*", "label.*").withColumn("labelled", F.col("label").isNotNull()).drop("label")
         checked = scratch.save(label.validated(done, day, LOOKBACK, self.r))
         bad = checked.where("reason is not null").select("symbol", "seq", "title", "url", "published", "win", "reason")
@@ -210,7 +219,7 @@ class Engine:
             "events": evidence.withColumn("event_id", F.coalesce("event_id", F.concat(F.lit("v"), F.col("seq").cast("string")))),
             "scores": scores.withColumn("as_of", day),
             "articles": gone.select(*seen, "reason").unionByName(absorbed.select(*seen, why(into))).unionByName(evidence.select(*seen, why(F.lit(None)))),
-            "labels": new.select("item_key", "url_hash", "label", "rationale", F.lit(model).alias("model"), F.lit(prompt).alias("prompt_version")),
+            "labels": stored_labels(new, model, prompt),
             "holdings": holdings.select(*names),
             "manifests": self.spark.range(1).select(*told_as),
         }

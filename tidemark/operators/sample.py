@@ -38,8 +38,8 @@ def newest(by: list[str]) -> object:
 
 
 def filled(counts: Column, quotas: list[int]) -> Column:
-    """From an array of the rows at hand in each window: for each the rows wanted and taken in the first pass, then the
-    rows taken back and the rows looked at, as the shortfall runs to older windows and what is left to the newest."""
+    """From an array of the rows at hand in each window: for each the rows wanted and got in the first pass, the rows
+    taken in all and the rows looked at, as the shortfall runs to older windows and what is left to the newest."""
     pairs = F.transform(counts, lambda a, i: F.struct(a.alias("have"), F.element_at(F.array(*[F.lit(q) for q in quotas]), i + 1).alias("quota")))
     none = F.expr("cast(array() as array<struct<want:bigint,got:bigint,have:bigint>>)")
     first = F.aggregate(
@@ -59,7 +59,7 @@ def filled(counts: Column, quotas: list[int]) -> Column:
             ).alias("out"),
         ),
     )
-    none = F.expr("cast(array() as array<struct<take:bigint,seen:bigint>>)")
+    none = F.expr("cast(array() as array<struct<want:bigint,got:bigint,take:bigint,seen:bigint>>)")
     return F.aggregate(
         first["out"],
         F.struct(first["carry"].alias("left"), none.alias("out")),
@@ -69,6 +69,8 @@ def filled(counts: Column, quotas: list[int]) -> Column:
                 acc["out"],
                 F.array(
                     F.struct(
+                        x["want"].alias("want"),
+                        x["got"].alias("got"),
                         (x["got"] + F.least(acc["left"], x["have"] - x["got"])).cast("long").alias("take"),
                         F.when(acc["left"] > 0, F.greatest(x["want"], x["got"] + acc["left"])).otherwise(x["want"]).cast("long").alias("seen"),
                     )
@@ -79,23 +81,42 @@ def filled(counts: Column, quotas: list[int]) -> Column:
     )
 
 
+def day_capped(items: DataFrame, as_of: Column, r: Rubric = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(one row for each title with win and, if it can't be used, status; the usable ones with whether their day's cap lets them in)."""
+    rows = collapse_titles(items).withColumn("win", window_of(F.col("published"), as_of, r))
+    state = F.when(~F.col("usable"), "unusable").when(is_boilerplate(F.col("title")), "boilerplate").when(F.col("win").isNull(), "outside")
+    rows = rows.withColumn("status", state)
+    pool = rows.where("status is null").withColumn("__day", F.row_number().over(newest(["symbol", "published"])))
+    return rows, pool.withColumn("__ok", F.col("__day") <= r["sampling"]["per_day_cap"])
+
+
+def window_plan(pool: DataFrame, quotas: list[int]) -> DataFrame:
+    """(symbol, plan): what each window wants, gets and takes, as in ``filled``."""
+    have = pool.groupBy("symbol").agg(F.array(*[F.count_if(F.col("__ok") & (F.col("win") == k)) for k in range(1, len(quotas) + 1)]).alias("have"))
+    return have.select("symbol", filled(F.col("have"), quotas).alias("plan"))
+
+
+def carry_log(items: DataFrame, as_of: Column, r: Rubric = DEFAULT, quotas: list[int] | None = None) -> DataFrame:
+    """(symbol, win, quota, wanted, got, rolled_back): what each window wanted with the shortfall of newer ones, what it
+    had, and what it gave for the shortfall that was left after the oldest. No row is sorted by window for it."""
+    quotas = quotas or [q for _, _, q in r["sampling"]["windows"]]
+    plan = window_plan(day_capped(items, as_of, r)[1], quotas)
+    one = plan.select("symbol", F.posexplode("plan").alias("k", "p"))
+    quota = F.element_at(F.array(*[F.lit(q) for q in quotas]), F.col("k") + 1)
+    return one.select("symbol", (F.col("k") + 1).alias("win"), quota.cast("long").alias("quota"), F.col("p.want").alias("wanted"), F.col("p.got").alias("got"), (F.col("p.take") - F.col("p.got")).alias("rolled_back"))
+
+
 def stratified(items: DataFrame, as_of: Column, capped: bool = True, r: Rubric = DEFAULT, quotas: list[int] | None = None) -> DataFrame:
     """Items with win and status: selected, extra, over_budget, boilerplate, unusable or outside.
 
     Within a window the newest rows come first; rows past the day's cap are extras if they were looked at before the
     window was full. Without ``capped`` all usable rows are selected but the extras.
     """
-    s = r["sampling"]
-    quotas = quotas or [q for _, _, q in s["windows"]]
-    rows = collapse_titles(items).withColumn("win", window_of(F.col("published"), as_of, r))
-    state = F.when(~F.col("usable"), "unusable").when(is_boilerplate(F.col("title")), "boilerplate").when(F.col("win").isNull(), "outside")
-    rows = rows.withColumn("status", state)
-    pool = rows.where("status is null").withColumn("__day", F.row_number().over(newest(["symbol", "published"])))
-    pool = pool.withColumn("__ok", F.col("__day") <= s["per_day_cap"])
+    quotas = quotas or [q for _, _, q in r["sampling"]["windows"]]
+    rows, pool = day_capped(items, as_of, r)
     scan = newest(["symbol", "win"]).rowsBetween(Window.unboundedPreceding, -1)
     pool = pool.withColumn("__before", F.coalesce(F.sum(F.col("__ok").cast("long")).over(scan), F.lit(0)))
-    have = pool.groupBy("symbol").agg(F.array(*[F.count_if(F.col("__ok") & (F.col("win") == k)) for k in range(1, len(quotas) + 1)]).alias("have"))
-    plan = have.select("symbol", filled(F.col("have"), quotas).alias("plan"))
+    plan = window_plan(pool, quotas)
     pool = pool.join(plan, "symbol").withColumn("__p", F.element_at("plan", F.col("win")))
     picked = F.col("__ok") & (F.col("__before") < F.col("__p.take"))
     extra = ~F.col("__ok") & (F.col("__before") < F.col("__p.seen"))

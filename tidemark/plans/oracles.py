@@ -142,6 +142,7 @@ O["stratified_sample_capped"] = f"WITH {DOC}, {CAPPED} SELECT symbol, seq, win,
 O["stratified_sample_uncapped"] = f"WITH {DOC}, {UNCAPPED} SELECT symbol, seq, win, status FROM sampled WHERE status IN ('selected', 'extra')"
 O["drop_reasons"] = f"WITH {DOC}, {CAPPED} SELECT symbol, seq, status, {REASON} AS reason FROM sampled"
 O["sample_report"] = f"WITH {DOC}, {CAPPED} SELECT symbol, status, count(*) AS n, CAST(sum(n_copies) AS BIGINT) AS copies FROM sampled GROUP BY symbol, status"
+O["sample_carries"] = f"WITH {DOC}, {CAPPED} " + " UNION ALL ".join(f"SELECT symbol, {k} AS win, {q} AS quota, w{k} AS wanted, g{k} AS got, r{k} AS rolled_back FROM b4" for k, q in enumerate((40, 25, 20, 15), 1))
 O["drop_counts_total"] = f"WITH {DOC}, {CAPPED}, d AS (SELECT symbol, {REASON} AS reason FROM sampled) SELECT symbol, reason, count(*) AS n FROM d WHERE reason IS NOT NULL GROUP BY ROLLUP (symbol, reason)"
 O["latest_n"] = f"WITH {DOC}, {COLLAPSE} SELECT symbol, seq, row_number() OVER (PARTITION BY symbol ORDER BY usable DESC, published DESC, relevance DESC, seq) AS rank FROM uniq QUALIFY rank <= 50"
 NEW = "published DESC, relevance DESC, seq"
@@ -414,6 +415,9 @@ O["backtest_weekly"] = f"""WITH {RUNS}, d AS (SELECT CAST(unnest(generate_series
 s AS (SELECT d.day AS as_of, runs.* FROM runs JOIN man USING (run_id), d WHERE event_date <= d.day AND man.as_of <= d.day + 7 AND mode <> 'pit-replay' QUALIFY row_number() OVER (PARTITION BY d.day, event_id ORDER BY run_id DESC) = 1)
 SELECT as_of, symbol, count(*) AS n, round(avg(sentiment), 6) AS mean FROM s GROUP BY as_of, symbol"""
 
+O["batched_labels"] = f"""WITH {EV} SELECT seq, CASE WHEN seq % 97 <> 0 AND seq % 13 <> 0 THEN event_type END AS event_type,
+CASE WHEN seq % 97 = 0 THEN 'ValueError: this batch can''t be read' WHEN seq % 13 = 0 THEN 'no label in the reply' END AS label_error FROM ev"""
+O["tolerant_replies"] = f"WITH {EV} SELECT CAST(seq // 8 AS BIGINT) AS block, CAST(seq AS VARCHAR) AS id, event_type FROM ev QUALIFY (seq // 8) % 4 <> 2 OR seq <> max(seq) OVER (PARTITION BY seq // 8)"
 RUNS_W = RUNS.replace("event_date, sentiment, concat", "event_date, published, event_type, kind, sentiment, concat").replace("event_date, -sentiment", "event_date, published, event_type, kind, -sentiment")
 O["backtest_daily_sweep"] = f"""WITH {RUNS_W}, d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
 s AS (SELECT d.day, runs.* FROM runs JOIN man USING (run_id), d WHERE event_date <= d.day AND man.as_of <= d.day + 7 AND mode <> 'pit-replay' QUALIFY row_number() OVER (PARTITION BY d.day, event_id ORDER BY run_id DESC) = 1),

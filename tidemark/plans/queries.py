@@ -5,6 +5,7 @@ Fractions are rounded to six places here, for comparison with another engine; op
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import timing as tm
-from ..operators import actions, cluster, corpus, governance, label, market, sample, score, sentiment, sweep, views
+from ..operators import actions, asking, cluster, corpus, governance, label, market, sample, score, sentiment, sweep, views
 from ..sources.fulltext import extract
 from . import adapters as ad
 from .rubric import load_rubric
@@ -163,6 +164,11 @@ def sample_report(spark, d):
     return sample.stratified(docs(spark, d), day(ad.DOC_AS_OF)).groupBy("symbol", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_copies").alias("copies"))
 
 
+@query
+def sample_carries(spark, d):
+    return sample.carry_log(docs(spark, d), day(ad.DOC_AS_OF))
+
+
 @query
 def latest_n(spark, d):
     return sample.latest(docs(spark, d), 50).select("symbol", "seq", "rank")
@@ -393,6 +399,36 @@ def backtest_weekly(spark, d):
     return corpus.backtest(ev, man, "2024-01-03", "2024-01-31", 7, mean)
 
 
+def stand_in(batch: list[dict]) -> str:
+    """Stands for a model: it fails on a batch with a number that 97 divides and leaves out numbers that 13 divides."""
+    if any(x["seq"] % 97 == 0 for x in batch):
+        raise ValueError("this batch can't be read")
+    said = [{"id": str(x["seq"]), "event_type": x["event_type"]} for x in batch if x["seq"] % 13 != 0]
+    return f"The labels:\n```json\n{json.dumps(said)}\n```"
+
+
+@query
+def batched_labels(spark, d):
+    rows = asking.asked(events(spark, d).select("seq", "event_type"), stand_in, "struct<event_type:string>")
+    return rows.select("seq", "label.event_type", "label_error")
+
+
+@query
+def tolerant_replies(spark, d):
+    """Replies of eight events each: in a code fence, in an object, broken off in the last label, after a stray bracket."""
+    one = F.format_string('{"id": "%s", "event_type": "%s", "note": {"of": "a } and a \\"quote"}}', F.col("seq").cast("string"), F.col("event_type"))
+    rows = events(spark, d).groupBy(F.floor(F.col("seq") / 8).alias("block")).agg(F.array_sort(F.collect_list(F.struct("seq", one.alias("one")))).alias("x"))
+    said = F.array_join(F.transform("x", lambda x: x["one"]), ", ")
+    form = F.col("block") % 4
+    reply = (
+        F.when(form == 0, F.concat(F.lit("Labels:\n```json\n["), said, F.lit("]\n```\nDone.")))
+        .when(form == 1, F.concat(F.lit('{"labels": ['), said, F.lit("]}")))
+        .when(form == 2, F.concat(F.lit("["), F.substr(said, F.lit(1), F.length(said) - 2)))
+        .otherwise(F.concat(F.lit("See [note 1. ["), said, F.lit("] Regards")))
+    )
+    return asking.read_replies(rows.select("block", reply.alias("reply"))).select("block", "id", F.get_json_object("label", "$.event_type").alias("event_type"))
+
+
 @query
 def backtest_daily_sweep(spark, d):
     """Every day of a year, with results that veto: runs that come in, copies that are replaced, weights that fall."""
