@@ -256,6 +256,36 @@ def test_stream_labels_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 5
 
 
+def test_stream_state_and_late_items(spark, tmp_path):
+    """Repeats within a batch and across runs, late items apart, state that goes, and a batch that is run again."""
+    from datetime import datetime
+
+    src, out, late, chk = (f"file://{tmp_path}/{x}" for x in ("src", "out", "late", "chk"))
+    row = lambda key, month, day: (key, "AA", "Acme", f"Acme wins order {key}", "", datetime(2024, month, day, 1, 30, 0, 123456))
+
+    def come(*rows):
+        spark.createDataFrame(list(rows), labels.ITEMS).coalesce(1).write.mode("append").parquet(src)
+        return labels.run_once(spark, src, out, chk, late, keep_ms=1)
+
+    read = lambda path: sorted((r.item_key, r.published) for r in spark.read.parquet(path).collect())
+    come(row("a", 1, 1), row("a", 1, 1), row("b", 1, 2), row(None, 1, 3), row(None, 1, 3))
+    come(row("c", 2, 20), row("a", 1, 1), row("d", 1, 1))
+    assert [k for k, _ in read(out) if len(k) == 1] == ["a", "b", "c", "d"] and len(read(out)) == 5
+    # the newest item is of 20 February, so what is older than the 13th is late now, seen before or not
+    progress = come(row("c", 2, 20), row("e", 1, 5), row("e", 1, 5), row("f", 2, 14))
+    assert [k for k, _ in read(out) if len(k) == 1] == ["a", "b", "c", "d", "f"]
+    assert read(late) == [("e", row("e", 1, 5)[5])] * 2
+    assert progress["stateOperators"][0]["numRowsTotal"] == 2  # c and f, all of January has gone
+    come(row("a", 1, 1))
+    assert [k for k, _ in read(late)] == ["a", "e", "e"] and dict(read(out))["c"] == row("c", 2, 20)[5]
+    # without the marker of its end the last batch is run again and takes its own place
+    done = max((p for p in (tmp_path / "chk" / "commits").iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    kept = read(out), read(late)
+    for p in (done, done.with_name(f".{done.name}.crc")):
+        p.unlink(missing_ok=True)
+    assert labels.run_once(spark, src, out, chk, late, keep_ms=1) is not None and (read(out), read(late)) == kept
+
+
 BODY = "The works won the order after a long tender. " * 6
 PAGES = [
     f'<html><script type="application/ld+json">{{"@type": "NewsArticle", "articleBody": "{BODY}line\\nbreak &amp;amp; \\u20b9 5 &#8377;"}}</script><p>short</p></html>',
