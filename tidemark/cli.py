@@ -54,6 +54,8 @@ def parser() -> argparse.ArgumentParser:
     command("governance", "events", "as_of")
     command("render", "run")
     command("runs")
+    command("seal", "run")
+    command("tampered", "run")
     command("inspect", "what", "path", holdings="names for titles")
     command("propose", "run", "holdings", "as_of", registry="lessons so far")
     return p
@@ -110,6 +112,8 @@ def execute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         "governance": lambda: e.governance_of(get("events"), a.as_of),
         "render": lambda: score.ordered(e.scores(a.run)),
         "runs": lambda: e.corpus.read("manifests").select("run_id", "as_of", "rubric", "mode", "fetched").orderBy("run_id"),
+        "seal": lambda: e.seal(a.run),
+        "tampered": lambda: e.corpus.tampered(a.run).orderBy("level", "name"),
         "inspect": lambda: inspect(spark, e, a.what, a.path, a.holdings),
         "propose": lambda: proposals(spark, e, a),
     }[a.command]()

@@ -280,6 +280,11 @@ class Engine:
     def scores(self, run: str) -> DataFrame:
         return self.corpus.read("scores", [run])
 
+    def seal(self, run: str) -> DataFrame:
+        """Stores the digests of a run's tables; returns those of its tables and of the run."""
+        self.corpus.seal(run)
+        return self.corpus.read("audit", [run]).where("level in ('folder', 'root')").orderBy("name")
+
     def diff(self, a: str, b: str) -> DataFrame:
         return corpus.diff(self.scores(a), self.scores(b), SCORES)
 

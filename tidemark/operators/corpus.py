@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.rubric import DEFAULT, Rubric
+from ..sources import audit
+from ..sources.scratch import Scratch
 
 
 class Corpus:
@@ -62,6 +64,18 @@ class Corpus:
             rows.drop("run_id").write.parquet(f"{self.path(name)}/run_id={run_id}")
         fs.delete(marker, True)
 
+    def _blocks(self, run_id: str) -> DataFrame:
+        blocks = audit.leaves(self.spark, self.root, f"*/run_id={run_id}").where("not startswith(name, 'audit/')")
+        return Scratch(self.spark, "seal").save(blocks)
+
+    def seal(self, run_id: str) -> None:
+        """Stores the digests of a run's tables as they are: blocks, files, tables and the run."""
+        self.append("audit", audit.tree(self._blocks(run_id), 2), run_id)
+
+    def tampered(self, run_id: str) -> DataFrame:
+        """(level, name, change): what has changed in a run's tables since it was sealed."""
+        return audit.changes(self.read("audit", [run_id]), audit.tree(self._blocks(run_id), 2))
+
     def read(self, name: str, runs: list[str] | None = None) -> DataFrame:
         out = self.spark.read.option("mergeSchema", True).parquet(self.path(name)).withColumn("run_id", F.col("run_id").cast("string"))
         hidden = self.unfinished()
