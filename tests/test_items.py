@@ -3,6 +3,7 @@
 import json
 import random
 from datetime import date, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +221,36 @@ def test_market_data_and_pages(spark):
     assert text[1].startswith("long text") and text[2] == "" and text[3] == ""
 
 
+def noted(url):
+    """An opener that leaves the time of each call in the folder that the url begins with."""
+    import time
+    import uuid
+
+    (Path(url.split("?")[0]) / f"{time.time():.3f}_{uuid.uuid4().hex}").touch()
+    return json.dumps({"articles": [{"title": "t", "url": "http://g/" + url.split("startdatetime=")[1][:8], "seendate": url.split("startdatetime=")[1][:8] + "T000000Z", "domain": "g.com"}]})
+
+
+def test_requests_are_spaced(spark, tmp_path):
+    now, told = [100.0], []
+    paced = connectors.Paced(lambda u: told.append((u, now[0])) or now.__setitem__(0, now[0] + float(u)), 5, 2, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    for took in ("0", "1", "9", "0"):
+        paced(took)
+    assert told == [("0", 102.0), ("1", 107.0), ("9", 112.0), ("0", 121.0)]
+    connectors.register(spark)
+    for lanes in ("1", "2"):
+        place = tmp_path / lanes
+        place.mkdir()
+        opts = {"opener": "test_items.noted", "symbols": "AA=Acme|BB=Best", "start": "2026-01-01", "end": "2026-03-01", "days": "20", "base": str(place), "pace": "0.3", "lanes": lanes}
+        rows = spark.read.format("news_archive").options(**opts).load()
+        assert rows.rdd.getNumPartitions() == int(lanes) and rows.count() == 6
+        at = sorted(float(p.name.split("_")[0]) for p in place.iterdir())
+        assert len(at) == 6
+        if lanes == "1":
+            assert min(b - a for a, b in zip(at, at[1:])) > 0.29
+        else:
+            assert min(b - a for a, b in zip(at, at[2:])) > 0.29  # lanes start when their tasks do, so pairs may be close
+
+
 def test_throttle_pages_raise():
     waits = []
     with pytest.raises(connectors.SourceThrottled):

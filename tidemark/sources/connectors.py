@@ -52,6 +52,22 @@ def fetched(opener: Callable[[str], str], url: str, parse: Callable[[str], list]
     return []
 
 
+class Paced:
+    """An opener whose calls begin at least ``gap`` seconds apart, the first of them after ``first`` seconds. The time an answer
+    takes counts, so a slow source isn't waited for twice; retries are calls too."""
+
+    def __init__(self, opener: Callable[[str], str], gap: float, first: float = 0.0, clock: Callable[[], float] = time.monotonic, pause: Callable[[float], None] = time.sleep):
+        self.opener, self.gap, self.clock, self.pause = opener, gap, clock, pause
+        self.next = clock() + first
+
+    def __call__(self, url: str) -> str:
+        wait = self.next - self.clock()
+        if wait > 0:
+            self.pause(wait)
+        self.next = self.clock() + self.gap
+        return self.opener(url)
+
+
 def windows(start: date, end: date, days: int) -> list[tuple[date, date]]:
     """From the newest to the oldest, without overlap."""
     out, hi = [], end
@@ -124,8 +140,21 @@ class SymbolWindow(InputPartition):
         self.symbol, self.name, self.spans = symbol, name, spans
 
 
+class Lane(InputPartition):
+    """Fetches that follow each other in one task, ``gap`` seconds apart."""
+
+    def __init__(self, jobs: list[SymbolWindow], first: float, gap: float):
+        super().__init__(0)
+        self.jobs, self.first, self.gap = jobs, first, gap
+
+
 class NewsReader(DataSourceReader):
-    """One partition for each symbol, its windows newest first, left off once ``limit`` rows are there."""
+    """One partition for each symbol and window, or, with a ``limit``, for each symbol, its windows newest first and left
+    off once so many rows are there.
+
+    With ``pace`` seconds the source gets a request each that often at most: all fetches are dealt to ``lanes`` (1) tasks, each of
+    which begins a request every lanes x pace seconds. A lane counts from its task's start, so with more than one the
+    pace holds on average and two requests may be close."""
 
     days, most = 90, 250
 
@@ -133,7 +162,7 @@ class NewsReader(DataSourceReader):
         self.o = options
         self.kind = options.get("pass", "news")
 
-    def partitions(self) -> list[SymbolWindow]:
+    def partitions(self) -> list[InputPartition]:
         start, end = date.fromisoformat(self.o["start"]), date.fromisoformat(self.o["end"])
         spans = self.spans(start, end)
         out = []
@@ -142,7 +171,8 @@ class NewsReader(DataSourceReader):
             # without a limit windows are fetched apart; with one, a symbol's windows stop together
             for own in [spans] if int(self.o.get("limit", 0)) else [[s] for s in spans]:
                 out.append(SymbolWindow(symbol, name or symbol, own))
-        return out
+        pace, lanes = float(self.o.get("pace", 0)), int(self.o.get("lanes", 1))
+        return [Lane(out[k::lanes], k * pace, lanes * pace) for k in range(min(lanes, len(out)))] if pace else out
 
     def spans(self, start: date, end: date) -> list[tuple[date, date]]:
         return windows(start, end, int(self.o.get("days", self.days)))
@@ -154,8 +184,17 @@ class NewsReader(DataSourceReader):
     def parse(self, text: str, name: str) -> list[dict]:
         return parse_archive(text)
 
-    def read(self, p: SymbolWindow) -> Iterator[tuple]:
-        opener, limit, seen = open_with(self.o["opener"]), int(self.o.get("limit", 0)), 0
+    def read(self, p: InputPartition) -> Iterator[tuple]:
+        opener = open_with(self.o["opener"])
+        if not isinstance(p, Lane):
+            yield from self.rows(p, opener)
+            return
+        opener = Paced(opener, p.gap, p.first)
+        for job in p.jobs:
+            yield from self.rows(job, opener)
+
+    def rows(self, p: SymbolWindow, opener: Callable[[str], str]) -> Iterator[tuple]:
+        limit, seen = int(self.o.get("limit", 0)), 0
         for lo, hi in p.spans:
             rows = fetched(opener, self.url(p.name, lo, hi), lambda t: self.parse(t, p.name), int(self.o.get("tries", 3)), float(self.o.get("wait", 20)))
             for a in rows:
@@ -272,8 +311,7 @@ class MarketReader(NewsReader):
     def spans(self, start: date, end: date) -> list[tuple[date, date]]:
         return [(start, end)]
 
-    def read(self, p: SymbolWindow) -> Iterator[tuple]:
-        opener = open_with(self.o["opener"])
+    def rows(self, p: SymbolWindow, opener: Callable[[str], str]) -> Iterator[tuple]:
         lo, hi = p.spans[0]
         url = f"{self.o.get('base', 'market:')}?symbol={quote_plus(p.symbol + self.o.get('suffix', ''))}"
         for kind, et, sentiment, materiality, title, day, close in fetched(opener, url, parse_market, int(self.o.get("tries", 3)), float(self.o.get("wait", 5))):
