@@ -142,3 +142,15 @@ def test_transducer(a, b, kept):
             raise AssertionError
         common = sorted(set(sums[0]) & set(sums[1]))
         assert t.groups(a, b) == [(sums[0].index(x) + 1, sums[1].index(x) + 1) for x in common]
+
+
+def test_rows_stay_small(spark, monkeypatch):
+    """Readers take thousands of rows at once: a row holds a bounded part of a document, never a slice of documents."""
+    monkeypatch.setattr(alignment, "PART", 64)
+    texts = ["word other words here " * 2000, *(f"text {k} of many, {k * k} in all" for k in range(500)), None, "last " * 64]
+    df = docs(spark, texts)
+    rows = alignment.sliced(df, A, B).toPandas()
+    own = rows[rows.pair.isna()]
+    assert own.places.map(len).max() <= 4 * 64 and len(own) > len(texts) and own.doc_id.nunique() == len(texts)
+    got = {r.doc_id: cols(r) for r in alignment.align(df, A, B).collect()}
+    assert got == dict(enumerate(expected(texts)))

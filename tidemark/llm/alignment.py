@@ -9,7 +9,8 @@ else texts are taken whole). So texts are cut there into units, the moves are ma
 table keeps a unit's groups. A text of which any unit spells other bytes than its own is encoded and compared whole.
 
 Link counts are summed by slice of documents first. A slice has a pair once, so no pair holds more rows than there are
-slices, and only a slice's own pairs come back to it.
+slices, and only a slice's own pairs come back to it. No row holds more than ``PART`` links: readers and writers take
+thousands of rows at a time, which would be gigabytes of whole slices.
 
 Defined cases: a null or empty text, and one that a tokenizer doesn't spell byte for byte (it holds U+2581), has no
 tokens: zeros and an empty digest; repeated rows count each; a null doc_id stays null; an empty table gives no rows;
@@ -22,6 +23,8 @@ import hashlib
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,6 +38,7 @@ from .common import Scratch, map_texts, resident, table
 
 MARK = "▁"
 KEPT_UNITS, KEPT_MOVES, SLICE = 400_000, 1_000_000, 2 << 20
+TOGETHER, PART = 512, 4096  # units encoded at once, and links in a row
 #: A unit begins at a space or line break after a character that isn't white space.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 
@@ -138,59 +142,85 @@ class Aligner:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str | None] = []  # the groups written out; None where A and B spell different bytes
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of A, of B, groups
-        self.links: list[np.ndarray] = []
+        self.sizes = array("q")  # of each unit: tokens of A, of B, groups
+        self.links = array("q")  # of all units in turn, one for each group
+        self.odd: set[int] = set()  # units without a text
 
     def encode_a(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def aligned(self, a: list[int], b: list[int]) -> tuple[str, tuple[int, int, int], np.ndarray]:
+    def aligned(self, a: list[int], b: list[int]) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
+        """The groups written out, the tokens up to each group's end, and the links."""
         ends = self.transducer.groups(a, b)
-        parts, links, i, j = [], [], 0, 0
+        left, right = list(map(str, a)), list(map(str, b))
+        parts, i, j = [], 0, 0
         for k, m in ends:
-            parts.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            links.append(a[k - 1] << 32 | b[m - 1])
+            if k - i == 1 == m - j:
+                parts.append(f"{left[i]}|{right[j]}")
+            else:
+                parts.append(f"{','.join(left[i:k])}|{','.join(right[j:m])}")
             i, j = k, m
-        return ";".join(parts), (len(a), len(b), len(ends)), np.array(links, np.int64)
+        at = np.array(ends, np.int64).reshape(-1, 2) - 1
+        return parts, ends, np.array(a, np.int64)[at[:, 0]] << 32 | np.array(b, np.int64)[at[:, 1]]
+
+    def put(self, unit: str, text: str | None, size: tuple[int, int, int]) -> None:
+        k = self.known[unit] = len(self.texts)
+        self.texts.append(text)
+        self.sizes.extend(size)
+        if text is None:
+            self.odd.add(k)
 
-    def put(self, unit: str, a: list[int], b: list[int]) -> None:
+    def put_apart(self, unit: str) -> None:
+        a, b = self.encode_a(" a" + unit)[1:], self.sp.encode("a" + unit)[1:]
         try:
             if sum(map(len, (self.b_bytes[x] for x in b))) != len(unit.encode()):
                 raise Mismatch
-            text, size, links = self.aligned(a, b)
+            parts, _, links = self.aligned(a, b)
         except Mismatch:
-            text, size, links = None, (0, 0, 0), np.zeros(0, np.int64)
-        self.known[unit] = len(self.texts)
-        self.texts.append(text)
-        self.sizes.append(size)
-        self.links.append(links)
+            self.put(unit, None, (0, 0, 0))
+        else:
+            self.links.frombytes(links.tobytes())
+            self.put(unit, ";".join(parts), (len(a), len(b), len(parts)))
+
+    def put_together(self, units: list[str]) -> None:
+        """Units that both sides spell in one row, if each ends with a token of either side; none otherwise."""
+        joined = "".join(units)
+        a, b = self.encode_a(" a" + joined)[1:], self.sp.encode("a" + joined)[1:]
+        ends = np.cumsum([len(u.encode()) for u in units])
+        for ids, lens in ((a, self.a_len), (b, self.b_len)):
+            upto = np.cumsum(lens[ids])
+            if not len(upto) or upto[-1] != ends[-1] or not (upto[np.searchsorted(upto, ends)] == ends).all():
+                return
+        try:
+            parts, groups, links = self.aligned(a, b)
+        except Mismatch:
+            return
+        self.links.frombytes(links.tobytes())
+        at = np.array(groups, np.int64)
+        # a unit's end is a group's end
+        last = np.searchsorted(np.cumsum(self.a_len[a])[at[:, 0] - 1], ends) + 1
+        sizes = np.diff(np.column_stack([at[last - 1], last]), axis=0, prepend=0).tolist()
+        g = 0
+        for u, size in zip(units, sizes, strict=True):
+            self.put(u, ";".join(parts[g : g + size[2]]), size)
+            g += size[2]
 
     def learn(self, units: list[str]) -> None:
         """Encodes new units: those that end in no white space together, behind a first unit that is left out."""
         plain = [u for u in units if not u[-1].isspace() and MARK not in u]
-        if plain:
-            joined = "".join(plain)
-            a, b = self.encode_a(" a" + joined)[1:], self.sp.encode("a" + joined)[1:]
-            ends = np.cumsum([len(u.encode()) for u in plain])
-            cuts = []
-            for ids, lens in ((a, self.a_len), (b, self.b_len)):
-                upto = np.cumsum(lens[ids])
-                k = np.searchsorted(upto, ends)
-                if len(upto) and k[-1] < len(upto) and (upto[k] == ends).all():
-                    cuts.append([0, *(k + 1).tolist()])
-            if len(cuts) == 2:
-                for u, i, k, j, m in zip(plain, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:], strict=False):
-                    self.put(u, a[i:k], b[j:m])
+        for k in range(0, len(plain), TOGETHER):
+            self.put_together(plain[k : k + TOGETHER])
         for u in units:
             if u not in self.known:
-                self.put(u, self.encode_a(" a" + u)[1:], self.sp.encode("a" + u)[1:])
+                self.put_apart(u)
 
     def whole(self, text: str) -> tuple[str, tuple[int, int, int], np.ndarray]:
         """The text without cuts; nothing where its bytes differ."""
         a, b = self.encode_a(" " + text), self.sp.encode(text)
         want = (" " + text).encode()
         if b"".join(self.a_bytes[x] for x in a) == want == b"".join(self.b_bytes[x] for x in b):
-            return self.aligned(a, b)
+            parts, _, links = self.aligned(a, b)
+            return ";".join(parts), (len(a), len(b), len(parts)), links
         return "", (0, 0, 0), np.zeros(0, np.int64)
 
     def slice(self, texts: list[bytes | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -202,83 +232,140 @@ class Aligner:
             self.clear()
             new = set(chain.from_iterable(units))
         self.learn(sorted(new))
-        sizes, digests, links = np.zeros((len(texts), 3), np.int64), [], []
+        digests, ats, bounds, whole = [], [], [0], {}
         for k, (s, own) in enumerate(zip(strings, units, strict=True)):
             at = [self.known[u] for u in own]
-            parts = [self.texts[i] for i in at]
             if not s:
                 text = ""
-            elif not own or None in parts:
-                text, sizes[k], more = self.whole(s)
-                links.append(more)
+            elif not own or (self.odd and not self.odd.isdisjoint(at)):
+                text, *whole[k] = self.whole(s)
             else:
-                text = ";".join(parts)
-                sizes[k] = np.array([self.sizes[i] for i in at]).sum(axis=0)
-                links.extend(self.links[i] for i in at)
+                text = ";".join([self.texts[i] for i in at])
+                ats += at
+            bounds.append(len(ats))
             digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
-        return sizes, digests, np.concatenate(links) if links else np.zeros(0, np.int64)
+        of_unit, kept = np.array(self.sizes, np.int64).reshape(-1, 3), np.array(self.links, np.int64)
+        starts = np.cumsum(of_unit[:, 2]) - of_unit[:, 2]
+        at = np.array(ats, np.int64)
+        n = of_unit[at, 2]
+        links = kept[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        sizes = np.diff(np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(of_unit[at], axis=0)])[bounds], axis=0)
+        if whole:
+            pieces, done, upto = [], 0, np.cumsum(sizes[:, 2])
+            for k, (size, more) in whole.items():
+                pieces += [links[done : upto[k]], more]
+                done, sizes[k] = upto[k], size
+            links = np.concatenate([*pieces, links[done:]])
+        return sizes, digests, links
+
+
+SLICED = "slice long, at long, part int, doc_id long, n_a long, n_b long, n_groups long, digest string, places binary, pair long, n long"
+ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-SLICES = "slice long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, digest array<string>, places binary, pairs array<long>, counts array<long>"
-ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+def batch(schema: str, cols: dict[str, object], rows: int) -> pa.RecordBatch:
+    """A batch of the schema's columns; those that aren't given are null."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    names = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], kinds[t]) if c in cols else pa.nulls(rows, kinds[t]) for c, t in names], [c for c, _ in names])
 
 
 def sliced(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """One row for each slice: its documents' figures, its link pairs with their counts, and the place of each link's
-    pair among them."""
+    """The rows of slices of documents: one for each ``PART`` links of a document (at: its number in the slice), with the
+    places of their pairs among the slice's, and one for each pair (at: its place) with its count. The places are of two
+    bytes each in slices of up to 65,536 pairs."""
     made = [0]
 
-    def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
+    def work(texts: list[bytes | None], given: pa.RecordBatch) -> pa.RecordBatch:
         aligner = resident(f"aligner {a_path} {b_path}", lambda: Aligner(a_path, b_path))
         sizes, digests, links = aligner.slice(texts)
         pairs, places, counts = np.unique(links, return_inverse=True, return_counts=True)
         number = TaskContext.get().partitionId() << 32 | made[0]
         made[0] += 1
-        one = [batch.column(0).to_pylist(), *(sizes[:, k] for k in range(3)), digests, places.astype("<u4").tobytes(), pairs, counts]
-        kinds = [pa.list_(pa.int64())] * 4 + [pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        cols = [pa.array([number], pa.int64()), *(pa.array([x], t) for x, t in zip(one, kinds, strict=True))]
-        return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SLICES.split(", ")])
-
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", work, SLICES, most=SLICE, keeps=True)
+        places = places.astype("<u2" if len(pairs) <= 1 << 16 else "<u4")
+        parts = np.maximum(-(-sizes[:, 2] // PART), 1)
+        at = np.repeat(np.arange(len(texts)), parts)
+        part = np.arange(len(at)) - (np.cumsum(parts) - parts)[at]
+        start = (np.cumsum(sizes[:, 2]) - sizes[:, 2])[at] + part * PART
+        stop = np.minimum(start + PART, np.cumsum(sizes[:, 2])[at])
+        raw = [places[i:j].tobytes() for i, j in zip(start.tolist(), stop.tolist(), strict=True)]
+        ids = given.column(0).take(pa.array(at))
+        told = {"n_a": sizes[at, 0], "n_b": sizes[at, 1], "n_groups": sizes[at, 2], "digest": pa.array(digests, pa.string()).take(pa.array(at))}
+        a = batch(SLICED, {"slice": np.full(len(at), number), "at": at, "part": part, "doc_id": ids, **told, "places": raw}, len(at))
+        b = batch(SLICED, {"slice": np.full(len(pairs), number), "at": np.arange(len(pairs)), "pair": pairs, "n": counts}, len(pairs))
+        return pa.Table.from_batches([a, b]).combine_chunks().to_batches()[0]
+
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", work, SLICED, most=SLICE, keeps=True)
 
 
 def link_counts(slices: DataFrame) -> DataFrame:
     """(pair, total, best): how often the corpus links the two ids, and whether no id of A is linked more often with that id of B."""
-    each = slices.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.counts").alias("n"))
-    totals = each.groupBy("pair").agg(F.sum("n").alias("total"))
+    totals = slices.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("total"))
     of_b = Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)))  # as many rows as A has ids, at most
     return totals.select("pair", "total", (F.col("total") == F.max("total").over(of_b)).alias("best"))
 
 
+def summed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with their links' sums, from (slice, at, part, total, best, places and a document's columns)
+    sorted by slice, with a slice's pairs (part null) before its documents. One slice's pairs are held at a time."""
+    held, pairs, values, open_ = None, [], None, None
+
+    def done(x: list) -> pa.RecordBatch:
+        d, n_a, n_b, n, digest = (list(c) for c in zip(*(r[0] for r in x), strict=True))
+        return batch(ROWS, {"doc_id": d, "n_a": n_a, "n_b": n_b, "n_groups": n, "n_links": n, "n_best": [r[1] for r in x], "count_sum": [r[2] for r in x], "groups_sha256": digest}, len(x))
+
+    for b in it:
+        col = {c: b.column(k) for k, c in enumerate(b.schema.names)}
+        number = col["slice"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        out = []
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if i == j:
+                continue
+            if number[i] != held:
+                held, pairs, values = number[i], [], None
+            own = {c: x.slice(i, j - i) for c, x in col.items()}
+            m = own["part"].null_count
+            if m:
+                pairs.append([own["at"].slice(0, m).to_numpy(), own["total"].slice(0, m).to_numpy(), own["best"].slice(0, m).to_numpy(zero_copy_only=False)])
+            if m == j - i:
+                continue
+            if values is None:
+                at, total, best = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 3
+                values = np.zeros((2, len(at)), np.int64)
+                values[:, at] = best, total
+                pairs = []
+            wide = values.shape[1] > 1 << 16
+            raw = own["places"].slice(m).to_pylist()
+            places = np.frombuffer(b"".join(raw), "<u4" if wide else "<u2")
+            upto = np.concatenate([[0], np.cumsum([len(x) // (4 if wide else 2) for x in raw])])
+            sums = np.diff(np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, places], axis=1)], axis=1)[:, upto], axis=1).tolist()
+            told = zip(*(own[c].slice(m).to_pylist() for c in ("doc_id", "n_a", "n_b", "n_groups", "digest")), strict=True)
+            for part, x, best, total in zip(own["part"].slice(m).to_pylist(), told, *sums, strict=True):
+                if part:
+                    open_[1] += best
+                    open_[2] += total
+                    continue
+                if open_:
+                    out.append(open_)
+                open_ = [x, best, total]
+        if out:
+            yield done(out)
+    if open_:
+        yield done([open_])
+
+
 def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """(doc_id, text) to one row per document: its tokens, groups and links, and what the corpus says of its links."""
     scratch = Scratch(docs.sparkSession, "alignment")
     slices = scratch.save(sliced(docs, a_path, b_path))
     counts = scratch.save(link_counts(slices))
-    each = slices.select("slice", F.posexplode("pairs").alias("at", "pair"))
-    told = each.join(counts.hint("merge"), "pair").groupBy("slice").agg(F.collect_list(F.struct("at", "total", "best")).alias("told"))
-    both = slices.drop("pairs", "counts").join(told, "slice", "left")
-
-    def work(it):
-        for batch in it:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            for k in range(batch.num_rows):
-                places = np.frombuffer(col["places"][k].as_py(), "<u4")
-                total = best = np.zeros(0, np.int64)
-                if len(places):
-                    own = col["told"][k].values
-                    at = own.field("at").to_numpy()
-                    total, best = np.zeros((2, len(at)), np.int64)
-                    total[at], best[at] = own.field("total").to_numpy(), own.field("best").to_numpy(zero_copy_only=False)
-                n = col["n_groups"][k].values.to_numpy()
-                upto = np.concatenate([[0], np.cumsum(n)])
-                sums = [np.diff(np.concatenate([[0], np.cumsum(x[places])])[upto]) for x in (best, total)]
-                yield pa.RecordBatch.from_arrays(
-                    [col["doc_id"][k].values, col["n_a"][k].values, col["n_b"][k].values, pa.array(n), pa.array(n), *map(pa.array, sums), col["digest"][k].values],
-                    [c.split()[0] for c in ROWS.split(", ")],
-                )
-
-    return both.mapInArrow(work, ROWS)
+    none = lambda kind: F.lit(None).cast(kind)
+    told = slices.where("pair is not null").select("slice", "at", "pair").join(counts.hint("merge"), "pair")
+    told = told.select("slice", "at", none("int").alias("part"), "total", "best", *[none(slices.schema[c].dataType).alias(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "digest", "places")])
+    own = slices.where("pair is null").select("slice", "at", "part", none("long").alias("total"), none("boolean").alias("best"), "doc_id", "n_a", "n_b", "n_groups", "digest", "places")
+    both = own.unionByName(told).repartition("slice").sortWithinPartitions("slice", F.col("part").isNotNull(), "at", "part")
+    return both.mapInArrow(summed, ROWS)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
