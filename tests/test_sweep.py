@@ -109,3 +109,30 @@ def test_prefixes_lose_no_pair(spark, top, monkeypatch):
         monkeypatch.setattr(cluster, "SPLIT", split)
         got = [(x.a, x.b, x.gap, round(x.jaccard, 9), round(x.contained, 9), x.shared, x.near) for x in cluster.similar_pairs(items, r).collect()]
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_copies_seen_at_a_date_against_loops(spark, strict):
+    """Views and backtests against a loop over copies; no row is dealt by run, of which there are few."""
+    rows, runs = copies(7)
+    ev, man = spark.createDataFrame(rows, EVENT), spark.createDataFrame(runs, MANIFEST)
+
+    def seen(at):
+        limit = at + timedelta(days=DEFAULT["pit_grace_days"])
+        open_ = {r for r, a, f, mode in runs if a <= limit and mode != "pit-replay" and (not strict or (f and f <= limit))}
+        told = {}
+        for x in sorted(rows, key=lambda x: x[1]):
+            if x[1] in open_ and x[3] and x[3] <= at:
+                told[x[0]] = x
+        return set(told.values())
+
+    back = corpus.backtest(ev, man, "2024-01-15", "2025-08-01", 60, lambda x, by: x.select(*by, *ev.columns), strict=strict)
+    got = {}
+    for r in back.collect():
+        got.setdefault(r[0], []).append(tuple(r[1:]))
+    for k in range(10):
+        at = date(2024, 1, 15) + timedelta(days=60 * k)
+        view = corpus.visible_events(ev, man, F.lit(at), strict=strict)
+        assert sorted(got.get(at, []), key=str) == sorted(seen(at), key=str) == sorted(map(tuple, view.select(*ev.columns).collect()), key=str)
+    for df in (back, view, sweep.lives(ev, man, strict=strict)):
+        assert "hashpartitioning(run_id" not in df._jdf.queryExecution().executedPlan().toString()
