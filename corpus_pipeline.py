@@ -34,7 +34,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles with a similarity of 0.8 or more, of which operator
+    3's fingerprints and Golay keys give the candidates, and minimum hashes those beyond four bits."""
     return near_copies.representatives(docs)
 
 

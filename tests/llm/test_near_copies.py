@@ -77,3 +77,16 @@ def test_whole_rows_and_empty_table(spark):
     df = docs(spark, [(1, "a b"), (1, "a b"), (None, "a b"), (None, "c")])
     assert sorted((r.doc_id or 0, r.text) for r in near_copies.representatives(df).collect()) == [(0, "c"), (1, "a b")]
     assert near_copies.representatives(df.where("false")).count() == 0
+
+
+def test_fingerprints_give_candidates(spark, tmp_path):
+    """Without minimum hashes, texts within four bits meet through the Golay keys; what isn't similar is left out."""
+    base = [f"w{k}" for k in range(900)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(base[1:]), " ".join(f"z{k}" for k in range(60)), ""]
+    df = docs(spark, texts)
+    own = near_copies.sketches(df).selectExpr("set", "fp", "CAST(array() AS array<bigint>) AS keys", "__row_key AS one", "doc_id").cache()
+    fps = {r.doc_id: r.fp for r in own.collect()}
+    assert len({fps[0], fps[1], fps[2]}) > 1 and fps[4] == 0
+    roots = near_copies.rooted(df, own.drop("doc_id"), near_copies.Scratch(spark, "test"))
+    got = {r.doc_id: r.root for r in own.join(roots, own.set == roots.node).collect()}
+    assert set(got) == {0, 1, 2} and len(set(got.values())) == 1

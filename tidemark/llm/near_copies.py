@@ -1,19 +1,20 @@
 """Near copies by the Jaccard similarity of word shingles: those of five words, linked from 0.8.
 
-Equal sets of shingles are made one first, so exact copies never meet each other. A set has 30 keys, each made of five
-minimum hashes; two sets of similarity 0.8 share no key with a probability of (1 - 0.8^5)^30, 7 in a million, and more
-similar ones with less. Sets that share a key are candidates, and every candidate is verified by the exact similarity.
-A key with up to FEW sets gives its pairs, which are made distinct and joined with the sets.
+Equal sets of shingles are made one first, so exact copies never meet each other. Candidates come by operator 3's method
+first: each set has a SimHash fingerprint, and fingerprints within four bits meet through the keys of the Golay code.
+Every candidate is verified by the exact similarity.
+
+Two texts with a similarity of 0.8 differ in about ten bits of 64 (an angle of 27 degrees), where that method would need
+over a thousand keys for each text to miss no more than one pair in a thousand. So minimum hashes add the candidates that
+four bits don't reach: a set has 30 keys, each made of five; two sets of similarity 0.8 share no key with a probability
+of (1 - 0.8^5)^30, 7 in a million, and more similar ones with less. A key with up to FEW sets gives its pairs, which are
+made distinct and joined with the sets.
 
 A key with more sets links each of them to its least one first, by the same join. That joins most of a cloud of near
 copies, however large, without a task that reads it. Where a key's sets are in several components after that, those of
 its largest component and the others are dealt out in blocks of ``CHUNK`` sets; each task compares a block of the others
 with one of the largest component or of the others, between components only, and yields a spanning forest.
 
-The Golay keys of operator 3 reach four differing bits of 64. Two texts with a similarity of 0.8 differ in about ten
-(an angle of 27 degrees), where that method would need over a thousand keys for each text to miss no more than one pair
-in a thousand; so this stage doesn't take them.
-
 Defined cases: null and wordless texts are equal to each other; a text of fewer words than a shingle is one shingle;
 the others are as in operator 3.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, map_texts, split_join
-from .simhash import KEY, only, row_key
+from .simhash import KEY, links, majority, only, row_key
 
 SHINGLE = 5
 BANDS, ROWS, FEW, CHUNK = 30, 5, 24, 2000
@@ -72,19 +73,20 @@ def signed(values: list[int]) -> pa.Array:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to (doc_id, __row_key, set, keys)."""
+    """(doc_id, text) to (doc_id, __row_key, set, fp, keys); fp is the fingerprint of the set's shingles."""
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, keys, ends = [], [], [0]
+        ids, fps, keys, ends = [], [], [], [0]
         for t in texts:
             own = shingles(t)
             ids.append(xxhash.xxh64_intdigest(own.tobytes()))
+            fps.append(majority(own))
             keys += keys_of(own)
             ends.append(len(keys))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(keys))], ["doc_id", KEY, "set", "keys"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed(ids), signed(fps), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(keys))], ["doc_id", KEY, "set", "fp", "keys"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias(KEY), "text")
-    return map_texts(keyed, "text", work, f"doc_id long, {KEY} long, set long, keys array<long>")
+    return map_texts(keyed, "text", work, f"doc_id long, {KEY} long, set long, fp long, keys array<long>")
 
 
 def forest(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, asks: np.ndarray) -> tuple[list[int], list[int]]:
@@ -183,12 +185,24 @@ def dealt(members: DataFrame) -> DataFrame:
     return rows.select("key", F.inline(tasks), "set", "root", "asks")
 
 
+def by_fingerprint(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of the sets of ``distinct`` (set, fp): those of one fingerprint with its least, and the least ones of
+    linked fingerprints."""
+    least = scratch.save(distinct.groupBy("fp").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("count")))
+    same = split_join(distinct.select("set", "fp"), least, "fp", "inner").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_set")) for c in "ab")
+    met = links(least).join(x, "a").join(y, "b").select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
+    return scratch.save(same.unionByName(met).distinct())
+
+
 def rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): the components of the sets of ``distinct`` (set, keys, one: a row key of docs) that have links."""
+    """(node, root): the components of the sets of ``distinct`` (set, fp, keys, one: a row key of docs) that have links."""
+    close = by_fingerprint(distinct, scratch)
     kept = distinct.select("set", F.explode(F.array_distinct("keys")).alias("key"))
     sizes = scratch.save(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = scratch.save(split_join(kept, sizes.withColumn("count", F.col("n")), "key", "inner").select("set", "key", "n"))
-    wanted = met.select("set").distinct().join(distinct.select("set", F.col("one").alias(KEY)), "set").select(KEY)
+    asked = met.select("set").unionByName(close.select(F.col("a").alias("set"))).unionByName(close.select(F.col("b").alias("set"))).distinct()
+    wanted = asked.join(distinct.select("set", F.col("one").alias(KEY)), "set").select(KEY)
 
     def work(texts: list[bytes | None], batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [shingles(t).tobytes() for t in texts]
@@ -200,7 +214,7 @@ def rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     many = met.where(F.col("n") > FEW).select("key", "set")
     pivots = scratch.save(many.groupBy("key").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("count")))
     stars = split_join(many, pivots, "key", "inner").where("set <> a").select("a", F.col("set").alias("b"))
-    edges = scratch.save(verify(few.unionByName(stars).distinct(), sets))
+    edges = scratch.save(verify(few.unionByName(stars).unionByName(close).distinct(), sets))
     roots = components(edges, scratch)
     members = many.join(roots, many.set == roots.node, "left").select("key", "set", F.coalesce("root", "set").alias("root"))
     tasks = dealt(scratch.save(members)).join(sets, "set").select("key", "i", "j", "set", "root", "asks", "shingles")
@@ -216,7 +230,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: one with the smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "near_copies")
     own = scratch.save(sketches(docs))
-    distinct = scratch.save(own.groupBy("set").agg(F.first("keys").alias("keys"), F.min(KEY).alias("one")))
+    distinct = scratch.save(own.groupBy("set").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(KEY).alias("one")))
     roots = rooted(docs, distinct, scratch)
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
     least = own.groupBy("set").agg(F.min(order).alias("one"))

@@ -38,6 +38,14 @@ FOREST_FROM = 24
 KEY = "__row_key"
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes (uint64)."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(h), 8192):
+        ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     words = text.lower().split() if text else []  # of bytes: A-Z and ASCII white space only
     n = len(words)
@@ -50,10 +58,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(h), 8192):
-        ones += np.unpackbits(h[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return majority(h)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
