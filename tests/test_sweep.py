@@ -111,6 +111,26 @@ def test_prefixes_lose_no_pair(spark, top, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
+def flood(n=120):
+    """Copies of a title over some days, one of them a month later, and of a title like it."""
+    day = lambda k: date(2024, 1, 1) + timedelta(days=k)
+    rows = [(k, "X", day(k % 9), "delta alpha gamma beta omega") for k in range(n)]
+    rows += [(n + k, "X", day(20 + k % 2), "alpha beta gamma delta sigma") for k in range(n)]
+    rows += [(2 * n, "X", day(60), "omega beta gamma delta alpha"), (2 * n + 1, "Y", day(1), "omega beta gamma delta alpha"), (2 * n + 2, None, day(1), "omega beta gamma delta alpha")]
+    return [*rows, (2 * n + 3, "X", day(22), "alpha beta gamma delta kappa"), (2 * n + 4, "X", None, "alpha"), (2 * n + 5, "X", day(3), None)]
+
+
+def test_copies_are_one_node_of_the_links(spark, monkeypatch):
+    rows = flood()
+    items = spark.createDataFrame(rows, "seq long, symbol string, published date, title string")
+    seen = []
+    plain = cluster.components
+    monkeypatch.setattr(cluster, "components", lambda edges, *a: (seen.append(edges.count()), plain(edges, *a))[1])
+    got = {x.seq: x.cluster for x in cluster.clusters(items).collect()}
+    assert seen[0] < 10  # 120 * 119 pairs of copies and more
+    assert got == {k: 0 if k < 120 else 120 if k < 240 or k == 243 else k for k in range(246)}
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_copies_seen_at_a_date_against_loops(spark, strict):
     """Views and backtests against a loop over copies; no row is dealt by run, of which there are few."""
