@@ -166,3 +166,27 @@ def test_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0) for r in dc.leaks(df, items).collect()) == [0, 1]
     assert [r.doc_id for r in dc.decontaminated(df.selectExpr("*", "9 AS __row_key"), items).collect()] == [2]
     assert dc.decontaminated(df.selectExpr("*", "9 AS __row_key"), items).first()["__row_key"] == 9
+
+
+def test_words_and_sums_of_rows_against_plain_ones():
+    text = bytes(range(256)) * 2 + "Straße ÀÉ x-y_z 10^3\x1c\x1fEnd\u2003wide".encode()
+    assert dc.words_of(text) == dc.WORD.findall(text.lower()) and dc.words_of(b" \n.") == []
+    rng = np.random.default_rng(3)
+    vectors, flat = rng.standard_normal((20, 5), np.float32), rng.integers(-1, 20, 96).astype("<i2")
+    want = [sum((vectors[w] for w in row if w >= 0), np.zeros(5)) for row in flat.reshape(-1, 32)]
+    assert np.allclose(dc.sums(flat, 32, dc.padded(vectors)), want, atol=1e-5)
+
+
+def test_only_words_of_the_item_go_to_the_common_subsequence():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    item, words = np.arange(6, dtype="<i2"), np.array([90, -1, 80] * 5 + [0, 1, 70, 2, 4, 5] + [60, -1] * 6, "<i2")
+    held = dc.Held([item, item + 50], 100)
+    masks = Counted(dc.masks_of(item))
+    got = dc.judged(words, 0, item, masks, {1, 70}, 0.6, lambda w: held.one(0, w))
+    assert got == dc.judged(words, 0, item, dc.masks_of(item), {1, 70}, 0.6) == (5, 1.0) and masks.asked == 5

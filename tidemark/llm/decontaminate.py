@@ -28,8 +28,10 @@ no rows; other columns of the input are ignored, and kept in ``decontaminated``
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,13 @@ MAX_DF, LEAST_TERMS, LEAST_WORDS, TERMS, MEMBER = 0.05, 8, 5, 512, 1 << 26
 BLOCK_BYTES = 16 << 20
 WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 KEY = "__row_key"
+#: Bytes of words in lower case, spaces for the others.
+BYTES = bytes(k if k >= 128 or chr(k).isalnum() else 32 for k in bytes(range(256)).lower())
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The text's words (``WORD``) in lower case."""
+    return text.translate(BYTES).split()
 
 
 @dataclass
@@ -66,7 +75,7 @@ class Items:
 
 def read_items(rows: list) -> Items:
     out = Items([], [], [], {})
-    number = lambda t: np.array([out.vocabulary.setdefault(w, len(out.vocabulary)) for w in WORD.findall((t or "").encode().lower())], np.int32)
+    number = lambda t: np.array([out.vocabulary.setdefault(w, len(out.vocabulary)) for w in words_of((t or "").encode())], np.int32)
     for item_id, text, answer in rows:
         words = number(text)
         if len(words):
@@ -86,10 +95,10 @@ def encode(docs: DataFrame, items: Items) -> DataFrame:
         get, rows, own = vocabulary.value.get, [], []
         for k, t in enumerate(texts):
             if t:
-                found = [get(w, -1) for w in WORD.findall(t.lower())]
-                if found and max(found) >= 0:
+                found = np.array(list(map(get, words_of(t), repeat(-1))), kind)
+                if found.max(initial=-1) >= 0:
                     rows.append(k)
-                    own.append(np.array(found, kind).tobytes())
+                    own.append(found.tobytes())
         take = pa.array(rows, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(own, pa.binary())], ["doc_id", KEY, "words"])
 
@@ -155,16 +164,18 @@ def weigh(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
     return np.where(rare, np.maximum(idf, 1e-3) ** 2, 0.0)
 
 
-def sums(rows: np.ndarray, width: int, weight: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a flat sequence of words in rows of ``width``: each row's sum of vectors, and its words that count."""
-    flat = rows.reshape(-1)
-    at = np.flatnonzero((flat >= 0) & (weight[flat] > 0))
-    ids, row = flat[at].astype(np.int64), at // width
-    out = np.zeros((len(flat) // width, vectors.shape[1]), np.float32)
-    if len(at):
-        starts = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[starts]] = np.add.reduceat(vectors[ids], starts, axis=0)
-    return out, ids, row
+def padded(vectors: np.ndarray) -> np.ndarray:
+    """The vectors and one of zeros, which -1 takes."""
+    return np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+
+
+def sums(rows: np.ndarray, width: int, vectors: np.ndarray) -> np.ndarray:
+    """Each row's sum of ``padded`` vectors, of a flat sequence of words in rows of ``width``."""
+    places = rows.reshape(-1, width)
+    out = np.zeros((len(places), vectors.shape[1]), np.float32)
+    for k in range(width):  # a table of all places would be ``width`` times as large
+        out += vectors[places[:, k]]
+    return out
 
 
 def sketch(encoded: DataFrame, kind: str, weight: np.ndarray, rank: int) -> np.ndarray:
@@ -172,11 +183,14 @@ def sketch(encoded: DataFrame, kind: str, weight: np.ndarray, rank: int) -> np.n
     n = len(weight)
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = test_matrix(n, rank) * weight[:, None].astype(np.float32)
+        g = padded(test_matrix(n, rank) * weight[:, None].astype(np.float32))
         total = np.zeros((n, rank), np.float64)
         for batch in it:
             for _, words in chunks(batch, kind):
-                y, ids, row = sums(windows(words), WINDOW, weight, g)
+                flat = windows(words).reshape(-1)
+                y = sums(flat, WINDOW, g)
+                at = np.flatnonzero((flat >= 0) & (weight[flat] > 0))
+                ids, row = flat[at], at // WINDOW
                 w = weight[ids]
                 length = np.sqrt(np.bincount(row, w * w, len(y)))  # of plain counts; a word twice in a passage is rare
                 y /= np.maximum(length, 1e-12)[:, None] ** 2
@@ -246,13 +260,15 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def judged(words: np.ndarray, window: int, item: np.ndarray, masks: dict[int, int], answer: set[int], share: float) -> tuple[int, float] | None:
-    """The common length and the share of answer words around a window, if they make a leak."""
-    near = words[max(0, window - len(item)) : window + WINDOW + len(item)].tolist()
-    n = common(masks, len(item), near)
+def judged(words: np.ndarray, window: int, item: np.ndarray, masks: dict[int, int], answer: set[int], share: float, held: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[int, float] | None:
+    """The common length and the share of answer words around a window, if they make a leak; ``held``, if given, tells
+    words that the item may hold from others, which no common subsequence has."""
+    near = words[max(0, window - len(item)) : window + WINDOW + len(item)]
+    own = near if held is None else near[held(near.astype(np.int64))]
+    n = common(masks, len(item), own.tolist())
     if n < share * len(item):
         return None
-    seen = len(answer.intersection(near)) / len(answer) if answer else 1.0
+    seen = len(answer.intersection(near.tolist())) / len(answer) if answer else 1.0
     return (n, seen) if seen >= ANSWER else None
 
 
@@ -266,6 +282,9 @@ class Held:
         for k, w in enumerate(words):
             self.cells[(k * vocabulary + w.astype(np.int64)) % len(self.cells)] = True
 
+    def one(self, item: int, words: np.ndarray) -> np.ndarray:
+        return self.cells[(item * self.width + words) % len(self.cells)] & (words >= 0)
+
     def __call__(self, item: np.ndarray, words: np.ndarray) -> np.ndarray:
         return self.cells[(item[:, None] * self.width + words) % len(self.cells)] & (words >= 0)
 
@@ -344,6 +363,7 @@ def search(encoded: DataFrame, kind: str, items: Items, block: list[int], weight
         lengths = np.fromiter(map(len, item_words), np.int64, len(item_words))
         member = Held(item_words, len(weight))
         step = max(16, (1 << 24) // max(len(long), 1))
+        vectors = padded(vectors)
         for batch in it:
             docs, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             found: dict[tuple[int, int], list] = {}
@@ -358,7 +378,7 @@ def search(encoded: DataFrame, kind: str, items: Items, block: list[int], weight
                 for w, n in zip(words, sizes.tolist(), strict=True):
                     flat[at : at + len(w)] = w
                     at += n * STEP
-                half, _, _ = sums(flat, STEP, weight, vectors)
+                half = sums(flat, STEP, vectors)
                 doc = np.repeat(np.arange(len(words)), sizes)
                 x = half.copy()
                 x[:-1][doc[:-1] == doc[1:]] += half[1:][doc[:-1] == doc[1:]]
@@ -374,7 +394,7 @@ def search(encoded: DataFrame, kind: str, items: Items, block: list[int], weight
                     ok = enough(flat, base[d], ends[d], start[k + r], lengths[i], member, i, share)
                     for r, i, d, cos in zip(r[ok].tolist(), i[ok].tolist(), d[ok].tolist(), like[ok].tolist(), strict=True):
                         pair = (first + d, i)
-                        got = judged(words[d], int(start[k + r]), item_words[i], masks[i], answers[i], share)
+                        got = judged(words[d], int(start[k + r]), item_words[i], masks[i], answers[i], share, partial(member.one, i))
                         if got and (pair not in found or found[pair][1:] < [got[0], got[1]]):
                             found[pair] = [cos, *got]
             rows = [(docs[d], keys[d], ids[i], v[0], v[1], len(item_words[i]), v[2]) for (d, i), v in found.items()]
