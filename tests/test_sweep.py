@@ -131,6 +131,19 @@ def test_copies_are_one_node_of_the_links(spark, monkeypatch):
     assert got == {k: 0 if k < 120 else 120 if k < 240 or k == 243 else k for k in range(246)}
 
 
+@pytest.mark.parametrize("days", [(2, 7), (9, 4)])
+def test_titles_meet_once_whatever_their_copies(spark, days, monkeypatch):
+    r = load_rubric({"cluster": {"days": days[0], "near_days": days[1], "top_tokens": 3}})
+    rows = flood(40)
+    items = spark.createDataFrame(rows, "seq long, symbol string, published date, title string")
+    seen = []
+    plain = cluster.meetings
+    monkeypatch.setattr(cluster, "meetings", lambda *a: (seen.append(plain(*a).count()), plain(*a))[1])
+    got = [(x.a, x.b, x.gap, round(x.jaccard, 9), round(x.contained, 9), x.shared, x.near) for x in cluster.similar_pairs(items, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == plain_pairs([x for x in rows if None not in x], r) and len(got) > 1000
+    assert sum(seen) < 20  # 40 * 39 pairs of copies and more
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_copies_seen_at_a_date_against_loops(spark, strict):
     """Views and backtests against a loop over copies; no row is dealt by run, of which there are few."""
