@@ -144,6 +144,18 @@ def test_titles_meet_once_whatever_their_copies(spark, days, monkeypatch):
     assert sum(seen) < 20  # 40 * 39 pairs of copies and more
 
 
+def test_pairs_of_copies_are_made_in_bounded_tasks(spark, monkeypatch):
+    rows = flood(90)
+    items = spark.createDataFrame(rows, "seq long, symbol string, published date, title string")
+    monkeypatch.setattr(cluster, "COPIES", 4, raising=False)
+    monkeypatch.setattr(cluster, "PAIRS", 200, raising=False)
+    got = cluster.similar_pairs(items).withColumn("task", F.spark_partition_id()).collect()
+    pairs = [(x.a, x.b, x.gap, round(x.jaccard, 9), round(x.contained, 9), x.shared, x.near) for x in got]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == plain_pairs([x for x in rows if None not in x], DEFAULT) and len(pairs) > 5000
+    tasks = [x.task for x in got]
+    assert max(tasks.count(k) for k in set(tasks)) < 1000  # a few kilobytes of copies, which were one task or two
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_copies_seen_at_a_date_against_loops(spark, strict):
     """Views and backtests against a loop over copies; no row is dealt by run, of which there are few."""
