@@ -90,3 +90,15 @@ def test_fingerprints_give_candidates(spark, tmp_path):
     roots = near_copies.rooted(df, own.drop("doc_id"), near_copies.Scratch(spark, "test"))
     got = {r.doc_id: r.root for r in own.join(roots, own.set == roots.node).collect()}
     assert set(got) == {0, 1, 2} and len(set(got.values())) == 1
+
+
+def test_few_tables_are_files(spark, monkeypatch):
+    """Only the sets, the components' rounds and the rows to keep are written to the shared folder, and nothing stays held."""
+    saved, save = [], near_copies.Scratch.save
+    monkeypatch.setattr(near_copies.Scratch, "save", lambda self, df: saved.append(sorted(df.columns)) or save(self, df))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    pairs = list(enumerate([*near(200, 2, "a"), *odd_texts() * 2]))
+    assert kept(docs(spark, pairs)) == expected(pairs)
+    others = [c for c in saved if c != ["u", "v"]]  # u, v: the components' rounds
+    assert others == [sorted(["set", "fp", "keys", "one", "least"]), [near_copies.KEY]]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -15,6 +15,10 @@ copies, however large, without a task that reads it. Where a key's sets are in s
 its largest component and the others are dealt out in blocks of ``CHUNK`` sets; each task compares a block of the others
 with one of the largest component or of the others, between components only, and yields a spanning forest.
 
+What is read more than once stays on the executors' disks (``Held``) or goes through a shuffle alone; only the sets, the
+components and the rows to keep are files in the shared folder. A file there is a process that sets its permissions, where
+that folder is a kernel's file system; for a moment such a process shares all memory of its executor.
+
 Defined cases: null and wordless texts are equal to each other; a text of fewer words than a shingle is one shingle;
 the others are as in operator 3.
 """
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,24 @@ FACTORS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64) | np.uint64(1)
 TERMS = _RNG.integers(0, 2**64, BANDS * ROWS, np.uint64)
 
 
+class Held:
+    """Frames kept on the executors' disks until the block ends; what a lost executor held is made again."""
+
+    def __init__(self) -> None:
+        self.frames: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.frames.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.frames[-1]
+
+    def __enter__(self) -> Held:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for df in reversed(self.frames):
+            df.unpersist()
+
+
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """The sorted hashes of the different shingles."""
     words = text.lower().split() if text else []
@@ -185,22 +208,27 @@ def dealt(members: DataFrame) -> DataFrame:
     return rows.select("key", F.inline(tasks), "set", "root", "asks")
 
 
-def by_fingerprint(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+def by_fingerprint(distinct: DataFrame, held: Held) -> DataFrame:
     """Pairs (a, b) of the sets of ``distinct`` (set, fp): those of one fingerprint with its least, and the least ones of
     linked fingerprints."""
-    least = scratch.save(distinct.groupBy("fp").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("count")))
+    least = held(distinct.groupBy("fp").agg(F.min("set").alias("least"), F.count(F.lit(1)).alias("count")))
     same = split_join(distinct.select("set", "fp"), least, "fp", "inner").where("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b"))
     x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_set")) for c in "ab")
     met = links(least).join(x, "a").join(y, "b").select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"))
-    return scratch.save(same.unionByName(met).distinct())
+    return held(same.unionByName(met).distinct())
 
 
 def rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the components of the sets of ``distinct`` (set, fp, keys, one: a row key of docs) that have links."""
-    close = by_fingerprint(distinct, scratch)
+    with Held() as held:
+        return _rooted(docs, distinct, scratch, held)
+
+
+def _rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch, held: Held) -> DataFrame:
+    close = by_fingerprint(distinct, held)
     kept = distinct.select("set", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = scratch.save(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    met = scratch.save(split_join(kept, sizes.withColumn("count", F.col("n")), "key", "inner").select("set", "key", "n"))
+    sizes = held(kept.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = held(split_join(kept, sizes.withColumn("count", F.col("n")), "key", "inner").select("set", "key", "n"))
     asked = met.select("set").unionByName(close.select(F.col("a").alias("set"))).unionByName(close.select(F.col("b").alias("set"))).distinct()
     wanted = asked.join(distinct.select("set", F.col("one").alias(KEY)), "set").select(KEY)
 
@@ -209,19 +237,17 @@ def rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
         return pa.RecordBatch.from_arrays([signed([xxhash.xxh64_intdigest(x) for x in raw]), pa.array(raw, pa.binary())], ["set", "shingles"])
 
     texts = docs.select(row_key().alias(KEY), "text").join(wanted.hint("merge"), KEY, "left_semi").dropDuplicates([KEY])
-    sets = scratch.save(map_texts(texts.select("text"), "text", work, "set long, shingles binary"))
+    sets = held(map_texts(texts.select("text"), "text", work, "set long, shingles binary"))
     few = met.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list("set").alias("own")).select("own").mapInArrow(pairs, "a long, b long")
     many = met.where(F.col("n") > FEW).select("key", "set")
-    pivots = scratch.save(many.groupBy("key").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("count")))
+    pivots = held(many.groupBy("key").agg(F.min("set").alias("a"), F.count(F.lit(1)).alias("count")))
     stars = split_join(many, pivots, "key", "inner").where("set <> a").select("a", F.col("set").alias("b"))
-    edges = scratch.save(verify(few.unionByName(stars).unionByName(close).distinct(), sets))
-    roots = components(edges, scratch)
-    members = many.join(roots, many.set == roots.node, "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-    tasks = dealt(scratch.save(members)).join(sets, "set").select("key", "i", "j", "set", "root", "asks", "shingles")
+    roots = components(verify(few.unionByName(stars).unionByName(close).distinct(), sets), scratch)
+    members = held(many.join(roots, many.set == roots.node, "left").select("key", "set", F.coalesce("root", "set").alias("root")))
+    tasks = dealt(members).join(sets, "set").select("key", "i", "j", "set", "root", "asks", "shingles")
     tasks = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "set")
-    more = scratch.save(tasks.mapInArrow(compared, "a long, b long"))
-    scratch.drop(edges)
-    if not more.head(1):
+    more = held(tasks.mapInArrow(compared, "a long, b long"))
+    if more.isEmpty():
         return roots
     return components(more.unionByName(roots.where("node <> root").toDF("a", "b")), scratch)
 
@@ -229,11 +255,10 @@ def rooted(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> DataFrame:
 def representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: one with the smallest doc_id."""
     scratch = Scratch(docs.sparkSession, "near_copies")
-    own = scratch.save(sketches(docs))
-    distinct = scratch.save(own.groupBy("set").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(KEY).alias("one")))
-    roots = rooted(docs, distinct, scratch)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(KEY))
-    least = own.groupBy("set").agg(F.min(order).alias("one"))
-    least = least.join(roots, least.set == roots.node, "left").select(F.coalesce("root", "set").alias("root"), "one")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col(KEY))
+    own = sketches(docs).groupBy("set").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.min(KEY).alias("one"), F.min(order).alias("least"))
+    distinct = scratch.save(own)
+    roots = rooted(docs, distinct.drop("least"), scratch)
+    least = distinct.join(roots, distinct.set == roots.node, "left").select(F.coalesce("root", "set").alias("root"), F.col("least").alias("one"))
     first = least.groupBy("root").agg(F.min("one").alias("one"))
     return only(docs, scratch.save(first.select(F.col(f"one.{KEY}").alias(KEY))))
